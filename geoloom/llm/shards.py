@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MESSAGE = "bucket int, shard long, a binary, b binary, c binary, d binary"
@@ -34,14 +34,15 @@ class Dealt:
     buckets: int
 
 
-def deal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, bucket_bytes: int = BUCKET_BYTES) -> Dealt:
-    """Deals texts by a hash of their ids; rows that share an id meet in one shard."""
+def deal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, bucket_bytes: int = BUCKET_BYTES, also: dict[str, Column] | None = None) -> Dealt:
+    """Deals texts by a hash of their ids; rows that share an id meet in one shard. ``also``: more columns that come along."""
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     shards = max(24, -(-total // shard_bytes))
     texts = docs.select(
         F.pmod(F.xxhash64(F.col(id_col)), F.lit(shards)).alias("shard"),
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"),
+        *(c.alias(k) for k, c in (also or {}).items()),
     )
     return Dealt(texts, shards, max(48, -(-total // bucket_bytes)))
 
