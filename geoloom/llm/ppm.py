@@ -3,14 +3,15 @@
 The model is a byte-context trie of ``ORDER`` bytes: counts of every context
 and next byte (and of the end of a text) over all training texts. A byte's
 probability comes from the longest context that has it; each shorter context
-costs an escape (method C: distinct successors over occurrences plus distinct
-successors), and successors that a longer context already offered are excluded
-from the shorter ones.
+costs an escape (method D: half a count of each distinct successor), and
+successors that a longer context already offered are excluded from the shorter
+ones. Counts follow update exclusion: a shorter context counts a byte once for
+each one-byte-longer context that has it.
 
 A shard sends its distinct n-grams with their training counts to the bucket of
 the two bytes before the predicted one; there the whole subtree of longer
 contexts meets, and each n-gram's log probability goes back. Contexts of one
-and no byte have at most 256 * 257 counts; these are summed beforehand.
+and no byte have at most 256 * 256 counts; Spark adds these up beforehand.
 
 The base score is an add-one unigram model over words; word counts travel the
 same way.
@@ -203,27 +204,24 @@ def _unpack_totals(batches):
 
 
 def _pair_counts(texts: DataFrame) -> np.ndarray:
-    """Training counts of each byte after each byte: 256 * 256 at most, summed by Spark."""
+    """For each byte after each byte, the distinct bytes before both in training: 256 * 256 numbers at most."""
 
-    def count(batches):
-        total = np.zeros(1 << 16, dtype=np.int64)
+    def triples(batches):
+        seen = np.zeros(1 << 24, dtype=bool)
         for batch in batches:
-            b = pa.Table.from_batches([batch])
-            t = K.Texts(b, with_order=False)
+            t = K.Texts(pa.Table.from_batches([batch]), with_order=False)
             n, size = len(t), np.diff(t.at)
-            out = np.full(len(t.bytes) + 2 * n, START, dtype=np.uint8)
-            begin = t.at[:-1] + 2 * np.arange(n) + 1
+            out = np.full(len(t.bytes) + 3 * n, START, dtype=np.int32)
+            begin = t.at[:-1] + 3 * np.arange(n) + 2
             out[np.arange(len(t.bytes)) + np.repeat(begin - t.at[:-1], size)] = t.bytes
             out[begin + size] = END
-            total += np.bincount((out[:-1].astype(np.int64) << 8) | out[1:], minlength=1 << 16)
-        pair = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(total[pair])], names=["pair", "n"])
+            seen[(out[:-2] << 16) | (out[1:-1] << 8) | out[2:]] = True
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen))], names=["triple"])
 
     out = np.zeros((256, 256), dtype=np.int64)
-    for pair, n in texts.where(~F.col("held_out")).select("doc_id", "body").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n")).collect():
+    counts = texts.where(~F.col("held_out")).select("doc_id", "body").mapInArrow(triples, "triple long").distinct().groupBy((F.col("triple") % 65536).alias("pair")).agg(F.count("*").alias("n"))
+    for pair, n in counts.where((F.floor(F.col("pair") / 256) != END) & (F.col("pair") % 256 != START)).collect():
         out[pair >> 8, pair & 255] = n
-    out[END, :] = 0  # from one text's end to the next one's start
-    out[:, START] = 0
     return out
 
 
@@ -232,22 +230,17 @@ def log_probabilities(gram: np.ndarray, count: np.ndarray, pairs: np.ndarray) ->
 
     ``gram`` is sorted and closed: all n-grams whose two nearest context bytes
     are among these are there, with their training counts (0: only asked for).
-    ``pairs`` has the counts of a byte after one byte.
+    ``pairs`` has the distinct bytes before each pair of bytes.
     """
     # per order: the distinct (context, byte) of training, their counts, and their contexts' sums
-    levels = {}
-    for k in range(ORDER, 1, -1):
-        key, n = ((gram >> np.uint64(8 * (ORDER - k) + 8)) << np.uint64(8)) | (gram & _HIGH), count
-        seen = n > 0
-        key, n = key[seen], n[seen]
-        if k < ORDER:
-            key, back = np.unique(key, return_inverse=True)
-            n = np.bincount(back, weights=n, minlength=len(key)).astype(np.int64)
-        levels[k] = (key, n)
+    levels = {ORDER: (gram[count > 0], count[count > 0])}
+    for k in range(ORDER - 1, 1, -1):
+        longer = levels[k + 1][0]
+        levels[k] = np.unique((longer >> np.uint64(16) << np.uint64(8)) | (longer & _HIGH), return_counts=True)
     flat = np.arange(1 << 16, dtype=np.uint64)
     one = pairs.reshape(-1)
     levels[1] = (flat[one > 0], one[one > 0])
-    zero = pairs.sum(axis=0)
+    zero = (pairs > 0).sum(axis=0)
     levels[0] = (np.flatnonzero(zero).astype(np.uint64), zero[zero > 0])
 
     def find(level: int, key: np.ndarray) -> np.ndarray:
@@ -288,9 +281,9 @@ def log_probabilities(gram: np.ndarray, count: np.ndarray, pairs: np.ndarray) ->
         own = find(k, key)
         hit = own > 0
         some = distinct > 0
-        out[todo[hit]] += np.log10(own[hit] / (total[hit] + distinct[hit]))
+        out[todo[hit]] += np.log10((own[hit] - 0.5) / total[hit])
         miss = ~hit & some
-        out[todo[miss]] += np.log10(distinct[miss] / (total[miss] + distinct[miss]))
+        out[todo[miss]] += np.log10(0.5 * distinct[miss] / total[miss])
         excluded_n[todo] = np.where(there, covered[where] if len(names) else 0, 0)
         excluded_d[todo] = np.where(there, kinds[where] if len(names) else 0, 0)
         todo = todo[~hit]
