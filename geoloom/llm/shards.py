@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geoloom.llm.store import ship_package
+
 MESSAGE = "bucket int, shard long, a binary, b binary, c binary, d binary"
 _MESSAGE = pa.schema([("bucket", pa.int32()), ("shard", pa.int64()), *((x, pa.binary()) for x in "abcd")])
 
@@ -36,6 +38,7 @@ class Dealt:
 
 def deal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, bucket_bytes: int = BUCKET_BYTES, also: dict[str, Column] | None = None) -> Dealt:
     """Deals texts by a hash of their ids; rows that share an id meet in one shard. ``also``: more columns that come along."""
+    ship_package(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     shards = max(24, -(-total // shard_bytes))
     texts = docs.select(

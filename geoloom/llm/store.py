@@ -2,11 +2,32 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives Python workers this package, wherever they start, once an application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = Path(__file__).resolve().parents[1]
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    path = Path(tempfile.mkdtemp(prefix="spark-geoloom-")) / f"{package.name}.zip"
+    path.write_bytes(out.getvalue())
+    spark.sparkContext.addPyFile(str(path))
+    _shipped.add(app)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; one of our own only where that is unset (tests)."""
