@@ -32,7 +32,6 @@ WINDOW = 6
 COVERAGE = 0.5
 #: Slots of the bitmap: at most this many numbers reach the driver, whatever the benchmark's size.
 SLOTS = 1 << 20
-PIECE_BYTES = 2 << 20
 #: Units of measure that questions use.
 UNITS = (
     "mm cm m km in ft yd mi mg g kg lb oz ton tons ml l s sec min h hr hrs day days week weeks month months year years "
@@ -111,24 +110,12 @@ class Templates(K.Words):
         return (raw if every else np.where(self.kind[at : at + size] > 0, raw, 0)).tolist()
 
 
-def _pieces(batch: pa.RecordBatch, most: int = PIECE_BYTES):
-    """Parts of a batch of (doc_id, body) with at most so many bytes of text, or one row."""
-    body = batch.column(1)
-    sizes = np.diff(np.frombuffer(body.buffers()[1], dtype=np.int32)[body.offset : body.offset + len(body) + 1]) if len(body) else np.zeros(0, int)
-    i = 0
-    total = np.concatenate(([0], np.cumsum(sizes.astype(np.int64))))
-    while i < len(body):
-        j = max(i + 1, int(np.searchsorted(total, total[i] + most, side="right")) - 1)
-        yield K.Texts(pa.Table.from_batches([batch.slice(i, j - i)]), with_order=False)
-        i = j
-
-
 def _windows(rows: DataFrame, sizes: list[int], bitmap: np.ndarray | None, name: str) -> DataFrame:
     """(id, place, size, window, slots) of each window; with a bitmap, of those that it may have."""
 
     def work(batches):
         for batch in batches:
-            for texts in _pieces(batch):
+            for texts in K.pieces(batch):
                 words = Templates(texts)
                 for size in sizes:
                     where, h = words.windows(size)

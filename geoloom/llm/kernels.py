@@ -15,6 +15,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 CHUNK = 1 << 18
+PIECE_BYTES = 2 << 20
 NULL_ID = -(1 << 63)
 
 
@@ -86,6 +87,18 @@ class Texts:
         return pa.array(self.id, mask=self.null)
 
 
+def pieces(batch: pa.RecordBatch, most: int = PIECE_BYTES):
+    """Parts of a batch of (doc_id, body) with at most so many bytes of text, or one row."""
+    body = batch.column("body")
+    sizes = np.diff(np.frombuffer(body.buffers()[1], dtype=np.int32)[body.offset : body.offset + len(body) + 1]) if len(body) else np.zeros(0, int)
+    i = 0
+    total = np.concatenate(([0], np.cumsum(sizes.astype(np.int64))))
+    while i < len(body):
+        j = max(i + 1, int(np.searchsorted(total, total[i] + most, side="right")) - 1)
+        yield Texts(pa.Table.from_batches([batch.slice(i, j - i)]), with_order=False)
+        i = j
+
+
 class Words:
     """Words of a shard: start, end, text number, place in the text, hash."""
 

@@ -52,10 +52,13 @@ def _stream(texts: K.Texts) -> tuple[np.ndarray, np.ndarray]:
 
 def _grams(stream: np.ndarray, place: np.ndarray) -> np.ndarray:
     """The contexts, nearest byte first, then the byte: one number each."""
-    out = np.zeros(len(place), dtype=np.uint64)
+    out = np.zeros(len(stream) - ORDER, dtype=np.uint64)
     for back in range(1, ORDER + 1):
-        out = (out << np.uint64(8)) | stream[place - back]
-    return (out << np.uint64(8)) | stream[place]
+        out <<= np.uint64(8)
+        out |= stream[ORDER - back : len(stream) - back]
+    out <<= np.uint64(8)
+    out |= stream[ORDER:]
+    return out[place - ORDER]
 
 
 def _held_out(texts: K.Texts, table: pa.Table) -> np.ndarray:
@@ -115,8 +118,9 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
 
     def words_of(texts: K.Texts) -> tuple[K.Words, np.ndarray, np.ndarray]:
         words = K.Words(texts, lower=True)
-        known, inverse = np.unique(np.append(words.hash, np.zeros(1, np.uint64)), return_inverse=True)  # 0 is the end
-        return words, known, inverse
+        h = words.hash >> np.uint64(1) << np.uint64(1)
+        known = np.unique(np.append(h, np.zeros(1, np.uint64)))  # 0 is the end
+        return words, known, np.append(np.searchsorted(known, h), 0)
 
     def word_limits(known: np.ndarray) -> np.ndarray:
         """Limits of the buckets, which are ranges of hashes here."""
@@ -130,9 +134,10 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         shard = table.column("shard")[0].as_py()
         limits = np.searchsorted(route(known), np.arange(buckets + 1))
         out = [{"bucket": b, "shard": shard, "a": K.planes(known[i:j]), "b": K.planes(count[i:j].astype(np.uint32))} for b, (i, j) in enumerate(zip(limits, limits[1:])) if j > i]
-        words, known, inverse = words_of(texts)
-        count = np.bincount(inverse[:-1], weights=~held[words.text], minlength=len(known)).astype(np.uint32)
-        count[0] = (~held).sum()
+        words = K.Words(texts, lower=True)
+        tagged = np.sort(np.append(words.hash >> np.uint64(1) << np.uint64(1) | (~held[words.text]).astype(np.uint64), (~held).astype(np.uint64)))  # 0 is the end
+        at = K.starts_of(tagged >> np.uint64(1))
+        known, count = tagged[at] >> np.uint64(1) << np.uint64(1), np.add.reduceat(tagged & np.uint64(1), at).astype(np.uint32)
         limits = word_limits(known)
         out += [{"bucket": b, "shard": shard, "c": K.planes(known[i:j]), "d": K.planes(count[i:j])} for b, (i, j) in enumerate(zip(limits, limits[1:])) if j > i]
         return S.message_table(out)
@@ -209,13 +214,13 @@ def _pair_counts(texts: DataFrame) -> np.ndarray:
     def triples(batches):
         seen = np.zeros(1 << 24, dtype=bool)
         for batch in batches:
-            t = K.Texts(pa.Table.from_batches([batch]), with_order=False)
-            n, size = len(t), np.diff(t.at)
-            out = np.full(len(t.bytes) + 3 * n, START, dtype=np.int32)
-            begin = t.at[:-1] + 3 * np.arange(n) + 2
-            out[np.arange(len(t.bytes)) + np.repeat(begin - t.at[:-1], size)] = t.bytes
-            out[begin + size] = END
-            seen[(out[:-2] << 16) | (out[1:-1] << 8) | out[2:]] = True
+            for t in K.pieces(batch):
+                n, size = len(t), np.diff(t.at)
+                out = np.full(len(t.bytes) + 3 * n, START, dtype=np.int32)
+                begin = t.at[:-1] + 3 * np.arange(n) + 2
+                out[np.arange(len(t.bytes)) + np.repeat(begin - t.at[:-1], size)] = t.bytes
+                out[begin + size] = END
+                seen[(out[:-2] << 16) | (out[1:-1] << 8) | out[2:]] = True
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen))], names=["triple"])
 
     out = np.zeros((256, 256), dtype=np.int64)
