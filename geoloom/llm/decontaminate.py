@@ -59,14 +59,6 @@ _NUMERIC = _DIGIT.copy()
 _NUMERIC[[*b".,/-+%$"]] = True
 
 
-def _fold_latin1(b: np.ndarray) -> np.ndarray:
-    """UTF-8 bytes with the capitals of Latin-1 in lower case; ASCII is folded by the hash."""
-    out = b.copy()
-    capital = (b[:-1] == 0xC3) & (b[1:] >= 0x80) & (b[1:] <= 0x9E) & (b[1:] != 0x97)
-    out[1:][capital] += 0x20
-    return out
-
-
 class Templates(K.Words):
     """Words of some texts with their template hashes, raw hashes and placeholder kinds (0: literal)."""
 
@@ -77,7 +69,7 @@ class Templates(K.Words):
         for _ in range(3):  # outer punctuation, three deep
             start += (end - start > 1) & _EDGE[b[start]]
             end -= (end - start > 1) & _EDGE[b[end - 1]]
-        raw = K.slices_hash(_fold_latin1(b), start, end, K.BYTE_LOWER) if len(start) else self.hash
+        raw = K.slices_hash(K.fold_latin1(b), start, end, K.BYTE_LOWER) if len(start) else self.hash
         digits = np.concatenate(([0], np.cumsum(_DIGIT[b], dtype=np.int32)))
         numeric = np.concatenate(([0], np.cumsum(_NUMERIC[b], dtype=np.int32)))
         number = (digits[end] > digits[start]) & (numeric[end] - numeric[start] == end - start)

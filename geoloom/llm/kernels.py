@@ -99,12 +99,20 @@ def pieces(batch: pa.RecordBatch, most: int = PIECE_BYTES):
         i = j
 
 
+def fold_latin1(b: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with the capitals of Latin-1 in lower case; ASCII is folded by the hash."""
+    out = b.copy()
+    capital = (b[:-1] == 0xC3) & (b[1:] >= 0x80) & (b[1:] <= 0x9E) & (b[1:] != 0x97)
+    out[1:][capital] += 0x20
+    return out
+
+
 class Words:
     """Words of a shard: start, end, text number, place in the text, hash."""
 
-    def __init__(self, texts: Texts, lower: bool):
+    def __init__(self, texts: Texts, lower: bool, between: np.ndarray = SEPARATOR):
         b, at = texts.bytes, texts.at
-        word = ~SEPARATOR[b]
+        word = ~between[b]
         before = np.zeros(len(b), dtype=bool)
         before[1:] = word[:-1]
         inner = at[:-1][at[:-1] < len(b)]
