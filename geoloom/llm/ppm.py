@@ -30,11 +30,13 @@ from pyspark.sql import functions as F
 
 from geoloom.llm import kernels as K
 from geoloom.llm import shards as S
+from geoloom.llm.store import written
 
 ORDER = 5
 #: Bytes that UTF-8 never has: before a text, and its end.
 START, END = 0xFE, 0xFF
 _HIGH = np.uint64(0xFF)
+_ROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("log_counts", pa.float64()), ("score", pa.float64()), ("total", pa.bool_())])
 
 
 def _stream(texts: K.Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -68,9 +70,14 @@ def _held_out(texts: K.Texts, table: pa.Table) -> np.ndarray:
 
 
 def _parts(texts: K.Texts) -> list[tuple[int, int]]:
-    """Ranges of texts whose numbers fit beside an n-gram into 64 bits."""
-    most = 1 << (64 - 8 * (ORDER + 1))
-    return [(i, min(i + most, len(texts))) for i in range(0, len(texts), most)]
+    """Ranges of texts of bounded size, whose numbers fit beside an n-gram into 64 bits."""
+    out, i = [], 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(texts.at, texts.at[i] + K.PIECE_BYTES, side="right")) - 1)
+        j = min(j, i + (1 << (64 - 8 * (ORDER + 1))))
+        out.append((i, j))
+        i = j
+    return out
 
 
 class _Part:
@@ -83,8 +90,9 @@ class _Part:
         text = np.repeat(np.arange(hi - lo, dtype=np.uint64), np.diff(some.at) + 1)
         shift = np.uint64(64 - 8 * (ORDER + 1))
         both = np.sort((_grams(stream, place) << shift) | text)
-        self.text = (both & ((np.uint64(1) << shift) - np.uint64(1))).astype(np.int64)
+        self.text = (both & ((np.uint64(1) << shift) - np.uint64(1))).astype(np.int32)
         gram = both >> shift
+        del both
         self.at = K.starts_of(gram)
         self.gram = gram[self.at]
         self.size = np.diff(np.append(self.at, len(gram)))
@@ -162,6 +170,10 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         return S.message_table(out)
 
     def add_up(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not table.num_rows:  # the group of the buckets' totals
+            both = np.sum([np.frombuffer(r["d"], np.int64) for r in S.rows_of(answers)], axis=0)
+            row = {"doc_id": None, "held_out": None, "n_tokens": int(both[0]), "n_known": int(both[1]), "log_counts": None, "score": None, "total": True}
+            return pa.Table.from_pylist([row], schema=_ROW)
         texts = K.Texts(table)
         held = _held_out(texts, table)
         ranges = _parts(texts)
@@ -188,26 +200,20 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
             "n_known": pa.array(np.bincount(words.text, weights=of_word > 0, minlength=len(texts)).astype(np.int64) + int(end > 0)),
             "log_counts": pa.array(log_counts),
             "score": pa.array(total),
+            "total": pa.array(np.zeros(len(texts), dtype=bool)),
         })
 
     answers = S.at_buckets(S.from_shards(dealt, send), answer)
-    totals = answers.where("shard = -1").select("d").mapInArrow(_unpack_totals, "tokens long, kinds long").agg(F.struct(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("kinds")).alias("t")).scalar()
-    rows = S.with_answers(dealt, answers.where("shard >= 0"), add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, log_counts double, score double")
-    share = F.log10((totals.getField("tokens") + totals.getField("kinds") + 1).cast("double"))
-    return rows.select(
+    rows = written(S.with_answers(dealt, answers, add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, log_counts double, score double, total boolean"))
+    n, kinds = rows.where("total").agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_known"), F.lit(0))).first()
+    return rows.where("not total").select(
         "doc_id", "held_out", "n_tokens", "n_known",
-        totals.getField("tokens").alias("train_tokens"),
-        (F.col("log_counts") - F.col("n_tokens") * share).alias("base_score"),
+        F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("log_counts") - F.col("n_tokens") * F.log10(F.lit(float(n + kinds + 1)))).alias("base_score"),
         "score",
     )
 
 
-def _unpack_totals(batches):
-    for batch in batches:
-        both = np.array([np.frombuffer(x, np.int64) for x in batch.column(0).to_pylist()], dtype=np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["tokens", "kinds"])
-
-
 def _pair_counts(texts: DataFrame) -> np.ndarray:
     """For each byte after each byte, the distinct bytes before both in training: 256 * 256 numbers at most."""
 
