@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm import decontaminate, exact_dedup, jaccard_join, mixing, ppm, substring_dedup, suffix_dedup, toxicity
+from geoloom.llm import chat_format, decontaminate, exact_dedup, jaccard_join, license_scan, mixing, ppm, substring_dedup, suffix_dedup, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,15 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_documents(spark, sf_dir))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_documents(spark, sf_dir))
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = chat_format.conversations_as_calls(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return chat_format.link_tool_calls(calls, results, chat_format.CONVERSATION_TOOLS)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -50,7 +59,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir)).drop("hash")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_benchmark_decontamination, op3_exact_dedup, op6_toxicity, op7_ngram_jaccard_join, op8_lm_scoring, op9_substring_dedup, op10_source_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_benchmark_decontamination, op3_exact_dedup, op4_license_scan, op5_chat_formatting, op6_toxicity, op7_ngram_jaccard_join, op8_lm_scoring, op9_substring_dedup, op10_source_mixing)}
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": """
         WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
@@ -58,4 +67,15 @@ ORACLE_SQL: dict[str, str] = {
           doc_id = max(doc_id) OVER (PARTITION BY text_sha256) AS kept, text_sha256
         FROM t
     """,
+    "op5_chat_formatting": """
+        WITH asked AS (SELECT conv_id, turn, text, min(turn) OVER (PARTITION BY conv_id) AS first FROM conversations WHERE role = 'user'),
+        answers AS (SELECT conv_id, turn - 1 AS asked_turn, turn AS answer_turn, text AS content FROM conversations WHERE role = 'assistant')
+        SELECT conv_id, conv_id || ':' || coalesce(turn, asked_turn) AS call_id, CAST(CASE WHEN turn IS NULL THEN NULL WHEN turn > first THEN 1 ELSE 0 END AS INTEGER) AS level, turn, answer_turn,
+          CASE WHEN turn IS NOT NULL THEN 'reply' END AS name, answer_turn IS NOT NULL AS linked,
+          CASE WHEN turn IS NULL THEN 'orphan' WHEN answer_turn IS NULL THEN 'unanswered' END AS problem,
+          CASE WHEN turn IS NOT NULL THEN '{"arguments":{"after":"' || CASE WHEN turn > first THEN '$' || conv_id || ':' || first ELSE '' END || '","prompt":' || CAST(to_json(text) AS VARCHAR)
+            || ',"words":' || len(regexp_extract_all(text, '\S+')) || '},"id":"' || conv_id || ':' || turn || '","name":"reply","role":"call"}' END AS call_json,
+          CASE WHEN answer_turn IS NOT NULL THEN '{"content":' || CAST(to_json(content) AS VARCHAR) || ',"id":"' || conv_id || ':' || asked_turn || '","role":"result"}' END AS result_json
+        FROM (SELECT coalesce(q.conv_id, a.conv_id) AS conv_id, q.turn, q.text, q.first, a.asked_turn, a.answer_turn, a.content FROM asked q FULL JOIN answers a ON q.conv_id = a.conv_id AND q.turn = a.asked_turn) j
+    """,
 }
