@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from geoloom.plans import raster
+from geoloom.sources.tables import with_tables
+
 FLAGSHIP = "agg02_grid_stats"
+FAMILIES = (raster,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for family in FAMILIES for name, f in family.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: with_tables(sql) for family in FAMILIES for name, sql in family.SQL.items()}
