@@ -74,7 +74,7 @@ ORACLE_SQL: dict[str, str] = {
           CASE WHEN turn IS NOT NULL THEN 'reply' END AS name, answer_turn IS NOT NULL AS linked,
           CASE WHEN turn IS NULL THEN 'orphan' WHEN answer_turn IS NULL THEN 'unanswered' END AS problem,
           CASE WHEN turn IS NOT NULL THEN '{"arguments":{"after":"' || CASE WHEN turn > first THEN '$' || conv_id || ':' || first ELSE '' END || '","prompt":' || CAST(to_json(text) AS VARCHAR)
-            || ',"words":' || len(regexp_extract_all(text, '\S+')) || '},"id":"' || conv_id || ':' || turn || '","name":"reply","role":"call"}' END AS call_json,
+            || ',"words":' || len(regexp_extract_all(text, '\\S+')) || '},"id":"' || conv_id || ':' || turn || '","name":"reply","role":"call"}' END AS call_json,
           CASE WHEN answer_turn IS NOT NULL THEN '{"content":' || CAST(to_json(content) AS VARCHAR) || ',"id":"' || conv_id || ':' || asked_turn || '","role":"result"}' END AS result_json
         FROM (SELECT coalesce(q.conv_id, a.conv_id) AS conv_id, q.turn, q.text, q.first, a.asked_turn, a.answer_turn, a.content FROM asked q FULL JOIN answers a ON q.conv_id = a.conv_id AND q.turn = a.asked_turn) j
     """,

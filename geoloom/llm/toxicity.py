@@ -238,13 +238,16 @@ def score(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str =
                     found, cosine = index.near(feature, weight, neighbours)
                     votes[t] = index.vote(found, cosine)
                     evidence[t] = index.ids[found[:3]].tolist()
-                rest = batch.slice(done, n).drop_columns(["body"])
+                rest = batch.slice(done, n).select(names)
                 done += n
-                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(index.score(votes)), pa.array(evidence, pa.list_(pa.int64()))], names=[*rest.schema.names, "tox_score", "tox_evidence"])
+                more = [pa.array(evidence, pa.list_(pa.int64()))] if with_evidence else []
+                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(index.score(votes)), *more], names=[*names, "tox_score", *keep_evidence])
 
+    # a text that is kept travels once, under the name by which it is read
     keep_evidence = ["tox_evidence"] * with_evidence
-    body = F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body")
-    asked = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col(id_col).cast("long").alias("doc_id"), body)
-    kept = ", ".join(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    out = asked.mapInArrow(work, f"{kept}, doc_id long, tox_score double, tox_evidence array<long>")
-    return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "tox_score", *keep_evidence)
+    names = ["body" if c == text_col else f"k{i}" for i, c in enumerate(keep)]
+    body = [] if "body" in names else [F.coalesce(F.col(text_col), F.lit("")).alias("body")]
+    asked = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names)), F.col(id_col).cast("long").alias("doc_id"), *body)
+    kept = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(keep, names))
+    out = asked.mapInArrow(work, f"{kept}, tox_score double" + ", tox_evidence array<long>" * with_evidence)
+    return out.select(*(F.col(n).alias(c) for c, n in zip(keep, names)), "tox_score", *keep_evidence)
