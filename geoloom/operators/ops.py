@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoloom.functions.times import seconds
+
 # Fixed values of the duration calibration.
 CALIBRATION_JOBS, CALIBRATION_LEAST, CALIBRATION_QUANTILE, CALIBRATION_CLAMP = 200, 20, 0.7, (0.5, 3.0)
 
@@ -30,7 +32,7 @@ def usage(jobs: DataFrame, since: Column) -> DataFrame:
 
 def tag_windows(jobs: DataFrame, now: Column, tag: str, n: int) -> DataFrame:
     """Top tags by jobs of 24 hours, 30 days and in all, with distinct networks."""
-    age = now.cast("long") - F.col("created_at").cast("long")
+    age = seconds(now) - seconds("created_at")
     return jobs.groupBy(tag).agg(
         F.sum((age <= 86400).cast("long")).alias("day"), F.sum((age <= 30 * 86400).cast("long")).alias("month"), F.count("*").alias("every"), F.countDistinct("ip_net_tag").alias("nets"),
     ).orderBy(F.desc("every"), tag).limit(n)
@@ -82,9 +84,9 @@ def completeness(areas: DataFrame, references: DataFrame, unit: str, least: int
 
 def as_of(left: DataFrame, right: DataFrame, key: list[str], ts: str, order: str, values: list[str]) -> DataFrame:
     """For each left row the last right row of its key before it: one union and one window, no range join."""
-    l = left.select("*", F.lit(1).alias("__side"), *(F.lit(None).cast(right.schema[v].dataType).alias(f"__{v}") for v in values))  # noqa: E741
-    r = right.select(*key, ts, order, F.lit(0).alias("__side"), *(F.col(v).alias(f"__{v}") for v in values))
+    l = left.select("*", F.lit(0).alias("__side"), *(F.lit(None).cast(right.schema[v].dataType).alias(f"__{v}") for v in values))  # noqa: E741
+    r = right.select(*key, ts, order, F.lit(1).alias("__side"), *(F.col(v).alias(f"__{v}") for v in values))
     w = Window.partitionBy(*key).orderBy(ts, order, "__side").rowsBetween(Window.unboundedPreceding, -1)
     every = l.unionByName(r, allowMissingColumns=True)
-    at = F.when(F.col("__side") == 0, F.struct(*(F.col(f"__{v}").alias(v) for v in values)))
-    return every.withColumn("__last", F.last(at, True).over(w)).where("__side = 1").select(*left.columns, *(F.col(f"__last.{v}").alias(f"last_{v}") for v in values))
+    at = F.when(F.col("__side") == 1, F.struct(*(F.col(f"__{v}").alias(v) for v in values)))
+    return every.withColumn("__last", F.last(at, True).over(w)).where("__side = 0").select(*left.columns, *(F.col(f"__last.{v}").alias(f"last_{v}") for v in values))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoloom.functions import times
+
 
 def segments(vertices: DataFrame, line: str = "line_id", pos: str = "pos") -> DataFrame:
     """Consecutive vertices as segments with their length and the measure at their start."""
@@ -74,7 +76,7 @@ def latest(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
 
 def rolling_count(df: DataFrame, key: list[str], ts: str, seconds: int) -> DataFrame:
     """Earlier rows of the key in the time before each row (its own second excluded)."""
-    w = Window.partitionBy(*key).orderBy(F.col(ts).cast("long")).rangeBetween(-seconds, -1)
+    w = Window.partitionBy(*key).orderBy(times.seconds(ts)).rangeBetween(-seconds, -1)
     return df.withColumn("earlier", F.count("*").over(w))
 
 

@@ -151,7 +151,7 @@ def ras12_open_ratio(spark, d):
 
 
 def ras17_young_stand(spark, d):
-    m = focal.box_mean(_dense(spark, d).withColumn("v", F.col("chm")), 1).withColumn("y", F.coalesce((F.col("mean") >= 1) & (F.col("mean") <= 12), F.lit(False)))
+    m = focal.box_mean(_dense(spark, d).withColumn("v", F.col("chm")), 1).withColumn("y", F.coalesce((F.col("mean") >= 1) & (F.col("mean") <= 18), F.lit(False)))
     return focal.opened(m, 1, "y", "green").where("green").select("rr", "cc")
 
 
@@ -263,8 +263,8 @@ SQL = {
     "ras09_slope": f"WITH {_GRAD} SELECT rr, cc, round(gx, 5) AS gx, round(gy, 5) AS gy, round(degrees(atan(sqrt(gx*gx+gy*gy))), 3) AS slope FROM g",
     "ras10_hillshade": f"WITH {_GRAD} SELECT rr, cc, CASE WHEN gx IS NULL OR gy IS NULL THEN 0.0 ELSE round(255 * greatest(0, sin(radians(45)) * cos(atan(sqrt(gx*gx+gy*gy))) + cos(radians(45)) * sin(atan(sqrt(gx*gx+gy*gy))) * cos(radians(135) - atan2(gy, -gx))), 2) END AS shade FROM g",
     "ras12_open_ratio": "WITH k AS (SELECT CAST(floor(y/4) AS BIGINT) AS rr, CAST(floor(x/4) AS BIGINT) AS cc, sum(CASE WHEN hag < 5 THEN 1 ELSE 0 END) AS low, count(*) AS n FROM fx_points GROUP BY 1, 2), g AS (SELECT rr, cc FROM fx_dense) SELECT g.rr, g.cc, sum(low) AS low, sum(n) AS n, sum(low) > sum(n) * 0.2 AS open FROM g JOIN k ON k.rr BETWEEN g.rr AND g.rr + 1 AND k.cc BETWEEN g.cc AND g.cc + 1 GROUP BY 1, 2",
-    "ras17_young_stand": f"WITH m AS (SELECT c.rr, c.cc, CASE WHEN avg(n.chm) BETWEEN 1 AND 12 THEN 1 ELSE 0 END AS v {_NEAR.format(k=1)} GROUP BY 1, 2), " + _morph("min", "m", "e") + ", " + _morph("max", "e", "o") + " SELECT rr, cc FROM o WHERE v = 1",
-    "ras28_boulders": "WITH k AS (SELECT c.rr, c.cc, c.dem - greatest(a.dem, b.dem) AS r1, c.dem - greatest(e.dem, f.dem) AS r2, c.dem - greatest(g.dem, h.dem) AS r3, c.dem - greatest(i.dem, j.dem) AS r4 FROM fx_cells c JOIN fx_cells a ON a.rr=c.rr AND a.cc=c.cc+2 JOIN fx_cells b ON b.rr=c.rr AND b.cc=c.cc-2 JOIN fx_cells e ON e.rr=c.rr+2 AND e.cc=c.cc JOIN fx_cells f ON f.rr=c.rr-2 AND f.cc=c.cc JOIN fx_cells g ON g.rr=c.rr+2 AND g.cc=c.cc+2 JOIN fx_cells h ON h.rr=c.rr-2 AND h.cc=c.cc-2 JOIN fx_cells i ON i.rr=c.rr+2 AND i.cc=c.cc-2 JOIN fx_cells j ON j.rr=c.rr-2 AND j.cc=c.cc+2) SELECT rr, cc, round(least(r1, r2, r3, r4), 4) AS rise FROM k WHERE least(r1, r2, r3, r4) >= 1.2",
+    "ras17_young_stand": f"WITH m AS (SELECT c.rr, c.cc, CASE WHEN avg(n.chm) BETWEEN 1 AND 18 THEN 1 ELSE 0 END AS v {_NEAR.format(k=1)} GROUP BY 1, 2), " + _morph("min", "m", "e") + ", " + _morph("max", "e", "o") + " SELECT rr, cc FROM o WHERE v = 1",
+    "ras28_boulders": "WITH k AS (SELECT c.rr, c.cc, any_value(c.dem) AS dem, " + ", ".join(f"max(CASE WHEN n.rr - c.rr = {y} AND n.cc - c.cc = {x} THEN n.dem END) AS o{i}" for i, (y, x) in enumerate(((0, 2), (0, -2), (2, 0), (-2, 0), (2, 2), (-2, -2), (2, -2), (-2, 2)))) + f" {_NEAR.format(k=2)} WHERE c.valid GROUP BY 1, 2), r AS (SELECT rr, cc, least(dem - greatest(o0, o1), dem - greatest(o2, o3), dem - greatest(o4, o5), dem - greatest(o6, o7)) AS rise FROM k WHERE o0 + o1 + o2 + o3 + o4 + o5 + o6 + o7 IS NOT NULL) SELECT rr, cc, round(rise, 4) AS rise FROM r WHERE rise >= 1.2",
     "ras26_step_cells": f"WITH pos AS (SELECT rr, cc FROM (SELECT r.range - 5 AS rr, k.range - 5 AS cc FROM range(0, 110) r, range(0, 110) k)), u AS ({_AXIS}) SELECT rr, cc, round(max(dr), 4) AS drop, count(*) AS axes FROM u WHERE dr >= 20 GROUP BY 1, 2",
     "ras29_crown_peaks": f"SELECT c.rr, c.cc, c.dsm {_NEAR.format(k=2)} GROUP BY c.rr, c.cc, c.dsm, c.dem HAVING c.dsm = max(n.dsm) AND c.dsm - c.dem >= 5",
     "ras33_regrid_bilinear": "WITH t AS (SELECT r.range AS tr, k.range AS tc, (r.range + 0.5::DOUBLE) * (100/60.0::DOUBLE) - 0.5 AS fy, (k.range + 0.5::DOUBLE) * (100/60.0::DOUBLE) - 0.5 AS fx FROM range(0, 60) r, range(0, 60) k) SELECT tr, tc, round(sum((1 - abs(c.rr - fy)) * (1 - abs(c.cc - fx)) * dem) / sum((1 - abs(c.rr - fy)) * (1 - abs(c.cc - fx))), 4) AS dem FROM t JOIN fx_cells c ON c.rr BETWEEN floor(fy) AND floor(fy) + 1 AND c.cc BETWEEN floor(fx) AND floor(fx) + 1 GROUP BY 1, 2",
