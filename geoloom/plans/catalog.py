@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoloom.plans import operations, raster, rules, spatial
+from geoloom.plans import areas, operations, raster, rules, spatial
 from geoloom.sources.tables import with_tables
 
 FLAGSHIP = "agg02_grid_stats"
-FAMILIES = (raster, rules, spatial, operations)
+FAMILIES = (raster, rules, spatial, operations, areas)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

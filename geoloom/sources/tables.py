@@ -140,4 +140,7 @@ def with_tables(sql: str) -> str:
     if not head:
         return sql
     body = sql.lstrip()
-    return f"WITH {head}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {head} {body}"
+    for word in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(word):
+            return f"{word}{head}, {body[len(word):]}"
+    return f"WITH {head} {body}"
