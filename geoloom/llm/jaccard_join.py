@@ -171,7 +171,10 @@ def _cluster_links(sets: DataFrame, percent: int, block_shingles: int) -> DataFr
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, **sizes) -> DataFrame:
-    """``docs`` with one document of each component: the one of the smallest id (all rows of that id; texts without shingles stay)."""
+    """``docs`` with one document of each component: the one of the smallest id .
+
+    All rows of that id stay, as do texts without shingles and rows with a null id, which cannot be told apart.
+    """
     found = jaccard_components(docs, id_col, text_col, words, percent, **sizes)
-    gone = found.where((F.col("n_shingles") > 0) & F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]), "left_anti")
+    gone = found.where((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(gone, docs[id_col] == gone["__id"], "left_anti")

@@ -3,8 +3,8 @@
 Each source's documents are dealt by hash into blocks, whose order is a hash
 permutation. A target of r times the source takes every block floor(r) times
 and then whole blocks in permuted order; in the one block where the target
-falls, documents follow in hash order as long as they fit. So a source comes
-within about its smallest document of its target.
+falls, documents follow in hash order, and the last one gives its first words
+only. So a source meets its target to the word.
 
 Block copies are the quota that a splitting tree deals out: a node's shards are
 halved, and each half's share of every source is a multivariate hypergeometric
@@ -83,26 +83,14 @@ def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: in
     blocks = written(blocks.withColumn("state", F.when(F.col("reach") <= F.col("rest"), "whole").when(F.col("reach") - F.col("block_size") < F.col("rest"), "cut").otherwise("out")))
     b = blocks.select(F.col("source").alias("b_source"), F.col("block").alias("b_block"), "place", "state", (F.col("rest") - (F.col("reach") - F.col("block_size"))).alias("room"))
     dealt = dealt.join(b, dealt["source"].eqNullSafe(b["b_source"]) & (dealt["block"] == b["b_block"])).drop("b_source", "b_block")
-    # one block a source at most is cut: its documents, in hash order, each taken if it still fits
-    fit = dealt.where("state = 'cut'").groupBy("source", "room").agg(F.array_sort(F.collect_list(F.struct("hash", "doc_id", "size"))).alias("items"))
-    start = F.struct(F.col("room").alias("room"), F.array().cast("array<struct<hash:bigint,doc_id:bigint,nth:int>>").alias("out"), F.lit(0).alias("nth"), F.lit(None).cast("bigint").alias("last"))
-
-    def step(acc, x):
-        nth = F.when(acc["last"].eqNullSafe(x["hash"]), acc["nth"] + 1).otherwise(1)
-        taken = x["size"] <= acc["room"]
-        return F.struct(
-            F.when(taken, acc["room"] - x["size"]).otherwise(acc["room"]).alias("room"),
-            F.when(taken, F.concat(acc["out"], F.array(F.struct(x["hash"].alias("hash"), x["doc_id"].cast("bigint").alias("doc_id"), nth.alias("nth"))))).otherwise(acc["out"]).alias("out"),
-            nth.alias("nth"),
-            x["hash"].alias("last"),
-        )
-
-    chosen = fit.select("source", F.explode(F.aggregate("items", start, step)["out"]).alias("c")).select(F.col("source").alias("c_source"), F.col("c.hash").alias("c_hash"), F.col("c.nth").alias("c_nth"))
-    cut = dealt.where("state = 'cut'").withColumn("nth", F.row_number().over(Window.partitionBy("source", "hash").orderBy("size", "doc_id")))
-    cut = cut.join(chosen, cut["source"].eqNullSafe(chosen["c_source"]) & (cut["hash"] == chosen["c_hash"]) & (cut["nth"] == chosen["c_nth"]), "left")
-    columns = ["doc_id", "source", "size", "hash", "source_size", "target", "blocks", "rounds", "block", "place", "state"]
-    whole = dealt.where("state <> 'cut'").select(*columns, (F.col("rounds") + (F.col("state") == "whole").cast("int")).alias("copies"))
-    return whole.unionByName(cut.select(*columns, (F.col("rounds") + F.col("c_hash").isNotNull().cast("int")).alias("copies")))
+    # one block a source at most is cut: its documents follow in hash order, the last of them in part
+    order = Window.partitionBy("source").orderBy("hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("size").over(order), F.lit(0))
+    cut = dealt.where("state = 'cut'").withColumn("part", F.greatest(F.lit(0), F.least("size", F.col("room") - before)))
+    rest = dealt.where("state <> 'cut'").withColumn("part", F.when(F.col("state") == "whole", F.col("size")).otherwise(0))
+    columns = ["doc_id", "source", "size", "hash", "source_size", "target", "blocks", "rounds", "block", "place", "state", F.col("part").cast("long").alias("part")]
+    every = rest.select(*columns).unionByName(cut.select(*columns))
+    return every.withColumn("copies", (F.col("rounds") + ((F.col("part") > 0) | (F.col("state") == "whole")).cast("int")))
 
 
 def split_tree(quotas: DataFrame, shards: int, seed: int = 0) -> DataFrame:
@@ -143,7 +131,7 @@ def split_tree(quotas: DataFrame, shards: int, seed: int = 0) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = 16, seed: int = 7) -> DataFrame:
-    """One row per document: size, source_size, target, taken, and ``shards``, the output shard of each copy."""
+    """One row per document: size, source_size, target, taken, copies (the last may be a part), and ``shards``, the output shard of each copy."""
     plan = written(_plan(docs, id_col, text_col, source_col, seed))
     # items: each block once a round, then the blocks of the last, partial round
     last = plan.where("state <> 'out'").groupBy("source").agg(F.max("place").alias("last"))
@@ -155,11 +143,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     item = lambda k: (F.col("place") - 1 + k * F.col("blocks")).cast("long")
     owner = lambda k: F.element_at(F.filter("starts", lambda s: s["start"] <= item(k)), -1)["shard"]
     of_copy = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), owner)).otherwise(F.array().cast("array<int>"))
-    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", of_copy.alias("shards"), "hash")
+    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("rounds") + F.col("part")).alias("taken"), "copies", of_copy.alias("shards"), "hash")
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = 16, seed: int = 7) -> DataFrame:
-    """The mix itself: ``docs``' rows, once a copy, with ``mix_shard`` and ``mix_order``, the place by which the shard is shuffled."""
-    drawn = mix(docs, id_col, text_col, source_col, shards, seed).where("copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.first("shards").alias("__shards"))
+    """The mix itself: ``docs``' rows, once a copy, with ``mix_shard``, ``mix_words``, the number of first words that the copy gives, and ``mix_order``, the place by which the shard is shuffled.
+
+    Rows that share an id are drawn alike.
+    """
+    drawn = mix(docs, id_col, text_col, source_col, shards, seed).where("copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.struct("taken", "size", "shards")).alias("__m"))
     joined = docs.join(drawn, docs[id_col].eqNullSafe(drawn["__id"])).drop("__id")
-    return joined.select("*", F.posexplode("__shards").alias("__copy", "mix_shard")).withColumn("mix_order", F.xxhash64(F.lit(seed), F.col(id_col), "__copy", "mix_shard")).drop("__shards", "__copy")
+    copies = joined.select("*", F.posexplode("__m.shards").alias("__copy", "mix_shard"))
+    words = F.least(F.col("__m.size"), F.col("__m.taken") - F.col("__copy") * F.col("__m.size"))
+    return copies.withColumn("mix_words", words).withColumn("mix_order", F.xxhash64(F.lit(seed), F.col(id_col), "__copy", "mix_shard")).drop("__m", "__copy")
