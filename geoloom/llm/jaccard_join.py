@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from geoloom.llm import kernels as K
 from geoloom.llm import shards as S
-from geoloom.llm.components import components
 from geoloom.llm.set_trie import spanning_links
 from geoloom.llm.store import written
+from geoloom.operators.graph import components
 
 KEY_BITS = 30
 #: Shingles in one block of a cluster.

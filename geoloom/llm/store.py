@@ -1,14 +1,17 @@
-"""Where intermediate tables live: the shared folder that the cluster names."""
+"""The package for Python workers, and tables in the shared folder."""
 
 from __future__ import annotations
 
 import io
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from geoloom.sources.store import shared_dir, written
+
+__all__ = ["shared_dir", "ship_package", "written"]
 
 _shipped: set[str] = set()
 
@@ -27,20 +30,3 @@ def ship_package(spark: SparkSession) -> None:
     path.write_bytes(out.getvalue())
     spark.sparkContext.addPyFile(str(path))
     _shipped.add(app)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where that is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spark-geoloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder, which cuts lineage and survives a lost executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/geoloom-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
