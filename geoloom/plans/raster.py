@@ -189,7 +189,7 @@ def ras33_regrid_bilinear(spark, d):
     target = grid.grid_dimension(spark, 60, 60).select(F.col("rr").alias("tr"), F.col("cc").alias("tc"), ((F.col("rr") + 0.5) * (SIDE / 60.0) - 0.5).alias("fy"), ((F.col("cc") + 0.5) * (SIDE / 60.0) - 0.5).alias("fx"))
     corner = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)))).alias("k")
     four = target.select("tr", "tc", "fy", "fx", corner).select("tr", "tc", (F.floor("fy") + F.col("k.a")).alias("rr"), (F.floor("fx") + F.col("k.b")).alias("cc"), (F.when(F.col("k.a") == 1, F.col("fy") - F.floor("fy")).otherwise(1 - (F.col("fy") - F.floor("fy"))) * F.when(F.col("k.b") == 1, F.col("fx") - F.floor("fx")).otherwise(1 - (F.col("fx") - F.floor("fx")))).alias("w"))
-    return four.join(dem, ["rr", "cc"]).groupBy("tr", "tc").agg(F.round(F.sum(F.col("w") * F.col("dem")) / F.sum("w"), 4).alias("dem"))
+    return four.join(dem, ["rr", "cc"]).groupBy("tr", "tc").agg(F.round(F.sum(F.col("w") * F.col("dem")) / F.nullif(F.sum("w"), F.lit(0.0)), 4).alias("dem"))
 
 
 def ras34_fill_nodata(spark, d):
@@ -267,7 +267,7 @@ SQL = {
     "ras28_boulders": "WITH k AS (SELECT c.rr, c.cc, any_value(c.dem) AS dem, " + ", ".join(f"max(CASE WHEN n.rr - c.rr = {y} AND n.cc - c.cc = {x} THEN n.dem END) AS o{i}" for i, (y, x) in enumerate(((0, 2), (0, -2), (2, 0), (-2, 0), (2, 2), (-2, -2), (2, -2), (-2, 2)))) + f" {_NEAR.format(k=2)} WHERE c.valid GROUP BY 1, 2), r AS (SELECT rr, cc, least(dem - greatest(o0, o1), dem - greatest(o2, o3), dem - greatest(o4, o5), dem - greatest(o6, o7)) AS rise FROM k WHERE o0 + o1 + o2 + o3 + o4 + o5 + o6 + o7 IS NOT NULL) SELECT rr, cc, round(rise, 4) AS rise FROM r WHERE rise >= 1.2",
     "ras26_step_cells": f"WITH pos AS (SELECT rr, cc FROM (SELECT r.range - 5 AS rr, k.range - 5 AS cc FROM range(0, 110) r, range(0, 110) k)), u AS ({_AXIS}) SELECT rr, cc, round(max(dr), 4) AS drop, count(*) AS axes FROM u WHERE dr >= 20 GROUP BY 1, 2",
     "ras29_crown_peaks": f"SELECT c.rr, c.cc, c.dsm {_NEAR.format(k=2)} GROUP BY c.rr, c.cc, c.dsm, c.dem HAVING c.dsm = max(n.dsm) AND c.dsm - c.dem >= 5",
-    "ras33_regrid_bilinear": "WITH t AS (SELECT r.range AS tr, k.range AS tc, (r.range + 0.5::DOUBLE) * (100/60.0::DOUBLE) - 0.5 AS fy, (k.range + 0.5::DOUBLE) * (100/60.0::DOUBLE) - 0.5 AS fx FROM range(0, 60) r, range(0, 60) k) SELECT tr, tc, round(sum((1 - abs(c.rr - fy)) * (1 - abs(c.cc - fx)) * dem) / sum((1 - abs(c.rr - fy)) * (1 - abs(c.cc - fx))), 4) AS dem FROM t JOIN fx_cells c ON c.rr BETWEEN floor(fy) AND floor(fy) + 1 AND c.cc BETWEEN floor(fx) AND floor(fx) + 1 GROUP BY 1, 2",
+    "ras33_regrid_bilinear": "WITH t AS (SELECT r.range AS tr, k.range AS tc, (r.range + 0.5::DOUBLE) * (100/60.0::DOUBLE) - 0.5 AS fy, (k.range + 0.5::DOUBLE) * (100/60.0::DOUBLE) - 0.5 AS fx FROM range(0, 60) r, range(0, 60) k) SELECT tr, tc, round(sum((1 - abs(c.rr - fy)) * (1 - abs(c.cc - fx)) * dem) / nullif(sum((1 - abs(c.rr - fy)) * (1 - abs(c.cc - fx))), 0), 4) AS dem FROM t JOIN fx_cells c ON c.rr BETWEEN floor(fy) AND floor(fy) + 1 AND c.cc BETWEEN floor(fx) AND floor(fx) + 1 GROUP BY 1, 2",
     "ras34_fill_nodata": "SELECT c.rr, c.cc, round(sum(n.dem / ((n.rr-c.rr)*(n.rr-c.rr)+(n.cc-c.cc)*(n.cc-c.cc))) / sum(1.0::DOUBLE / ((n.rr-c.rr)*(n.rr-c.rr)+(n.cc-c.cc)*(n.cc-c.cc))), 4) AS dem FROM fx_dense c JOIN fx_dense n ON n.valid AND NOT c.valid AND (n.rr-c.rr)*(n.rr-c.rr)+(n.cc-c.cc)*(n.cc-c.cc) BETWEEN 1 AND 4 GROUP BY 1, 2",
     "ras45_shift_search": "SELECT b.rr + 1 - a.rr AS dy, b.cc - a.cc AS dx, count(*) AS common FROM fx_cells a JOIN fx_cells b ON a.chm >= 20 AND b.dsm >= 520 AND b.rr + 1 - a.rr BETWEEN -3 AND 3 AND b.cc - a.cc BETWEEN -3 AND 3 GROUP BY 1, 2",
 }

@@ -64,7 +64,7 @@ def ras22_merged_regions(spark, d):
 
 def agg32_green_threshold(spark, d):
     px = T.table(spark, d, "events").select(F.when(F.col("event_type") == "view", "road").when(F.col("event_type") == "click", "grass").otherwise("other").alias("cls"), (F.col("value") / 1000).alias("exg"))
-    return R.green_threshold(px, "cls", "exg").select(F.round("road", 6).alias("road"), F.round("grass", 6).alias("grass"), "roads", "grasses", F.round("threshold", 6).alias("threshold"))
+    return R.green_threshold(px, "cls", "exg").select(F.round(F.col("road") + 1e-9, 5).alias("road"), F.round(F.col("grass") + 1e-9, 5).alias("grass"), "roads", "grasses", F.round("threshold", 6).alias("threshold"))
 
 
 def pip08_drawn_lines(spark, d):
@@ -115,7 +115,7 @@ SQL = {
     "ras21_settlement": """WITH g AS (SELECT r.range AS rr, k.range AS cc FROM range(0, 110) r, range(0, 110) k), m AS (SELECT g.rr, g.cc, max(CASE WHEN q.fid IS NULL THEN 0 ELSE 1 END) AS v FROM g LEFT JOIN fx_rects q ON q.kind = 'BUILDING' AND q.fid % 4 = 0 AND (g.cc+0.5::DOUBLE)*4 >= q.x0 AND (g.cc+0.5::DOUBLE)*4 < q.x1 AND (g.rr+0.5::DOUBLE)*4 >= q.y0 AND (g.rr+0.5::DOUBLE)*4 < q.y1 GROUP BY 1, 2),
       w AS (SELECT c.rr, c.cc, max(n.v) AS v FROM m c JOIN m n ON n.rr BETWEEN c.rr-5 AND c.rr+5 AND n.cc BETWEEN c.cc-5 AND c.cc+5 GROUP BY 1, 2), z AS (SELECT c.rr, c.cc, min(n.v) AS v FROM w c JOIN w n ON n.rr BETWEEN c.rr-3 AND c.rr+3 AND n.cc BETWEEN c.cc-3 AND c.cc+3 GROUP BY 1, 2) SELECT rr, cc FROM z WHERE v = 1""",
     "ras46_veto": "SELECT rr, cc FROM fx_cells c WHERE chm >= 15 AND NOT EXISTS (SELECT 1 FROM fx_rects q WHERE q.lvl = 0 AND (c.cc+0.5::DOUBLE)*4 >= q.x0 AND (c.cc+0.5::DOUBLE)*4 < q.x1 AND (c.rr+0.5::DOUBLE)*4 >= q.y0 AND (c.rr+0.5::DOUBLE)*4 < q.y1)",
-    "agg32_green_threshold": "WITH p AS (SELECT CASE event_type WHEN 'view' THEN 'road' WHEN 'click' THEN 'grass' ELSE 'other' END AS cls, value/1000 AS exg FROM events), a AS (SELECT quantile_cont(exg, 0.95) FILTER (WHERE cls = 'road') AS road, quantile_cont(exg, 0.25) FILTER (WHERE cls = 'grass') AS grass, sum(CASE WHEN cls = 'road' THEN 1 ELSE 0 END) AS roads, sum(CASE WHEN cls = 'grass' THEN 1 ELSE 0 END) AS grasses FROM p) SELECT round(road, 6) AS road, round(grass, 6) AS grass, roads, grasses, round(CASE WHEN roads >= 400 AND grasses >= 400 AND road < grass THEN greatest(0.02, least(0.12, (road+grass)/2)) ELSE 0.05 END, 6) AS threshold FROM a",
+    "agg32_green_threshold": "WITH p AS (SELECT CASE event_type WHEN 'view' THEN 'road' WHEN 'click' THEN 'grass' ELSE 'other' END AS cls, value/1000 AS exg FROM events), a AS (SELECT quantile_cont(exg, 0.95) FILTER (WHERE cls = 'road') AS road, quantile_cont(exg, 0.25) FILTER (WHERE cls = 'grass') AS grass, sum(CASE WHEN cls = 'road' THEN 1 ELSE 0 END) AS roads, sum(CASE WHEN cls = 'grass' THEN 1 ELSE 0 END) AS grasses FROM p) SELECT round(road + 1e-9, 5) AS road, round(grass + 1e-9, 5) AS grass, roads, grasses, round(CASE WHEN roads >= 400 AND grasses >= 400 AND road < grass THEN greatest(0.02, least(0.12, (road+grass)/2)) ELSE 0.05 END, 6) AS threshold FROM a",
 }
 
 QUERIES = {n: f for n, f in list(globals().items()) if n.startswith(("ras", "agg", "pip")) and callable(f)}
