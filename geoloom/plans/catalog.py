@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoloom.plans import areas, operations, raster, rules, spatial, terrain
+from geoloom.plans import areas, metrics, operations, raster, rules, spatial, terrain
 from geoloom.sources.tables import with_tables
 
 FLAGSHIP = "agg02_grid_stats"
-FAMILIES = (raster, rules, spatial, operations, areas, terrain)
+FAMILIES = (raster, rules, spatial, operations, areas, terrain, metrics)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
