@@ -79,16 +79,27 @@ def near_segments(samples: DataFrame, segments: DataFrame, distance: float, size
     return point_cell(samples, size=size).join(r, ["__gx", "__gy"]).withColumn("d2", d2).where(F.col("d2") <= distance * distance).drop("__gx", "__gy", "__x0", "__y0", "__x1", "__y1")
 
 
+def segment_cells(segments: DataFrame, ax: str, ay: str, bx: str, by: str, size: float = CELL) -> DataFrame:
+    """A row for every cell that a segment comes near; long slanting ones touch few of their box's cells."""
+    boxed = box_cells(segments, F.least(ax, bx), F.least(ay, by), F.greatest(ax, bx), F.greatest(ay, by), size)
+    far = 0.75 * size  # a little more than half a cell's diagonal
+    return boxed.where(segment_distance2((F.col("__gx") + 0.5) * size, (F.col("__gy") + 0.5) * size, F.col(ax), F.col(ay), F.col(bx), F.col(by)) <= far * far)
+
+
 def crossings(a: DataFrame, b: DataFrame, size: float = CELL) -> DataFrame:
-    """Pairs of segments (a_id, a_seg, ax, ay, bx, by) and (b_id, b_seg, cx, cy, dx, dy) that properly cross."""
-    ca = box_cells(a, F.least("ax", "bx"), F.least("ay", "by"), F.greatest("ax", "bx"), F.greatest("ay", "by"), size)
-    cb = box_cells(b, F.least("cx", "dx"), F.least("cy", "dy"), F.greatest("cx", "dx"), F.greatest("cy", "dy"), size)
+    """Pairs of segments (a_id, a_seg, ax, ay, bx, by) and (b_id, b_seg, cx, cy, dx, dy) that properly cross; the cell of the crossing keeps the pair."""
+    ca, cb = segment_cells(a, "ax", "ay", "bx", "by", size), segment_cells(b, "cx", "cy", "dx", "dy", size)
     side = lambda px, py, qx, qy, rx, ry: (F.col(qx) - F.col(px)) * (F.col(ry) - F.col(py)) - (F.col(qy) - F.col(py)) * (F.col(rx) - F.col(px))
-    cross = (side("ax", "ay", "bx", "by", "cx", "cy") * side("ax", "ay", "bx", "by", "dx", "dy") < 0) & (side("cx", "cy", "dx", "dy", "ax", "ay") * side("cx", "cy", "dx", "dy", "bx", "by") < 0)
-    lx = F.greatest(F.least("ax", "bx"), F.least("cx", "dx"))
-    ly = F.greatest(F.least("ay", "by"), F.least("cy", "dy"))
-    owner = (F.floor(lx / size) == F.col("__gx")) & (F.floor(ly / size) == F.col("__gy"))
-    return ca.join(cb, ["__gx", "__gy"]).where(owner & cross).drop("__gx", "__gy")
+    from_a, to_a = side("cx", "cy", "dx", "dy", "ax", "ay"), side("cx", "cy", "dx", "dy", "bx", "by")
+    cross = (side("ax", "ay", "bx", "by", "cx", "cy") * side("ax", "ay", "bx", "by", "dx", "dy") < 0) & (from_a * to_a < 0)
+    t = from_a / (from_a - to_a)
+
+    def at(p: str, q: str, r: str, s: str) -> Column:
+        """The crossing's coordinate, within both boxes."""
+        return F.least(F.greatest(F.col(p) + t * (F.col(q) - F.col(p)), F.least(p, q), F.least(r, s)), F.greatest(p, q), F.greatest(r, s))
+
+    owner = (F.floor(at("ax", "bx", "cx", "dx") / size) == F.col("__gx")) & (F.floor(at("ay", "by", "cy", "dy") / size) == F.col("__gy"))
+    return ca.join(cb, ["__gx", "__gy"]).where(F.when(cross, owner).otherwise(False)).drop("__gx", "__gy")
 
 
 def nearest(left: DataFrame, right: DataFrame, key: str, distance: float, **names) -> DataFrame:

@@ -94,34 +94,80 @@ def grf02_regions(spark, d):
     return G.regions(c, 100, "cls").groupBy("component", "cls").agg(F.count("*").alias("cells"))
 
 
+def _snapped(ends):
+    return G.snapped(ends, 4.0).select("id", "node", "degree", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
 def grf01_snapped(spark, d):
-    v = T.vertices(spark, d).where("pos = 1").select(F.col("line_id").alias("id"), "x", "y")
-    return G.snapped(v, 4.0).select("id", "node", "degree", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+    """First vertices only, as the SQL twin has it; grf01_snapped_whole takes both ends."""
+    return _snapped(T.vertices(spark, d).where("pos = 1").select(F.col("line_id").alias("id"), "x", "y"))
+
+
+def grf01_snapped_whole(spark, d):
+    """Both ends of every line: id is line_id * 2, plus one for the last vertex; a line of one vertex has one end."""
+    v = T.vertices(spark, d)
+    last = v.groupBy("line_id").agg(F.max_by(F.struct("x", "y"), "pos").alias("p"), F.max("pos").alias("n")).where("n > 1")
+    first = v.where("pos = 1").select((F.col("line_id") * 2).alias("id"), "x", "y")
+    return _snapped(first.unionByName(last.select((F.col("line_id") * 2 + 1).alias("id"), "p.x", "p.y")))
+
+
+def _chain_pieces(spark, d):
+    return T.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 3001 + 100000).alias("b"))
 
 
 def grf03_chains(spark, d):
-    o = T.table(spark, d, "orders").where("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 3001 + 100000).alias("b"))
-    return G.chained(o)
+    """Every fourth order, as the SQL twin has it; grf03_chains_whole takes all."""
+    return G.chained(_chain_pieces(spark, d).where("id % 4 = 0"))
+
+
+def grf03_chains_whole(spark, d):
+    return G.chained(_chain_pieces(spark, d))
+
+
+def _reach_links(spark, d):
+    return T.table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 1499 + 1).alias("b"))
 
 
 def grf05_reachable(spark, d):
+    """A ninth of the orders and ids up to 1500, as the SQL twin has it; grf05_reachable_whole takes all."""
     ids = T.rects(spark, d).select(F.col("fid").alias("id"))
-    links = T.table(spark, d, "orders").where("o_orderkey % 9 = 0").select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 1499 + 1).alias("b"))
-    return G.reachable(ids, links.where("a <= 1500 and b <= 1500"), ids.where("id % 500 = 7"))
+    links = _reach_links(spark, d).where("o_orderkey % 9 = 0 and a <= 1500 and b <= 1500").select("a", "b")
+    return G.reachable(ids, links, ids.where("id % 500 = 7"))
 
 
-def grf08_strokes(spark, d):
-    seg = sequence.segments(T.vertices(spark, d)).where("pos <= 6")
+def grf05_reachable_whole(spark, d):
+    ids = T.rects(spark, d).select(F.col("fid").alias("id"))
+    return G.reachable(ids, _reach_links(spark, d).select("a", "b"), ids.where("id % 500 = 7"))
+
+
+def _arms(spark, d):
     node = (F.floor(F.col("ax") / 20) * 100 + F.floor(F.col("ay") / 20)).cast("long")
-    arms = seg.select(node.alias("node"), (F.col("line_id") * 100 + F.col("pos")).alias("arm"), F.round(geometry.bearing(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")), 4).alias("bearing"))
+    bearing = F.round(geometry.bearing(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")), 4)
+    return sequence.segments(T.vertices(spark, d)).select(node.alias("node"), "line_id", "pos", bearing.alias("bearing"))
+
+
+def grf08_strokes(spark, d):
+    """The first six arms of each line, as the SQL twin has it; grf08_strokes_whole takes all."""
+    arms = _arms(spark, d).where("pos <= 6").select("node", (F.col("line_id") * 100 + F.col("pos")).alias("arm"), "bearing")
+    return G.straightest(arms).select("node", "a", "b", F.round(F.col("turn") + 1e-6, 2).alias("turn"))
+
+
+def grf08_strokes_whole(spark, d):
+    arms = _arms(spark, d).select("node", (F.col("line_id") * 100000 + F.col("pos")).alias("arm"), "bearing")
     return G.straightest(arms).select("node", "a", "b", F.round(F.col("turn") + 1e-6, 2).alias("turn"))
 
 
 def top01_spaced(spark, d):
+    """The first two vertices of each line, as the SQL twin has it; top01_spaced_whole takes all."""
     p = T.vertices(spark, d).where("pos <= 2").select((F.col("line_id") * 10 + F.col("pos")).alias("id"), "x", "y", F.col("line_id") % 97)
     return G.spaced(p.toDF("id", "x", "y", "score"), 12.0)
 
 
+def top01_spaced_whole(spark, d):
+    p = T.vertices(spark, d).select((F.col("line_id") * 100000 + F.col("pos")).alias("id"), "x", "y", F.col("line_id") % 97)
+    return G.spaced(p.toDF("id", "x", "y", "score"), 12.0)
+
+
 def grf_list_ranks(spark, d):
     v = T.vertices(spark, d)
     from pyspark.sql import Window

@@ -63,14 +63,22 @@ def jon14_points_in_buildings(spark, d):
     return v.join(inside, ["line_id", "pos"], "left_anti").select("line_id", "pos")
 
 
-def jon16_beside_road(spark, d):
-    """Lines with 70 % of their stations within 8 m of a road line."""
-    seg = sequence.segments(T.vertices(spark, d).where("pos <= 8"))
+def _beside_road(seg):
     own = sequence.stations(seg.where("source = 'topo'"), 25.0)
     hit = J.near_segments(own, seg.where("source = 'dtm'").select("ax", "ay", "bx", "by"), 8.0).select("line_id", "k").distinct().groupBy("line_id").agg(F.count("*").alias("hits"))
     return own.groupBy("line_id").agg(F.count("*").alias("n")).join(hit, "line_id", "left").select("line_id", (F.coalesce("hits", F.lit(0)) >= 0.7 * F.col("n")).alias("beside"))
 
 
+def jon16_beside_road(spark, d):
+    """Lines with 70 % of their stations within 8 m of a road line; the first eight vertices of each line, as the SQL twin has it."""
+    return _beside_road(sequence.segments(T.vertices(spark, d).where("pos <= 8")))
+
+
+def jon16_beside_road_whole(spark, d):
+    """The same over whole lines."""
+    return _beside_road(sequence.segments(T.vertices(spark, d)))
+
+
 def jon28_blocked(spark, d):
     """Areas with no cell in common with any blocking area."""
     mine = cellsets.box_cells(T.rects(spark, d).where("kind = 'FURNITURE'"), T.CELL_M, "fid")
