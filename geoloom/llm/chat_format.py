@@ -1,16 +1,19 @@
 """Chat formatting by linking tool calls, in DataFrame and SQL functions only.
 
 Calls and results meet in a hash join on conversation and call id. Arguments
-may name other calls ("$id"); such calls come later: each round gives the next
-level to calls whose named calls all have one, and what is left at the end names
-itself in a circle. Arguments are checked against the tools' schemas, and calls
+may name other calls ("$id"); such calls come later. Chains of calls that name
+one call each are followed by pointer jumping, in rounds as the logarithm of
+their length; each further round gives a level to calls that name several, until
+none is new, and what is left names itself in a circle. Arguments are checked
+against the tools' schemas, and calls
 and results are serialised as canonical JSON (keys in order, no blanks). Each
 call is a row with its place (level, turn), so a conversation of any length is
 never gathered.
 
 Defined results: of calls with one id the first turn counts, further ones are
 'duplicate' and take no result; a result without a call is 'orphan', a call
-without a result 'unanswered'; arguments that are no JSON object are 'not an
+without a result 'unanswered'; of results with one id the first counts, further
+ones are rows of their own, 'answered again'; arguments that are no JSON object are 'not an
 object'; null ids link with nothing; empty tables yield no rows. Other columns
 are ignored.
 """
@@ -22,27 +25,56 @@ from pyspark.sql import functions as F
 
 from geoloom.llm.store import written
 
-#: Rounds of naming at most; calls deeper than that count as circles.
-DEPTH = 64
+_NAMED = r'"\$([^"]+)"'
+
+
+def _needs():
+    return F.array_distinct(F.regexp_extract_all(F.coalesce("arguments", F.lit("")), F.lit(_NAMED), 1))
+
+
+def _followed(nodes: DataFrame) -> DataFrame:
+    """(conv_id, call_id, root, steps): calls that name one call, each with the next call along them that names none or several.
+
+    Pointer jumping; calls in circles and above missing ones are left out.
+    """
+    ends = nodes.where(F.size("needs") != 1).select("conv_id", F.col("call_id").alias("root"), F.lit(False).alias("end"))
+    one = nodes.where(F.size("needs") == 1).select("conv_id", "call_id", F.col("needs")[0].alias("root"), F.lit(1).cast("long").alias("steps"))
+    state = written(one.join(ends, ["conv_id", "root"], "left").select("conv_id", "call_id", "root", "steps", F.col("end").isNull().alias("open")))
+    left, before = state.where("open").count(), None
+    while left and left != before:  # each round settles or drops a call, unless all that are left lead to circles
+        ahead = state.select("conv_id", F.col("call_id").alias("root"), F.col("root").alias("on"), F.col("steps").alias("more"), F.col("open").alias("still"))
+        moved = state.where("open").join(ahead, ["conv_id", "root"]).select("conv_id", "call_id", F.col("on").alias("root"), (F.col("steps") + F.col("more")).alias("steps"), F.col("still").alias("open"))
+        state = written(state.where("not open").unionByName(moved))
+        left, before = state.where("open").count(), left
+    return state.where("not open").drop("open")
 
 
 def _levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level); level is null in circles and where a named call is missing."""
-    named = F.array_distinct(F.regexp_extract_all(F.coalesce("arguments", F.lit("")), F.lit(r'"\$([^"]+)"'), 1))
-    nodes = calls.select("conv_id", "call_id", named.alias("needs"))
-    done = nodes.where(F.size("needs") == 0).select("conv_id", "call_id", F.lit(0).alias("level"))
-    edges = nodes.where(F.size("needs") > 0).select("conv_id", "call_id", F.size("needs").alias("n"), F.explode("needs").alias("need"))
-    if edges.isEmpty():
+    nodes = calls.select("conv_id", "call_id", _needs().alias("needs"))
+    done = nodes.where(F.size("needs") == 0).select("conv_id", "call_id", F.lit(0).cast("long").alias("level"))
+    if nodes.where(F.size("needs") > 0).isEmpty():
         return done
-    edges, done = written(edges), written(done)
-    for level in range(1, DEPTH + 1):
-        have = done.select(F.col("conv_id").alias("c"), F.col("call_id").alias("i"))
-        ready = edges.join(have, (F.col("conv_id") == F.col("c")) & (F.col("need") == F.col("i"))).groupBy("conv_id", "call_id", "n").agg(F.count("*").alias("met")).where("met = n")
-        fresh = written(ready.join(done, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(level).alias("level")))
-        if fresh.isEmpty():
-            break
-        done = done.unionByName(fresh)
-    return done
+    nodes = written(nodes)
+    done = nodes.where(F.size("needs") == 0).select("conv_id", "call_id", F.lit(0).cast("long").alias("level"))
+    along = _followed(nodes)
+    several = nodes.where(F.size("needs") > 1)
+    if not several.isEmpty():
+        ends = nodes.where(F.size("needs") != 1).select("conv_id", F.col("call_id").alias("need"), F.col("call_id").alias("root"), F.lit(0).cast("long").alias("steps"))
+        edges = several.select("conv_id", "call_id", F.size("needs").alias("n"), F.explode("needs").alias("need"))
+        edges = written(edges.join(ends.unionByName(along.withColumnRenamed("call_id", "need")), ["conv_id", "need"]).drop("need"))
+        rounds = 0
+        while True:
+            have = done.withColumnRenamed("call_id", "root")
+            ready = edges.join(have, ["conv_id", "root"]).groupBy("conv_id", "call_id", "n").agg(F.count("*").alias("met"), (F.max(F.col("level") + F.col("steps")) + 1).alias("level")).where("met = n")
+            fresh = written(ready.join(done, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", "level"))
+            if fresh.isEmpty():
+                break
+            rounds += 1
+            done = done.unionByName(fresh)
+            done = written(done) if rounds % 16 == 0 else done  # keeps the plan short
+    on = done.withColumnRenamed("call_id", "root")
+    return done.unionByName(along.join(on, ["conv_id", "root"]).select("conv_id", "call_id", (F.col("level") + F.col("steps")).alias("level")))
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, str]]) -> DataFrame:
@@ -54,9 +86,12 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
     """
     first = Window.partitionBy("conv_id", "call_id").orderBy("turn", "name", "arguments")
     nth = F.when(F.col("conv_id").isNull() | F.col("call_id").isNull(), F.lit(1)).otherwise(F.row_number().over(first))
-    ranked = written(calls.select("conv_id", "call_id", "turn", "name", "arguments").withColumn("nth", nth))
-    answers = results.groupBy("conv_id", "call_id").agg(F.min_by("content", F.struct("turn", "content")).alias("content"), F.min("turn").alias("answer_turn"), F.count("*").alias("answers"))
-    levels = _levels(ranked.where("nth = 1 and call_id is not null"))
+    ranked = written(calls.select("conv_id", "call_id", "turn", "name", "arguments").withColumn("nth", nth).withColumn("call", F.lit(True)))
+    linked = results.where("conv_id is not null and call_id is not null").select("conv_id", "call_id", "turn", "content", F.row_number().over(Window.partitionBy("conv_id", "call_id").orderBy("turn", "content")).alias("answer"))
+    answers = linked.groupBy("conv_id", "call_id").agg(F.min_by("content", "answer").alias("content"), F.min_by("turn", "answer").alias("answer_turn"), F.count("*").alias("answers"))
+    lone = results.where("conv_id is null or call_id is null").select("conv_id", "call_id", "content", F.col("turn").alias("answer_turn"), F.lit(1).cast("long").alias("answers"))
+    answers = answers.unionByName(lone)
+    levels = _levels(ranked.where("nth = 1 and conv_id is not null and call_id is not null"))
     one = ranked.join(answers.withColumn("nth", F.lit(1)), ["conv_id", "call_id", "nth"], "full").join(levels.withColumn("nth", F.lit(1)), ["conv_id", "call_id", "nth"], "left")
     parsed = F.try_parse_json("arguments")
     kind = F.schema_of_variant(parsed)
@@ -67,7 +102,9 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
         checks = [F.when(~F.coalesce(F.schema_of_variant(F.element_at(types, k)).rlike(f"^({good[t]})$"), F.lit(False)), F.lit(k)) for k, t in sorted(fields.items())]
         extra = F.array_except(F.map_keys(types), F.array(*(F.lit(k) for k in fields))) if fields else F.map_keys(types)
         wrong = F.when(F.col("name") == tool, F.concat_ws(",", F.array_compact(F.array(*checks)) if checks else F.array().cast("array<string>"), extra)).otherwise(wrong)
-    is_call = F.col("turn").isNotNull() | F.col("name").isNotNull() | F.col("arguments").isNotNull()
+    level = F.when(F.col("nth").isNotNull() & (F.col("conv_id").isNull() | F.col("call_id").isNull()) & F.col("call").isNotNull() & (F.size(_needs()) == 0), F.lit(0)).otherwise(F.col("level")).cast("int")
+    one = one.withColumn("level", level)
+    is_call = F.col("call").isNotNull()
     problem = (
         F.when(~is_call, "orphan").when(F.col("nth") > 1, "duplicate").when(~F.coalesce(kind.startswith("OBJECT"), F.lit(False)), "not an object")
         .when(wrong.isNull(), "unknown tool").when(wrong != "", F.concat(F.lit("arguments: "), wrong))
@@ -77,7 +114,14 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
     canonical = F.coalesce(F.to_json(parsed), F.to_json(F.struct(F.col("arguments").alias("text"))))
     call_json = F.when(is_call, F.concat(F.lit('{"arguments":'), canonical, F.lit(',"id":'), _string("call_id"), F.lit(',"name":'), _string("name"), F.lit(',"role":"call"}')))
     result_json = F.when(F.col("answers").isNotNull(), F.concat(F.lit('{"content":'), _string("content"), F.lit(',"id":'), _string("call_id"), F.lit(',"role":"result"}')))
-    return one.select("conv_id", "call_id", "level", "turn", "answer_turn", "name", F.col("answers").isNotNull().alias("linked"), problem.alias("problem"), call_json.alias("call_json"), result_json.alias("result_json"))
+    rows = one.select("conv_id", "call_id", "level", "turn", "answer_turn", "name", F.col("answers").isNotNull().alias("linked"), problem.alias("problem"), call_json.alias("call_json"), result_json.alias("result_json"))
+    answer_json = F.concat(F.lit('{"content":'), _string("content"), F.lit(',"id":'), _string("call_id"), F.lit(',"role":"result"}'))
+    again = linked.where("answer > 1").select("conv_id", "call_id", _null("int", "level"), _null("long", "turn"), F.col("turn").alias("answer_turn"), _null("string", "name"), F.lit(True).alias("linked"), F.lit("answered again").alias("problem"), _null("string", "call_json"), answer_json.alias("result_json"))
+    return rows.unionByName(again)
+
+
+def _null(kind: str, name: str):
+    return F.lit(None).cast(kind).alias(name)
 
 
 def _string(column: str):
@@ -85,19 +129,54 @@ def _string(column: str):
     return F.when(F.col(column).isNull(), "null").otherwise(F.regexp_extract(F.to_json(F.struct(F.col(column).alias("s"))), r'(?s)^\{"s":(.*)\}$', 1))
 
 
+def _ident(turn):
+    """Id of the call that a turn stands for; null where the conversation is."""
+    return F.concat(F.col("conv_id").cast("string"), F.lit(":"), turn.cast("string"))
+
+
+def _reply_calls(asked: DataFrame) -> DataFrame:
+    """Calls of users' turns with the turn that each names (``after``, null for none)."""
+    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\S+"))
+    after = F.coalesce(F.concat(F.lit("$"), _ident(F.col("after"))), F.lit(""))
+    arguments = F.to_json(F.struct(words.alias("words"), F.coalesce("text", F.lit("")).alias("prompt"), after.alias("after")))
+    return asked.select("conv_id", _ident(F.col("turn")).alias("call_id"), "turn", F.lit("reply").alias("name"), arguments.alias("arguments"))
+
+
+def _reply_results(turns: DataFrame) -> DataFrame:
+    return turns.where("role = 'assistant'").select("conv_id", _ident(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+
+
 def conversations_as_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results that plain conversations stand for: a user's turn asks, the assistant's next turn answers.
 
-    A conversation's later questions name its first one.
+    A conversation's later questions name its first one. Turns of other roles are left out; ``format_turns`` has every turn.
     """
-    ident = lambda turn: F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))
     asked = turns.where("role = 'user'")
     first = asked.groupBy("conv_id").agg(F.min("turn").alias("first"))
-    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\S+"))
-    arguments = F.when(F.col("turn") > F.col("first"), F.to_json(F.struct(words.alias("words"), F.coalesce("text", F.lit("")).alias("prompt"), F.concat(F.lit("$"), ident(F.col("first"))).alias("after")))).otherwise(F.to_json(F.struct(words.alias("words"), F.coalesce("text", F.lit("")).alias("prompt"), F.lit("").alias("after"))))
-    calls = asked.join(first, "conv_id").select("conv_id", ident(F.col("turn")).alias("call_id"), "turn", F.lit("reply").alias("name"), arguments.alias("arguments"))
-    results = turns.where("role = 'assistant'").select("conv_id", ident(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
-    return calls, results
+    named = asked.join(first, "conv_id", "left").withColumn("after", F.when(F.col("turn") > F.col("first"), F.col("first")))
+    return _reply_calls(named), _reply_results(turns)
+
+
+def _turns_before(asked: DataFrame, width: int = 1024) -> DataFrame:
+    """(conv_id, turn, after): each turn with the one before it. Parts of ``width`` turns are ordered by themselves, so no task orders a long conversation."""
+    parts = asked.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.floor(F.col("turn") / width).alias("part")).distinct()
+    ends = parts.groupBy("conv_id", "part").agg(F.max("turn").alias("end"))
+    ends = ends.select("conv_id", "part", F.lag("end").over(Window.partitionBy("conv_id").orderBy("part")).alias("end"))
+    inside = F.lag("turn").over(Window.partitionBy("conv_id", "part").orderBy("turn"))
+    return parts.withColumn("after", inside).join(ends, ["conv_id", "part"]).select("conv_id", "turn", F.coalesce("after", "end").alias("after"))
+
+
+def format_turns(turns: DataFrame) -> DataFrame:
+    """Every turn of plain conversations: users' turns as calls that name the user's turn before, assistants' as results.
+
+    Turns of any other role, or of none, are rows with the role as name and the message as JSON.
+    """
+    asked = turns.where("role = 'user'").select("conv_id", "turn", "text")
+    asked = asked.join(_turns_before(asked), ["conv_id", "turn"], "left")
+    rows = link_tool_calls(_reply_calls(asked), _reply_results(turns), CONVERSATION_TOOLS)
+    message = F.concat(F.lit('{"content":'), _string("text"), F.lit(',"role":'), _string("role"), F.lit("}"))
+    others = turns.where("role is null or role not in ('user', 'assistant')")
+    return rows.unionByName(others.select("conv_id", _null("string", "call_id"), _null("int", "level"), "turn", _null("long", "answer_turn"), F.col("role").alias("name"), F.lit(False).alias("linked"), _null("string", "problem"), message.alias("call_json"), _null("string", "result_json")))
 
 
 CONVERSATION_TOOLS = {"reply": {"after": "string", "prompt": "string", "words": "integer"}}
