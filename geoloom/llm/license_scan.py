@@ -5,7 +5,13 @@ no copyright lines, no punctuation, one spelling for words that have several,
 single spaces - and digested. Documents are looked up by the same digest for
 their entire text, for each paragraph and for each line, in a hash join. Only
 units that hold a cue can match: every known text holds one, which is checked
-when the table is made, so the cue spares work and loses nothing.
+when the table is made. A cue is a part of one word, and the canonical form
+changes no letters of it but "licence" to "license", so raw text that matches
+holds it too: the cue spares work and loses nothing.
+
+Known are notices of all listed licences, the entire MIT, ISC, BSD and Unlicense
+texts, and the file headers of Apache, MPL and the GNU licences. The entire
+texts of the other licences are not known.
 
 Defined results: null and empty texts match nothing; rows that share an id are
 added up; a null id yields a null id; an empty table yields no rows. Other
@@ -47,17 +53,47 @@ OPENINGS = [
     "this work is licensed under {}", "this software is licensed under {}", "this file is licensed under {}", "this project is licensed under {}",
     "this work is released under {}", "this software is released under {}", "this document is licensed under {}", "license {}", "SPDX-License-Identifier {}",
 ]
-# Entire short licences.
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+# Entire short licences; {} is http or https.
 TEXTS = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "BSD-2-Clause": _BSD + _BSD_END,
+    "BSD-3-Clause": _BSD + """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+""" + _BSD_END,
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+For more information, please refer to <{}://unlicense.org/>""",
 }
+# The standard headers of files, for licences too long to be units.
+HEADERS = {
+    "Apache-2.0": ["""Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+{}://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"""],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at {}://mozilla.org/MPL/2.0/."],
+} | {
+    f"{short}-{version}": [
+        f"This {what} is free software{mark} you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation{either} version {version.removesuffix('.0')} of the License, or (at your option) any later version."
+        for what in ("program", "library", "software", "file")
+        for mark, either in ((":", ", either"), ("; ", "; either"))
+    ]
+    for short, name, versions in (("GPL", "GNU General Public License", ("2.0", "3.0")), ("LGPL", "GNU Lesser General Public License", ("2.1", "3.0")), ("AGPL", "GNU Affero General Public License", ("3.0",)))
+    for version in versions
+}
 # Words with several spellings; the right one counts.
 SPELLINGS = {"licence": "license", "licences": "licenses", "licenced": "licensed", "licencing": "licensing", "sub-license": "sublicense", "noncommercial": "non commercial", "non-commercial": "non commercial", "sharealike": "share alike", "share-alike": "share alike", "noderivatives": "no derivatives", "organisation": "organization", "authorised": "authorized", "&": "and", "v2.0": "version 2.0", "v2.1": "version 2.1", "v3.0": "version 3.0", "v2": "version 2", "v3": "version 3"}
-CUES = ["licen", "copyright", "permission", "released under", "distributed under", "published under", "available under"]
+# Single words, since known texts are found whatever stands between words.
+CUES = ["licen", "under", "permission", "redistribution"]
 
 _COPYRIGHT = r"(?m)^\s*(copyright|\(c\)|©|all rights reserved).*$"
 _MARKS = r"[^\p{L}\p{N}.&-]+"
@@ -83,6 +119,10 @@ def canonical_column(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.replace(out, F.lit("-"), F.lit(" ")), " +", " "))
 
 
+def _titles(licence: str) -> list[str]:
+    return [f"{licence} License", *NAMES[licence]]
+
+
 def known_digests() -> dict[str, str]:
     """Digest of each canonical text -> licence identifier."""
     out = {}
@@ -95,9 +135,14 @@ def known_digests() -> dict[str, str]:
                         out.setdefault(hashlib.sha256(text.encode()).hexdigest(), licence)
                         if not any(c in text for c in CUES):
                             raise ValueError(f"no cue in {text!r}")
-    for licence, text in TEXTS.items():
-        for part in (text, f"{licence} License\n{text}", f"The {licence} License\n{text}"):
-            out[hashlib.sha256(canonical(part).encode()).hexdigest()] = licence
+    whole = [(licence, part) for licence, text in TEXTS.items() for title in _titles(licence) for part in (text, f"{title}\n{text}", f"The {title}\n{text}")]
+    whole += [(licence, text) for licence, texts in HEADERS.items() for text in texts]
+    for licence, text in whole:
+        for scheme in ("http", "https"):
+            one = canonical(text.replace("{}", scheme))
+            if not any(c in one for c in CUES):
+                raise ValueError(f"no cue in {one!r}")
+            out[hashlib.sha256(one.encode()).hexdigest()] = licence
     return out
 
 
