@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.operators import focal, graph
+from geoloom.sources.store import written
 
 # Fixed values of the knoll detector.
 RING_POINTS, KNOLL_RISE = 16, (1.5, 3.0)
@@ -75,9 +76,21 @@ def small_regions_merged(cells: DataFrame, width: int, cls: str, least: int, pas
         votes = around.groupBy("component", "new").agg(F.count("*").alias("n"))
         won = votes.groupBy("component").agg(F.min_by("new", F.struct(-F.col("n"), F.col("new"))).alias("new"))
         out = named.join(won, "component", "left").select("rr", "cc", F.coalesce("new", cls).alias(cls))
+        out = written(out)
     return out
 
 
+def settlement_zones(buildings: DataFrame, rows: int, cols: int, size: float, join: float = 20.0, trim: float = 12.0, least: float = 3000.0) -> DataFrame:
+    """Building cells grown and shrunk by disks (metres), cut at the grid; 4-connected zones of less than ``least`` m2 go."""
+    grown = focal.disk_dilate(buildings.select("rr", "cc").distinct(), max(1, round(join / size))).select("rr", "cc")
+    element = focal.disk(max(0, round(trim / size)))
+    shrunk = focal.shifted(grown, element).groupBy("rr", "cc").agg(F.count("*").alias("n")).where(F.col("n") == len(element))
+    zone = written(shrunk.where(F.col("rr").between(0, rows - 1) & F.col("cc").between(0, cols - 1)).select("rr", "cc"))
+    named = graph.regions(zone, cols)
+    large = named.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") * size * size >= least)
+    return named.join(large, "component", "left_semi").select("rr", "cc")
+
+
 def holes_filled(mask: DataFrame, rows: int, cols: int, most: int) -> DataFrame:
     """Cells of a mask with its holes of at most ``most`` cells; a hole doesn't touch the grid's edge."""
     from geoloom.operators.grid import grid_dimension

@@ -56,8 +56,9 @@ def ras21_settlement(spark, d):
 
 
 def ras21_settlement_whole(spark, d):
-    """The same over all buildings."""
-    return _settlement(spark, T.rects(spark, d).where("kind = 'BUILDING'"))
+    """All buildings, grown by 20 m and shrunk by 12 m with disks; zones of less than 3,000 m2 go."""
+    cells = cellsets.box_cells(T.rects(spark, d).where("kind = 'BUILDING'"), 4.0)
+    return R.settlement_zones(cells, 110, 110, 4.0).select("rr", "cc")
 
 
 def ras46_veto(spark, d):
@@ -68,7 +69,7 @@ def ras46_veto(spark, d):
 
 def ras22_merged_regions(spark, d):
     c = _cells(spark, d).withColumn("cls", grid.ladder(F.col("chm"), (8.0, 20.0)))
-    return R.small_regions_merged(c, 100, "cls", 3, passes=1).groupBy("cls").agg(F.count("*").alias("cells"))
+    return R.small_regions_merged(c, 100, "cls", 3).groupBy("cls").agg(F.count("*").alias("cells"))
 
 
 def agg32_green_threshold(spark, d):
@@ -91,7 +92,7 @@ def pip03_vegetation(spark, d):
     """Points to canopy classes, small regions merged, shares of each class."""
     h = grid.canopy_height(F.col("dsm"), F.col("dem"))
     c = _cells(spark, d).withColumn("cls", grid.ladder(h, (4.0, 12.0, 20.0)))
-    return grid.shares(R.small_regions_merged(c, 100, "cls", 3, passes=1), "cls").withColumn("share", F.round("share", 6))
+    return grid.shares(R.small_regions_merged(c, 100, "cls", 3), "cls").withColumn("share", F.round("share", 6))
 
 
 def pip09_objects(spark, d):

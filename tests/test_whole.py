@@ -1,12 +1,14 @@
 """Whole-table queries against brute force; their SQL twins cover only subsets."""
 
 import math
+import random
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from geoloom.operators import sequence
+from geoloom.operators import grid, sequence
+from geoloom.operators import terrain as R
 from geoloom.plans import catalog
 from geoloom.sources import tables as T
 
@@ -110,12 +112,68 @@ def test_beside_road_of_whole_lines(spark, sf, segments):
     assert got == {k: hits[k] >= 0.7 * n[k] for k in n}
 
 
+def brute_zones(cells, rows, cols, least):
+    disk = lambda k: [(y, x) for y in range(-k, k + 1) for x in range(-k, k + 1) if y * y + x * x <= k * k]
+    grown = {(r + y, c + x) for r, c in cells for y, x in disk(5)}
+    zone = {(r, c) for r, c in grown if 0 <= r < rows and 0 <= c < cols and all((r + y, c + x) in grown for y, x in disk(3))}
+    of = least_ids(zone, [((r, c), q) for r, c in zone for q in ((r + 1, c), (r, c + 1)) if q in zone])
+    size = defaultdict(int)
+    for i in of.values():
+        size[i] += 1
+    return {q for q in zone if size[of[q]] * 16 >= least}
+
+
 def test_settlement_of_all_buildings(spark, sf):
     m = {(r, c) for q in T.rects(spark, sf).where("kind = 'BUILDING'").collect() for r in range(110) for c in range(110) if q.x0 <= c * 4 + 2 < q.x1 and q.y0 <= r * 4 + 2 < q.y1}
-    near = lambda r, c, k: [(a, b) for a in range(max(0, r - k), min(110, r + k + 1)) for b in range(max(0, c - k), min(110, c + k + 1))]
-    grown = {p for q in m for p in near(*q, 5)}
-    want = {(r, c) for r in range(110) for c in range(110) if all(p in grown for p in near(r, c, 3))}
-    assert {tuple(r) for r in Q["ras21_settlement_whole"](spark, sf).collect()} == want
+    assert {tuple(r) for r in Q["ras21_settlement_whole"](spark, sf).collect()} == brute_zones(m, 110, 110, 3000)
+
+
+def test_lone_buildings_are_no_settlement(spark):
+    cells = [(10, 10), (0, 30), *((r, c) for r in range(30, 45) for c in range(25, 45, 3))]
+    got = {tuple(r) for r in R.settlement_zones(spark.createDataFrame(cells, "rr long, cc long"), 60, 60, 4.0).collect()}
+    assert got == brute_zones(set(cells), 60, 60, 3000) and got and (10, 10) not in got
+
+
+def merged_by_hand(cls, least, passes):
+    for _ in range(passes):
+        near = {(r, c): [q for q in ((r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)) if q in cls] for r, c in cls}
+        of = least_ids(cls, [(p, q) for p in cls for q in near[p] if cls[p] == cls[q]])
+        parts = defaultdict(list)
+        for p, i in of.items():
+            parts[i].append(p)
+        new = dict(cls)
+        for i, cells in parts.items():
+            votes = defaultdict(int)
+            for p in cells:
+                for q in near[p]:
+                    votes[cls[q]] += of[q] != i
+            votes = {k: n for k, n in votes.items() if n}
+            if len(cells) < least and votes:
+                new |= dict.fromkeys(cells, min(votes, key=lambda k: (-votes[k], k)))
+        cls = new
+    return cls
+
+
+@pytest.mark.parametrize("passes", [1, 4])
+def test_small_regions_by_hand(spark, passes):
+    rng = random.Random(5)
+    cls = {(r, c): rng.randrange(4) for r in range(14) for c in range(14)}
+    cells = spark.createDataFrame([(r, c, k) for (r, c), k in cls.items()], "rr long, cc long, cls long")
+    assert {(r.rr, r.cc): r.cls for r in R.small_regions_merged(cells, 100, "cls", 3, passes).collect()} == merged_by_hand(cls, 3, passes)
+    assert merged_by_hand(cls, 3, 1) != merged_by_hand(cls, 3, 4)
+
+
+def test_registered_regions_take_four_passes(spark, sf):
+    c = grid.surfaces(T.points(spark, sf), T.CELL_M)
+    n = defaultdict(int)
+    for k in merged_by_hand({(r.rr, r.cc): r.cls for r in c.withColumn("cls", grid.ladder(F.col("chm"), (8.0, 20.0))).collect()}, 3, 4).values():
+        n[k] += 1
+    assert {r.cls: r.cells for r in Q["ras22_merged_regions"](spark, sf).collect()} == n
+    n = defaultdict(int)
+    h = grid.canopy_height(F.col("dsm"), F.col("dem"))
+    for k in merged_by_hand({(r.rr, r.cc): r.cls for r in c.withColumn("cls", grid.ladder(h, (4.0, 12.0, 20.0))).collect()}, 3, 4).values():
+        n[k] += 1
+    assert {r.cls: r.share for r in Q["pip03_vegetation"](spark, sf).collect()} == pytest.approx({k: v / sum(n.values()) for k, v in n.items()}, abs=2e-6)
 
 
 def test_strokes_take_every_arm(spark, sf, segments):
