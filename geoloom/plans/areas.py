@@ -152,9 +152,21 @@ def grf08_strokes(spark, d):
     return G.straightest(arms).select("node", "a", "b", F.round(F.col("turn") + 1e-6, 2).alias("turn"))
 
 
+def _ends(spark, d):
+    """Both ends of every segment as arms, with the bearing away from the node; a segment of no length has none."""
+    seg = sequence.segments(T.vertices(spark, d)).withColumn("line", F.col("line_id") * 100000 + F.col("pos"))
+
+    def end(k, x, y, to_x, to_y):
+        node = (F.floor(F.col(x) / 20) * 100 + F.floor(F.col(y) / 20)).cast("long")
+        bearing = F.when(F.col("len") > 0, F.round(geometry.bearing(F.col(x), F.col(y), F.col(to_x), F.col(to_y)), 4))
+        return seg.select(node.alias("node"), (F.col("line") * 2 + k).alias("arm"), "line", bearing.alias("bearing"))
+
+    return end(0, "ax", "ay", "bx", "by").unionByName(end(1, "bx", "by", "ax", "ay"))
+
+
 def grf08_strokes_whole(spark, d):
-    arms = _arms(spark, d).select("node", (F.col("line_id") * 100000 + F.col("pos")).alias("arm"), "bearing")
-    return G.straightest(arms).select("node", "a", "b", F.round(F.col("turn") + 1e-6, 2).alias("turn"))
+    """Strokes of all segments: straightest pairs first, each end once, two-end nodes at any angle."""
+    return G.strokes(_ends(spark, d))
 
 
 def top01_spaced(spark, d):

@@ -7,9 +7,10 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from geoloom.operators import graph as G
 from geoloom.operators import grid, sequence
 from geoloom.operators import terrain as R
-from geoloom.plans import catalog
+from geoloom.plans import areas, catalog
 from geoloom.sources import tables as T
 
 Q = catalog.queries()
@@ -176,20 +177,35 @@ def test_registered_regions_take_four_passes(spark, sf):
     assert {r.cls: r.share for r in Q["pip03_vegetation"](spark, sf).collect()} == pytest.approx({k: v / sum(n.values()) for k, v in n.items()}, abs=2e-6)
 
 
-def test_strokes_take_every_arm(spark, sf, segments):
-    nodes = defaultdict(list)
-    for a, b in segments:
-        nodes[int(a[2] // 20) * 100 + int(a[3] // 20)].append((a[0] * 100000 + a[1], round((math.degrees(math.atan2(b[2] - a[2], b[3] - a[3])) + 360) % 360, 4)))
-    want = set()
-    for node, arms in nodes.items():
-        turn = {(a, b): abs(180 - min(abs(p - q), 360 - abs(p - q))) for a, p in arms for b, q in arms if a < b}
-        best = {}
-        for pair, t in sorted(turn.items(), key=lambda e: (e[1], e[0])):
-            if t <= 45:
-                for arm in pair:
-                    best.setdefault(arm, pair)
-        want |= {(node, *p) for p in set(best.values()) if best[p[0]] == best[p[1]] == p}
-    assert {(r.node, r.a, r.b) for r in Q["grf08_strokes_whole"](spark, sf).collect()} == want
+def pairs_one_by_one(arms):
+    nodes, out = defaultdict(list), set()
+    for node, arm, line, bearing in arms:
+        nodes[node].append((arm, line, bearing))
+    for node, at in nodes.items():
+        pairs, used = [], set()
+        for a, la, p in at:
+            for b, lb, q in at:
+                if a < b and la != lb and p is not None and q is not None:
+                    t = abs(180 - min(abs(p - q), 360 - abs(p - q)))
+                    pairs += [(t, a, b)] if t <= 45 or len(at) == 2 else []
+        for _, a, b in sorted(pairs):
+            if not {a, b} & used:
+                used |= {a, b}
+                out.add((node, a, b))
+    return out
+
+
+def test_strokes_take_every_arm(spark, sf):
+    arms = [tuple(r) for r in areas._ends(spark, sf).select("node", "arm", "line", "bearing").collect()]
+    line = {arm: at for _, arm, at, _ in arms}
+    want = least_ids(set(line.values()), [(line[a], line[b]) for _, a, b in pairs_one_by_one(arms)])
+    assert sorted(map(tuple, Q["grf08_strokes_whole"](spark, sf).select("line", "stroke").collect())) == sorted(want.items())
+
+
+def test_pairs_go_on_after_the_first_round(spark):
+    arms = [(1, 1, 1, 0.0), (1, 2, 2, 180.0), (1, 3, 3, 10.0), (1, 4, 4, 215.0), (2, 5, 5, 0.0), (2, 6, 6, 90.0), (3, 7, 7, 0.0), (3, 8, 7, 180.0), (4, 9, 9, 5.0), (4, 10, 10, None)]
+    got = {(r.node, r.a, r.b) for r in G.paired(spark.createDataFrame(arms, "node long, arm long, line long, bearing double")).collect()}
+    assert got == pairs_one_by_one(arms) == {(1, 1, 2), (1, 3, 4), (2, 5, 6)}
 
 
 @pytest.mark.parametrize("cell", [7.0, 32.0, 500.0])
