@@ -44,7 +44,7 @@ UNITS = (
 def _hash(words: list[str]) -> np.ndarray:
     raw = [w.encode() for w in words]
     at = np.concatenate(([0], np.cumsum([len(x) for x in raw])))
-    return K.slices_hash(np.frombuffer(b"".join(raw), np.uint8), at[:-1], at[1:], K.BYTE_LOWER)
+    return K.slices_hash(np.frombuffer(b"".join(raw), np.uint8), at[:-1], at[1:])
 
 
 NUMBER, NAME, UNIT = (np.uint64(x) for x in K.splitmix(np.array([901, 902, 903], dtype=np.uint64)))
@@ -69,7 +69,7 @@ class Templates(K.Words):
         for _ in range(3):  # outer punctuation, three deep
             start += (end - start > 1) & _EDGE[b[start]]
             end -= (end - start > 1) & _EDGE[b[end - 1]]
-        raw = K.slices_hash(K.fold_latin1(b), start, end, K.BYTE_LOWER) if len(start) else self.hash
+        raw = K.slices_hash(K.fold_latin1(self.folded), start, end) if len(start) else self.hash
         digits = np.concatenate(([0], np.cumsum(_DIGIT[b], dtype=np.int32)))
         numeric = np.concatenate(([0], np.cumsum(_NUMERIC[b], dtype=np.int32)))
         number = (digits[end] > digits[start]) & (numeric[end] - numeric[start] == end - start)

@@ -1,21 +1,24 @@
 """Vectorised helpers that run inside tasks, on one shard of texts at a time.
 
-Hashes are 64-bit polynomials modulo 2**64 over random byte weights, so that a
-hash of any slice comes from two prefix sums. Sorting packs what must travel
-along into the low bits of the key, because a plain sort is much faster than an
-argsort.
+Hashes of slices read eight bytes a step and mix each step before the next
+comes in, so no pattern of bytes cancels out; long slices are digested by
+BLAKE2. Slices of equal size up to eight bytes never share a hash. Two lanes
+with different beginnings make 128 bits where equality is decided by hash
+alone. Sorting packs what must travel along into the low bits of the key,
+because a plain sort is much faster than an argsort.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+import hashlib
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-CHUNK = 1 << 18
 PIECE_BYTES = 2 << 20
+#: Slices from this size on are digested one by one.
+LONG = 512
 NULL_ID = -(1 << 63)
 
 
@@ -37,23 +40,14 @@ def finish(x: np.ndarray) -> np.ndarray:
 
 
 BYTE = splitmix(np.arange(1, 257, dtype=U64)) | U64(1)
-_low = np.arange(256)
-_low[65:91] += 32
-BYTE_LOWER = BYTE[_low]
-BASE = U64(0x9DDFEA08EB382D69)
-INVERSE = U64(pow(int(BASE), -1, 1 << 64))
+STEP = U64(0x9DDFEA08EB382D69)
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
+_REST = np.array([(1 << 8 * k) - 1 for k in range(8)], dtype=U64)
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 
 
-@lru_cache(maxsize=4)
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=U64)
-    out[0] = 1
-    with np.errstate(over="ignore"):
-        return np.multiply.accumulate(out)
-
-
 class Texts:
     """The texts of a shard, in the order of (id, text), nulls first, with an ordinal for equal ids."""
 
@@ -127,7 +121,12 @@ class Words:
         self.per_text = np.diff(first)
         self.text = np.repeat(np.arange(len(texts), dtype=np.int32), self.per_text)
         self.place = np.arange(len(self.start)) - np.repeat(first[:-1], self.per_text)
-        self.hash = slices_hash(b, self.start, self.end, BYTE_LOWER if lower else BYTE)
+        self.folded = FOLD[b] if lower else b
+        self.hash = slices_hash(self.folded, self.start, self.end)
+
+    def second(self) -> np.ndarray:
+        """The words' hashes in the second lane."""
+        return slices_hash(self.folded, self.start, self.end, lane=1)
 
     def __len__(self) -> int:
         return len(self.start)
@@ -137,24 +136,29 @@ class Words:
         return self.place + k <= np.repeat(self.per_text, self.per_text)
 
 
-def slices_hash(b: np.ndarray, start: np.ndarray, end: np.ndarray, weights: np.ndarray = BYTE) -> np.ndarray:
-    """Hash of each slice; slices are in order of their starts. Worked in pieces that stay in the cache."""
-    out = np.empty(len(start), dtype=U64)
-    i = 0
-    reach = np.maximum.accumulate(end) if len(end) else end
-    while i < len(start):
-        lo = start[i]
-        j = max(i + 1, int(np.searchsorted(start, lo + CHUNK)))
-        hi = int(reach[j - 1])
-        size = hi - lo
-        room = 1 << int(max(CHUNK * 2, size + 1) - 1).bit_length()
-        up, down = powers(int(BASE), room), powers(int(INVERSE), room)
-        sums = np.zeros(size + 1, dtype=U64)
-        np.cumsum(weights[b[lo:hi]] * up[:size], out=sums[1:])
-        s, e = start[i:j] - lo, end[i:j] - lo
-        out[i:j] = (sums[e] - sums[s]) * down[s] + (e - s).astype(U64) * U64(0x9E3779B97F4A7C15)
-        i = j
-    return finish(out)
+def slices_hash(b: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
+    """Hash of each slice."""
+    size = end - start
+    out = splitmix(size.astype(U64) + U64(lane << 40))
+    if not len(start):
+        return out
+    word = np.ndarray(len(b) + 1, "<u8", np.concatenate((b, np.zeros(8, np.uint8))), strides=(1,))
+    live, at, left = None, start, size  # None: all slices
+    while True:
+        x = word[at]
+        short = np.flatnonzero(left < 8)
+        x[short] &= _REST[left[short]]
+        if live is None:
+            out = finish(out ^ x)
+        else:
+            out[live] = finish(out[live] ^ x)
+        more = np.flatnonzero((left > 8) & (left <= LONG))
+        if not len(more):
+            break
+        live, at, left = (more if live is None else live[more]), at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(b[start[i] : end[i]].tobytes(), digest_size=8, person=bytes([lane])).digest(), "little")
+    return out
 
 
 def word_grams(hashes: np.ndarray, k: int, at: np.ndarray | None = None) -> np.ndarray:
@@ -165,11 +169,28 @@ def word_grams(hashes: np.ndarray, k: int, at: np.ndarray | None = None) -> np.n
     pick = (lambda j: hashes[j : j + n]) if at is None else (lambda j: hashes[at + j])
     out = pick(0).copy()
     for j in range(1, k):
-        out *= BASE
+        out ^= out >> U64(32)
+        out *= STEP
         out += pick(j)
     return finish(out)
 
 
+def same_bytes(b: np.ndarray, one: np.ndarray, other: np.ndarray, size: np.ndarray, most: int = 4 << 20) -> np.ndarray:
+    """Whether slices of equal sizes hold equal bytes; compared in pieces of bounded size."""
+    out = np.ones(len(one), dtype=bool)
+    sums = np.concatenate(([0], np.cumsum(size)))
+    i = 0
+    while i < len(one):
+        j = max(i + 1, int(np.searchsorted(sums, sums[i] + most, side="right")) - 1)
+        step = np.arange(sums[j] - sums[i]) - np.repeat(sums[i:j] - sums[i], size[i:j])
+        differ = b[np.repeat(one[i:j], size[i:j]) + step] != b[np.repeat(other[i:j], size[i:j]) + step]
+        filled = np.flatnonzero(size[i:j])
+        if len(filled):
+            out[i + filled] = ~np.logical_or.reduceat(differ, (sums[i:j] - sums[i])[filled])
+        i = j
+    return out
+
+
 def pack_sorted(keys: np.ndarray) -> bytes:
     """Ascending keys as 16-bit differences; 65535 stands for a step that goes on."""
     if not len(keys):

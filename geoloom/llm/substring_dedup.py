@@ -4,7 +4,9 @@ Every text's non-overlapping blocks of ``block`` words form an index; every
 rolling window of ``block`` words probes it. A window of ``window`` words holds
 one whole block of any text that also has it if ``window >= 2 * block - 1``, so
 no repeat is missed. Hits extend to maximal runs of windows that recur; in
-those, whole windows meet by 64-bit hash and the smallest document id wins.
+those, whole windows meet by 128 bits of hash (two lanes of mixed words; words
+of over 512 bytes by BLAKE2) and the smallest document id wins. The shorter keys
+before only choose candidates.
 
 Defined results: a null text has no words; rows with a null id sort before all
 ids and yield null ids; rows that share an id are one document to each other
@@ -98,7 +100,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             hashes, first = _distinct(words, found, window, buckets)
             owner = texts.id[words.text[found[first]]]
             limits = S.split_by_bucket(hashes[0], buckets, 34)
-            out += [{"bucket": b, "shard": shard, "a": K.planes(hashes[1][i:j]), "b": K.planes(owner[i:j])} for b, (i, j) in enumerate(zip(limits, limits[1:])) if j > i]
+            out += [{"bucket": b, "shard": shard, "a": K.planes(hashes[1][i:j]), "b": K.planes(owner[i:j]), "c": K.planes(hashes[2][i:j])} for b, (i, j) in enumerate(zip(limits, limits[1:])) if j > i]
         return S.message_table(out)
 
     def answer_windows(table: pa.Table) -> pa.Table:
@@ -109,9 +111,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             hashes = [K.unplanes(r["a"], np.uint64) for r in rows]
             limits = np.cumsum([0, *map(len, hashes)])
             owner = np.concatenate([K.unplanes(r["b"], np.int64) for r in rows])
-            h = np.concatenate(hashes)
-            order = np.argsort(h)
-            at = K.starts_of(h[order])
+            h, second = np.concatenate(hashes), np.concatenate([K.unplanes(r["c"], np.uint64) for r in rows])
+            order, at = _grouped(h, second)
             least = np.minimum.reduceat(owner[order], at)
             later = np.empty(len(h), dtype=bool)
             later[order] = owner[order] > np.repeat(least, np.diff(np.append(at, len(h))))
@@ -151,15 +152,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return S.with_answers(dealt, met, cut, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
 
 
-def _distinct(words: K.Words, found: np.ndarray, window: int, buckets: int, inverse: bool = False):
-    """Distinct windows among those found, by (bucket, hash), with the first place of each."""
-    h = K.word_grams(words.hash, window, found)
+def _grouped(h: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal pairs together, earlier places first, and where each group starts in it."""
     order = np.argsort(h, kind="stable")
-    at = K.starts_of(h[order])
+    a, b = h[order], second[order]
+    if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():  # one lane alone does not tell these apart
+        order = np.lexsort((second, h))
+        a, b = h[order], second[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return order, np.flatnonzero(new)
+
+
+def _distinct(words: K.Words, found: np.ndarray, window: int, buckets: int, inverse: bool = False):
+    """Distinct windows among those found: bucket, hash and second hash in this order, with the first place of each."""
+    h, second = K.word_grams(words.hash, window, found), K.word_grams(words.second(), window, found)
+    order, at = _grouped(h, second)
     values, first = h[order][at], order[at]
     route = ((values >> np.uint64(13)) % np.uint64(buckets) << np.uint64(34)) | (values >> np.uint64(30))
-    by = np.lexsort((values, route >> np.uint64(34)))
-    out = ((route[by], values[by]), first[by])
+    by = np.lexsort((second[first], values, route >> np.uint64(34)))
+    out = ((route[by], values[by], second[first][by]), first[by])
     if not inverse:
         return out
     rank, back = np.empty(len(by), dtype=np.int64), np.empty(len(h), dtype=np.int64)

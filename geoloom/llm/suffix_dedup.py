@@ -10,6 +10,7 @@ a suffix array by Larsson-Sadakane refinement and Kasai's common prefixes, and
 windows that share ``length`` bytes form a class whose first member stays. An
 anchor whose slices do not fit into one array is spread over several; their
 distinct windows are merged by binary search in the sorted windows before.
+Hashes only bring slices together: no byte goes before bytes were compared.
 
 Defined results: a null text is empty; rows with a null id come before all
 others and yield null ids; rows that share an id are ordered by their text;
@@ -42,7 +43,7 @@ def slices(b: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.n
         h = K.BYTE[b[lo:hi]]
         size = 1
         while size < GRAM:
-            h = h[:-size] * np.uint64(int(K.BASE) ** size & (1 << 64) - 1) + h[size:]
+            h = (h[:-size] ^ (h[:-size] >> np.uint64(32))) * K.STEP + h[size:]
             size *= 2
         h = K.finish(h)
         low = np.uint64((1 << 19) - 1)
@@ -147,6 +148,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         lead = np.ones(len(order), dtype=bool)
         a, b = order[1:], order[:-1]
         lead[1:] = (code[a] != code[b]) | (same[a] != same[b]) | (size[a] != size[b])
+        _split_unequal(texts.bytes, first, size, order, lead)
         sent = np.zeros(len(first), dtype=bool)
         sent[order[lead]] = True
         shard = table.column("shard")[0].as_py()
@@ -222,6 +224,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return S.with_answers(dealt, met, cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
 
 
+def _split_unequal(text: np.ndarray, first: np.ndarray, size: np.ndarray, order: np.ndarray, lead: np.ndarray) -> None:
+    """Slices that follow a lead of equal hash and size but hold other bytes become leads themselves."""
+    copy = np.flatnonzero(~lead)
+    if len(copy):
+        of = np.maximum.accumulate(np.where(lead, np.arange(len(lead)), 0))[copy]
+        lead[copy[~K.same_bytes(text, first[order[copy]], first[order[of]], size[order[copy]])]] = True
+
+
 def merge_slices(heads: np.ndarray, text: np.ndarray, length: int, array_bytes: int = ARRAY_BYTES) -> np.ndarray:
     """Which windows of the slices have an equal one in a slice that comes before, by (id, place).
 
@@ -236,6 +246,7 @@ def merge_slices(heads: np.ndarray, text: np.ndarray, length: int, array_bytes:
     a, b = order[1:], order[:-1]
     lead = np.ones(len(order), dtype=bool)
     lead[1:] = (code[a] != code[b]) | (same[a] != same[b]) | (size[a] != size[b])
+    _split_unequal(text, at[:-1], size, order, lead)
     copies = order[~lead]
     out[ragged(first_window[copies], windows[copies])] = True
     leads = order[lead]

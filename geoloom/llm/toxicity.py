@@ -55,7 +55,7 @@ def features(texts: K.Texts) -> tuple[np.ndarray, np.ndarray]:
     hashes, text = [words.hash], [words.text]
     for n in BEGINNINGS:
         long = np.flatnonzero(words.end - words.start > n)
-        hashes.append(K.slices_hash(folded.bytes, words.start[long], words.start[long] + n, K.BYTE_LOWER) ^ _SALT[n])
+        hashes.append(K.slices_hash(words.folded, words.start[long], words.start[long] + n) ^ _SALT[n])
         text.append(words.text[long])
     return np.concatenate(hashes), np.concatenate(text)
 
