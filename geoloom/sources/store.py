@@ -9,16 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where that is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``. Where that is unset, one of our own in local mode (tests), and an error on a cluster."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-geoloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
 def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, which goes when the session's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/geoloom-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
