@@ -60,7 +60,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Two documents link when 100 * intersection >= percent * union.
     """
-    dealt = S.deal(docs, id_col, text_col, **sizes)
+    dealt = S.deal(docs, id_col, text_col, whole_ids=False, **sizes)
     buckets = dealt.buckets
 
     def send(table: pa.Table) -> pa.Table:
@@ -110,7 +110,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         tokens = [np.sort(token[at[i] : at[i + 1]])[size[i] - recurs[i] :].tobytes() if prefix[i] else None for i in range(len(sets))]
         return pa.table({"doc_id": texts.ids(), "n": pa.array(size), "digest": pa.array(digest), "prefix": pa.array(prefix), "tokens": pa.array(tokens, pa.binary())})
 
-    asked = S.at_buckets(S.from_shards(dealt, send), answer)
+    asked = S.at_buckets(dealt, S.from_shards(dealt, send), answer)
     sets = written(S.with_answers(dealt, asked, narrow, "doc_id long, n long, digest long, prefix long, tokens binary"))
     links = _cluster_links(sets.where("tokens is not null"), percent, block_shingles)
     found = components(links)

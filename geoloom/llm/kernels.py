@@ -49,13 +49,14 @@ SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 
 
 class Texts:
-    """The texts of a shard, in the order of (id, text), nulls first, with an ordinal for equal ids."""
+    """The texts of a shard, in the order of (id, text), nulls first, with an ordinal for equal ids; ``row``: their places in the table."""
 
     def __init__(self, table: pa.Table, with_order: bool = True):
         ids = table.column("doc_id").combine_chunks()
         self.null = np.asarray(ids.is_null())
         key = np.asarray(ids.fill_null(NULL_ID)).astype(np.int64)
         body = table.column("body").combine_chunks()
+        self.row = np.arange(len(key))
         if with_order and len(key) > 1:
             order = np.argsort(key, kind="stable")
             same = np.flatnonzero(np.diff(key[order]) == 0)
@@ -63,6 +64,7 @@ class Texts:
                 order = np.array(sorted(range(len(key)), key=lambda i: (key[i], body[i].as_py())))
             body = body.take(pa.array(order))
             key, self.null = key[order], self.null[order]
+            self.row = order
         self.id = key
         n = len(key)
         new = np.ones(n, dtype=bool)

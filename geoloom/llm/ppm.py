@@ -64,9 +64,8 @@ def _grams(stream: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 
 def _held_out(texts: K.Texts, table: pa.Table) -> np.ndarray:
-    """By text; the shard's rows carry the flag beside their ids."""
-    flag = dict(zip(table.column("doc_id").to_pylist(), table.column("held_out").to_pylist()))
-    return np.array([flag[None if null else i] for i, null in zip(texts.id.tolist(), texts.null.tolist())], dtype=bool)
+    """By text; the shard's rows carry the flag."""
+    return np.asarray(table.column("held_out").combine_chunks())[texts.row].astype(bool)
 
 
 def _parts(texts: K.Texts) -> list[tuple[int, int]]:
@@ -101,9 +100,9 @@ class _Part:
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", **sizes) -> DataFrame:
     """One row per document: held_out, n_tokens, n_known, train_tokens, base_score and score; learns from rows where ``held_out`` is false."""
     sizes = {"shard_bytes": 8 << 20} | sizes
-    dealt = S.deal(docs, id_col, text_col, also={"held_out": F.coalesce(held_out, F.lit(False))}, **sizes)
+    dealt = S.deal(docs, id_col, text_col, also={"held_out": F.coalesce(held_out, F.lit(False))}, whole_ids=False, **sizes)
     buckets = dealt.buckets
-    pairs = _pair_counts(dealt.texts)
+    pairs = _pair_counts(dealt.rows)
 
     def route(gram: np.ndarray) -> np.ndarray:
         """By the two bytes before the predicted one."""
@@ -203,7 +202,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
             "total": pa.array(np.zeros(len(texts), dtype=bool)),
         })
 
-    answers = S.at_buckets(S.from_shards(dealt, send), answer)
+    answers = S.at_buckets(dealt, S.from_shards(dealt, send), answer)
     rows = written(S.with_answers(dealt, answers, add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, log_counts double, score double, total boolean"))
     n, kinds = rows.where("total").agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_known"), F.lit(0))).first()
     return rows.where("not total").select(

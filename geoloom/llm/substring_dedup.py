@@ -39,7 +39,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per document: n_words, n_removed, kept_sha256, and with ``with_text`` the kept text."""
     if window < 2 * block - 1:
         raise ValueError("a window must hold a whole block: window >= 2 * block - 1")
-    dealt = S.deal(docs, id_col, text_col, **sizes)
+    dealt = S.deal(docs, id_col, text_col, whole_ids=False, **sizes)
     buckets = dealt.buckets
 
     def send_probes(table: pa.Table) -> pa.Table:
@@ -147,8 +147,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out["kept"] = pa.array([kept[i:j].tobytes() for i, j in zip(kept_at, kept_at[1:])], pa.binary()).cast(pa.string())
         return pa.table(out)
 
-    probed = S.at_buckets(S.from_shards(dealt, send_probes), answer_probes)
-    met = S.at_buckets(S.with_answers(dealt, probed, send_windows), answer_windows)
+    probed = S.at_buckets(dealt, S.from_shards(dealt, send_probes), answer_probes)
+    met = S.at_buckets(dealt, S.with_answers(dealt, probed, send_windows), answer_windows)
     return S.with_answers(dealt, met, cut, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
 
 

@@ -219,8 +219,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out["kept"] = pa.array([kept[i:j].tobytes() for i, j in zip(kept_at, kept_at[1:])], pa.binary())
         return pa.table(out)
 
-    asked = S.at_buckets(S.from_shards(dealt, send_anchors), answer_anchors)
-    met = S.at_buckets(S.with_answers(dealt, asked, send_slices), answer_slices)
+    asked = S.at_buckets(dealt, S.from_shards(dealt, send_anchors), answer_anchors)
+    met = S.at_buckets(dealt, S.with_answers(dealt, asked, send_slices), answer_slices)
     return S.with_answers(dealt, met, cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
 
 
