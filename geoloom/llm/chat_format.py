@@ -1,12 +1,14 @@
 """Chat formatting by linking tool calls, in DataFrame and SQL functions only.
 
-Calls and results meet in a hash join on conversation and call id. Arguments
-may name other calls ("$id"); such calls come later. Chains of calls that name
+Calls and results meet in a hash join on conversation and call id. Declared
+arguments may name other calls ("$id", alone or in a list); such calls come
+later. Which arguments do is a parameter; names are read from the parsed JSON,
+so a "$" in any other text means nothing. Chains of calls that name
 one call each are followed by pointer jumping, in rounds as the logarithm of
 their length; each further round gives a level to calls that name several, until
-none is new, and what is left names itself in a circle. Arguments are checked
-against the tools' schemas, and calls
-and results are serialised as canonical JSON (keys in order, no blanks). Each
+none is new. What is left has no level: it names a missing call or one that
+waits for a missing one, or it is in or behind a circle. Arguments are checked
+against the tools' schemas, and calls and results are serialised as canonical JSON (keys in order, no blanks). Each
 call is a row with its place (level, turn), so a conversation of any length is
 never gathered.
 
@@ -14,22 +16,35 @@ Defined results: of calls with one id the first turn counts, further ones are
 'duplicate' and take no result; a result without a call is 'orphan', a call
 without a result 'unanswered'; of results with one id the first counts, further
 ones are rows of their own, 'answered again'; arguments that are no JSON object are 'not an
-object'; null ids link with nothing; empty tables yield no rows. Other columns
-are ignored.
+object'; null ids link with nothing, and their rows are spread over tasks; a
+text of any length is one string; empty tables yield no rows. Other columns are
+ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.llm.store import written
 
-_NAMED = r'"\$([^"]+)"'
+def _needs(references: dict[str, list[str]] | None = None) -> Column:
+    """The calls that a call's arguments name: those of its tool's ``references``, or all top-level ones."""
+    fields = F.try_variant_get(F.try_parse_json("arguments"), "$", "map<string, variant>")
 
+    def named(value: Column) -> Column:
+        some = F.coalesce(F.try_variant_get(value, "$", "array<string>"), F.array(F.try_variant_get(value, "$", "string")))
+        some = F.when(F.schema_of_variant(value).rlike("STRING"), some).otherwise(F.array().cast("array<string>"))
+        return F.transform(F.filter(some, lambda x: x.rlike(r"(?s)^\$.+$")), lambda x: F.substr(x, F.lit(2)))
 
-def _needs():
-    return F.array_distinct(F.regexp_extract_all(F.coalesce("arguments", F.lit("")), F.lit(_NAMED), 1))
+    if references is None:
+        every = F.flatten(F.transform(F.map_values(fields), named))
+    else:
+        every = F.array().cast("array<string>")
+        for tool, names in sorted(references.items()):
+            if names:
+                every = F.when(F.col("name") == tool, F.flatten(F.array(*(named(F.element_at(fields, k)) for k in names)))).otherwise(every)
+    return F.array_distinct(F.coalesce(every, F.array().cast("array<string>")))
 
 
 def _followed(nodes: DataFrame) -> DataFrame:
@@ -49,9 +64,22 @@ def _followed(nodes: DataFrame) -> DataFrame:
     return state.where("not open").drop("open")
 
 
-def _levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level); level is null in circles and where a named call is missing."""
-    nodes = calls.select("conv_id", "call_id", _needs().alias("needs"))
+def _levels(calls: DataFrame, references: dict[str, list[str]] | None = None) -> DataFrame:
+    """(conv_id, call_id, level); calls in or behind circles, and those that wait for a missing one, are left out."""
+    return _leveled(calls.select("conv_id", "call_id", _needs(references).alias("needs")))
+
+
+def _without_missing(nodes: DataFrame) -> DataFrame:
+    """``nodes`` whose needs are in the table; empty if all are."""
+    edges = nodes.where(F.size("needs") > 0).select("conv_id", "call_id", F.explode("needs").alias("need"))
+    lost = written(edges.join(nodes.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"], "left_anti"))
+    if lost.isEmpty():
+        return nodes.limit(0)
+    gone = lost.groupBy("conv_id", "call_id").agg(F.collect_set("need").alias("gone"))
+    return nodes.join(gone, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.when(F.col("gone").isNull(), F.col("needs")).otherwise(F.array_except("needs", "gone")).alias("needs"))
+
+
+def _leveled(nodes: DataFrame) -> DataFrame:
     done = nodes.where(F.size("needs") == 0).select("conv_id", "call_id", F.lit(0).cast("long").alias("level"))
     if nodes.where(F.size("needs") > 0).isEmpty():
         return done
@@ -77,22 +105,33 @@ def _levels(calls: DataFrame) -> DataFrame:
     return done.unionByName(along.join(on, ["conv_id", "root"]).select("conv_id", "call_id", (F.col("level") + F.col("steps")).alias("level")))
 
 
-def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, str]]) -> DataFrame:
+def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, str]], references: dict[str, list[str]] | None = None) -> DataFrame:
     """One row per call or orphan result: place, problems, canonical JSON of both.
 
     ``calls`` has (conv_id, call_id, turn, name, arguments), ``results`` (conv_id,
     call_id, turn, content), ``schemas`` maps a tool's name to its arguments and
     their types ('string', 'integer', 'number', 'boolean'); all are required.
+    ``references`` maps a tool's name to the arguments that may name calls; by
+    default every argument may.
     """
+    known = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
+    calls, results = calls.select("conv_id", "call_id", "turn", "name", "arguments"), results.select("conv_id", "call_id", "turn", "content")
     first = Window.partitionBy("conv_id", "call_id").orderBy("turn", "name", "arguments")
-    nth = F.when(F.col("conv_id").isNull() | F.col("call_id").isNull(), F.lit(1)).otherwise(F.row_number().over(first))
-    ranked = written(calls.select("conv_id", "call_id", "turn", "name", "arguments").withColumn("nth", nth).withColumn("call", F.lit(True)))
-    linked = results.where("conv_id is not null and call_id is not null").select("conv_id", "call_id", "turn", "content", F.row_number().over(Window.partitionBy("conv_id", "call_id").orderBy("turn", "content")).alias("answer"))
+    ranked = written(calls.where(known).withColumn("nth", F.row_number().over(first)))
+    linked = results.where(known).withColumn("answer", F.row_number().over(Window.partitionBy("conv_id", "call_id").orderBy("turn", "content")))
     answers = linked.groupBy("conv_id", "call_id").agg(F.min_by("content", "answer").alias("content"), F.min_by("turn", "answer").alias("answer_turn"), F.count("*").alias("answers"))
-    lone = results.where("conv_id is null or call_id is null").select("conv_id", "call_id", "content", F.col("turn").alias("answer_turn"), F.lit(1).cast("long").alias("answers"))
-    answers = answers.unionByName(lone)
-    levels = _levels(ranked.where("nth = 1 and conv_id is not null and call_id is not null"))
-    one = ranked.join(answers.withColumn("nth", F.lit(1)), ["conv_id", "call_id", "nth"], "full").join(levels.withColumn("nth", F.lit(1)), ["conv_id", "call_id", "nth"], "left")
+    nodes = written(ranked.where("nth = 1").select("conv_id", "call_id", _needs(references).alias("needs")))
+    levels = _leveled(nodes).withColumn("late", F.lit(False))
+    found = _without_missing(nodes)
+    if not found.isEmpty():
+        late = _leveled(written(found)).join(levels, ["conv_id", "call_id"], "left_anti")
+        levels = levels.unionByName(late.select("conv_id", "call_id", F.lit(None).cast("long").alias("level"), F.lit(True).alias("late")))
+    met = ranked.withColumn("call", F.lit(True)).join(answers.withColumn("nth", F.lit(1)), ["conv_id", "call_id", "nth"], "full").join(levels.withColumn("nth", F.lit(1)), ["conv_id", "call_id", "nth"], "left")
+    # rows without an id link with nothing, so they need no join
+    names = F.size(_needs(references)) > 0
+    alone = calls.where(~known).select("*", F.when(~names, F.lit(0)).cast("long").alias("level"), names.alias("late"), F.lit(1).alias("nth"), F.lit(True).alias("call"))
+    lone = results.where(~known).select("conv_id", "call_id", "content", F.col("turn").alias("answer_turn"), F.lit(1).cast("long").alias("answers"), F.lit(1).alias("nth"))
+    one = met.unionByName(alone, allowMissingColumns=True).unionByName(lone, allowMissingColumns=True).withColumn("level", F.col("level").cast("int"))
     parsed = F.try_parse_json("arguments")
     kind = F.schema_of_variant(parsed)
     types = F.try_variant_get(parsed, "$", "map<string, variant>")
@@ -102,13 +141,11 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
         checks = [F.when(~F.coalesce(F.schema_of_variant(F.element_at(types, k)).rlike(f"^({good[t]})$"), F.lit(False)), F.lit(k)) for k, t in sorted(fields.items())]
         extra = F.array_except(F.map_keys(types), F.array(*(F.lit(k) for k in fields))) if fields else F.map_keys(types)
         wrong = F.when(F.col("name") == tool, F.concat_ws(",", F.array_compact(F.array(*checks)) if checks else F.array().cast("array<string>"), extra)).otherwise(wrong)
-    level = F.when(F.col("nth").isNotNull() & (F.col("conv_id").isNull() | F.col("call_id").isNull()) & F.col("call").isNotNull() & (F.size(_needs()) == 0), F.lit(0)).otherwise(F.col("level")).cast("int")
-    one = one.withColumn("level", level)
     is_call = F.col("call").isNotNull()
     problem = (
         F.when(~is_call, "orphan").when(F.col("nth") > 1, "duplicate").when(~F.coalesce(kind.startswith("OBJECT"), F.lit(False)), "not an object")
         .when(wrong.isNull(), "unknown tool").when(wrong != "", F.concat(F.lit("arguments: "), wrong))
-        .when(F.col("level").isNull(), "circle").when(F.col("content").isNull() & F.col("answers").isNull(), "unanswered")
+        .when(F.col("late"), "names a missing call").when(F.col("level").isNull(), "circle").when(F.col("content").isNull() & F.col("answers").isNull(), "unanswered")
         .when(F.col("answer_turn") < F.col("turn"), "answered before").when(F.col("answers") > 1, "answered twice")
     )
     canonical = F.coalesce(F.to_json(parsed), F.to_json(F.struct(F.col("arguments").alias("text"))))
@@ -173,10 +210,12 @@ def format_turns(turns: DataFrame) -> DataFrame:
     """
     asked = turns.where("role = 'user'").select("conv_id", "turn", "text")
     asked = asked.join(_turns_before(asked), ["conv_id", "turn"], "left")
-    rows = link_tool_calls(_reply_calls(asked), _reply_results(turns), CONVERSATION_TOOLS)
+    rows = link_tool_calls(_reply_calls(asked), _reply_results(turns), CONVERSATION_TOOLS, CONVERSATION_REFERENCES)
     message = F.concat(F.lit('{"content":'), _string("text"), F.lit(',"role":'), _string("role"), F.lit("}"))
     others = turns.where("role is null or role not in ('user', 'assistant')")
     return rows.unionByName(others.select("conv_id", _null("string", "call_id"), _null("int", "level"), "turn", _null("long", "answer_turn"), F.col("role").alias("name"), F.lit(False).alias("linked"), _null("string", "problem"), message.alias("call_json"), _null("string", "result_json")))
 
 
+#: Only this argument names calls: a prompt may hold any text.
+CONVERSATION_REFERENCES = {"reply": ["after"]}
 CONVERSATION_TOOLS = {"reply": {"after": "string", "prompt": "string", "words": "integer"}}

@@ -61,10 +61,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of equal texts."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"))
-    body = lower_ascii(F.coalesce(F.col(text_col), F.lit("")))
-    same = Window.partitionBy(F.col(id_col), "__digest").orderBy(F.col(text_col))
-    own = docs.withColumn("__digest", F.sha2(body, 256)).alias("d")
-    left = own.join(kept.alias("k"), F.col(f"d.{id_col}").eqNullSafe(F.col("k.__id")) & (F.col("d.__digest") == F.col("k.__digest")), "left_semi")
-    return left.withColumn("__nth", F.row_number().over(same)).where("__nth = 1").drop("__nth", "__digest")
+    """``docs`` with one row of each group of equal texts.
+
+    What stays is decided on narrow rows; texts are shuffled once, by id and digest, so copies of one text spread.
+    """
+    key = lambda i, digest: F.concat_ws(":", digest, F.col(i).cast("string")).alias("__key")
+    kept = exact_groups(docs, id_col, text_col).where("kept").select(key("doc_id", F.col("text_sha256")))
+    own = docs.withColumn("__key", key(id_col, F.sha2(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), 256)))
+    left = own.join(kept, "__key", "left_semi")
+    same = Window.partitionBy("__key").orderBy(F.col(text_col))
+    return left.withColumn("__nth", F.row_number().over(same)).where("__nth = 1").select(*docs.columns)

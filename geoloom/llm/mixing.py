@@ -4,7 +4,10 @@ Each source's documents are dealt by hash into blocks, whose order is a hash
 permutation. A target of r times the source takes every block floor(r) times
 and then whole blocks in permuted order; in the one block where the target
 falls, documents follow in hash order, and the last one gives its first words
-only. So a source meets its target to the word.
+only. So a source meets its target to the word. A source has ``BLOCKS`` blocks
+at most, so that the tree stays small; the block that is cut is itself ordered
+in ``STRETCHES`` stretches of hashes, whose sums name the one stretch that a
+task has to put in order (of 10**11 documents, some thousand).
 
 Block copies are the quota that a splitting tree deals out: a node's shards are
 halved, and each half's share of every source is a multivariate hypergeometric
@@ -14,8 +17,11 @@ its documents by hash.
 
 Defined results: a null text has no words; a null source is a source of its
 own, last in order; sources without words have target 0; repeated rows are
-taken alike, each with its own words; an empty table yields no rows. Other
-columns are ignored by ``mix``; ``mixed_rows`` passes them on.
+drawn together, each with its own words, and of those where a target falls the
+last gives a part; a text of any length is one document; ties of hash follow
+the id; an empty table yields no rows. Other columns are ignored by ``mix``;
+``mixed_documents`` and ``mixed_rows`` pass them on, and a column of theirs
+whose name is taken gets underscores behind its name.
 """
 
 from __future__ import annotations
@@ -29,6 +35,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 MOST = 3
 #: Documents in a block, about, and blocks of a source at most.
 BLOCK_ROWS, BLOCKS = 256, 4096
+#: Stretches of hashes in the block where a target falls.
+STRETCHES = 4096
 
 
 def _uniform(*cols) -> Column:
@@ -84,9 +92,16 @@ def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: in
     b = blocks.select(F.col("source").alias("b_source"), F.col("block").alias("b_block"), "place", "state", (F.col("rest") - (F.col("reach") - F.col("block_size"))).alias("room"))
     dealt = dealt.join(b, dealt["source"].eqNullSafe(b["b_source"]) & (dealt["block"] == b["b_block"])).drop("b_source", "b_block")
     # one block a source at most is cut: its documents follow in hash order, the last of them in part
-    order = Window.partitionBy("source").orderBy("hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    cut = written(dealt.where("state = 'cut'").withColumn("stretch", F.shiftright("hash", 64 - STRETCHES.bit_length() + 1)))
+    sums = cut.groupBy("source", "stretch").agg(F.sum("size").alias("stretch_size"))
+    up_to = Window.partitionBy("source").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col("source").alias("b_source"), F.col("stretch").alias("b_stretch"), "stretch_size", F.coalesce(F.sum("stretch_size").over(up_to), F.lit(0)).alias("ahead"))
+    cut = cut.join(sums, cut["source"].eqNullSafe(sums["b_source"]) & (cut["stretch"] == sums["b_stretch"])).withColumn("room", F.col("room") - F.col("ahead"))
+    falls = (F.col("room") > 0) & (F.col("room") < F.col("stretch_size"))
+    order = Window.partitionBy("source", "stretch").orderBy("hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("size").over(order), F.lit(0))
-    cut = dealt.where("state = 'cut'").withColumn("part", F.greatest(F.lit(0), F.least("size", F.col("room") - before)))
+    last = cut.where(falls).withColumn("part", F.greatest(F.lit(0), F.least("size", F.col("room") - before)))
+    cut = cut.where(~falls).withColumn("part", F.when(F.col("room") > 0, F.col("size")).otherwise(F.lit(0))).unionByName(last)
     rest = dealt.where("state <> 'cut'").withColumn("part", F.when(F.col("state") == "whole", F.col("size")).otherwise(0))
     columns = ["doc_id", "source", "size", "hash", "source_size", "target", "blocks", "rounds", "block", "place", "state", F.col("part").cast("long").alias("part")]
     every = rest.select(*columns).unionByName(cut.select(*columns))
@@ -130,7 +145,7 @@ def split_tree(quotas: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     return leaves.select("shard", "source", F.coalesce(F.sum("quota").over(so_far), F.lit(0)).alias("start"), "quota")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = 16, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = 16, seed: int = 7, with_source: bool = False) -> DataFrame:
     """One row per document: size, source_size, target, taken, copies (the last may be a part), and ``shards``, the output shard of each copy."""
     plan = written(_plan(docs, id_col, text_col, source_col, seed))
     # items: each block once a round, then the blocks of the last, partial round
@@ -143,16 +158,43 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     item = lambda k: (F.col("place") - 1 + k * F.col("blocks")).cast("long")
     owner = lambda k: F.element_at(F.filter("starts", lambda s: s["start"] <= item(k)), -1)["shard"]
     of_copy = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), owner)).otherwise(F.array().cast("array<int>"))
-    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("rounds") + F.col("part")).alias("taken"), "copies", of_copy.alias("shards"), "hash")
+    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("rounds") + F.col("part")).alias("taken"), "copies", of_copy.alias("shards"), "hash", *["source"] * with_source)
 
 
-def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = 16, seed: int = 7) -> DataFrame:
-    """The mix itself: ``docs``' rows, once a copy, with ``mix_shard``, ``mix_words``, the number of first words that the copy gives, and ``mix_order``, the place by which the shard is shuffled.
+def _free(name: str, docs: DataFrame) -> str:
+    """``name``, with underscores behind it until ``docs`` has no such column."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
 
-    Rows that share an id are drawn alike.
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = 16, seed: int = 7) -> DataFrame:
+    """``docs``' rows with what the mix takes of each: mix_words, mix_copies, mix_shards (the output shard of each copy) and mix_order."""
+    key = ["__id", "__source", "__size"]
+    alike = Window.partitionBy(*key)
+    drawn = mix(docs, id_col, text_col, source_col, shards, seed, with_source=True)
+    drawn = drawn.select(F.col("doc_id").alias("__id"), F.coalesce("source", F.lit("\0")).alias("__source"), F.col("size").alias("__size"), "taken", "copies", "shards", "hash")
+    drawn = drawn.withColumn("__nth", F.row_number().over(alike.orderBy(F.desc("taken"))))
+    words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    own = docs.select("*", F.col(id_col).alias("__id"), F.coalesce(F.col(source_col).cast("string"), F.lit("\0")).alias("__source"), words.alias("__size"))
+    own = own.withColumn("__nth", F.row_number().over(alike.orderBy(F.xxhash64(text_col))))
+    same = F.col("o.__id").eqNullSafe(F.col("d.__id"))
+    for c in (*key[1:], "__nth"):
+        same = same & (F.col(f"o.{c}") == F.col(f"d.{c}"))
+    names = [_free(f"mix_{c}", docs) for c in ("words", "copies", "shards", "order")]
+    return own.alias("o").join(drawn.alias("d"), same).select(*(F.col(f"o.`{c}`") for c in docs.columns), *(F.col(f"d.{c}").alias(n) for c, n in zip(("taken", "copies", "shards", "hash"), names)))
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = 16, seed: int = 7, splits: int = 8) -> DataFrame:
+    """The mix itself: ``docs``' rows, once a copy, with ``mix_shard``, ``mix_words``, the number of first words that the copy gives, and ``mix_order``.
+
+    Each shard is dealt into ``splits`` partitions by ``mix_order`` and shuffled locally: partitions are in that order.
     """
-    drawn = mix(docs, id_col, text_col, source_col, shards, seed).where("copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.struct("taken", "size", "shards")).alias("__m"))
-    joined = docs.join(drawn, docs[id_col].eqNullSafe(drawn["__id"])).drop("__id")
-    copies = joined.select("*", F.posexplode("__m.shards").alias("__copy", "mix_shard"))
-    words = F.least(F.col("__m.size"), F.col("__m.taken") - F.col("__copy") * F.col("__m.size"))
-    return copies.withColumn("mix_words", words).withColumn("mix_order", F.xxhash64(F.lit(seed), F.col(id_col), "__copy", "mix_shard")).drop("__m", "__copy")
+    drawn = mixed_documents(docs, id_col, text_col, source_col, shards, seed)
+    taken, copies, places, order = drawn.columns[-4:]
+    shard, words, place = (_free(f"mix_{c}", docs) for c in ("shard", "words", "order"))
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    rows = drawn.where(F.col(copies) > 0).select(*docs.columns, F.col(taken).alias("__taken"), F.posexplode(places).alias("__copy", shard), size.alias("__size"))
+    rows = rows.withColumn(words, F.least(F.col("__size"), F.col("__taken") - F.col("__copy") * F.col("__size"))).withColumn(place, F.xxhash64(F.lit(seed), F.col(id_col), "__copy", shard))
+    rows = rows.select(*docs.columns, shard, words, place)
+    return rows.repartition(shards * splits, F.col(shard), F.pmod(place, F.lit(splits))).sortWithinPartitions(shard, place)

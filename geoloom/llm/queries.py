@@ -32,7 +32,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = chat_format.conversations_as_calls(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    return chat_format.link_tool_calls(calls, results, chat_format.CONVERSATION_TOOLS)
+    return chat_format.link_tool_calls(calls, results, chat_format.CONVERSATION_TOOLS, chat_format.CONVERSATION_REFERENCES)
 
 
 def op5_chat_formatting_whole(spark: SparkSession, sf_dir: str) -> DataFrame:

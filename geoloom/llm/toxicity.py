@@ -217,15 +217,20 @@ def _fit(x: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
 
 
 def score(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES, neighbours: int = NEIGHBOURS, keep: list[str] | None = None, with_evidence: bool = True) -> DataFrame:
-    """``docs``' columns in ``keep`` (by default the id) with tox_score and tox_evidence, the ids of the nearest examples.
+    """``docs``' columns in ``keep`` (by default the id) with tox_score and, behind it, tox_evidence, the ids of the nearest examples.
 
-    ``learn_from`` is a condition on ``labels``; only rows that meet it are learned.
+    ``learn_from`` is a condition on ``labels``; only rows that meet it are learned. If ``keep`` has a column tox_score
+    or tox_evidence, underscores follow the new one's name.
     """
     ship_package(docs.sparkSession)
     index, share = build(docs, labels, learn_from, id_col, text_col, label_col, examples, neighbours)
     keep = [id_col] if keep is None else keep
+    named = ["tox_score"] + ["tox_evidence"] * with_evidence
+    for i, name in enumerate(named):
+        while named[i].lower() in {c.lower() for c in keep}:
+            named[i] += "_"
     if index is None:
-        return docs.select(*keep, F.lit(float(share)).alias("tox_score"), F.array().cast("array<bigint>").alias("tox_evidence"))
+        return docs.select(*keep, F.lit(float(share)).alias(named[0]), *(F.array().cast("array<bigint>").alias(n) for n in named[1:]))
 
     def work(batches):
         base = index.vote(np.zeros(0, np.int64), np.zeros(0))
@@ -250,4 +255,4 @@ def score(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str =
     asked = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names)), F.col(id_col).cast("long").alias("doc_id"), *body)
     kept = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(keep, names))
     out = asked.mapInArrow(work, f"{kept}, tox_score double" + ", tox_evidence array<long>" * with_evidence)
-    return out.select(*(F.col(n).alias(c) for c, n in zip(keep, names)), "tox_score", *keep_evidence)
+    return out.select(*(F.col(n).alias(c) for c, n in zip(keep, names)), *(F.col(c).alias(n) for c, n in zip(("tox_score", "tox_evidence"), named)))
