@@ -3,7 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it
 kept: toxic documents go, of exact copies one stays, of near copies (5-word
 shingles, Jaccard 0.8) one stays, documents with benchmark items go, and the
-rest is mixed to target weights by source.
+rest is mixed to target weights by source. A document comes out once, with the
+number of its copies and their shards, so texts are not multiplied;
+``mixing.mixed_rows`` gives the copies themselves, shard by shard.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ TOXIC = 0.5
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = toxicity.score(docs, labels, F.lit(True), keep=docs.columns, with_evidence=False)
-    return scored.where(F.col("tox_score") < TOXIC).select(*docs.columns)
+    return scored.where(F.col(scored.columns[-1]) < TOXIC).select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +39,8 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with what the mix takes of each: size, source_size, target, taken, and the output shard of each copy."""
-    return mixing.mix(docs).drop("hash")
+    """The documents, texts included, with the words that the mix takes of each, its copies, and the output shard of each copy."""
+    return mixing.mixed_documents(docs)
 
 
 STAGES = [
