@@ -67,16 +67,29 @@ def segment_distance2(px: Column, py: Column, ax: Column, ay: Column, bx: Column
     return (px - ax - t * dx) ** 2 + (py - ay - t * dy) ** 2
 
 
-def near_segments(samples: DataFrame, segments: DataFrame, distance: float, size: float = CELL) -> DataFrame:
-    """Pairs of samples (x, y) and segments (ax, ay, bx, by) at most ``distance`` apart."""
+def _reached(segments: DataFrame, distance: float, size: float) -> DataFrame:
+    """A row for every cell with a point at most ``distance`` from a segment, and few more: long slanting segments touch few of their box's cells."""
     reach = segments.select("*", *(f(a, b).alias(n) for n, f, a, b in (("__x0", F.least, "ax", "bx"), ("__y0", F.least, "ay", "by"), ("__x1", F.greatest, "ax", "bx"), ("__y1", F.greatest, "ay", "by"))))
     r = box_cells(reach, F.col("__x0") - distance, F.col("__y0") - distance, F.col("__x1") + distance, F.col("__y1") + distance, size)
-    # long slanting segments touch few of their box's cells
     cx, cy = (F.col("__gx") + 0.5) * size, (F.col("__gy") + 0.5) * size
     far = distance + size * 0.7072
-    r = r.where(segment_distance2(cx, cy, F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) <= far * far)
+    return r.where(segment_distance2(cx, cy, F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) <= far * far).drop("__x0", "__y0", "__x1", "__y1")
+
+
+def near_segments(samples: DataFrame, segments: DataFrame, distance: float, size: float | None = None) -> DataFrame:
+    """Pairs of samples (x, y) and segments (ax, ay, bx, by) at most ``distance`` apart; cells are twice that wide."""
+    size = size or 2.0 * distance
     d2 = segment_distance2(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
-    return point_cell(samples, size=size).join(r, ["__gx", "__gy"]).withColumn("d2", d2).where(F.col("d2") <= distance * distance).drop("__gx", "__gy", "__x0", "__y0", "__x1", "__y1")
+    return point_cell(samples, size=size).join(_reached(segments, distance, size), ["__gx", "__gy"]).withColumn("d2", d2).where(F.col("d2") <= distance * distance).drop("__gx", "__gy")
+
+
+def beside_segments(samples: DataFrame, segments: DataFrame, distance: float, also: Column | None = None) -> DataFrame:
+    """Samples (x, y) that have a segment at most ``distance`` away that meets the condition ``also``. A semi join, so a sample's first hit ends its search."""
+    size = 2.0 * distance
+    met = segment_distance2(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) <= distance * distance
+    s = point_cell(samples, size=size).withColumnsRenamed({"__gx": "__sx", "__gy": "__sy"})
+    on = (F.col("__sx") == F.col("__gx")) & (F.col("__sy") == F.col("__gy")) & met
+    return s.join(_reached(segments, distance, size), on if also is None else on & also, "left_semi").drop("__sx", "__sy")
 
 
 def segment_cells(segments: DataFrame, ax: str, ay: str, bx: str, by: str, size: float = CELL) -> DataFrame:

@@ -94,61 +94,34 @@ def grf02_regions(spark, d):
     return G.regions(c, 100, "cls").groupBy("component", "cls").agg(F.count("*").alias("cells"))
 
 
-def _snapped(ends):
-    return G.snapped(ends, 4.0).select("id", "node", "degree", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
-
-
 def grf01_snapped(spark, d):
-    """First vertices only, as the SQL twin has it; grf01_snapped_whole takes both ends."""
-    return _snapped(T.vertices(spark, d).where("pos = 1").select(F.col("line_id").alias("id"), "x", "y"))
-
-
-def grf01_snapped_whole(spark, d):
     """Both ends of every line: id is line_id * 2, plus one for the last vertex; a line of one vertex has one end."""
     v = T.vertices(spark, d)
     last = v.groupBy("line_id").agg(F.max_by(F.struct("x", "y"), "pos").alias("p"), F.max("pos").alias("n")).where("n > 1")
     first = v.where("pos = 1").select((F.col("line_id") * 2).alias("id"), "x", "y")
-    return _snapped(first.unionByName(last.select((F.col("line_id") * 2 + 1).alias("id"), "p.x", "p.y")))
-
-
-def _chain_pieces(spark, d):
-    return T.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 3001 + 100000).alias("b"))
+    ends = first.unionByName(last.select((F.col("line_id") * 2 + 1).alias("id"), "p.x", "p.y"))
+    return G.snapped(ends, 4.0).select("id", "node", "degree", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
 def grf03_chains(spark, d):
-    """Every fourth order, as the SQL twin has it; grf03_chains_whole takes all."""
-    return G.chained(_chain_pieces(spark, d).where("id % 4 = 0"))
-
-
-def grf03_chains_whole(spark, d):
-    return G.chained(_chain_pieces(spark, d))
-
-
-def _reach_links(spark, d):
-    return T.table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 1499 + 1).alias("b"))
+    return G.chained(T.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 3001 + 100000).alias("b")))
 
 
 def grf05_reachable(spark, d):
-    """A ninth of the orders and ids up to 1500, as the SQL twin has it; grf05_reachable_whole takes all."""
     ids = T.rects(spark, d).select(F.col("fid").alias("id"))
-    links = _reach_links(spark, d).where("o_orderkey % 9 = 0 and a <= 1500 and b <= 1500").select("a", "b")
+    links = T.table(spark, d, "orders").select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 1499 + 1).alias("b"))
     return G.reachable(ids, links, ids.where("id % 500 = 7"))
 
 
-def grf05_reachable_whole(spark, d):
-    ids = T.rects(spark, d).select(F.col("fid").alias("id"))
-    return G.reachable(ids, _reach_links(spark, d).select("a", "b"), ids.where("id % 500 = 7"))
-
-
 def _arms(spark, d):
     node = (F.floor(F.col("ax") / 20) * 100 + F.floor(F.col("ay") / 20)).cast("long")
     bearing = F.round(geometry.bearing(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")), 4)
     return sequence.segments(T.vertices(spark, d)).select(node.alias("node"), "line_id", "pos", bearing.alias("bearing"))
 
 
-def grf08_strokes(spark, d):
-    """The first six arms of each line, as the SQL twin has it; grf08_strokes_whole takes all."""
-    arms = _arms(spark, d).where("pos <= 6").select("node", (F.col("line_id") * 100 + F.col("pos")).alias("arm"), "bearing")
+def grf08_best_pairs(spark, d):
+    """The arms of a node that continue each other best, in one round."""
+    arms = _arms(spark, d).select("node", (F.col("line_id") * 1000 + F.col("pos")).alias("arm"), "bearing")
     return G.straightest(arms).select("node", "a", "b", F.round(F.col("turn") + 1e-6, 2).alias("turn"))
 
 
@@ -164,18 +137,12 @@ def _ends(spark, d):
     return end(0, "ax", "ay", "bx", "by").unionByName(end(1, "bx", "by", "ax", "ay"))
 
 
-def grf08_strokes_whole(spark, d):
+def grf08_strokes(spark, d):
     """Strokes of all segments: straightest pairs first, each end once, two-end nodes at any angle."""
     return G.strokes(_ends(spark, d))
 
 
 def top01_spaced(spark, d):
-    """The first two vertices of each line, as the SQL twin has it; top01_spaced_whole takes all."""
-    p = T.vertices(spark, d).where("pos <= 2").select((F.col("line_id") * 10 + F.col("pos")).alias("id"), "x", "y", F.col("line_id") % 97)
-    return G.spaced(p.toDF("id", "x", "y", "score"), 12.0)
-
-
-def top01_spaced_whole(spark, d):
     p = T.vertices(spark, d).select((F.col("line_id") * 100000 + F.col("pos")).alias("id"), "x", "y", F.col("line_id") % 97)
     return G.spaced(p.toDF("id", "x", "y", "score"), 12.0)
 
@@ -210,18 +177,18 @@ SQL = {
     "set19_perimeter": f"WITH {_CELLS}, b AS (SELECT fid, max(rr) - min(rr) + 1 AS h, max(cc) - min(cc) + 1 AS w FROM rc GROUP BY 1) SELECT fid, 2 * (h + w) AS perimeter FROM b",
     "set22_yielding_rows": f"WITH {_CELLS}, b AS (SELECT DISTINCT rr, cc FROM rc WHERE kind = 'BUILDING') SELECT fid, count(*) AS cells FROM rc WHERE kind = 'AUTOMOBILE' AND NOT EXISTS (SELECT 1 FROM b WHERE b.rr = rc.rr AND b.cc = rc.cc) GROUP BY 1",
     "agg30_bands": "SELECT CASE WHEN (x1-x0)*(y1-y0) < 100 THEN 'small' WHEN (x1-x0)*(y1-y0) < 300 THEN 'medium' ELSE 'large' END AS band, count(*) AS n, round(sum((x1-x0)*(y1-y0)), 3) AS area FROM fx_rects GROUP BY 1",
-    "grf08_strokes": """WITH s AS (SELECT line_id, pos, x, y, lead(x) OVER w AS bx, lead(y) OVER w AS by_ FROM fx_vertices WINDOW w AS (PARTITION BY line_id ORDER BY pos)),
-      a AS (SELECT CAST(floor(x/20)*100 + floor(y/20) AS BIGINT) AS node, line_id*100 + pos AS arm, round((degrees(atan2(bx-x, by_-y)) + 360) % 360, 4) AS bearing FROM s WHERE bx IS NOT NULL AND pos <= 6),
+    "grf08_best_pairs": """WITH s AS (SELECT line_id, pos, x, y, lead(x) OVER w AS bx, lead(y) OVER w AS by_ FROM fx_vertices WINDOW w AS (PARTITION BY line_id ORDER BY pos)),
+      a AS (SELECT CAST(floor(x/20)*100 + floor(y/20) AS BIGINT) AS node, line_id*1000 + pos AS arm, round((degrees(atan2(bx-x, by_-y)) + 360) % 360, 4) AS bearing FROM s WHERE bx IS NOT NULL),
       p AS (SELECT a.node, a.arm AS a, b.arm AS b, abs(180 - least(abs(a.bearing-b.bearing) % 360, 360 - abs(a.bearing-b.bearing) % 360)) AS turn FROM a JOIN a b ON a.node = b.node AND a.arm < b.arm),
       q AS (SELECT * FROM p WHERE turn <= 45), e AS (SELECT node, a, b, turn, a AS arm FROM q UNION ALL SELECT node, a, b, turn, b FROM q),
       k AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY node, arm ORDER BY turn, a, b) = 1)
       SELECT node, a, b, round(turn + 1e-6, 2) AS turn FROM k GROUP BY node, a, b, k.turn HAVING count(*) = 2""",
     "grf_list_ranks": "SELECT line_id*1000 + pos AS id, count(*) OVER (PARTITION BY line_id ORDER BY pos DESC) - 1 AS rank FROM fx_vertices",
     "agg29_dissolve": f"WITH RECURSIVE {_CELLS}, c AS (SELECT DISTINCT rr, cc, rr*1000 + cc AS id FROM rc WHERE kind = 'FURNITURE'), l AS (SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON (a.rr = b.rr AND abs(a.cc - b.cc) = 1) OR (a.cc = b.cc AND abs(a.rr - b.rr) = 1)), f(root, id) AS (SELECT id, id FROM c UNION SELECT f.root, l.b FROM f JOIN l ON f.id = l.a AND l.b > f.root), m AS (SELECT id, min(root) AS component FROM f GROUP BY 1) SELECT component, count(*) AS cells FROM m GROUP BY 1",
-    "grf01_snapped": "WITH RECURSIVE v AS (SELECT line_id AS id, x, y FROM fx_vertices WHERE pos = 1), l AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.id <> b.id AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) <= 16), f(root, id) AS (SELECT id, id FROM v UNION SELECT f.root, l.b FROM f JOIN l ON f.id = l.a), m AS (SELECT id, min(root) AS node FROM f GROUP BY 1) SELECT m.id, node, count(*) OVER (PARTITION BY node) AS degree, round(avg(x) OVER (PARTITION BY node), 4) AS x, round(avg(y) OVER (PARTITION BY node), 4) AS y FROM m JOIN v ON m.id = v.id",
-    "grf03_chains": "WITH RECURSIVE o AS (SELECT o_orderkey AS id, o_custkey AS a, o_orderkey % 3001 + 100000 AS b FROM orders WHERE o_orderkey % 4 = 0), e AS (SELECT id, a AS node FROM o UNION ALL SELECT id, b FROM o), t AS (SELECT min(id) AS a, max(id) AS b FROM e GROUP BY node HAVING count(*) = 2 AND min(id) <> max(id)), l AS (SELECT a, b FROM t UNION SELECT b, a FROM t), f(root, id) AS (SELECT id, id FROM o UNION SELECT f.root, l.b FROM f JOIN l ON f.id = l.a AND l.b > f.root) SELECT id, min(root) AS chain FROM f GROUP BY 1",
+    "grf01_snapped": "WITH RECURSIVE v AS (SELECT line_id * 2 AS id, x, y FROM fx_vertices WHERE pos = 1 UNION ALL SELECT line_id * 2 + 1, x, y FROM (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY pos DESC) AS r FROM fx_vertices) z WHERE r = 1 AND pos > 1), l AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.id <> b.id AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) <= 16), f(root, id) AS (SELECT id, id FROM v UNION SELECT f.root, l.b FROM f JOIN l ON f.id = l.a), m AS (SELECT id, min(root) AS node FROM f GROUP BY 1) SELECT m.id, node, count(*) OVER (PARTITION BY node) AS degree, round(avg(x) OVER (PARTITION BY node), 4) AS x, round(avg(y) OVER (PARTITION BY node), 4) AS y FROM m JOIN v ON m.id = v.id",
+    "grf03_chains": "WITH RECURSIVE o AS (SELECT o_orderkey AS id, o_custkey AS a, o_orderkey % 3001 + 100000 AS b FROM orders), e AS (SELECT id, a AS node FROM o UNION ALL SELECT id, b FROM o), t AS (SELECT min(id) AS a, max(id) AS b FROM e GROUP BY node HAVING count(*) = 2 AND min(id) <> max(id)), l AS (SELECT a, b FROM t UNION SELECT b, a FROM t), f(root, id) AS (SELECT id, id FROM o UNION SELECT f.root, l.b FROM f JOIN l ON f.id = l.a AND l.b > f.root) SELECT id, min(root) AS chain FROM f GROUP BY 1",
     "snk03_area_bands": "SELECT CASE WHEN (x1-x0)*(y1-y0) < 100 THEN 'small' WHEN (x1-x0)*(y1-y0) < 300 THEN 'medium' ELSE 'large' END AS band, count(*) AS n FROM fx_rects GROUP BY 1",
-    "grf05_reachable": "WITH RECURSIVE l AS (SELECT o_custkey AS a, o_orderkey % 1499 + 1 AS b FROM orders WHERE o_orderkey % 9 = 0 AND o_custkey <= 1500), u AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r(id) AS (SELECT c_custkey FROM customer WHERE c_custkey % 500 = 7 UNION SELECT u.b FROM r JOIN u ON r.id = u.a) SELECT DISTINCT r.id FROM r JOIN customer ON c_custkey = r.id",
+    "grf05_reachable": "WITH RECURSIVE l AS (SELECT o_custkey AS a, o_orderkey % 1499 + 1 AS b FROM orders), u AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r(id) AS (SELECT c_custkey FROM customer WHERE c_custkey % 500 = 7 UNION SELECT u.b FROM r JOIN u ON r.id = u.a) SELECT DISTINCT r.id FROM r JOIN customer ON c_custkey = r.id",
 }
 
 QUERIES = {n: f for n, f in list(globals().items()) if n.startswith(("ras", "set", "agg", "grf", "top", "snk")) and callable(f) and n not in ("geometry",)}

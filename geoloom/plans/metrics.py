@@ -63,22 +63,14 @@ def jon14_points_in_buildings(spark, d):
     return v.join(inside, ["line_id", "pos"], "left_anti").select("line_id", "pos")
 
 
-def _beside_road(seg):
+def jon16_beside_road(spark, d):
+    """Lines with 70 % of their stations within 8 m of a road line."""
+    seg = sequence.segments(T.vertices(spark, d))
     own = sequence.stations(seg.where("source = 'topo'"), 25.0)
-    hit = J.near_segments(own, seg.where("source = 'dtm'").select("ax", "ay", "bx", "by"), 8.0).select("line_id", "k").distinct().groupBy("line_id").agg(F.count("*").alias("hits"))
+    hit = J.beside_segments(own, seg.where("source = 'dtm'").select("ax", "ay", "bx", "by"), 8.0).groupBy("line_id").agg(F.count("*").alias("hits"))
     return own.groupBy("line_id").agg(F.count("*").alias("n")).join(hit, "line_id", "left").select("line_id", (F.coalesce("hits", F.lit(0)) >= 0.7 * F.col("n")).alias("beside"))
 
 
-def jon16_beside_road(spark, d):
-    """Lines with 70 % of their stations within 8 m of a road line; the first eight vertices of each line, as the SQL twin has it."""
-    return _beside_road(sequence.segments(T.vertices(spark, d).where("pos <= 8")))
-
-
-def jon16_beside_road_whole(spark, d):
-    """The same over whole lines."""
-    return _beside_road(sequence.segments(T.vertices(spark, d)))
-
-
 def jon28_blocked(spark, d):
     """Areas with no cell in common with any blocking area."""
     mine = cellsets.box_cells(T.rects(spark, d).where("kind = 'FURNITURE'"), T.CELL_M, "fid")
@@ -113,7 +105,7 @@ SQL = {
     "agg37_issue_summary": f"WITH x AS (SELECT job_id, line, {_RULES(1)} AS category, {_RULES(3)} AS severity FROM fx_loglines) SELECT job_id, min(severity) AS worst, arg_min(category, severity) AS category, count(DISTINCT line) AS texts FROM x WHERE category IS NOT NULL GROUP BY 1",
     "jon10_absorbed": "WITH p AS (SELECT a.fid, max((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0))) AS common FROM fx_rects a JOIN fx_rects b ON a.lvl = -1 AND b.lvl = 0 AND least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0) GROUP BY 1) SELECT a.fid, coalesce(common, 0) >= 0.5 * (x1-x0)*(y1-y0) AS absorbed FROM fx_rects a LEFT JOIN p ON a.fid = p.fid WHERE a.lvl = -1",
     "jon14_points_in_buildings": "SELECT line_id, pos FROM fx_vertices v WHERE cls = '1-URGENT' AND NOT EXISTS (SELECT 1 FROM fx_rects q WHERE q.kind = 'BUILDING' AND v.x >= q.x0 AND v.x < q.x1 AND v.y >= q.y0 AND v.y < q.y1)",
-    "jon16_beside_road": f"WITH {_STA.format(where=' WHERE pos <= 8')}, {_near(8.0, 'dtm')} SELECT o.line_id, count(h.k) >= 0.7 * count(*) AS beside FROM o LEFT JOIN h ON o.line_id = h.line_id AND o.k = h.k GROUP BY 1",
+    "jon16_beside_road": f"WITH {_STA.format(where='')}, {_near(8.0, 'dtm')} SELECT o.line_id, count(h.k) >= 0.7 * count(*) AS beside FROM o LEFT JOIN h ON o.line_id = h.line_id AND o.k = h.k GROUP BY 1",
     "jon28_blocked": f"WITH g AS (SELECT r.range AS rr, k.range AS cc FROM range(0, 120) r, range(0, 120) k), m AS (SELECT c.rr, c.cc, q.fid, q.kind FROM g c JOIN fx_rects q ON {_MID}) SELECT DISTINCT fid FROM m WHERE kind = 'FURNITURE' EXCEPT SELECT a.fid FROM m a JOIN m b ON a.kind = 'FURNITURE' AND b.kind = 'MACHINERY' AND a.rr = b.rr AND a.cc = b.cc",
 }
 

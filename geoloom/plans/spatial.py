@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from geoloom.functions.times import seconds
-from geoloom.operators import grid, sequence
+from geoloom.operators import grid, lines, sequence
 from geoloom.operators import spatial_join as J
 from geoloom.sources import tables as T
 
@@ -47,11 +47,7 @@ def jon03_near_points_anti(spark, d):
 def jon05_cover_share(spark, d):
     """Share of each line's stations within 6 m of a line of another source, in a like direction."""
     seg = _segments(spark, d)
-    own = sequence.stations(seg.where("source = 'osm'"), STEP)
-    other = seg.where("source = 'dtm' and len > 0").select("ax", "ay", "bx", "by", ((F.col("bx") - F.col("ax")) / F.col("len")).alias("ux"), ((F.col("by") - F.col("ay")) / F.col("len")).alias("uy"))
-    hit = J.near_segments(own, other, 6.0).where(F.abs(F.col("tx") * F.col("ux") + F.col("ty") * F.col("uy")) >= 0.5).select("line_id", "k").distinct()
-    hits = hit.groupBy("line_id").agg(F.count("*").alias("hits"))
-    return own.groupBy("line_id").agg(F.count("*").alias("stations")).join(hits, "line_id", "left").select("line_id", "stations", F.coalesce("hits", F.lit(0)).alias("hits"))
+    return lines.cover_shares(seg.where("source = 'osm'"), seg.where("source = 'dtm'"), STEP, 6.0)
 
 
 def jon08_overlap_share(spark, d):
@@ -102,21 +98,12 @@ def jon24_line_drop(spark, d):
     return left.join(right, ["line_id", "k"]).groupBy("line_id").agg(F.count("*").alias("stations"), F.round(F.expr("percentile(l - r, 0.5)"), 4).alias("drop"))
 
 
-def _crossings(a, b):
-    a = a.select(F.col("line_id").alias("a_id"), F.col("pos").alias("a_seg"), "ax", "ay", "bx", "by")
-    b = b.select(F.col("line_id").alias("b_id"), F.col("pos").alias("b_seg"), F.col("ax").alias("cx"), F.col("ay").alias("cy"), F.col("bx").alias("dx"), F.col("by").alias("dy"))
-    return J.crossings(a, b).groupBy("a_id").agg(F.count("*").alias("crossings"), F.countDistinct("b_id").alias("lines"))
-
-
 def jon27_line_crossings(spark, d):
-    """A fifth of the lines of each side, as the SQL twin has it; jon27_line_crossings_whole takes all."""
-    seg = _segments(spark, d)
-    return _crossings(seg.where("source = 'osm' and line_id % 5 = 1"), seg.where("source = 'topo' and line_id % 5 = 2"))
-
-
-def jon27_line_crossings_whole(spark, d):
+    """Lines of another source that cross each line."""
     seg = _segments(spark, d)
-    return _crossings(seg.where("source = 'osm'"), seg.where("source = 'topo'"))
+    a = seg.where("source = 'osm'").select(F.col("line_id").alias("a_id"), F.col("pos").alias("a_seg"), "ax", "ay", "bx", "by")
+    b = seg.where("source = 'topo'").select(F.col("line_id").alias("b_id"), F.col("pos").alias("b_seg"), F.col("ax").alias("cx"), F.col("ay").alias("cy"), F.col("bx").alias("dx"), F.col("by").alias("dy"))
+    return J.crossings(a, b, 16.0).groupBy("a_id").agg(F.count("*").alias("crossings"), F.countDistinct("b_id").alias("lines"))
 
 
 def jon45_largest_share(spark, d):
@@ -229,7 +216,7 @@ SQL = {
     "jon22_bilinear_samples": "WITH w AS (SELECT line_id, pos, (1-abs(c.rr-(y/4-0.5)))*(1-abs(c.cc-(x/4-0.5))) AS w, dem FROM fx_vertices v JOIN fx_cells c ON c.rr BETWEEN floor(y/4-0.5) AND floor(y/4-0.5)+1 AND c.cc BETWEEN floor(x/4-0.5) AND floor(x/4-0.5)+1) SELECT line_id, pos, round(sum(w*dem)/nullif(sum(w), 0) + 1e-6, 3) AS dem FROM w GROUP BY 1, 2",
     "jon23_zonal_shares": f"WITH p AS (SELECT (cc+0.5::DOUBLE)*4 AS x, (rr+0.5::DOUBLE)*4 AS y, chm FROM fx_cells) SELECT fid, count(*) AS cells, quantile_cont(chm, 0.5) AS median_chm, round(avg(CASE WHEN chm >= 15 THEN 1 ELSE 0 END), 5) AS tall FROM p JOIN fx_rects r ON {_IN} GROUP BY 1",
     "jon24_line_drop": f"WITH {_STA} SELECT line_id, count(*) AS stations, round(quantile_cont(l.dem - r.dem, 0.5), 4) AS drop FROM sta s JOIN fx_cells l ON l.rr = CAST(floor((y + 6*tx)/4) AS BIGINT) AND l.cc = CAST(floor((x - 6*ty)/4) AS BIGINT) JOIN fx_cells r ON r.rr = CAST(floor((y - 6*tx)/4) AS BIGINT) AND r.cc = CAST(floor((x + 6*ty)/4) AS BIGINT) WHERE source = 'topo' GROUP BY 1",
-    "jon27_line_crossings": f"WITH {_SEG} SELECT a.line_id AS a_id, count(*) AS crossings, count(DISTINCT b.line_id) AS lines FROM seg a JOIN seg b ON a.source = 'osm' AND a.line_id % 5 = 1 AND b.source = 'topo' AND b.line_id % 5 = 2 AND {_side('a','b','c')} * {_side('a','b','d')} < 0 AND {_side('c','d','a')} * {_side('c','d','b')} < 0 GROUP BY 1",
+    "jon27_line_crossings": f"WITH {_SEG} SELECT a.line_id AS a_id, count(*) AS crossings, count(DISTINCT b.line_id) AS lines FROM seg a JOIN seg b ON a.source = 'osm' AND b.source = 'topo' AND {_side('a','b','c')} * {_side('a','b','d')} < 0 AND {_side('c','d','a')} * {_side('c','d','b')} < 0 GROUP BY 1",
     "jon45_largest_share": f"WITH p AS (SELECT a.fid AS a_fid, b.lvl, round(sum({_COMMON}), 4) AS common FROM fx_rects a JOIN fx_rects b ON a.kind = 'HOUSEHOLD' AND b.kind <> 'HOUSEHOLD' AND {_OVER} GROUP BY 1, 2) SELECT a_fid, lvl, common FROM p QUALIFY row_number() OVER (PARTITION BY a_fid ORDER BY common DESC, lvl DESC) = 1",
     "jon46_coverage": "WITH t AS (SELECT r.range AS br, k.range AS bc FROM range(0, 20) r, range(0, 20) k), h AS (SELECT DISTINCT CAST(floor(y/20) AS BIGINT) AS br, CAST(floor(x/20) AS BIGINT) AS bc FROM fx_points WHERE hag > 24) SELECT t.br // 10 * 2 + t.bc // 10 AS quarter, round(count(h.br) / count(*), 4) AS share FROM t LEFT JOIN h ON t.br = h.br AND t.bc = h.bc GROUP BY 1",
     "win01_measures": f"WITH {_SEG} SELECT line_id, pos, round(len, 4) AS len, round(m0, 3) AS m0 FROM seg",

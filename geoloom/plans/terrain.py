@@ -44,19 +44,8 @@ def ras44_colours(spark, d):
     return T.table(spark, d, "embeddings").groupBy(R.colour_class(v(37), v(91), v(13)).alias("colour")).agg(F.count("*").alias("n"))
 
 
-def _settlement(spark, buildings):
-    cells = cellsets.box_cells(buildings, 4.0).distinct().withColumn("b", F.lit(True))
-    dense = grid.grid_dimension(spark, 110, 110).join(cells, ["rr", "cc"], "left").withColumn("v", F.coalesce("b", F.lit(False)))
-    return focal.erode(focal.dilate(dense, 5, "v", "w"), 3, "w", "zone").where("zone").select("rr", "cc")
-
-
 def ras21_settlement(spark, d):
-    """Buildings grown by 20 m and shrunk by 12 m; every fourth building, as the SQL twin has it."""
-    return _settlement(spark, T.rects(spark, d).where("kind = 'BUILDING' and fid % 4 = 0"))
-
-
-def ras21_settlement_whole(spark, d):
-    """All buildings, grown by 20 m and shrunk by 12 m with disks; zones of less than 3,000 m2 go."""
+    """Buildings grown by 20 m and shrunk by 12 m with disks; zones of less than 3,000 m2 go."""
     cells = cellsets.box_cells(T.rects(spark, d).where("kind = 'BUILDING'"), 4.0)
     return R.settlement_zones(cells, 110, 110, 4.0).select("rr", "cc")
 
@@ -122,8 +111,6 @@ SQL = {
     "ras27_knolls": f"WITH q AS (SELECT rr, cc, dem AS v FROM fx_cells), {_ring('q', 2)} SELECT rr, cc, round(rise, 4) AS rise, round(clear, 4) AS clear FROM p WHERE rise >= 1.5",
     "ras27_depressions": f"WITH {_COARSE}, {_ring('k', 1)} SELECT rr, cc, round(sunk, 4) AS sunk FROM p WHERE sunk > 0",
     "ras32_contours": f"WITH {_COARSE}, {_TRI} SELECT level, index, count(*) AS segments, round(sum(sqrt(power(e[1][1]-e[2][1], 2) + power(e[1][2]-e[2][2], 2))), 3) AS length FROM g WHERE len(e) = 2 GROUP BY 1, 2",
-    "ras21_settlement": """WITH g AS (SELECT r.range AS rr, k.range AS cc FROM range(0, 110) r, range(0, 110) k), m AS (SELECT g.rr, g.cc, max(CASE WHEN q.fid IS NULL THEN 0 ELSE 1 END) AS v FROM g LEFT JOIN fx_rects q ON q.kind = 'BUILDING' AND q.fid % 4 = 0 AND (g.cc+0.5::DOUBLE)*4 >= q.x0 AND (g.cc+0.5::DOUBLE)*4 < q.x1 AND (g.rr+0.5::DOUBLE)*4 >= q.y0 AND (g.rr+0.5::DOUBLE)*4 < q.y1 GROUP BY 1, 2),
-      w AS (SELECT c.rr, c.cc, max(n.v) AS v FROM m c JOIN m n ON n.rr BETWEEN c.rr-5 AND c.rr+5 AND n.cc BETWEEN c.cc-5 AND c.cc+5 GROUP BY 1, 2), z AS (SELECT c.rr, c.cc, min(n.v) AS v FROM w c JOIN w n ON n.rr BETWEEN c.rr-3 AND c.rr+3 AND n.cc BETWEEN c.cc-3 AND c.cc+3 GROUP BY 1, 2) SELECT rr, cc FROM z WHERE v = 1""",
     "ras46_veto": "SELECT rr, cc FROM fx_cells c WHERE chm >= 15 AND NOT EXISTS (SELECT 1 FROM fx_rects q WHERE q.lvl = 0 AND (c.cc+0.5::DOUBLE)*4 >= q.x0 AND (c.cc+0.5::DOUBLE)*4 < q.x1 AND (c.rr+0.5::DOUBLE)*4 >= q.y0 AND (c.rr+0.5::DOUBLE)*4 < q.y1)",
     "agg32_green_threshold": "WITH p AS (SELECT CASE event_type WHEN 'view' THEN 'road' WHEN 'click' THEN 'grass' ELSE 'other' END AS cls, value/1000 AS exg FROM events), a AS (SELECT quantile_cont(exg, 0.95) FILTER (WHERE cls = 'road') AS road, quantile_cont(exg, 0.25) FILTER (WHERE cls = 'grass') AS grass, sum(CASE WHEN cls = 'road' THEN 1 ELSE 0 END) AS roads, sum(CASE WHEN cls = 'grass' THEN 1 ELSE 0 END) AS grasses FROM p) SELECT round(road + 1e-9, 5) AS road, round(grass + 1e-9, 5) AS grass, roads, grasses, round(CASE WHEN roads >= 400 AND grasses >= 400 AND road < grass THEN greatest(0.02, least(0.12, (road+grass)/2)) ELSE 0.05 END, 6) AS threshold FROM a",
 }

@@ -1,4 +1,4 @@
-"""Whole-table queries against brute force; their SQL twins cover only subsets."""
+"""Whole-table queries against brute force."""
 
 import math
 import random
@@ -56,7 +56,7 @@ def test_crossings_of_all_lines(spark, sf, segments):
             if side(a, b, c) * side(a, b, d) < 0 and side(c, d, a) * side(c, d, b) < 0:
                 n[a[0]] += 1
                 lines[a[0]].add(c[0])
-    got = Q["jon27_line_crossings_whole"](spark, sf).collect()
+    got = Q["jon27_line_crossings"](spark, sf).collect()
     assert {(r.a_id, r.crossings, r.lines) for r in got} == {(k, n[k], len(lines[k])) for k in n} and len(got) == len(n)
 
 
@@ -66,7 +66,7 @@ def test_chains_of_all_orders(spark, sf, orders):
         ends[c].append(o)
         ends[o % 3001 + 100000].append(o)
     want = least_ids([o for o, _ in orders], [e for e in ends.values() if len(e) == 2 and e[0] != e[1]])
-    assert sorted(map(tuple, Q["grf03_chains_whole"](spark, sf).select("id", "chain").collect())) == sorted(want.items())
+    assert sorted(map(tuple, Q["grf03_chains"](spark, sf).select("id", "chain").collect())) == sorted(want.items())
 
 
 def test_reach_over_all_orders(spark, sf, orders):
@@ -74,13 +74,13 @@ def test_reach_over_all_orders(spark, sf, orders):
     links = [(c, o % 1499 + 1) for o, c in orders]
     of = least_ids(ids | {i for e in links for i in e}, links)
     live = {of[i] for i in ids if i % 500 == 7}
-    assert sorted(r.id for r in Q["grf05_reachable_whole"](spark, sf).collect()) == sorted(i for i in ids if of[i] in live)
+    assert sorted(r.id for r in Q["grf05_reachable"](spark, sf).collect()) == sorted(i for i in ids if of[i] in live)
 
 
 def test_customers_above_1500_link(spark, tmp_path):
     spark.createDataFrame([(7, "BUILDING", 0), (2000, "BUILDING", 0), (2001, "BUILDING", 0)], "c_custkey long, c_mktsegment string, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
     spark.createDataFrame([(1499 * 9 + 6, 2000)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
-    assert sorted(r.id for r in Q["grf05_reachable_whole"](spark, str(tmp_path)).collect()) == [7, 2000]
+    assert sorted(r.id for r in Q["grf05_reachable"](spark, str(tmp_path)).collect()) == [7, 2000]
 
 
 def test_spacing_of_all_vertices(spark, sf, vertices):
@@ -88,7 +88,7 @@ def test_spacing_of_all_vertices(spark, sf, vertices):
     for i, x, y in ((v[0] * 100000 + v[1], v[2], v[3]) for v in sorted(vertices, key=lambda v: (-(v[0] % 97), v[0] * 100000 + v[1]))):
         if all((x - a) ** 2 + (y - b) ** 2 > 144 for _, a, b in kept):
             kept.append((i, x, y))
-    assert sorted(r.id for r in Q["top01_spaced_whole"](spark, sf).collect()) == sorted(k[0] for k in kept)
+    assert sorted(r.id for r in Q["top01_spaced"](spark, sf).collect()) == sorted(k[0] for k in kept)
 
 
 def test_snapping_of_both_ends(spark, sf, vertices):
@@ -96,7 +96,7 @@ def test_snapping_of_both_ends(spark, sf, vertices):
     ends = {v[0] * 2: v[2:4] for v in vertices if v[1] == 1} | {v[0] * 2 + 1: v[2:4] for v in last.values() if v[1] > 1}
     links = [(a, b) for a in ends for b in ends if a < b and (ends[a][0] - ends[b][0]) ** 2 + (ends[a][1] - ends[b][1]) ** 2 <= 16]
     node = least_ids(ends, links)
-    assert sorted((r.id, r.node) for r in Q["grf01_snapped_whole"](spark, sf).collect()) == sorted(node.items())
+    assert sorted((r.id, r.node) for r in Q["grf01_snapped"](spark, sf).collect()) == sorted(node.items())
 
 
 def test_beside_road_of_whole_lines(spark, sf, segments):
@@ -109,7 +109,7 @@ def test_beside_road_of_whole_lines(spark, sf, segments):
     for r in sequence.stations(sequence.segments(T.vertices(spark, sf)).where("source = 'topo'"), 25.0).collect():
         n[r.line_id] += 1
         hits[r.line_id] += any(off(r.x, r.y, a, b) <= 8 for a, b in roads)
-    got = {r.line_id: r.beside for r in Q["jon16_beside_road_whole"](spark, sf).collect()}
+    got = {r.line_id: r.beside for r in Q["jon16_beside_road"](spark, sf).collect()}
     assert got == {k: hits[k] >= 0.7 * n[k] for k in n}
 
 
@@ -126,7 +126,7 @@ def brute_zones(cells, rows, cols, least):
 
 def test_settlement_of_all_buildings(spark, sf):
     m = {(r, c) for q in T.rects(spark, sf).where("kind = 'BUILDING'").collect() for r in range(110) for c in range(110) if q.x0 <= c * 4 + 2 < q.x1 and q.y0 <= r * 4 + 2 < q.y1}
-    assert {tuple(r) for r in Q["ras21_settlement_whole"](spark, sf).collect()} == brute_zones(m, 110, 110, 3000)
+    assert {tuple(r) for r in Q["ras21_settlement"](spark, sf).collect()} == brute_zones(m, 110, 110, 3000)
 
 
 def test_lone_buildings_are_no_settlement(spark):
@@ -199,7 +199,7 @@ def test_strokes_take_every_arm(spark, sf):
     arms = [tuple(r) for r in areas._ends(spark, sf).select("node", "arm", "line", "bearing").collect()]
     line = {arm: at for _, arm, at, _ in arms}
     want = least_ids(set(line.values()), [(line[a], line[b]) for _, a, b in pairs_one_by_one(arms)])
-    assert sorted(map(tuple, Q["grf08_strokes_whole"](spark, sf).select("line", "stroke").collect())) == sorted(want.items())
+    assert sorted(map(tuple, Q["grf08_strokes"](spark, sf).select("line", "stroke").collect())) == sorted(want.items())
 
 
 def test_pairs_go_on_after_the_first_round(spark):
