@@ -354,10 +354,9 @@ _SIDES = "SELECT fid AS line_id, 1 AS pos, x0 AS ax, y0 AS ay, x1 AS bx, y0 AS b
 _CROSS = "(({q}x-{p}x)*({r}y-{p}y)-({q}y-{p}y)*({r}x-{p}x))"
 
 SQL = {
-    "win05_simplified": f"""WITH RECURSIVE v AS (SELECT line_id, pos, x, y FROM fx_vertices), s(line_id, lo, hi) AS (SELECT line_id, min(pos), max(pos) FROM v GROUP BY 1
-      UNION ALL SELECT line_id, CASE WHEN h = 0 THEN lo ELSE far END, CASE WHEN h = 0 THEN far ELSE hi END FROM (SELECT s.line_id, s.lo, s.hi, arg_max(m.pos, {_D2.format(p='m', s='e')}) AS far, max({_D2.format(p='m', s='e')}) AS d
-        FROM s JOIN (SELECT a.line_id, a.pos AS lo, b.pos AS hi, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS len FROM v a JOIN v b ON a.line_id = b.line_id AND a.pos < b.pos) e ON e.line_id = s.line_id AND e.lo = s.lo AND e.hi = s.hi
-        JOIN v m ON m.line_id = s.line_id AND m.pos > s.lo AND m.pos < s.hi GROUP BY 1, 2, 3) q, (VALUES (0), (1)) t(h) WHERE d > 57.3*57.3)
+    "win05_simplified": f"""WITH RECURSIVE v AS (SELECT line_id, pos, x, y FROM fx_vertices), c AS (SELECT a.line_id, a.pos AS lo, b.pos AS hi, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS len FROM v a JOIN v b ON a.line_id = b.line_id AND a.pos < b.pos),
+      f AS (SELECT e.line_id, e.lo, e.hi, m.pos AS far, {_D2.format(p='m', s='e')} AS d FROM c e JOIN v m ON m.line_id = e.line_id AND m.pos > e.lo AND m.pos < e.hi QUALIFY row_number() OVER (PARTITION BY e.line_id, e.lo, e.hi ORDER BY {_D2.format(p='m', s='e')} DESC, m.pos) = 1),
+      s(line_id, lo, hi) AS (SELECT line_id, min(pos), max(pos) FROM v GROUP BY 1 UNION SELECT f.line_id, CASE WHEN h = 0 THEN f.lo ELSE far END, CASE WHEN h = 0 THEN far ELSE f.hi END FROM s JOIN f ON f.line_id = s.line_id AND f.lo = s.lo AND f.hi = s.hi AND f.d > 57.3*57.3, (VALUES (0), (1)) t(h))
       SELECT DISTINCT line_id, p AS pos FROM (SELECT line_id, lo AS p FROM s UNION ALL SELECT line_id, hi FROM s) z""",
     "win06_corners_cut": f"WITH c0 AS (SELECT line_id, pos, x, y FROM fx_vertices), {_CHAIKIN.format(n=1, p=0)}, {_CHAIKIN.format(n=2, p=1)} SELECT line_id, pos, round(x, 6) AS x, round(y, 6) AS y FROM c2",
     "win07_smoothed_rings": """WITH v AS (SELECT line_id, row_number() OVER (PARTITION BY line_id ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY line_id) AS n, x, y FROM fx_vertices), b AS (SELECT * FROM v WHERE n >= 4),
