@@ -33,7 +33,7 @@ _MESSAGE = pa.schema([("bucket", pa.int32()), ("shard", pa.int64()), *((x, pa.bi
 
 #: Bytes of text in a shard, and in what a bucket answers for. Both bound a task's memory.
 SHARD_BYTES = 6 << 20
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 12 << 20
 #: From which input on both grow, and how far.
 GROW_FROM, GROW_MOST = 64 << 30, 8
 #: Bytes of text that a task works through, shard by shard; grows like shards, and further.
@@ -64,7 +64,7 @@ def deal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     grow = min(float(GROW_MOST), max(1.0, math.sqrt(total / GROW_FROM)))
     shard_bytes, bucket_bytes = int(shard_bytes * grow), int(bucket_bytes * grow)
-    shards, buckets = max(24, -(-total // shard_bytes)), max(48, -(-total // bucket_bytes))
+    shards, buckets = max(24, -(-total // shard_bytes)), max(8, -(-total // bucket_bytes))
     key = [F.col(id_col)] if whole_ids else [F.col(id_col), F.col(text_col), F.spark_partition_id()]
     rows = docs.select(
         F.pmod(F.xxhash64(*key), F.lit(shards)).alias("shard"),

@@ -81,25 +81,28 @@ def ranked(links: DataFrame) -> DataFrame:
     return state.select("id", "rank")
 
 
-def spaced(points: DataFrame, distance: float) -> DataFrame:
-    """Ids kept when points (id, x, y, score) are taken best first with a least spacing.
+def taken_in_order(ids: DataFrame, blocked_by: DataFrame) -> DataFrame:
+    """Ids kept when taken one by one in an order: ``blocked_by`` (id, j) says that j comes first and, if kept, drops id.
 
-    Each round keeps the points that come first among their undecided neighbours,
-    and drops those near a kept one: the same set as one by one.
+    Each round keeps the ids that no undecided one blocks, and drops those that a kept one blocks: the same set.
     """
-    order = F.struct(-F.col("score"), F.col("id"))
-    left = written(points.select("id", "x", "y", order.alias("o")))
-    near = within(left.select("id", "x", "y", "o"), left.select(F.col("id").alias("j"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("o").alias("p")), distance)
-    pairs = written(near.where("id <> j").select("id", "j", (F.col("p") < F.col("o")).alias("before")))
-    kept = None
-    undecided = left.select("id")
+    pairs = written(blocked_by.select("id", "j").distinct())
+    kept, undecided = None, written(ids.select("id"))
     while not undecided.isEmpty():
-        blocked = pairs.where("before").join(undecided.select(F.col("id").alias("j")), "j", "left_semi").select("id").distinct()
-        first = written(undecided.join(blocked, "id", "left_anti"))
+        waiting = pairs.join(undecided.select(F.col("id").alias("j")), "j", "left_semi").select("id").distinct()
+        first = written(undecided.join(waiting, "id", "left_anti"))
         kept = first if kept is None else kept.unionByName(first)
         gone = pairs.join(first.select(F.col("id").alias("j")), "j", "left_semi").select("id").distinct()
         undecided = written(undecided.join(first, "id", "left_anti").join(gone, "id", "left_anti"))
-    return left.select("id").limit(0) if kept is None else kept
+    return ids.select("id").limit(0) if kept is None else kept
+
+
+def spaced(points: DataFrame, distance: float) -> DataFrame:
+    """Ids kept when points (id, x, y, score) are taken best first with a least spacing."""
+    order = F.struct(-F.col("score"), F.col("id"))
+    left = written(points.select("id", "x", "y", order.alias("o")))
+    near = within(left.select("id", "x", "y", "o"), left.select(F.col("id").alias("j"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("o").alias("p")), distance)
+    return taken_in_order(left, near.where("p < o").select("id", "j"))
 
 
 def propagated(ids: DataFrame, links: DataFrame, flagged: DataFrame, passes: DataFrame) -> DataFrame:
