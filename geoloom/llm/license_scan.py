@@ -10,12 +10,15 @@ changes no letters of it but "licence" to "license", so raw text that matches
 holds it too: the cue spares work and loses nothing.
 
 Known are notices of all listed licences, the entire MIT, ISC, BSD and Unlicense
-texts, and the file headers of Apache, MPL and the GNU licences. The entire
-texts of the other licences are not known.
+texts, the file headers of Apache, MPL and the GNU licences, and, as digests of
+their canonical form alone, the entire Apache, GNU, MPL, CC0 and Artistic texts
+(the longer ones also without what follows their terms). A table of further
+licences can be given; no cue is asked for then.
 
 Defined results: null and empty texts match nothing; rows that share an id are
-added up; a null id yields a null id; an empty table yields no rows. Other
-columns are ignored.
+added up; a null id yields a null id; of licences with one canonical text the
+first name counts; a text of any length is one unit; an empty table yields no
+rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -90,6 +93,22 @@ Unless required by applicable law or agreed to in writing, software distributed
     for short, name, versions in (("GPL", "GNU General Public License", ("2.0", "3.0")), ("LGPL", "GNU Lesser General Public License", ("2.1", "3.0")), ("AGPL", "GNU Affero General Public License", ("3.0",)))
     for version in versions
 }
+# Digests of the canonical form of entire long licences, as their publishers distribute them.
+WHOLE_DIGESTS = {
+    "Apache-2.0": ["5572b388ddac6a11991356f8515c952cf2ae2c590afa4c155a129cedb11750fe", "ea8ed5219346d2135bf7ba18b81c96755ff59b231de0a33f03fbbc8c9899f1c6", "b58598936cf28723ee5724361c8d171020b558b41905d3d9dede50775c9a2f29"],
+    "GPL-1.0": ["ec8a6b7d70e9f225b63d3962ed5b4721373f5535d7b967a06722b0d621f6892a", "af30c0af27b90ec812acdb040f3dcc944a87cd893456690efe35063f39e3eeeb", "74d0cd23803c9754c36f6ca0e1af411b418ed6b6564e757472bf0d870a1b5d1b"],
+    "GPL-2.0": ["c230c00f329737cb7ce3d97a266318b4c9d4c1fd321335e592b2ce1112179b88", "178d586a448701f01712744f9de166175b5625d05f71dd532a3d694e2b935def", "ae49934a47b15ec36e1ce1eb7504b3439c29f0e9be2ed0f60ba20ad7124dcb7c"],
+    "GPL-3.0": ["f3ab5ee40da170411ea6671f9845ada2aaba303ee57ba6086b373d1e66c9dc3f", "3d4de016a08e1d98b27dec755cdf4530b92807d97aaa185b32e12d52942b1943", "3dcf77ad8c25248618918aaff1de8a2cb80cea6ca922ef4a7a389cca96a7560b"],
+    "LGPL-2.0": ["9b0b3105b96203f9d9e4b72d4b77951152156c88139302b5aedf6295e3ceaaa3", "e0de5033b5ad2a24c0a1a8b04f09e33038ffa62d2bef7178de2a3c6f5d56f499", "ff773d8d898dfc51ae2dbf3baa20700673e8ceb153b13d26c525af34a59adf0c"],
+    "LGPL-2.1": ["ee01a49687158ed8316b65f56d1b93bf677fd57ed8f2e5470d49d09023cbe8e7", "666030c4f6ae6e32b4a1f542473e5bf790d855ea58f3b172a98612e7af3adda9", "e5ed2dcee45d0edc37dd215a451aaa08be207622d602df0dca9e1b3dfc65f6d0"],
+    "LGPL-3.0": ["aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"],
+    "MPL-1.1": ["88846eb6702a488d90fada09f552952c288f5fb9fbfd58a96e62f8a77a03325e"],
+    "MPL-2.0": ["f7135931e9b6b2d14b0ee0d936f91569cf22ab982fed7984dc4f3614acb04c69"],
+    "CC0-1.0": ["157f233e1cf037dd4dc24bd08eb90c2fbc3042ed8e88b5caf338e5df0e6a7abf"],
+    "GFDL-1.2": ["fd8daf401001e9bd6dcd840e4ae6d37c7b890cd553749d6c9f2ac7a3377e6a7a"],
+    "GFDL-1.3": ["df89ea16fd6daa85c045edd3629393648c9a42c7ece69466fe1b1b11d726b0d9"],
+    "Artistic-1.0": ["cc2cd6cccfacd5fb622fb0e9b9a373fa9dcb86a8c152213a2b856dfbe24fe304"],
+}
 # Words with several spellings; the right one counts.
 SPELLINGS = {"licence": "license", "licences": "licenses", "licenced": "licensed", "licencing": "licensing", "sub-license": "sublicense", "noncommercial": "non commercial", "non-commercial": "non commercial", "sharealike": "share alike", "share-alike": "share alike", "noderivatives": "no derivatives", "organisation": "organization", "authorised": "authorized", "&": "and", "v2.0": "version 2.0", "v2.1": "version 2.1", "v3.0": "version 3.0", "v2": "version 2", "v3": "version 3"}
 # Single words, since known texts are found whatever stands between words.
@@ -143,15 +162,23 @@ def known_digests() -> dict[str, str]:
             if not any(c in one for c in CUES):
                 raise ValueError(f"no cue in {one!r}")
             out[hashlib.sha256(one.encode()).hexdigest()] = licence
+    for licence, digests in WHOLE_DIGESTS.items():
+        out |= dict.fromkeys(digests, licence)
     return out
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, licence, units, whole): units of text that are that licence, and whether the entire text is."""
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", licences: DataFrame | None = None) -> DataFrame:
+    """(doc_id, licence, units, whole): units of text that are that licence, and whether the entire text is.
+
+    ``licences``: a table (licence, text) of further licences; it is joined by digest, whatever its size.
+    """
     spark = docs.sparkSession
-    known = spark.createDataFrame(sorted(known_digests().items()), "digest string, licence string")
-    has_cue = lambda c: F.greatest(*(F.contains(F.lower(c), F.lit(x)) for x in CUES))
-    kept = docs.where(has_cue(F.col(text_col))).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("body"))
+    known = F.broadcast(spark.createDataFrame(sorted(known_digests().items()), "digest string, licence string"))  # a fixed table of some thousand digests
+    if licences is not None:
+        own = licences.where("licence is not null and text is not null").select(F.sha2(canonical_column(F.col("text")), 256).alias("digest"), "licence")
+        known = own.unionByName(known).groupBy("digest").agg(F.min("licence").alias("licence"))
+    has_cue = lambda c: F.lit(True) if licences is not None else F.greatest(*(F.contains(F.lower(c), F.lit(x)) for x in CUES))
+    kept = docs.where(F.col(text_col).isNotNull() & has_cue(F.col(text_col))).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("body"))
     lines = F.filter(F.split("body", "\n"), has_cue)
     parts = F.filter(F.split("body", r"\n\s*\n"), lambda p: has_cue(p) & F.contains(p, F.lit("\n")))
     whole = F.when(F.contains("body", F.lit("\n")), F.array("body")).otherwise(F.array().cast("array<string>"))
@@ -164,5 +191,5 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         )).alias("u"),
     )
     digests = units.select("doc_id", F.sha2(canonical_column(F.col("u.unit")), 256).alias("digest"), F.col("u.whole").alias("whole"))
-    hits = digests.join(F.broadcast(known), "digest")  # a fixed table of some thousand digests
+    hits = digests.join(known, "digest")
     return hits.groupBy("doc_id", "licence").agg(F.count("*").alias("units"), F.max("whole").alias("whole"))
