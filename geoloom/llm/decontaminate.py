@@ -5,16 +5,20 @@ units turn into typed placeholders, the rest into lower case without outer
 punctuation. Windows of template words are hashed and hash-joined. Matches that
 lie on one diagonal give an item's coverage; the words behind the placeholders
 tell an exact copy from a question with other parameters: each of the item's
-values must stand for one value of the document and the reverse.
+values must stand for one value of the document and the reverse. An item counts
+if half of its windows match, or a run of ``RUN`` windows on one diagonal (13
+words in a row), which finds partial quotes of long items.
 
 Windows of the documents pass a bitmap of fixed size first, which is set from
 the benchmark's windows, so only likely matches become rows; if a benchmark
-outgrows it, more rows pass and the join still decides. Items of one template
-are one class, and a window of many classes pairs with each.
+outgrows it, more rows pass and the join still decides. A window that many items
+share pairs with each of them.
 
 Defined results: null or empty texts match nothing; items without words match
 nothing; an item shorter than a window is one window; rows that share an id
-count as one document; a null id yields a null id; empty tables yield no rows.
+count as one document; of diagonals with as many hits the consistent one with
+most slots counts; a null id yields a null id; a text of any length is read in
+one piece; empty tables yield no rows. Ids are numbers, or texts of digits.
 Other columns are ignored.
 """
 
@@ -30,6 +34,7 @@ from geoloom.llm.store import ship_package
 
 WINDOW = 6
 COVERAGE = 0.5
+RUN = 8
 #: Slots of the bitmap: at most this many numbers reach the driver, whatever the benchmark's size.
 SLOTS = 1 << 20
 #: Units of measure that questions use.
@@ -74,7 +79,7 @@ class Templates(K.Words):
         numeric = np.concatenate(([0], np.cumsum(_NUMERIC[b], dtype=np.int32)))
         number = (digits[end] > digits[start]) & (numeric[end] - numeric[start] == end - start)
         unit = _UNIT_HASH[np.minimum(np.searchsorted(_UNIT_HASH, raw), len(_UNIT_HASH) - 1)] == raw
-        unit[1:] &= number[:-1]  # a unit follows its number
+        unit[1:] &= number[:-1] & (self.place[1:] > 0)  # a unit follows its number
         unit[:1] = False
         first = b[start] if len(start) else np.zeros(0, np.uint8)
         second = b[np.minimum(start + 1, max(len(b) - 1, 0))] if len(start) else first
@@ -129,7 +134,7 @@ def _windows(rows: DataFrame, sizes: list[int], bitmap: np.ndarray | None, name:
     return rows.mapInArrow(work, f"{name} long, place int, n_words int, window long, slots array<long>")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, run: int = RUN, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Pairs (doc_id, item_id) with coverage, slots, changed slots and kind ('exact' or 'reparameterised')."""
     ship_package(docs.sparkSession)
     body = lambda c: F.coalesce(F.col(c), F.lit("")).cast("binary").alias("body")
@@ -149,16 +154,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     xs = F.size(F.array_distinct(F.transform("held", lambda s: s["x"])))
     ys = F.size(F.array_distinct(F.transform("held", lambda s: s["y"])))
     both = F.size(F.array_distinct(F.transform("held", lambda s: F.struct(s["x"], s["y"]))))
-    by_line = by_line.select("*", F.size("places").alias("hits"), F.size("held").alias("slots"), F.size(F.filter("held", lambda s: s["x"] != s["y"])).alias("changed"), ((xs == both) & (ys == both)).alias("consistent"))
+    longest = F.aggregate(
+        F.array_sort("places"),
+        F.struct(F.lit(-2).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best")),
+        lambda a, p: F.struct(p.alias("last"), F.when(p == a["last"] + 1, a["run"] + 1).otherwise(1).alias("run"), F.greatest(a["best"], F.when(p == a["last"] + 1, a["run"] + 1).otherwise(1)).alias("best")),
+    )["best"]
+    by_line = by_line.select("*", longest.alias("run"), F.size("places").alias("hits"), F.size("held").alias("slots"), F.size(F.filter("held", lambda s: s["x"] != s["y"])).alias("changed"), ((xs == both) & (ys == both)).alias("consistent"))
     best = F.max(F.struct("hits", "consistent", "slots", "changed"))
-    per_item = by_line.groupBy("doc_id", "item_id").agg(best.alias("best"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("matched"), F.max("n_words").alias("n_words"))
+    per_item = by_line.groupBy("doc_id", "item_id").agg(best.alias("best"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("matched"), F.max("n_words").alias("n_words"), F.max(F.when(F.col("consistent"), F.col("run"))).alias("run"))
     share = F.col("matched") / F.greatest(F.lit(1), F.col("n_words") - window + 1)
     return per_item.select(
         "doc_id", "item_id", F.col("matched").cast("long").alias("windows"), share.alias("coverage"),
         F.col("best.slots").alias("slots"), F.col("best.changed").alias("changed"),
         F.when(F.col("best.changed") == 0, "exact").otherwise("reparameterised").alias("kind"),
-        F.col("best.consistent").alias("consistent"),
-    ).where((F.col("coverage") >= coverage) & F.col("consistent")).drop("consistent")
+        F.col("best.consistent").alias("consistent"), "run",
+    ).where(((F.col("coverage") >= coverage) & F.col("consistent")) | (F.col("run") >= run)).drop("consistent", "run")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
