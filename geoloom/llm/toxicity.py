@@ -2,8 +2,11 @@
 
 Features are words and the first bytes of longer ones. A bounded sample of
 labelled rows gives the examples; features whose presence goes with the label
-(chi-square) make the vocabulary. Every document is compared with all examples
-by exact TF-IDF cosine in that vocabulary: an inverted index in blocks of
+(chi-square, at the 1 % level, with the four examples that the test needs) make
+the vocabulary, which has no bound but that of the examples. Over all features
+the nearest texts are those of like subject, and the votes are worse (README).
+Every document is compared with all examples by exact TF-IDF cosine in that
+vocabulary: an inverted index in blocks of
 examples keeps each feature's largest weight in a block, and blocks whose bound
 cannot reach the nearest found so far are passed over. Votes are weighted by
 the squared cosine, and a logistic curve, fitted to the examples' own votes with
@@ -17,8 +20,11 @@ labels, and every document is scored over its whole text.
 Defined results: null and empty texts, and texts without any feature, get the
 score of a vote without neighbours; a document with several labels is toxic if
 one says so; null labels are not used; with no labels, or of one kind only, the
-score is that share (0 without labels). Rows that share an id stay rows; an
-empty table yields no rows. Other columns are ignored.
+score is that share (0 without labels). Rows that share an id stay rows, and
+count once among the examples with the most of each feature; examples at equal
+distance follow their number; a text of any length is read in one piece; ids are
+numbers, or texts of digits; an empty table yields no rows. Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -36,11 +42,10 @@ from geoloom.llm.store import ship_package
 #: Labelled rows of each kind in the index, at most.
 EXAMPLES = 1500
 NEIGHBOURS = 15
-CHI_SQUARE = 20.0
+#: One percent of features that have nothing to do with the label exceed this.
+CHI_SQUARE, CHI_LEAST = 6.635, 4
 BEGINNINGS = (4, 5, 6)
 BLOCK = 64
-#: Features in the index, at most; the strongest stay.
-VOCABULARY = 20_000
 
 _BETWEEN = np.ones(256, dtype=bool)
 _BETWEEN[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -159,8 +164,8 @@ def build(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str =
     expected = F.col("both") * (size[1] / n)
     presence = bags.groupBy("feature").agg(F.count("*").alias("both"), F.sum("__toxic").alias("with"))
     chi = presence.withColumn("chi", F.pow(F.col("with") - expected, 2) / expected + F.pow(F.col("with") - expected, 2) / (F.col("both") * (size[0] / n)))
-    strong = chi.where((F.col("chi") >= CHI_SQUARE) & (F.col("both") >= 4)).orderBy(F.desc("chi"), "feature").limit(VOCABULARY)
-    rows = bags.join(strong.select("feature", "both"), "feature").select("doc_id", "feature", "n", "both").toArrow()  # examples * VOCABULARY entries at most
+    strong = chi.where((F.col("chi") >= CHI_SQUARE) & (F.col("both") >= CHI_LEAST))
+    rows = bags.join(strong.select("feature", "both"), "feature").select("doc_id", "feature", "n", "both").toArrow()  # bounded by the examples' texts
     return _index([(r["__id"], r["__toxic"]) for r in sample], rows, share, neighbours), share
 
 
