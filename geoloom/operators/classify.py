@@ -149,3 +149,21 @@ def extent(raw: Column) -> Column:
     g = lambda i: F.try_element_at(v, F.lit(i))
     good = (F.size(v) == 4) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x)) & (g(1) < g(3)) & (g(2) < g(4)) & (g(1) >= -180) & (g(3) <= 180) & (g(2) >= -90) & (g(4) <= 90)
     return F.when(good, F.struct(g(1).alias("west"), g(2).alias("south"), g(3).alias("east"), g(4).alias("north")))
+
+
+def condition(text: str) -> Column:
+    """A condition on tags: key=value, key!= (any value), joined by &."""
+    out = F.lit(True)
+    for part in text.split("&"):
+        key, _, value = part.partition("!=") if "!=" in part else part.partition("=")
+        tag = F.col("tags")[key]
+        out = out & (tag.isNotNull() if "!=" in part and not value else ~F.coalesce(tag == value, F.lit(False)) if "!=" in part else F.coalesce(tag == value, F.lit(False)))
+    return out
+
+
+def by_rules(elements: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """``elements`` with the code of the first rule (condition, code) that holds: one expression, no join."""
+    code = F.lit(None).cast("string")
+    for text, value in reversed(rules):
+        code = F.when(condition(text), F.lit(value)).otherwise(code)
+    return elements.withColumn("code", code)

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoloom.plans import areas, details, lines, metrics, network, operations, raster, rules, spatial, surfaces, terrain
+from geoloom.plans import areas, details, landing, lines, metrics, network, operations, raster, rules, shapes, spatial, surfaces, terrain
 from geoloom.sources.tables import with_tables
 
 FLAGSHIP = "agg02_grid_stats"
-FAMILIES = (raster, rules, spatial, operations, areas, terrain, metrics, lines, surfaces, network, details)
+FAMILIES = (raster, rules, shapes, spatial, operations, areas, terrain, metrics, lines, surfaces, network, details, shapes, landing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -24,6 +24,12 @@ def elements_json(spark: SparkSession, path: str, only: Column | None = None) ->
     return (rows if only is None else rows.where(only)).dropDuplicates(["type", "id"])
 
 
+def elements_lines(spark: SparkSession, path: str, only: Column | None = None) -> DataFrame:
+    """The same from answers as JSON lines, which Spark can split."""
+    rows = spark.read.schema(ELEMENTS).json(path).select(F.explode("elements").alias("e")).select("e.*")
+    return (rows if only is None else rows.where(only)).dropDuplicates(["type", "id"])
+
+
 def ways_xml(spark: SparkSession, path: str) -> DataFrame:
     """Ways of a map extract with their nodes' places, in order: (id, tags, line)."""
     ways = spark.read.format("xml").option("rowTag", "way").schema("_id bigint, nd array<struct<_ref: bigint>>, tag array<struct<_k: string, _v: string>>").load(path)
@@ -50,6 +56,35 @@ def features(spark: SparkSession, path: str) -> DataFrame:
     return flat.dropDuplicates(["layer", "id"])
 
 
+def feature_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Features as JSON lines in a folder a layer (``layer=`` or ``kind=``): as ``features``, but in files that Spark can split."""
+    one = "type string, id string, properties map<string, string>, geometry struct<type: string, coordinates: string>"
+    rows = spark.read.text(path)
+    layer = F.col("kind") if "kind" in rows.columns else F.col("layer")
+    flat = rows.select(layer.cast("string").alias("layer"), F.from_json("value", one).alias("f"))
+    return flat.select("layer", "f.id", "f.properties", F.col("f.geometry.type").alias("geom_type"), F.col("f.geometry.coordinates").alias("coordinates")).dropDuplicates(["layer", "id"])
+
+
+def points(spark: SparkSession, path: str, window: tuple[float, float, float, float] | None = None, classes: tuple[int, ...] = ()) -> DataFrame:
+    """Points (x, y, z, cls, rn, nr) of a window; both conditions reach the files' statistics."""
+    p = spark.read.parquet(path).select("x", "y", "z", "cls", "rn", "nr")
+    if window:
+        p = p.where((F.col("x") >= window[0]) & (F.col("x") < window[2]) & (F.col("y") >= window[1]) & (F.col("y") < window[3]))
+    return p.where(F.col("cls").isin(*classes)) if classes else p
+
+
+def raster_window(spark: SparkSession, path: str, window: tuple[int, int, int, int], tile: int) -> DataFrame:
+    """Cells (rr, cc) from the first row and column up to the last ones of a window; tiles that don't meet it are pruned."""
+    r0, c0, r1, c1 = window
+    tiles = F.col("tile_y").between(r0 // tile, (r1 - 1) // tile) & F.col("tile_x").between(c0 // tile, (c1 - 1) // tile)
+    return spark.read.parquet(path).where(tiles & (F.col("rr") >= r0) & (F.col("rr") < r1) & (F.col("cc") >= c0) & (F.col("cc") < c1))
+
+
+def rules(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """Rules (condition, code) of a small file in their order; they become Column expressions, so they go through the driver."""
+    return [(r["condition"], r["code"]) for r in spark.read.json(path).orderBy("place").collect()]
+
+
 def line_coordinates(coordinates: Column) -> Column:
     """Coordinates of a line as points."""
     return F.transform(F.from_json(coordinates, "array<array<double>>"), lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))

@@ -6,9 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_layers(df: DataFrame, path: str, by: str) -> None:
-    """One folder a layer; rows of a layer are spread by size, not gathered."""
-    df.repartition(F.col(by)).sortWithinPartitions(by).write.mode("overwrite").partitionBy(by).parquet(path)
+def write_layers(df: DataFrame, path: str, by: str, rows: int = 1_000_000) -> None:
+    """One folder a layer, with files of at most so many rows; every task writes what it has, so no layer is gathered."""
+    df.write.mode("overwrite").option("maxRecordsPerFile", rows).partitionBy(by).parquet(path)
+
+
+def write_tiles(cells: DataFrame, path: str, tile: int) -> None:
+    """A raster's cells (rr, cc) in folders of tiles, of which a window reads few."""
+    keyed = cells.withColumn("tile_y", F.floor(F.col("rr") / tile)).withColumn("tile_x", F.floor(F.col("cc") / tile))
+    keyed.repartition("tile_y", "tile_x").write.mode("overwrite").partitionBy("tile_y", "tile_x").parquet(path)
 
 
 def replace_partitions(df: DataFrame, path: str, by: str) -> None:
