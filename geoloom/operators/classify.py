@@ -111,24 +111,9 @@ def probe_kind(code: Column, error: Column, planned: Column) -> Column:
     )
 
 
-def first_match(features: DataFrame, rules: DataFrame, ident: str, tags: str = "tags") -> DataFrame:
-    """Code of the first rule that holds: key=value, key!=value, key!= (any value) or key= (none), joined by &.
-
-    ``rules`` (rule_no, expr, code) is a small table; every feature meets every
-    rule, which is one hash aggregate over features x rules without a shuffle of rules.
-    """
-    parts = F.split("expr", "&")
-
-    def holds(part):
-        negated = F.contains(part, F.lit("!="))
-        key = F.trim(F.when(negated, F.substring_index(part, "!=", 1)).otherwise(F.substring_index(part, "=", 1)))
-        wanted = F.trim(F.when(negated, F.substring_index(part, "!=", -1)).otherwise(F.substring_index(part, "=", -1)))
-        have = F.coalesce(F.try_element_at(F.col(tags), key), F.lit(""))
-        return F.when(negated, have != wanted).otherwise(have == wanted)
-
-    every = features.join(F.broadcast(rules), F.lit(True))
-    matched = every.where(F.forall(parts, holds)).groupBy(ident).agg(F.min_by("code", "rule_no").alias("code"))
-    return features.select(ident).join(matched, ident, "left")
+def first_match(features: DataFrame, rules: list[tuple[int, str, str]], ident: str, tags: str = "tags") -> DataFrame:
+    """Code of the first rule (rule_no, condition, code) that holds, as one expression; null where none does."""
+    return by_rules(features, [(text, code) for _, text, code in sorted(rules)], tags).select(ident, "code")
 
 
 def explain_lines(lines: DataFrame, rules: list[tuple[str, str, str, int]], text: str = "line") -> DataFrame:
@@ -151,19 +136,19 @@ def extent(raw: Column) -> Column:
     return F.when(good, F.struct(g(1).alias("west"), g(2).alias("south"), g(3).alias("east"), g(4).alias("north")))
 
 
-def condition(text: str) -> Column:
-    """A condition on tags: key=value, key!= (any value), joined by &."""
+def condition(text: str, tags: str = "tags") -> Column:
+    """A condition on tags: key=value, key!=value, key!= (any value) or key= (none), joined by &."""
     out = F.lit(True)
     for part in text.split("&"):
-        key, _, value = part.partition("!=") if "!=" in part else part.partition("=")
-        tag = F.col("tags")[key]
-        out = out & (tag.isNotNull() if "!=" in part and not value else ~F.coalesce(tag == value, F.lit(False)) if "!=" in part else F.coalesce(tag == value, F.lit(False)))
+        key, sign, value = part.partition("!=") if "!=" in part else part.partition("=")
+        have = F.coalesce(F.col(tags)[key.strip()], F.lit(""))
+        out = out & ((have != value.strip()) if sign == "!=" else (have == value.strip()))
     return out
 
 
-def by_rules(elements: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+def by_rules(elements: DataFrame, rules: list[tuple[str, str]], tags: str = "tags") -> DataFrame:
     """``elements`` with the code of the first rule (condition, code) that holds: one expression, no join."""
     code = F.lit(None).cast("string")
     for text, value in reversed(rules):
-        code = F.when(condition(text), F.lit(value)).otherwise(code)
+        code = F.when(condition(text, tags), F.lit(value)).otherwise(code)
     return elements.withColumn("code", code)

@@ -42,7 +42,7 @@ def labelled(ids: DataFrame, links: DataFrame) -> DataFrame:
 
 def regions(cells: DataFrame, width: int, cls: str | None = None) -> DataFrame:
     """Cells with the number of their 4-connected region (of one class): its least rr * width + cc."""
-    ident = F.col("rr") * width + F.col("cc")
+    ident = F.when((F.col("cc") >= 0) & (F.col("cc") < width), F.col("rr") * width + F.col("cc")).otherwise(F.raise_error(F.lit(f"a column outside 0 to {width - 1} would get another cell's number")))
     keys = ["rr", "cc"] + ([cls] if cls else [])
     own = cells.select(*keys).withColumn("id", ident)
     links = focal.shifted(own.withColumnRenamed("id", "a"), [(0, 1), (1, 0)]).drop("dy", "dx").join(own.withColumnRenamed("id", "b"), keys).select("a", "b")

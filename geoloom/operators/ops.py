@@ -39,7 +39,7 @@ def tag_windows(jobs: DataFrame, now: Column, tag: str, n: int) -> DataFrame:
 
 
 def daily_report(jobs: DataFrame) -> DataFrame:
-    """Jobs by day, status and country with all subtotals."""
+    """Jobs by day and status with subtotals; other cuts are in the report groups."""
     return jobs.withColumn("day", F.to_date("created_at")).rollup("day", "status").agg(F.count("*").alias("jobs"), F.countDistinct("ip_tag").alias("ips"), F.countDistinct("ip_net_tag").alias("nets"))
 
 

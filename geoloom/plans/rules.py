@@ -28,8 +28,7 @@ def prj06_unknown_codes(spark, d):
 
 
 def prj07_first_rule(spark, d):
-    rules = spark.createDataFrame(VECTOR_RULES, "rule_no int, expr string, code string")
-    return C.first_match(T.elements(spark, d), rules, "eid")
+    return C.first_match(T.elements(spark, d), VECTOR_RULES, "eid")
 
 
 def prj08_skip_reasons(spark, d):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from geoloom.operators import grid
+from geoloom.sources.store import shared_dir
 from geoloom.sources.tables import probe_columns
 
 
@@ -93,7 +96,12 @@ def gridded(points: DataFrame, size: float) -> DataFrame:
 
 
 def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there and gives the result as a table."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Runs a stream over all that is there and gives the result as a table in the shared folder; nothing passes the driver."""
+    path = f"{shared_dir(stream.sparkSession)}/geoloom-{name}-{uuid.uuid4().hex}"
+    out = stream.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "append":
+        out = out.format("parquet").option("path", path)
+    else:  # files take no updates: each batch has the whole result, and replaces the one before
+        out = out.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(path))
+    out.start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
