@@ -19,6 +19,8 @@ U64 = np.uint64
 PIECE_BYTES = 2 << 20
 #: Slices from this size on are digested one by one.
 LONG = 512
+#: Slices hashed at a time.
+SLICES = 1 << 15
 NULL_ID = -(1 << 63)
 
 
@@ -139,13 +141,21 @@ class Words:
 
 
 def slices_hash(b: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
-    """Hash of each slice."""
-    size = end - start
-    out = splitmix(size.astype(U64) + U64(lane << 40))
+    """Hash of each slice, worked in pieces that stay in the cache."""
+    out = np.empty(len(start), dtype=U64)
     if not len(start):
         return out
     word = np.ndarray(len(b) + 1, "<u8", np.concatenate((b, np.zeros(8, np.uint8))), strides=(1,))
-    live, at, left = None, start, size  # None: all slices
+    for i in range(0, len(start), SLICES):
+        out[i : i + SLICES] = _hashed(word, start[i : i + SLICES], end[i : i + SLICES] - start[i : i + SLICES], lane)
+    for i in np.flatnonzero(end - start > LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(b[start[i] : end[i]].tobytes(), digest_size=8, person=bytes([lane])).digest(), "little")
+    return out
+
+
+def _hashed(word: np.ndarray, at: np.ndarray, left: np.ndarray, lane: int) -> np.ndarray:
+    """Hashes of slices of ``left`` bytes from ``at``; ``word`` has the eight bytes from each place."""
+    out, live = splitmix(left.astype(U64) + U64(lane << 40)), None  # None: all slices
     while True:
         x = word[at]
         short = np.flatnonzero(left < 8)
@@ -156,11 +166,8 @@ def slices_hash(b: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0
             out[live] = finish(out[live] ^ x)
         more = np.flatnonzero((left > 8) & (left <= LONG))
         if not len(more):
-            break
+            return out
         live, at, left = (more if live is None else live[more]), at[more] + 8, left[more] - 8
-    for i in np.flatnonzero(size > LONG):
-        out[i] = int.from_bytes(hashlib.blake2b(b[start[i] : end[i]].tobytes(), digest_size=8, person=bytes([lane])).digest(), "little")
-    return out
 
 
 def word_grams(hashes: np.ndarray, k: int, at: np.ndarray | None = None) -> np.ndarray:
