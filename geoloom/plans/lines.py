@@ -179,7 +179,7 @@ def jon50_kept_walls(spark, d):
 def jon07_parallel_clipped(spark, d):
     """What is left of lines when stretches along other centre lines are cut: runs of free stations, two at least."""
     st = sequence.stations(_seg(spark, d, "source = 'osm'"), STEP)
-    hit = lines.covered_stations(st.select("line_id", "k", "x", "y", "tx", "ty"), _seg(spark, d, "source = 'dtm'"), 6.0, 0.5).withColumn("hit", F.lit(True))
+    hit = lines.covered_stations(st.select("line_id", "k", "x", "y", "tx", "ty"), _seg(spark, d, "source = 'dtm'"), 0.3, 0.94).withColumn("hit", F.lit(True))
     flags = st.select("line_id", "k").join(hit, ["line_id", "k"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
     return sequence.runs(flags, ["line_id"], ["k"], "hit").where("not hit and n >= 2").select("line_id", (F.col("first") * STEP).alias("s0"), (F.col("last") * STEP).alias("s1"))
 
@@ -386,7 +386,7 @@ SQL = {
       AND NOT EXISTS (SELECT 1 FROM fx_vertices b WHERE b.source = 'osm' AND (p.x-b.x)*(p.x-b.x)+(p.y-b.y)*(p.y-b.y) <= 25) AND NOT EXISTS (SELECT 1 FROM seg t WHERE t.source = 'dtm' AND {_near('p', 't', 3.0)})""",
     "jon05_kept_lines": f"WITH {_cover('osm', 'dtm', 0.3, 0.94)} SELECT o.line_id, count(*) AS stations, count(h.k) AS hits FROM o LEFT JOIN h ON o.line_id = h.line_id AND o.k = h.k GROUP BY 1 HAVING count(h.k) < 0.7 * count(*)",
     "jon50_kept_walls": f"WITH {_cover('topo', 'dtm', 0.2, 0.94)} SELECT o.line_id, count(h.k) AS hits FROM o LEFT JOIN h ON o.line_id = h.line_id AND o.k = h.k GROUP BY 1 HAVING count(h.k) < 0.5 * count(*)",
-    "jon07_parallel_clipped": f"""WITH {_cover('osm', 'dtm', 6.0, 0.5)}, f AS (SELECT o.line_id, o.k, h.k IS NOT NULL AS hit FROM o LEFT JOIN h ON o.line_id = h.line_id AND o.k = h.k),
+    "jon07_parallel_clipped": f"""WITH {_cover('osm', 'dtm', 0.3, 0.94)}, f AS (SELECT o.line_id, o.k, h.k IS NOT NULL AS hit FROM o LEFT JOIN h ON o.line_id = h.line_id AND o.k = h.k),
       g AS (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY k) - row_number() OVER (PARTITION BY line_id, hit ORDER BY k) AS g FROM f) SELECT line_id, min(k)*25.0::DOUBLE AS s0, max(k)*25.0::DOUBLE AS s1 FROM g WHERE NOT hit GROUP BY line_id, g HAVING count(*) >= 2""",
     "jon29_banks": f"""WITH {_STA}, o AS (SELECT * FROM sta WHERE source = 'topo'), t AS (SELECT * FROM seg WHERE source = 'topo' AND len > 0), n AS (SELECT line_id, count(*) AS stations FROM o GROUP BY 1), tl AS (SELECT line_id, round(sum(len), 6) AS total FROM seg WHERE source = 'topo' GROUP BY 1),
       h AS (SELECT DISTINCT o.line_id, o.k, t.line_id AS by_line FROM o JOIN t ON {_near('o', 't', 6.0)}), c AS (SELECT h.line_id, by_line, count(*) AS hits FROM h WHERE h.line_id <> by_line GROUP BY 1, 2),

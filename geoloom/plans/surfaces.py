@@ -216,7 +216,7 @@ def pip01_surfaces(spark, d):
     w = 1.0 / (F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx"))
     guess = moved.groupBy("rr", "cc").agg((F.sum(F.col("terrain") * w) / F.sum(w)).alias("guess"))
     full = s.join(guess, ["rr", "cc"], "left").withColumn("dem", F.coalesce("terrain", "guess"))
-    return full.select("rr", "cc", F.round("dem", 4).alias("dem"), F.col("surface").alias("dsm"), F.round(F.greatest(F.coalesce("surface", "dem") - F.col("dem"), F.lit(0.0)), 4).alias("chm"))
+    return full.select("rr", "cc", F.round(F.col("dem") + 1e-7, 5).alias("dem"), F.col("surface").alias("dsm"), F.round(F.greatest(F.coalesce("surface", "dem") - F.col("dem"), F.lit(0.0)) + 1e-7, 5).alias("chm"))
 
 
 _CR = "cr AS (SELECT rr, cc, valid, chm, dem, CASE WHEN NOT valid THEN 0 WHEN chm < 12 THEN 1 WHEN chm < 18 THEN 2 WHEN chm < 20 THEN 3 WHEN chm < 22 THEN 4 ELSE 0 END AS cls FROM fx_dense)"
@@ -264,7 +264,7 @@ SQL = {
     "set08_generalised": f"WITH RECURSIVE {_GRIDC}, m AS (SELECT gd.rr, gd.cc, CASE WHEN EXISTS (SELECT 1 FROM rc WHERE kind = 'FURNITURE' AND rc.rr = gd.rr AND rc.cc = gd.cc) THEN 1 ELSE 0 END AS v FROM g gd WHERE gd.rr < 110 AND gd.cc < 110), {_morph('max', 'm', 'k1')}, {_morph('min', 'k1', 'k2')}, {_morph('min', 'k2', 'k3')}, {_morph('max', 'k3', 'k4')}, c AS (SELECT rr, cc, rr*1000 + cc AS id FROM k4 WHERE v = 1), l AS (SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON abs(a.rr-b.rr) + abs(a.cc-b.cc) = 1), f(root, id) AS (SELECT id, id FROM c UNION SELECT f.root, l.b FROM f JOIN l ON f.id = l.a AND l.b > f.root), q AS (SELECT id, min(root) AS component FROM f GROUP BY 1), z AS (SELECT component, count(*) AS cells FROM q GROUP BY 1) SELECT c.rr, c.cc, z.cells FROM c JOIN q ON q.id = c.id JOIN z ON z.component = q.component WHERE z.cells >= 12",
     "set11_water_under_bridges": f"WITH {_GRIDC}, b AS (SELECT DISTINCT rr, cc FROM rc WHERE lvl = 1) SELECT fid, count(*) AS cells FROM rc WHERE kind = 'HOUSEHOLD' AND lvl < 1 AND NOT EXISTS (SELECT 1 FROM b WHERE b.rr = rc.rr AND b.cc = rc.cc) GROUP BY 1",
     "top04_capped_steps": f"WITH st AS ({RASTER_SQL['ras26_step_cells']}) SELECT rr, cc FROM st ORDER BY rr, cc LIMIT 200",
-    "pip01_surfaces": "WITH s AS (SELECT CAST(floor(y/4) AS BIGINT) AS rr, CAST(floor(x/4) AS BIGINT) AS cc, avg(CASE WHEN cls = 2 THEN z END) AS t, max(CASE WHEN cls <> 2 THEN z END) AS u FROM fx_points GROUP BY 1, 2), d AS (SELECT g.rr, g.cc, s.t, s.u FROM fx_dense g LEFT JOIN s ON s.rr = g.rr AND s.cc = g.cc), q AS (SELECT c.rr, c.cc, sum(n.t/((n.rr-c.rr)*(n.rr-c.rr)+(n.cc-c.cc)*(n.cc-c.cc)))/sum(1.0/((n.rr-c.rr)*(n.rr-c.rr)+(n.cc-c.cc)*(n.cc-c.cc))) AS v FROM d c JOIN d n ON n.t IS NOT NULL AND (n.rr-c.rr)*(n.rr-c.rr)+(n.cc-c.cc)*(n.cc-c.cc) BETWEEN 1 AND 4 GROUP BY 1, 2), k AS (SELECT d.rr, d.cc, coalesce(t, v) AS dem, u FROM d LEFT JOIN q ON q.rr = d.rr AND q.cc = d.cc) SELECT rr, cc, round(dem, 4) AS dem, u AS dsm, round(greatest(coalesce(u, dem) - dem, 0), 4) AS chm FROM k",
+    "pip01_surfaces": "WITH s AS (SELECT CAST(floor(y/4) AS BIGINT) AS rr, CAST(floor(x/4) AS BIGINT) AS cc, avg(CASE WHEN cls = 2 THEN z END) AS t, max(CASE WHEN cls <> 2 THEN z END) AS u FROM fx_points GROUP BY 1, 2), d AS (SELECT g.rr, g.cc, s.t, s.u FROM fx_dense g LEFT JOIN s ON s.rr = g.rr AND s.cc = g.cc), q AS (SELECT c.rr, c.cc, sum(n.t/((n.rr-c.rr)*(n.rr-c.rr)+(n.cc-c.cc)*(n.cc-c.cc)))/sum(1.0/((n.rr-c.rr)*(n.rr-c.rr)+(n.cc-c.cc)*(n.cc-c.cc))) AS v FROM d c JOIN d n ON n.t IS NOT NULL AND (n.rr-c.rr)*(n.rr-c.rr)+(n.cc-c.cc)*(n.cc-c.cc) BETWEEN 1 AND 4 GROUP BY 1, 2), k AS (SELECT d.rr, d.cc, coalesce(t, v) AS dem, u FROM d LEFT JOIN q ON q.rr = d.rr AND q.cc = d.cc) SELECT rr, cc, round(dem + 1e-7, 5) AS dem, u AS dsm, round(greatest(coalesce(u, dem) - dem, 0) + 1e-7, 5) AS chm FROM k",
 }
 
 QUERIES = {n: f for n, f in list(globals().items()) if n.startswith(("ras", "set", "top", "pip")) and callable(f) and n != "ras26_step_cells"}
