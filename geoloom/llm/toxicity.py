@@ -46,6 +46,8 @@ NEIGHBOURS = 15
 CHI_SQUARE, CHI_LEAST = 6.635, 4
 BEGINNINGS = (4, 5, 6)
 BLOCK = 64
+#: Blocks looked at first; their nearest examples set the bound for the rest.
+FIRST = 6
 
 _BETWEEN = np.ones(256, dtype=bool)
 _BETWEEN[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -87,23 +89,29 @@ class Index:
         """The k examples of greatest cosine (over 0) and their cosines; ``but`` is left out."""
         bound = weight @ self.most[feature]
         order = np.argsort(-bound, kind="stable")
-        score, found = np.zeros(len(self.label)), np.zeros(0, np.int64)
-        at, least = 0, 0.0
-        while at < len(order) and bound[order[at]] > least:
-            some = order[at : at + 4]
+        score, found, least = np.zeros(len(self.label)), np.zeros(0, np.int64), 0.0
+        limits = self.limits[feature]
+        for some in (order[:FIRST], order[FIRST:]):  # the most promising blocks, then all that may still hold a nearer one
             some = some[bound[some] > least]
-            at += 4
-            lo, hi = self.limits[feature][:, some], self.limits[feature][:, some + 1]
-            size = (hi - lo).reshape(-1)
-            where = np.arange(size.sum()) + np.repeat(lo.reshape(-1) - np.cumsum(size) + size, size)
-            who = self.example[where]
-            score += np.bincount(who, weights=self.weight[where] * np.repeat(np.repeat(weight, len(some)), size), minlength=len(score))
-            found = np.union1d(found, who[who != but])
+            if not len(some):
+                break
+            if 2 * len(some) > len(order):  # nearly all: whole posting lists are quicker than their blocks
+                lo, ends, times = limits[:, 0], limits[:, -1], weight
+                score[:] = 0.0
+            else:
+                lo, ends, times = limits[:, some].reshape(-1), limits[:, some + 1].reshape(-1), np.repeat(weight, len(some))
+            size = ends - lo
+            end = np.cumsum(size)
+            where = np.arange(end[-1]) + np.repeat(lo - end + size, size)
+            score += np.bincount(self.example[where], weights=self.weight[where] * np.repeat(times, size), minlength=len(score))
+            if but >= 0:
+                score[but] = 0.0
+            found = np.flatnonzero(score)
             if len(found) > k:
-                found = found[np.lexsort((found, -score[found]))[:k]]
-            if len(found) == k:
+                found = found[score[found] >= np.partition(score[found], -k)[-k]]
+            if len(found) >= k:
                 least = score[found].min()
-        found = found[np.lexsort((found, -score[found]))]
+        found = found[np.lexsort((found, -score[found]))][:k]
         return found, score[found]
 
     def vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
