@@ -96,7 +96,7 @@ SQL = {
     "src04_tiled_extent": "WITH t AS (SELECT r.range AS ty, k.range AS tx FROM range(0, 3) r, range(0, 3) k), n AS (SELECT CAST(floor(x/150) AS BIGINT) AS tx, CAST(floor(y/150) AS BIGINT) AS ty, count(*) AS n FROM fx_points GROUP BY 1, 2) SELECT t.tx, t.ty, t.tx*150.0::DOUBLE AS west, t.ty*150.0::DOUBLE AS south, least(400.0::DOUBLE, (t.tx+1)*150) AS east, least(400.0::DOUBLE, (t.ty+1)*150) AS north, coalesce(n, 0) AS n FROM t LEFT JOIN n ON n.tx = t.tx AND n.ty = t.ty",
     "src05_metric_grid": "WITH s AS (SELECT CAST(floor(x0/50) AS BIGINT) AS e, CAST(floor(y0/50) AS BIGINT) AS n, count(*) AS c FROM fx_rects GROUP BY 1, 2) SELECT 'E' || e || '_N' || n AS sheet, e*1000 AS x0, n*1000 AS y0, e*1000 + 1000 AS x1, n*1000 + 1000 AS y1, c AS n FROM s",
     "src22_newest_assets": "WITH p AS (SELECT unit_code, CAST(year(released) AS INTEGER) AS year, count(*) AS files FROM fx_packages GROUP BY 1, 2) SELECT unit_code, year, files FROM p WHERE year % 2 = 0 QUALIFY row_number() OVER (PARTITION BY unit_code ORDER BY year DESC) = 1",
-    "src25_inventory": "WITH p AS (SELECT CAST(floor(x/20) AS BIGINT) || '-' || CAST(floor(y/20) AS BIGINT) AS sheet, z, cls FROM fx_points), t AS (SELECT sheet, min(z) AS lo, max(z) AS hi FROM p WHERE cls = 2 GROUP BY 1), s AS (SELECT sheet, min(z) AS lo, max(z) AS hi FROM p WHERE cls = 5 AND z > 501 GROUP BY 1), q AS (SELECT coalesce(t.sheet, s.sheet) AS sheet, CASE WHEN t.sheet IS NULL THEN 'no terrain' WHEN s.sheet IS NULL THEN 'no surface' WHEN t.lo < 500.6 OR t.hi > 524.9 OR s.lo < 500.6 OR s.hi > 524.9 THEN 'odd heights' END AS problem FROM t FULL JOIN s ON s.sheet = t.sheet) SELECT sheet, problem FROM q WHERE problem IS NOT NULL",
+    "src25_inventory": "WITH p AS (SELECT CAST(floor(x/20) AS BIGINT) || '-' || CAST(floor(y/20) AS BIGINT) AS sheet, z, cls FROM fx_points), t AS (SELECT sheet, min(z) AS lo, max(z) AS hi FROM p WHERE cls = 2 GROUP BY 1), s AS (SELECT sheet, min(z) AS lo, max(z) AS hi FROM p WHERE cls = 5 AND z > 501 GROUP BY 1), q AS (SELECT coalesce(t.sheet, s.sheet) AS sheet, CASE WHEN t.sheet IS NULL THEN 'no terrain' WHEN s.sheet IS NULL THEN 'no surface' WHEN t.lo < 500.6 OR t.hi > 524.9 OR s.lo < 500.6 OR s.hi > 524.9 THEN 'odd heights' WHEN s.hi < t.lo THEN 'surface below terrain' END AS problem FROM t FULL JOIN s ON s.sheet = t.sheet) SELECT sheet, problem FROM q WHERE problem IS NOT NULL",
     "src29_job_tables": "SELECT status, country_no, count(*) AS jobs, round(sum(build_seconds), 2) AS seconds, min(job_id) AS first_job FROM fx_jobs GROUP BY 1, 2",
     "pip07_relief_points": f"WITH kn AS ({TERRAIN_SQL['ras27_knolls']}), dp AS ({TERRAIN_SQL['ras27_depressions']}), bp AS ({SHAPE_SQL['ras28_boulder_peaks']}) SELECT rr, cc, 'knoll' AS kind, '109' AS code FROM kn UNION ALL SELECT rr, cc, 'depression', '111' FROM dp UNION ALL SELECT rr, cc, 'boulder', '204' FROM bp",
 }
