@@ -112,6 +112,10 @@ def crossings(a: DataFrame, b: DataFrame, size: float = CELL) -> DataFrame:
         return F.least(F.greatest(F.col(p) + t * (F.col(q) - F.col(p)), F.least(p, q), F.least(r, s)), F.greatest(p, q), F.greatest(r, s))
 
     owner = (F.floor(at("ax", "bx", "cx", "dx") / size) == F.col("__gx")) & (F.floor(at("ay", "by", "cy", "dy") / size) == F.col("__gy"))
+    # few bytes meet in many pairs here, so small partitions must not be put together
+    spark = a.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    ca, cb = ca.repartition(parts, "__gx", "__gy"), cb.repartition(parts, "__gx", "__gy")
     return ca.join(cb, ["__gx", "__gy"]).where(F.when(cross, owner).otherwise(False)).drop("__gx", "__gy")
 
 
