@@ -2,7 +2,7 @@
 
 Features are words and the first bytes of longer ones. A bounded sample of
 labelled rows gives the examples; features whose presence goes with the label
-(chi-square, at the 1 % level, with the four examples that the test needs) make
+(chi-square, at the 1 % level and 1/150 of the variance, in four examples) make
 the vocabulary, which has no bound but that of the examples. Over all features
 the nearest texts are those of like subject, and the votes are worse (README).
 Every document is compared with all examples by exact TF-IDF cosine in that
@@ -44,6 +44,8 @@ EXAMPLES = 1500
 NEIGHBOURS = 15
 #: One percent of features that have nothing to do with the label exceed this.
 CHI_SQUARE, CHI_LEAST = 6.635, 4
+#: Share of the label's variance that a feature has to tell, whatever the number of examples.
+EFFECT = 1 / 150
 BEGINNINGS = (4, 5, 6)
 BLOCK = 64
 #: Blocks looked at first; their nearest examples set the bound for the rest.
@@ -172,7 +174,7 @@ def build(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str =
     expected = F.col("both") * (size[1] / n)
     presence = bags.groupBy("feature").agg(F.count("*").alias("both"), F.sum("__toxic").alias("with"))
     chi = presence.withColumn("chi", F.pow(F.col("with") - expected, 2) / expected + F.pow(F.col("with") - expected, 2) / (F.col("both") * (size[0] / n)))
-    strong = chi.where((F.col("chi") >= CHI_SQUARE) & (F.col("both") >= CHI_LEAST))
+    strong = chi.where((F.col("chi") >= max(CHI_SQUARE, EFFECT * n)) & (F.col("both") >= CHI_LEAST))
     rows = bags.join(strong.select("feature", "both"), "feature").select("doc_id", "feature", "n", "both").toArrow()  # bounded by the examples' texts
     return _index([(r["__id"], r["__toxic"]) for r in sample], rows, share, neighbours), share
 
