@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm import byte_bpe, chat_format, decontaminate, exact_dedup, jaccard_join, license_scan, mixing, ppm, substring_dedup, suffix_dedup, toxicity
+from geoloom.llm import byte_bpe, chat_format, decontaminate, exact_dedup, jaccard_join, license_scan, mixing, ppm, substring_dedup, suffix_dedup, toxicity, vector_codes
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +73,14 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits, 256).alias("ids_sha256"), F.sha2(byte_bpe.decode(F.col("ids"), words), 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_benchmark_decontamination, op3_exact_dedup, op4_license_scan, op5_chat_formatting, op5_chat_formatting_whole, op6_toxicity, op7_ngram_jaccard_join, op8_lm_scoring, op9_substring_dedup, op10_source_mixing, op12_byte_bpe)}
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    code = F.concat(*(F.format_string("%02x", F.col("entries")[p]) for p in range(vector_codes.PARTS)))
+    rows = vector_codes.with_label_errors(codes.rows)
+    return rows.select(F.col("id").alias("vec_id"), code.alias("code"), "error", "label_error", F.lit(vector_codes.codebooks_sha256(codes.codebooks)).alias("codebooks_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_benchmark_decontamination, op3_exact_dedup, op4_license_scan, op5_chat_formatting, op5_chat_formatting_whole, op6_toxicity, op7_ngram_jaccard_join, op8_lm_scoring, op9_substring_dedup, op10_source_mixing, op12_byte_bpe, op13_vector_codes)}
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": """
         WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
