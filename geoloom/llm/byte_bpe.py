@@ -35,6 +35,10 @@ from geoloom.llm.store import ship_package
 PIECE = 1 << 16
 #: From how many blanks on a run is taken out of the text.
 BLANKS = 4096
+#: Bytes of ids or of text after which a worker hands on what it has of a batch.
+SLICE = 4 << 20
+#: Rows that it hands on when it decodes.
+ROWS = 500
 
 #: A match of the pattern never goes on past these places, in any version of Unicode's tables: a blank after a sign that is
 #: none, the last of several blanks, and changes between letters, digits and other signs of ASCII. Contractions start with
@@ -106,6 +110,23 @@ def ids_of(coder, text: str, size: int = PIECE) -> list[int]:
     return out
 
 
+def _slices(found: Iterator[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """What a batch gives, cut into lists of about ``SLICE`` bytes."""
+    held, size = [], 0
+    for x in found:
+        held.append(x)
+        size += x.nbytes
+        if size >= SLICE:
+            yield held
+            held, size = [], 0
+    yield held
+
+
+def _joined(held: list[np.ndarray], dtype: type) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of the parts, and the parts in one."""
+    return np.cumsum([0, *map(len, held)], dtype=np.int32), np.concatenate([np.empty(0, dtype), *held])
+
+
 def encode(text: Column, words: Vocabulary, size: int = PIECE) -> Column:
     """array<int>: the ids of each text."""
 
@@ -113,9 +134,9 @@ def encode(text: Column, words: Vocabulary, size: int = PIECE) -> Column:
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = encoding(words.file, words.pattern)
         for bodies in batches:
-            found = [np.array(ids_of(coder, (b.as_py() or b"").decode(errors="replace"), size), dtype=np.int32) for b in bodies]
-            ends = np.cumsum([0, *map(len, found)])
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found) if found else np.array([], np.int32), pa.int32()))
+            for held in _slices(np.array(ids_of(coder, (b.as_py() or b"").decode(errors="replace"), size), dtype=np.int32) for b in bodies):
+                ends, values = _joined(held, np.int32)
+                yield pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
 
     return ids(F.coalesce(text.cast("binary"), F.lit(b"")))
 
@@ -127,6 +148,8 @@ def decode(ids: Column, words: Vocabulary) -> Column:
     def body(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = encoding(words.file, words.pattern)
         for lists in batches:
-            yield pa.array([None if x is None else coder.decode_bytes(x) for x in lists.to_pylist()], pa.binary())
+            known = lists.is_valid().to_numpy(zero_copy_only=False)
+            for at in range(0, len(lists), ROWS):
+                yield pa.array([coder.decode_bytes(lists[i].as_py()) if known[i] else None for i in range(at, min(at + ROWS, len(lists)))], pa.binary())
 
     return body(ids)
