@@ -82,11 +82,43 @@ def completeness(areas: DataFrame, references: DataFrame, unit: str, least: int
     return both.select(unit, "refs", F.coalesce("areas", F.lit(0)).alias("areas"), "ratio", ((F.col("refs") >= least) & (F.col("ratio") < share)).alias("incomplete"))
 
 
-def as_of(left: DataFrame, right: DataFrame, key: list[str], ts: str, order: str, values: list[str]) -> DataFrame:
-    """For each left row the last right row of its key before it: one union and one window, no range join."""
+def as_of(left: DataFrame, right: DataFrame, key: list[str], ts: str, order: str, values: list[str], part: str = "day") -> DataFrame:
+    """For each left row the last right row of its key before it: one union and windows over (key, day), no range join.
+
+    What holds at a part's start comes from the last row of each earlier part, so a key's history is spread over its days.
+    """
     l = left.select("*", F.lit(0).alias("__side"), *(F.lit(None).cast(right.schema[v].dataType).alias(f"__{v}") for v in values))  # noqa: E741
     r = right.select(*key, ts, order, F.lit(1).alias("__side"), *(F.col(v).alias(f"__{v}") for v in values))
-    w = Window.partitionBy(*key).orderBy(ts, order, "__side").rowsBetween(Window.unboundedPreceding, -1)
-    every = l.unionByName(r, allowMissingColumns=True)
+    w = Window.partitionBy(*key, "__part").orderBy(ts, order, "__side").rowsBetween(Window.unboundedPreceding, -1)
     at = F.when(F.col("__side") == 1, F.struct(*(F.col(f"__{v}").alias(v) for v in values)))
-    return every.withColumn("__last", F.last(at, True).over(w)).where("__side = 0").select(*left.columns, *(F.col(f"__last.{v}").alias(f"last_{v}") for v in values))
+    every = l.unionByName(r, allowMissingColumns=True).withColumn("__part", F.date_trunc(part, ts)).withColumn("__at", at)
+    ends = every.groupBy(*key, "__part").agg(F.max_by("__at", F.when(F.col("__side") == 1, F.struct(ts, order))).alias("__end"))
+    earlier = Window.partitionBy(*key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*(F.col(k).alias(f"__k_{k}") for k in key), F.col("__part").alias("__k_part"), F.last("__end", True).over(earlier).alias("__carried"))
+    same = F.col("__part").eqNullSafe(F.col("__k_part"))
+    for k in key:
+        same &= F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    found = every.withColumn("__last", F.last("__at", True).over(w)).where("__side = 0").join(carried, same)
+    return found.select(*left.columns, *(F.coalesce(F.col("__last"), F.col("__carried"))[v].alias(f"last_{v}") for v in values))
+
+
+def blocked(requests: DataFrame, probes: DataFrame, key: list[str], ts: str, order: str) -> DataFrame:
+    """``requests`` with blocked: whether the last probe of their source before them failed; no probe before them blocks none."""
+    return as_of(requests, probes, key, ts, order, ["ok"]).withColumn("blocked", ~F.coalesce(F.col("last_ok"), F.lit(True))).drop("last_ok")
+
+
+def fair_order(jobs: DataFrame, user: str, queue: str, window_s: int = 86400) -> DataFrame:
+    """(job_id, queue, recent, active, place): jobs of users with few jobs in the ``window_s`` seconds before come first, then those with few
+    jobs still running, then by time and job_id. Jobs of one second follow their job_id; a job runs for build_seconds, null for none."""
+    t = seconds("created_at")
+    j = jobs.select("job_id", user, queue, "created_at", t.alias("t"), F.ceil(F.coalesce(F.col("build_seconds"), F.lit(0.0))).cast("long").alias("runs"))
+    same = F.row_number().over(Window.partitionBy(user, "t").orderBy("job_id")) - 1
+    counted = j.withColumn("recent", F.count("*").over(Window.partitionBy(user).orderBy("t").rangeBetween(-(window_s - 1), -1)) + same)
+    # a running sum over starts and ends; a job that ends at this second is over
+    begins = counted.select("*", F.lit(1).alias("step"), F.col("t").alias("at"))
+    ends = counted.select("*", F.lit(-1).alias("step"), (F.col("t") + F.col("runs")).alias("at")).where("runs > 0")
+    begins = begins.withColumn("step", F.when(F.col("runs") > 0, 1).otherwise(0))
+    order = Window.partitionBy(user).orderBy("at", F.col("step") >= 0, "job_id").rowsBetween(Window.unboundedPreceding, -1)
+    running = begins.unionByName(ends).withColumn("active", F.coalesce(F.sum("step").over(order), F.lit(0)).cast("long")).where("step >= 0")
+    place = F.row_number().over(Window.partitionBy(queue).orderBy("recent", "active", "created_at", "job_id"))
+    return running.select("job_id", queue, "recent", "active", place.alias("place"))

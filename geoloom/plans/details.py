@@ -386,10 +386,10 @@ def pip20_reliability(spark, d):
 
 
 def jon51_blocked_requests(spark, d):
-    """Requests whose country's critical source was down at its last probe before them."""
-    j = T.jobs(spark, d).select("job_id", F.col("country_no").alias("source_key"))
-    last = T.probes(spark, d).groupBy("source_key").agg(F.max_by("ok", F.struct("ts", "event_id")).alias("ok"))
-    return j.join(last, "source_key", "left").groupBy("source_key").agg(F.count("*").alias("requests"), F.sum((~F.coalesce("ok", F.lit(True))).cast("long")).alias("blocked"))
+    """Requests (purchases) whose critical source was down at its last probe before them, by source."""
+    e = T.table(spark, d, "events")
+    requests = e.where("event_type = 'purchase'").select("event_id", "ts", (F.col("user_id") % 10).alias("source_key"))
+    return ops.blocked(requests, T.probes(spark, d), ["source_key"], "ts", "event_id").groupBy("source_key").agg(F.count("*").alias("requests"), F.sum(F.col("blocked").cast("long")).alias("blocked"))
 
 
 _PIX = "SELECT vec_id, 1/(1+exp(-CAST(embedding[1] AS DOUBLE)*4)) AS r, 1/(1+exp(-CAST(embedding[2] AS DOUBLE)*4)) AS g, 1/(1+exp(-CAST(embedding[3] AS DOUBLE)*4)) AS b, 1/(1+exp(-CAST(embedding[4] AS DOUBLE)*4)) AS nir FROM embeddings"
@@ -466,7 +466,7 @@ SQL = {
       SELECT e.fid, lvl_ AS country, round(covered/cells, 5) AS share, round(3.5::DOUBLE + (x1-x0)*(y1-y0)/100, 4) AS minutes, CASE WHEN lvl_ IS NULL THEN 'no country' WHEN covered/cells < 0.2 THEN 'no coverage' WHEN covered/cells < 0.6 THEN 'partial' ELSE 'good' END AS status FROM fx_rects e LEFT JOIN (SELECT fid, lvl AS lvl_ FROM l) l ON l.fid = e.fid LEFT JOIN c ON c.fid = e.fid WHERE kind = 'BUILDING'""",
     "pip19_usage_report": "WITH p AS (SELECT country_no, count(*) AS jobs, CAST(sum(CASE WHEN status <> 'failed' THEN 1 ELSE 0 END) AS BIGINT) AS done, count(DISTINCT ip_tag) AS users, round(avg(CASE WHEN status <> 'failed' THEN build_seconds/60 END), 5) AS minutes, round(avg(CASE WHEN status <> 'failed' THEN build_seconds/60/(est_prep_min+est_maps_min) END), 5) AS ratio FROM fx_jobs GROUP BY 1) SELECT *, round(jobs / sum(jobs) OVER (), 6) AS share FROM p",
     "pip20_reliability": f"WITH {_SPANS}, w AS (SELECT source_key, count(*) AS outages, max(seconds) AS longest FROM sp GROUP BY 1), p AS (SELECT source_key, count(*) AS probes, CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) AS BIGINT) AS failures FROM fx_probes GROUP BY 1) SELECT p.source_key, probes, failures, coalesce(outages, 0) AS outages, longest, round(1 - failures/probes, 6) AS availability FROM p LEFT JOIN w ON w.source_key = p.source_key",
-    "jon51_blocked_requests": "WITH l AS (SELECT source_key, ok FROM fx_probes QUALIFY row_number() OVER (PARTITION BY source_key ORDER BY ts DESC, event_id DESC) = 1) SELECT country_no AS source_key, count(*) AS requests, CAST(sum(CASE WHEN coalesce(ok, true) THEN 0 ELSE 1 END) AS BIGINT) AS blocked FROM fx_jobs LEFT JOIN l ON l.source_key = country_no GROUP BY 1",
+    "jon51_blocked_requests": "SELECT source_key, count(*) AS requests, CAST(sum(CASE WHEN NOT before THEN 1 ELSE 0 END) AS BIGINT) AS blocked FROM (SELECT user_id % 10 AS source_key, event_type, lag(event_type <> 'error', 1, true) OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) AS before FROM events) WHERE event_type = 'purchase' GROUP BY 1",
 }
 
 QUERIES = {n: f for n, f in list(globals().items()) if n.startswith(("prj", "agg", "win", "str", "fun", "udf", "pip", "jon")) and callable(f)}

@@ -116,7 +116,7 @@ def jon37_private_playgrounds(spark, d):
     grown = p.select("fid", *((F.col(c) + k).alias(c) for c, k in (("x0", -10.0), ("y0", -10.0), ("x1", 10.0), ("y1", 10.0))))
     gap = lambda a0, a1, b0, b1: F.greatest(F.col(b0) - (F.col(a1) - 10), F.col(a0) + 10 - F.col(b1), F.lit(0.0))
     dx, dy = gap("a_x0", "a_x1", "b_x0", "b_x1"), gap("a_y0", "a_y1", "b_y0", "b_y1")
-    pool = J.overlaps(grown, box("AUTOMOBILE").where("fid is not null")).where(dx * dx + dy * dy <= 25).select(F.col("a_fid").alias("fid")).distinct().withColumn("pool", F.lit(True))
+    pool = J.overlaps(grown, box("AUTOMOBILE").where("fid is not null")).where(dx * dx + dy * dy <= 100).select(F.col("a_fid").alias("fid")).distinct().withColumn("pool", F.lit(True))
     return p.join(share, "fid", "left").join(pool, "fid", "left").select("fid", F.coalesce(F.col("common") >= 0.8 * area, F.lit(False)).alias("in_garden"), F.col("pool").isNotNull().alias("at_pool"))
 
 
@@ -194,7 +194,7 @@ SQL = {
       q AS (SELECT a, b, round(g, 4) AS gap FROM p WHERE (ux*dx + uy*dy)/g >= 0.8191520 AND (vx*dx + vy*dy)/g <= -0.8191520), z AS (SELECT a, b, gap, a AS e FROM q UNION ALL SELECT a, b, gap, b FROM q), t AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY e ORDER BY gap, a, b) = 1) SELECT a, b, gap FROM t GROUP BY 1, 2, 3 HAVING count(*) = 2""",
     "grf18_service_links": f"WITH {_MARKED} SELECT m.line_id, min(fid) AS parking, count(DISTINCT fid) AS areas FROM mv m JOIN fx_elements x ON x.eid = m.line_id AND x.highway = 'service' JOIN fx_rects r ON r.kind = 'MACHINERY' AND m.x >= x0-2 AND m.x < x1+2 AND m.y >= y0-2 AND m.y < y1+2 WHERE e AND uses = 1 GROUP BY 1",
     "jon36_gardens": "WITH n AS (SELECT a.fid, count(*) AS b FROM fx_rects a JOIN fx_rects b ON a.kind = 'HOUSEHOLD' AND b.kind = 'BUILDING' AND least(a.x1, b.x1+0.5) > greatest(a.x0, b.x0-0.5) AND least(a.y1, b.y1+0.5) > greatest(a.y0, b.y0-0.5) GROUP BY 1) SELECT g.fid, coalesce(b, 0) AS buildings, coalesce((x1-x0)*(y1-y0)/b <= 150, false) AS private FROM fx_rects g LEFT JOIN n ON n.fid = g.fid WHERE kind = 'HOUSEHOLD'",
-    "jon37_private_playgrounds": "WITH s AS (SELECT a.fid, max((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0))) AS c FROM fx_rects a JOIN fx_rects b ON a.kind = 'MACHINERY' AND b.kind = 'HOUSEHOLD' AND least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0) GROUP BY 1) SELECT p.fid, coalesce(c >= 0.8 * (x1-x0)*(y1-y0), false) AS in_garden, EXISTS (SELECT 1 FROM fx_rects q WHERE q.kind = 'AUTOMOBILE' AND power(greatest(q.x0 - p.x1, p.x0 - q.x1, 0), 2) + power(greatest(q.y0 - p.y1, p.y0 - q.y1, 0), 2) <= 25) AS at_pool FROM fx_rects p LEFT JOIN s ON s.fid = p.fid WHERE p.kind = 'MACHINERY'",
+    "jon37_private_playgrounds": "WITH s AS (SELECT a.fid, max((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0))) AS c FROM fx_rects a JOIN fx_rects b ON a.kind = 'MACHINERY' AND b.kind = 'HOUSEHOLD' AND least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0) GROUP BY 1) SELECT p.fid, coalesce(c >= 0.8 * (x1-x0)*(y1-y0), false) AS in_garden, EXISTS (SELECT 1 FROM fx_rects q WHERE q.kind = 'AUTOMOBILE' AND power(greatest(q.x0 - p.x1, p.x0 - q.x1, 0), 2) + power(greatest(q.y0 - p.y1, p.y0 - q.y1, 0), 2) <= 100) AS at_pool FROM fx_rects p LEFT JOIN s ON s.fid = p.fid WHERE p.kind = 'MACHINERY'",
     "jon38_points_of_both": "SELECT line_id, pos, x, y, 'mapped' AS origin FROM fx_vertices WHERE source = 'osm' AND pos = 1 UNION ALL SELECT line_id, pos, x, y, 'detected' FROM fx_vertices a WHERE source = 'topo' AND NOT EXISTS (SELECT 1 FROM fx_vertices b WHERE b.source = 'osm' AND b.pos = 1 AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) <= 16)",
     "jon25_closed_depressions": "WITH p AS (SELECT fid, unnest([(x0+x1)/2, x0, x1, x1, x0, (x0+x1)/2, (x0+x1)/2, x0, x1]) AS x, unnest([(y0+y1)/2, y0, y0, y1, y1, y0, y1, (y0+y1)/2, (y0+y1)/2]) AS y, unnest([false, true, true, true, true, true, true, true, true]) AS e FROM fx_rects), s AS (SELECT fid, avg(CASE WHEN e THEN dem END) AS rim, avg(CASE WHEN NOT e THEN dem END) AS mid FROM p JOIN fx_cells c ON c.rr = CAST(floor(y/4) AS BIGINT) AND c.cc = CAST(floor(x/4) AS BIGINT) GROUP BY 1) SELECT fid, round(rim - mid, 5) AS depth, rim - mid >= 0.5 AS closed FROM s WHERE rim IS NOT NULL AND mid IS NOT NULL",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from geoloom.functions import geometry, times
-from geoloom.operators import cellsets, focal, grid, lines, sequence
+from geoloom.operators import cellsets, focal, grid, lines, ops, sequence
 from geoloom.operators import graph as G
 from geoloom.operators import spatial_join as J
 from geoloom.plans.lines import _CHAIKIN, _T0, _T1
@@ -130,12 +130,8 @@ def agg22_report_groups(spark, d):
 
 
 def top08_fair_order(spark, d):
-    """Order of waiting jobs: users with few jobs in the day before first, then by their failed ones, then by time."""
-    j = T.jobs(spark, d)
-    w = Window.partitionBy("ip_tag").orderBy(times.seconds("created_at")).rangeBetween(-86400 * 30, -1)
-    recent = j.select("job_id", "country_no", "created_at", F.count("*").over(w).alias("recent"), F.coalesce(F.sum((F.col("status") == "failed").cast("long")).over(w), F.lit(0)).alias("failed"))
-    place = F.row_number().over(Window.partitionBy("country_no").orderBy("recent", "failed", "created_at", "job_id"))
-    return recent.select("job_id", "country_no", "recent", "failed", place.alias("place"))
+    """Order of waiting jobs: users with few jobs in the 24 hours before first, then those with few still running, then by time."""
+    return ops.fair_order(T.jobs(spark, d), "ip_tag", "country_no")
 
 
 def top10_source_order(spark, d):
@@ -214,7 +210,9 @@ SQL = {
       SELECT s.variant, count(*) AS vertices, round(sum(sqrt((bx-x)*(bx-x)+(by_-y)*(by_-y))), 2) AS length, coalesce(any_value(crossings), 0) AS crossings FROM s LEFT JOIN h ON h.variant = s.variant GROUP BY 1""",
     "agg02_hits": "SELECT CAST(floor(y/3) AS BIGINT) AS rr, CAST(floor(x/3) AS BIGINT) AS cc, sum(CASE WHEN hag < 5 THEN CASE WHEN nr = 1 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END ELSE 0 END) AS low, sum(CASE WHEN hag < 5 THEN 0 ELSE CASE WHEN nr = 1 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END END) AS other, count(*) AS n FROM fx_points GROUP BY 1, 2",
     "agg22_report_groups": "WITH g AS (SELECT unnest(['day', 'status', 'country', 'user']) AS cut, unnest([strftime(created_at, '%Y-%m-%d'), status, CAST(country_no AS VARCHAR), CAST(ip_tag AS VARCHAR)]) AS value, ip_tag, ip_net_tag FROM fx_jobs) SELECT cut, value, count(*) AS jobs, count(DISTINCT ip_tag) AS users, count(DISTINCT ip_net_tag) AS nets FROM g GROUP BY 1, 2 HAVING cut <> 'user' OR count(*) >= 150",
-    "top08_fair_order": "WITH j AS (SELECT *, CAST(floor(epoch(created_at)) AS BIGINT) AS t FROM fx_jobs), r AS (SELECT job_id, country_no, created_at, count(*) OVER w AS recent, CAST(coalesce(sum(CASE WHEN status = 'failed' THEN 1 ELSE 0 END) OVER w, 0) AS BIGINT) AS failed FROM j WINDOW w AS (PARTITION BY ip_tag ORDER BY t RANGE BETWEEN 2592000 PRECEDING AND 1 PRECEDING)) SELECT job_id, country_no, recent, failed, row_number() OVER (PARTITION BY country_no ORDER BY recent, failed, created_at, job_id) AS place FROM r",
+    "top08_fair_order": """WITH j AS (SELECT job_id, ip_tag, country_no, created_at, CAST(floor(epoch(created_at)) AS BIGINT) AS t, CAST(ceil(build_seconds) AS BIGINT) AS runs FROM fx_jobs),
+      r AS (SELECT a.job_id, a.country_no, a.created_at, count(b.job_id) AS recent, count(CASE WHEN b.t + b.runs > a.t THEN 1 END) AS active FROM j a LEFT JOIN j b ON b.ip_tag = a.ip_tag AND b.t > a.t - 86400 AND (b.t < a.t OR b.t = a.t AND b.job_id < a.job_id) GROUP BY 1, 2, 3)
+      SELECT job_id, country_no, recent, active, row_number() OVER (PARTITION BY country_no ORDER BY recent, active, created_at, job_id) AS place FROM r""",
     "top10_source_order": f"WITH {_SEG}, l AS (SELECT seg.line_id, seg.source, round(sum(len), 3) AS length, min(substring(cls, 1, 1)) AS width FROM seg JOIN fx_vertices v ON v.line_id = seg.line_id AND v.pos = seg.pos GROUP BY 1, 2) SELECT line_id, row_number() OVER (ORDER BY CASE source WHEN 'dtm' THEN 0 WHEN 'osm' THEN 1 ELSE 2 END, width, length DESC, line_id) AS place FROM l",
     "jon09_kept_parking": f"SELECT fid FROM fx_rects a WHERE kind = 'BUILDING' AND NOT EXISTS (SELECT 1 FROM fx_rects b WHERE b.kind = 'MACHINERY' AND b.lvl = 1 AND {_OVER} AND {_COMMON} >= 1)",
     "jon12_town_sidewalks": f"""WITH {_SEG}, tr AS (SELECT seg.* FROM seg JOIN fx_vertices v ON v.line_id = seg.line_id AND v.pos = seg.pos WHERE seg.source = 'topo' AND v.cls = '5-LOW' AND len > 0), n AS (SELECT a.fid, max({_COMMON}) AS c FROM fx_rects a JOIN fx_rects b ON a.kind = 'FURNITURE' AND b.kind = 'HOUSEHOLD' AND {_OVER} GROUP BY 1),

@@ -61,3 +61,35 @@ def test_propagation_stops_at_closed_ids(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (5, 6)], "a long, b long")
     got = graph.propagated(ids, links, ids.where("id = 1"), ids.where("id in (2, 4, 6)"))
     assert {r.id for r in got.collect()} == {1, 2}
+
+
+def test_requests_are_blocked_by_the_last_probe_before_them(spark):
+    """A later failure doesn't block an earlier request, and an outage of another day still holds."""
+    from geoloom.operators import ops
+
+    at = lambda day, hour: f"2024-01-{day:02d} {hour:02d}:00:00"
+    probes = spark.createDataFrame([(1, "a", at(1, 8), True), (2, "a", at(2, 8), False), (3, "a", at(6, 8), True), (4, "b", at(1, 9), False), (5, "b", at(1, 10), True), (6, "b", at(9, 1), False)], "n long, k string, ts string, ok boolean").withColumn("ts", F.to_timestamp("ts"))
+    asked = spark.createDataFrame([(10, "a", at(1, 7)), (11, "a", at(1, 9)), (12, "a", at(5, 1)), (13, "a", at(6, 9)), (14, "b", at(1, 9)), (15, "b", at(8, 1)), (16, "c", at(1, 1)), (17, None, at(1, 1))], "n long, k string, ts string").withColumn("ts", F.to_timestamp("ts"))
+    got = {r.n: r.blocked for r in ops.blocked(asked, probes, ["k"], "ts", "n").collect()}
+    assert got == {10: False, 11: False, 12: True, 13: False, 14: True, 15: False, 16: False, 17: False}
+
+
+def test_fair_order(spark):
+    from geoloom.operators import ops
+
+    rows = [(1, "x", 0, "2024-01-01 00:00:00", 30.0), (2, "x", 0, "2024-01-01 00:00:10", 5.0), (3, "x", 0, "2024-01-01 00:00:20", 5.0), (4, "y", 0, "2024-01-02 00:00:00", None), (5, "x", 0, "2024-01-02 00:00:05", 1.0), (6, "x", 0, "2024-01-02 00:00:05", 1.0)]
+    jobs = spark.createDataFrame(rows, "job_id long, ip string, q int, created_at string, build_seconds double").withColumn("created_at", F.to_timestamp("created_at"))
+    got = {r.job_id: (r.recent, r.active, r.place) for r in ops.fair_order(jobs, "ip", "q").collect()}
+    assert got == {1: (0, 0, 1), 4: (0, 0, 2), 2: (1, 1, 3), 3: (2, 1, 5), 5: (2, 0, 4), 6: (3, 1, 6)}
+
+
+def test_pools_ten_metres_off_make_a_playground_private(spark, tmp_path):
+    from geoloom.plans import network
+    from geoloom.sources import tables as T
+
+    rects = spark.createDataFrame([(1, "MACHINERY", 0, 0.0, 0.0, 10.0, 10.0), (2, "AUTOMOBILE", 0, 18.0, 0.0, 20.0, 5.0), (3, "MACHINERY", 0, 100.0, 0.0, 110.0, 10.0), (4, "AUTOMOBILE", 0, 118.0, 18.0, 120.0, 20.0)], "fid long, kind string, lvl int, x0 double, y0 double, x1 double, y1 double")
+    held, T.rects = T.rects, lambda *_: rects
+    try:
+        assert {r.fid: r.at_pool for r in network.jon37_private_playgrounds(spark, "").collect()} == {1: True, 3: False}
+    finally:
+        T.rects = held

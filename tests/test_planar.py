@@ -173,3 +173,37 @@ def test_area_in_common_with_boxes(spark):
             if sum((ay > y) != (by > y) and x < ax + (y - ay) / (by - ay) * (bx - ax) for (ax, ay), (bx, by) in zip(star, star[1:] + star[:1])) % 2:
                 hits += sum(x0 <= x < x1 and y0 <= y < y1 for _, x0, y0, x1, y1 in boxes)
     assert abs(total - hits * (20 / n) ** 2) < 0.02 * total
+
+
+def test_pieces_of_a_coverage(spark, sf):
+    """The query on whole tables, against flood fill over the cells between all coordinates."""
+    from geoloom.plans import faces as Q
+    from geoloom.sources import tables as T
+
+    rects = [(r.fid, Q.RANKS[r.kind], *(round(10 * v) for v in (r.x0, r.y0, r.x1, r.y1))) for r in T.rects(spark, sf).collect()]
+    xs, ys = sorted({v for r in rects for v in (r[2], r[4])}), sorted({v for r in rects for v in (r[3], r[5])})
+    nx, ny = {v: i for i, v in enumerate(xs)}, {v: i for i, v in enumerate(ys)}
+    owner = {}
+    for fid, rank, x0, y0, x1, y1 in sorted(rects, key=lambda r: r[1::-1]):
+        for i in range(nx[x0], nx[x1]):
+            for j in range(ny[y0], ny[y1]):
+                owner.setdefault((i, j), fid)
+    want, seen = collections.Counter(), set()
+    for start, fid in owner.items():
+        if start in seen:
+            continue
+        seen.add(start)
+        todo, area, rim = [start], 0, 0
+        while todo:
+            i, j = todo.pop()
+            w, h = xs[i + 1] - xs[i], ys[j + 1] - ys[j]
+            area += w * h
+            for n, edge in (((i - 1, j), h), ((i + 1, j), h), ((i, j - 1), w), ((i, j + 1), w)):
+                if owner.get(n) != fid:
+                    rim += edge
+                elif n not in seen:
+                    seen.add(n)
+                    todo.append(n)
+        want[fid, round(area / 100, 2), round(rim / 10, 2)] += 1
+    got = collections.Counter((r.fid, r.area, r.rim) for r in Q.set14_pieces(spark, sf).collect())
+    assert got == want
