@@ -61,7 +61,37 @@ def in_boxes(segments: DataFrame, boxes: DataFrame, size: float = J.CELL) -> Dat
     # the part's lower left corner lies in both, up to rounding, which the clamps take away
     low = lambda p, q, a: F.greatest(F.least(F.col(p) + F.col("t0") * (F.col(q) - F.col(p)), F.greatest(p, q), F.col(a.replace("0", "1"))), F.least(p, q), F.col(a))
     owner = (F.floor(low("ax", "bx", "x0") / size) == F.col("__gx")) & (F.floor(low("ay", "by", "y0") / size) == F.col("__gy"))
-    return s.join(b, ["__gx", "__gy"]).withColumn("t0", t0).withColumn("t1", t1).where("t0 < t1").where(owner).drop("__gx", "__gy")
+    met = J.by_cell(s).join(J.by_cell(b), ["__gx", "__gy"]).where(t0 < t1)
+    # a generator of one row keeps the two expressions from being written out at every use, in code too long to be compiled
+    parts = met.select("*", F.explode(F.array(F.struct(t0.alias("t0"), t1.alias("t1")))).alias("__t")).select("*", "__t.t0", "__t.t1")
+    return parts.where(owner).drop("__gx", "__gy", "__t")
+
+
+def dissolved(boxes: DataFrame, leaf: float = 2.0, levels: int = 3) -> DataFrame:
+    """Boxes (x0, y0, x1, y1) with the same union and few overlaps: squares of ``leaf`` that a box covers whole, put together by four where
+    all are covered, and the parts of boxes in the other squares. However many boxes lie over each other, a place is in one square."""
+    cell = boxes.select("x0", "y0", "x1", "y1")
+    # a box that ends on a square's edge doesn't reach into it
+    span = lambda a, b: F.sequence(F.floor(F.col(a) / leaf), F.greatest(F.ceil(F.col(b) / leaf) - 1, F.floor(F.col(a) / leaf)))
+    cell = cell.withColumn("gx", F.explode(span("x0", "x1"))).withColumn("gy", F.explode(span("y0", "y1")))
+    low = lambda a, g: F.greatest(F.col(a), F.col(g) * leaf)
+    high = lambda b, g: F.least(F.col(b), (F.col(g) + 1) * leaf)
+    part = cell.select("gx", "gy", low("x0", "gx").alias("x0"), low("y0", "gy").alias("y0"), high("x1", "gx").alias("x1"), high("y1", "gy").alias("y1"))
+    whole = (F.col("x1") - F.col("x0") >= leaf) & (F.col("y1") - F.col("y0") >= leaf)
+    part = written(part.withColumn("whole", whole).distinct())
+    full = part.where("whole").select("gx", "gy")
+    out = part.where("not whole").join(full, ["gx", "gy"], "left_anti").select("x0", "y0", "x1", "y1")
+    size = leaf
+    for _ in range(levels):
+        up = full.groupBy(F.floor(F.col("gx") / 2).alias("ux"), F.floor(F.col("gy") / 2).alias("uy")).agg(F.count("*").alias("n")).where("n = 4").select("ux", "uy")
+        rest = full.join(up, (F.floor(F.col("gx") / 2) == F.col("ux")) & (F.floor(F.col("gy") / 2) == F.col("uy")), "left_anti")
+        out = out.unionByName(_squares(rest, size))
+        full, size = up.toDF("gx", "gy"), size * 2
+    return out.unionByName(_squares(full, size))
+
+
+def _squares(cells: DataFrame, size: float) -> DataFrame:
+    return cells.select((F.col("gx") * size).alias("x0"), (F.col("gy") * size).alias("y0"), ((F.col("gx") + 1) * size).alias("x1"), ((F.col("gy") + 1) * size).alias("y1"))
 
 
 def inside_spans(segments: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -79,10 +109,18 @@ def merged(spans: DataFrame, keys: list[str], also: list[str] = []) -> DataFrame
     return new.withColumn("__n", F.sum("__new").over(w)).groupBy(*keys, *also, "__n").agg(F.min("s0").alias("s0"), F.max("s1").alias("s1")).drop("__n")
 
 
+def joined_around(spans: DataFrame, keys: list[str], at: float, gap: float = 1e-9) -> DataFrame:
+    """(keys, s0, s1): of each key's spans, joined where they overlap or touch, the one that holds the measure ``at``."""
+    w = Window.partitionBy(*keys).orderBy("s0", "s1")
+    reach = F.max("s1").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = spans.withColumn("__new", F.when(F.col("s0") <= reach + gap, 0).otherwise(1)).withColumn("__n", F.sum("__new").over(w))
+    return new.groupBy(*keys, "__n").agg(F.min("s0").alias("s0"), F.max("s1").alias("s1")).where((F.col("s0") <= at) & (F.col("s1") >= at)).drop("__n")
+
+
 def outside_spans(segments: DataFrame, boxes: DataFrame, least: float = 0.0) -> DataFrame:
     """(line_id, s0, s1): the measures between which a line runs outside all boxes, joined over vertices; pieces shorter than ``least`` go."""
     whole = segments.where("len > 0").select("line_id", "pos", F.col("m0").alias("a"), (F.col("m0") + F.col("len")).alias("b"))
-    inside = inside_spans(segments, boxes)
+    inside = written(inside_spans(segments, boxes))
     w = Window.partitionBy("line_id", "pos").orderBy("s0")
     cuts = inside.select("line_id", "pos", F.col("s0"), F.col("s1"), F.lag("s1").over(w).alias("before"), F.lead("s0").over(w).alias("after"))
     gaps = cuts.join(whole, ["line_id", "pos"]).select("line_id", F.explode(F.array(F.struct(F.coalesce("before", "a").alias("s0"), F.col("s0").alias("s1")), F.when(F.col("after").isNull(), F.struct(F.col("s1").alias("s0"), F.col("b").alias("s1"))))).alias("g")).where("g is not null").select("line_id", "g.s0", "g.s1")

@@ -92,6 +92,12 @@ def beside_segments(samples: DataFrame, segments: DataFrame, distance: float, al
     return s.join(_reached(segments, distance, size), on if also is None else on & also, "left_semi").drop("__sx", "__sy")
 
 
+def by_cell(cells: DataFrame) -> DataFrame:
+    """Rows dealt by their cell into a fixed number of partitions: where few bytes meet in many pairs, small partitions must not be put together."""
+    spark = cells.sparkSession
+    return cells.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "__gx", "__gy")
+
+
 def segment_cells(segments: DataFrame, ax: str, ay: str, bx: str, by: str, size: float = CELL) -> DataFrame:
     """A row for every cell that a segment comes near; long slanting ones touch few of their box's cells."""
     boxed = box_cells(segments, F.least(ax, bx), F.least(ay, by), F.greatest(ax, bx), F.greatest(ay, by), size)
@@ -112,10 +118,7 @@ def crossings(a: DataFrame, b: DataFrame, size: float = CELL) -> DataFrame:
         return F.least(F.greatest(F.col(p) + t * (F.col(q) - F.col(p)), F.least(p, q), F.least(r, s)), F.greatest(p, q), F.greatest(r, s))
 
     owner = (F.floor(at("ax", "bx", "cx", "dx") / size) == F.col("__gx")) & (F.floor(at("ay", "by", "cy", "dy") / size) == F.col("__gy"))
-    # few bytes meet in many pairs here, so small partitions must not be put together
-    spark = a.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    ca, cb = ca.repartition(parts, "__gx", "__gy"), cb.repartition(parts, "__gx", "__gy")
+    ca, cb = by_cell(ca), by_cell(cb)
     return ca.join(cb, ["__gx", "__gy"]).where(F.when(cross, owner).otherwise(False)).drop("__gx", "__gy")
 
 

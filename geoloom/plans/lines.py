@@ -9,6 +9,7 @@ from geoloom.operators import grid, lines, sequence
 from geoloom.operators import spatial_join as J
 from geoloom.plans.spatial import _SEG, _STA
 from geoloom.sources import tables as T
+from geoloom.sources.store import written
 
 STEP = 25.0
 
@@ -198,12 +199,13 @@ def jon29_banks(spark, d):
 
 def jon18_widths(spark, d):
     """Median width of the areas across a line: at each station the run of areas that the perpendicular meets around it."""
-    st = sequence.stations(_seg(spark, d, "source = 'dtm'"), STEP).withColumn("station", F.concat_ws(":", "line_id", "k"))
+    st = sequence.stations(_seg(spark, d, "source = 'dtm'"), STEP)
     reach = 20.0
-    ray = st.select(F.col("station").alias("line_id"), F.lit(1).alias("pos"), F.col("line_id").alias("line"), (F.col("x") - reach * F.col("ty")).alias("ax"), (F.col("y") + reach * F.col("tx")).alias("ay"), (F.col("x") + reach * F.col("ty")).alias("bx"), (F.col("y") - reach * F.col("tx")).alias("by"), F.lit(2 * reach).alias("len"), F.lit(0.0).alias("m0"))
-    inside = lines.in_boxes(ray, _rects(spark, d, "kind <> 'BUILDING'")).select("line_id", "line", (F.col("t0") * 2 * reach).alias("s0"), (F.col("t1") * 2 * reach).alias("s1"))
-    runs = lines.merged(inside, ["line_id"], ["line"]).where(f"s0 <= {reach} and s1 >= {reach}")
-    return runs.groupBy("line").agg(F.count("*").alias("stations"), F.round(F.expr("percentile(s1 - s0, 0.5)"), 3).alias("width")).withColumnRenamed("line", "line_id")
+    ray = st.select("line_id", "k", (F.col("x") - reach * F.col("ty")).alias("ax"), (F.col("y") + reach * F.col("tx")).alias("ay"), (F.col("x") + reach * F.col("ty")).alias("bx"), (F.col("y") - reach * F.col("tx")).alias("by"))
+    areas = written(lines.dissolved(_rects(spark, d, "kind <> 'BUILDING'")))
+    inside = lines.in_boxes(ray, areas, 16.0).select("line_id", "k", (F.col("t0") * 2 * reach).alias("s0"), (F.col("t1") * 2 * reach).alias("s1"))
+    runs = lines.joined_around(inside, ["line_id", "k"], reach)
+    return runs.groupBy("line_id").agg(F.count("*").alias("stations"), F.round(F.expr("percentile(s1 - s0, 0.5)"), 3).alias("width"))
 
 
 def jon34_ends_to_bands(spark, d):
