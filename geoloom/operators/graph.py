@@ -149,6 +149,18 @@ def paired(arms: DataFrame) -> DataFrame:
     return kept
 
 
+def matched(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b, cost) picked cheapest first, each end once: every round takes those that are best for both ends, the same as one by one."""
+    left, kept = written(pairs.select("a", "b", "cost")), None
+    while kept is None or not left.isEmpty():
+        best = left.select(F.explode(F.array("a", "b")).alias("end"), F.struct("cost", "a", "b").alias("p")).groupBy("end").agg(F.min("p").alias("p"))
+        fresh = written(best.groupBy("p").agg(F.count("*").alias("n")).where("n = 2").select("p.a", "p.b", "p.cost"))
+        used = fresh.select(F.explode(F.array("a", "b")).alias("used"))
+        kept = fresh if kept is None else kept.unionByName(fresh)
+        left = written(left.join(used.withColumnRenamed("used", "a"), "a", "left_anti").join(used.withColumnRenamed("used", "b"), "b", "left_anti").select("a", "b", "cost"))
+    return kept
+
+
 def strokes(arms: DataFrame) -> DataFrame:
     """(line, stroke): lines that run on through the pairs of their arms; a stroke is named by its least line."""
     arms = written(arms.select("node", "arm", "line", "bearing"))

@@ -122,6 +122,15 @@ def crossings(a: DataFrame, b: DataFrame, size: float = CELL) -> DataFrame:
     return ca.join(cb, ["__gx", "__gy"]).where(F.when(cross, owner).otherwise(False)).drop("__gx", "__gy")
 
 
+def crossing(a: DataFrame, b: DataFrame, size: float = CELL) -> DataFrame:
+    """Segments (ax, ay, bx, by) with a segment of ``b`` (cx, cy, dx, dy) that properly crosses them, once a cell at most: a semi join, so the first hit in a cell ends the search there."""
+    side = lambda px, py, qx, qy, rx, ry: (F.col(qx) - F.col(px)) * (F.col(ry) - F.col(py)) - (F.col(qy) - F.col(py)) * (F.col(rx) - F.col(px))
+    met = (side("ax", "ay", "bx", "by", "cx", "cy") * side("ax", "ay", "bx", "by", "dx", "dy") < 0) & (side("cx", "cy", "dx", "dy", "ax", "ay") * side("cx", "cy", "dx", "dy", "bx", "by") < 0)
+    ca = by_cell(segment_cells(a, "ax", "ay", "bx", "by", size)).withColumnsRenamed({"__gx": "__sx", "__gy": "__sy"})
+    cb = by_cell(segment_cells(b, "cx", "cy", "dx", "dy", size))
+    return ca.join(cb, (F.col("__sx") == F.col("__gx")) & (F.col("__sy") == F.col("__gy")) & met, "left_semi").drop("__sx", "__sy")
+
+
 def nearest(left: DataFrame, right: DataFrame, key: str, distance: float, **names) -> DataFrame:
     """The least distance within reach for each left key."""
     return within(left, right, distance, **names).groupBy(key).agg(F.sqrt(F.min("d2")).alias("distance"))
