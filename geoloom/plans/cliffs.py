@@ -47,24 +47,24 @@ def grf17_rock_areas(spark, d):
     return facts.join(corner, "area").select("p.rr", "p.cc", "cells", F.round("width", 3).alias("width"), F.round("length", 3).alias("length"))
 
 
-def jon27_clear_lines(spark, d):
-    """Lines that cross no building's outline: a semi join finds the others, and ends at a segment's first crossing."""
+def jon27_clear_segments(spark, d):
+    """Segments of lines that cross no building's outline: a semi join finds the others, and ends at a segment's first crossing."""
     seg = _segments(spark, d)
     a = seg.select(F.col("line_id").alias("a_id"), F.col("pos").alias("a_seg"), "ax", "ay", "bx", "by")
     r = T.rects(spark, d).where("kind = 'BUILDING'")
     side = lambda *c: F.struct(*(F.col(p).alias(q) for p, q in zip(c, ("cx", "cy", "dx", "dy"))))
     b = r.select(F.explode(F.array(side("x0", "y0", "x1", "y0"), side("x1", "y0", "x1", "y1"), side("x1", "y1", "x0", "y1"), side("x0", "y1", "x0", "y0"))).alias("s")).select("s.*")
-    met = J.crossing(a, b, 16.0).select(F.col("a_id").alias("line_id")).distinct()
-    return seg.select("line_id").distinct().join(met, "line_id", "left_anti")
+    met = J.crossing(a, b, 16.0).select(F.col("a_id").alias("line_id"), F.col("a_seg").alias("pos")).distinct()
+    return seg.select("line_id", "pos").join(met, ["line_id", "pos"], "left_anti")
 
 
 _TURN = "({q}x - {p}x) * ({r}y - {p}y) - ({q}y - {p}y) * ({r}x - {p}x)"
 _SIDE = lambda p, q, r: _TURN.format(p=p, q=q, r=r)
 
 SQL = {
-    "jon27_clear_lines": f"""WITH s AS (SELECT * FROM (SELECT line_id, x AS ax, y AS ay, lead(x) OVER w AS ex, lead(y) OVER w AS ey FROM fx_vertices WINDOW w AS (PARTITION BY line_id ORDER BY pos)) WHERE ex IS NOT NULL),
+    "jon27_clear_segments": f"""WITH s AS (SELECT * FROM (SELECT line_id, pos, x AS ax, y AS ay, lead(x) OVER w AS ex, lead(y) OVER w AS ey FROM fx_vertices WINDOW w AS (PARTITION BY line_id ORDER BY pos)) WHERE ex IS NOT NULL),
       o AS (SELECT x0 AS cx, y0 AS cy, x1 AS dx, y0 AS dy FROM fx_rects WHERE kind = 'BUILDING' UNION ALL SELECT x1, y0, x1, y1 FROM fx_rects WHERE kind = 'BUILDING' UNION ALL SELECT x1, y1, x0, y1 FROM fx_rects WHERE kind = 'BUILDING' UNION ALL SELECT x0, y1, x0, y0 FROM fx_rects WHERE kind = 'BUILDING')
-      SELECT DISTINCT line_id FROM s EXCEPT SELECT line_id FROM s JOIN o ON least(ax, ex) <= greatest(cx, dx) AND least(cx, dx) <= greatest(ax, ex) AND ({_SIDE('a', 'e', 'c')}) * ({_SIDE('a', 'e', 'd')}) < 0 AND ({_SIDE('c', 'd', 'a')}) * ({_SIDE('c', 'd', 'e')}) < 0""",
+      SELECT line_id, pos FROM s EXCEPT SELECT line_id, pos FROM s JOIN o ON least(ax, ex) <= greatest(cx, dx) AND least(cx, dx) <= greatest(ax, ex) AND ({_SIDE('a', 'e', 'c')}) * ({_SIDE('a', 'e', 'd')}) < 0 AND ({_SIDE('c', 'd', 'a')}) * ({_SIDE('c', 'd', 'e')}) < 0""",
 }
 
-QUERIES = {f.__name__: f for f in (grf16_cliff_lines, grf17_rock_areas, jon27_clear_lines)}
+QUERIES = {f.__name__: f for f in (grf16_cliff_lines, grf17_rock_areas, jon27_clear_segments)}

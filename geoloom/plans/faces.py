@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from geoloom.operators import enclosures as E
 from geoloom.operators import graph as G
+from geoloom.operators import partitions
 from geoloom.operators import planar as P
 from geoloom.sources import tables as T
 from geoloom.sources.store import written
@@ -54,6 +55,29 @@ def set14_pieces(spark, d):
     return size.join(rim, "component").select("fid", F.round("area", 2).alias("area"), F.round("rim", 2).alias("rim"))
 
 
+def jon35_street_space(spark, d):
+    """Street areas cut by the outlines of others (unpaved ones by turns), with road axes along the middle of every third."""
+    at = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    r = T.rects(spark, d)
+    ring = F.array(at("x0", "y0"), at("x1", "y0"), at("x1", "y1"), at("x0", "y1"))
+    streets = r.where("kind = 'MACHINERY'").select("fid", ring.alias("ring"))
+    kerbs = P.ring_segments(r.where("kind = 'FURNITURE'").select("fid", ring.alias("ring"))).withColumn("unpaved", F.col("fid") % 2 == 0)
+    middle = ((F.col("y0") + F.col("y1")) / 2).alias("ay")
+    axes = r.where("kind = 'MACHINERY' and fid % 3 = 0").select(F.col("x0").alias("ax"), middle, F.col("x1").alias("bx"), middle.alias("by"))
+    found = partitions.split_streets(streets, kerbs, axes)
+    return found.select(*(F.round(c, 3).alias(c) for c in ("x", "y", "area", "axis")), F.round("unpaved", 5).alias("unpaved"), "kind")
+
+
+def set17_sea(spark, d):
+    """Faces of the area between coast lines (outlines below ground, by turns round to the left and to the right), and which are sea."""
+    r = T.rects(spark, d).where("kind = 'AUTOMOBILE' and lvl = -1")
+    at = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    ring = F.array(at("x0", "y0"), at("x1", "y0"), at("x1", "y1"), at("x0", "y1"))
+    coast = P.ring_segments(r.select("fid", F.when(F.col("fid") % 2 == 0, ring).otherwise(F.reverse(ring)).alias("ring")))
+    found = partitions.sea_faces(coast, (0.0, 0.0, 400.0, 400.0))
+    return found.select(*(F.round(c, 3).alias(c) for c in ("x", "y", "area", "vote")), "sea")
+
+
 #: Of areas that lie over each other.
 RANKS = {"BUILDING": 0, "MACHINERY": 1, "AUTOMOBILE": 2, "HOUSEHOLD": 3, "FURNITURE": 4}
 
@@ -64,4 +88,4 @@ SQL = {
       SELECT r.fid, r.kind, round(count(*) / 100, 2) AS area FROM w JOIN r ON r.o = w.o GROUP BY 1, 2""",
 }
 
-QUERIES = {f.__name__: f for f in (grf12_enclosures, set14_coverage, set14_pieces)}
+QUERIES = {f.__name__: f for f in (grf12_enclosures, set14_coverage, set14_pieces, jon35_street_space, set17_sea)}
