@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from geoloom.operators import carriageways
 from geoloom.operators import enclosures as E
 from geoloom.operators import graph as G
 from geoloom.operators import partitions
@@ -78,6 +79,22 @@ def set17_sea(spark, d):
     return found.select(*(F.round(c, 3).alias(c) for c in ("x", "y", "area", "vote")), "sea")
 
 
+def kerbed_axes(spark, d):
+    """Axes along the middle of each street area, from 10 m before it to 10 m behind it, and all areas' outlines as kerbs."""
+    at = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    r = T.rects(spark, d)
+    kerbs = P.ring_segments(r.select("fid", F.array(at("x0", "y0"), at("x1", "y0"), at("x1", "y1"), at("x0", "y1")).alias("ring")))
+    middle = (F.col("y0") + F.col("y1")) / 2 + 0.013
+    axes = r.where("kind = 'MACHINERY'").select(F.col("fid").alias("line_id"), F.lit(0).alias("pos"), (F.col("x0") - 10).alias("ax"), middle.alias("ay"), (F.col("x1") + 10).alias("bx"), middle.alias("by"))
+    return axes.withColumn("len", F.col("bx") - F.col("ax")).withColumn("m0", F.lit(0.0)), kerbs
+
+
+def jon19_carriageways(spark, d):
+    """Stretches of street axes with a kerb on both sides: stations, measures, mean width and area."""
+    sizes = carriageways.carriageway_sizes(carriageways.carriageways(*kerbed_axes(spark, d)))
+    return sizes.select("line_id", "stations", *(F.round(c, 3).alias(c) for c in ("first", "last", "width", "area")))
+
+
 #: Of areas that lie over each other.
 RANKS = {"BUILDING": 0, "MACHINERY": 1, "AUTOMOBILE": 2, "HOUSEHOLD": 3, "FURNITURE": 4}
 
@@ -88,4 +105,4 @@ SQL = {
       SELECT r.fid, r.kind, round(count(*) / 100, 2) AS area FROM w JOIN r ON r.o = w.o GROUP BY 1, 2""",
 }
 
-QUERIES = {f.__name__: f for f in (grf12_enclosures, set14_coverage, set14_pieces, jon35_street_space, set17_sea)}
+QUERIES = {f.__name__: f for f in (grf12_enclosures, set14_coverage, set14_pieces, jon35_street_space, set17_sea, jon19_carriageways)}
