@@ -64,7 +64,7 @@ def carriageways(segments: DataFrame, kerbs: DataFrame, rules: Rules = Rules())
 
     ``segments``: axes as line_id, pos, ax, ay, bx, by, len, m0. A station counts with kerbs on both sides at a fitting width; its sides are
     medians over the stations around. On axes that are mostly measured, gaps between runs are bridged linearly, and from the outer runs to
-    an end that lies on another axis with the same width, if no longer than ``gap``.
+    an end that lies on another axis with the same width, if no longer than ``gap``. Axes shorter than ``least_run`` steps have none.
     """
     st = written(axis_stations(segments, rules.step))
     total = F.col("left") + F.col("right")
@@ -76,7 +76,7 @@ def carriageways(segments: DataFrame, kerbs: DataFrame, rules: Rules = Rules())
     median = lambda c: F.when(F.col("ok"), F.expr(f"percentile({c}, 0.5)").over(around))
     smooth = written(valid.select("line_id", "i", "m", "x", "y", "nx", "ny", "ok", median("left").alias("left"), median("right").alias("right")))
     share = F.avg(F.col("ok").cast("double")).over(line)
-    runs = smooth.withColumn("share", share).withColumn("n", F.max("i").over(line)).withColumn("run", F.when(F.col("ok"), _run("left")))
+    runs = smooth.withColumn("share", share).withColumn("run", F.when(F.col("ok"), _run("left")))
     size = F.count("*").over(Window.partitionBy("line_id", "run"))
     held = F.struct("m", "left", "right")
     anchored = runs.withColumn("anchor", F.when(F.col("ok") & (size >= rules.least_run), held))
@@ -99,7 +99,7 @@ def carriageways(segments: DataFrame, kerbs: DataFrame, rules: Rules = Rules())
         last = F.when(F.col("q").isNull() & (F.col("finish") == 1) & (length - F.col("p.m") <= rules.gap), F.col(f"p.{c}"))
         return F.coalesce(F.when(good, F.coalesce(inside, first, last)), F.col(c))
 
-    out = d.select("line_id", "i", "m", "x", "y", "nx", "ny", "n", filled("left").alias("left"), filled("right").alias("right")).where("n + 1 > " + str(rules.least_run))
+    out = d.select("line_id", "i", "m", "x", "y", "nx", "ny", length.alias("length"), filled("left").alias("left"), filled("right").alias("right")).where(F.floor(F.col("length") / rules.step) >= rules.least_run)
     out = written(out.withColumn("run", F.when(F.col("left").isNotNull(), _run("left"))).where("left is not null"))
     kept = out.groupBy("line_id", "run").agg(F.count("*").alias("k")).where(F.col("k") >= rules.least_run).select("line_id", "run")
     edge = lambda c, n, s, w: (F.col(c) + s * F.col(n) * F.col(w))

@@ -61,7 +61,7 @@ def brute(axes, kerbs, r=C.Rules()):
             if i < len(sm) and sm[i]:
                 run.append(i)
             else:
-                if len(run) >= r.least_run and len(st) > r.least_run:
+                if len(run) >= r.least_run and m // r.step >= r.least_run:
                     for j in run:
                         (x, y), (nx, ny) = st[j]
                         out[k, j] = tuple(round(v, 6) for v in (*sm[j], x + nx * sm[j][0], y + ny * sm[j][0], x - nx * sm[j][1], y - ny * sm[j][1]))
