@@ -185,6 +185,10 @@ SQL = {
       SELECT node, a, b, round(turn + 1e-6, 2) AS turn FROM k GROUP BY node, a, b, k.turn HAVING count(*) = 2""",
     "grf_list_ranks": "SELECT line_id*1000 + pos AS id, count(*) OVER (PARTITION BY line_id ORDER BY pos DESC) - 1 AS rank FROM fx_vertices",
     "agg29_dissolve": f"WITH RECURSIVE {_CELLS}, c AS (SELECT DISTINCT rr, cc, rr*1000 + cc AS id FROM rc WHERE kind = 'FURNITURE'), l AS (SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON (a.rr = b.rr AND abs(a.cc - b.cc) = 1) OR (a.cc = b.cc AND abs(a.rr - b.rr) = 1)), f(root, id) AS (SELECT id, id FROM c UNION SELECT f.root, l.b FROM f JOIN l ON f.id = l.a AND l.b > f.root), m AS (SELECT id, min(root) AS component FROM f GROUP BY 1) SELECT component, count(*) AS cells FROM m GROUP BY 1",
+    "grf02_regions": """WITH RECURSIVE c AS (SELECT rr, cc, rr*100 + cc AS id, CASE WHEN chm < 8 THEN 1 WHEN chm < 16 THEN 2 WHEN chm < 22 THEN 3 ELSE 0 END AS cls FROM fx_cells),
+      l AS (SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON a.cls = b.cls AND (b.rr = a.rr AND abs(b.cc - a.cc) = 1 OR b.cc = a.cc AND abs(b.rr - a.rr) = 1)),
+      f(root, id) AS (SELECT id, id FROM c UNION SELECT f.root, l.b FROM f JOIN l ON f.id = l.a AND l.b > f.root), m AS (SELECT id, min(root) AS component FROM f GROUP BY 1)
+      SELECT component, cls, count(*) AS cells FROM m JOIN c ON c.id = m.id GROUP BY 1, 2""",
     "grf01_snapped": "WITH RECURSIVE v AS (SELECT line_id * 2 AS id, x, y FROM fx_vertices WHERE pos = 1 UNION ALL SELECT line_id * 2 + 1, x, y FROM (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY pos DESC) AS r FROM fx_vertices) z WHERE r = 1 AND pos > 1), l AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.id <> b.id AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) <= 16), f(root, id) AS (SELECT id, id FROM v UNION SELECT f.root, l.b FROM f JOIN l ON f.id = l.a), m AS (SELECT id, min(root) AS node FROM f GROUP BY 1) SELECT m.id, node, count(*) OVER (PARTITION BY node) AS degree, round(avg(x) OVER (PARTITION BY node), 4) AS x, round(avg(y) OVER (PARTITION BY node), 4) AS y FROM m JOIN v ON m.id = v.id",
     "grf03_chains": "WITH RECURSIVE o AS (SELECT o_orderkey AS id, o_custkey AS a, o_orderkey % 3001 + 100000 AS b FROM orders), e AS (SELECT id, a AS node FROM o UNION ALL SELECT id, b FROM o), t AS (SELECT min(id) AS a, max(id) AS b FROM e GROUP BY node HAVING count(*) = 2 AND min(id) <> max(id)), l AS (SELECT a, b FROM t UNION SELECT b, a FROM t), f(root, id) AS (SELECT id, id FROM o UNION SELECT f.root, l.b FROM f JOIN l ON f.id = l.a AND l.b > f.root) SELECT id, min(root) AS chain FROM f GROUP BY 1",
     "snk03_area_bands": "SELECT CASE WHEN (x1-x0)*(y1-y0) < 100 THEN 'small' WHEN (x1-x0)*(y1-y0) < 300 THEN 'medium' ELSE 'large' END AS band, count(*) AS n FROM fx_rects GROUP BY 1",

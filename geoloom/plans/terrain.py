@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from geoloom.operators import cellsets, classify, focal, grid, sequence
@@ -35,13 +37,15 @@ def ras32_contours(spark, d):
 
 
 def ras43_shadow(spark, d):
+    """Where tall cells' shadows fall: 36 directions, 1 to 12 cells."""
     c = _cells(spark, d)
-    return R.shadow_direction(c.where("dsm >= 524"), c.where("dem >= 503"), 6).select("direction", F.round("share", 5).alias("share"), F.round("median", 5).alias("median"), "clear")
+    return R.shadow_direction(c.where("dsm >= 524"), c.where("dem >= 503")).select("direction", F.round("share", 5).alias("share"), F.round("median", 5).alias("median"), "clear")
 
 
 def ras44_colours(spark, d):
-    v = lambda k: (F.col("vec_id") * k % 256) / 255.0
-    return T.table(spark, d, "embeddings").groupBy(R.colour_class(v(37), v(91), v(13)).alias("colour")).agg(F.count("*").alias("n"))
+    """Colour classes of pixels, red, green and blue from the first three features of an image table."""
+    v = lambda k: F.round(1 / (1 + F.exp(-F.col("embedding")[k].cast("double") * 12)), 6)
+    return T.table(spark, d, "embeddings").groupBy(R.colour_class(v(0), v(1), v(2)).alias("colour")).agg(F.count("*").alias("n"))
 
 
 def ras21_settlement(spark, d):
@@ -107,7 +111,17 @@ _TRI = """s AS (SELECT a.rr, a.cc, a.v AS a, b.v AS b, c.v AS c, d.v AS d FROM k
     e AS (SELECT z, n % 5 = 0 AS index, CASE WHEN (pv >= z) <> (qv >= z) THEN [px + (z-pv)/(qv-pv)*(qx-px), py + (z-pv)/(qv-pv)*(qy-py)] END AS e1, CASE WHEN (qv >= z) <> (rv >= z) THEN [qx + (z-qv)/(rv-qv)*(rx-qx), qy + (z-qv)/(rv-qv)*(ry-qy)] END AS e2, CASE WHEN (rv >= z) <> (pv >= z) THEN [rx + (z-rv)/(pv-rv)*(px-rx), ry + (z-rv)/(pv-rv)*(py-ry)] END AS e3 FROM x),
     g AS (SELECT z AS level, index, list_filter([e1, e2, e3], lambda i: i IS NOT NULL) AS e FROM e)"""
 
+_RGB = ", ".join(f"round(1/(1+exp(-CAST(embedding[{k}] AS DOUBLE)*12)), 6) AS {c}" for k, c in ((1, "r"), (2, "g"), (3, "b")))
+_MOVES = sorted({(d, k, round(-k * math.cos(math.radians(d))), round(k * math.sin(math.radians(d)))) for d in range(0, 360, 10) for k in range(1, 13)})
+
 SQL = {
+    "ras43_shadow": f"""WITH m AS (SELECT * FROM (VALUES {', '.join(map(str, _MOVES))}) v(direction, k, dy, dx)),
+      s AS (SELECT direction, k, count(b.rr) / count(*) AS share FROM fx_cells a CROSS JOIN m LEFT JOIN (SELECT rr, cc FROM fx_cells WHERE dem >= 503) b ON b.rr = a.rr + dy AND b.cc = a.cc + dx WHERE a.dsm >= 524 GROUP BY 1, 2 HAVING count(*) >= 10),
+      t AS (SELECT direction, max(share) AS share FROM s GROUP BY 1), e AS (SELECT arg_max(direction, (share, -direction)) AS direction, max(share) AS share, quantile_cont(share, 0.5) AS median FROM t)
+      SELECT CAST(direction AS INTEGER) AS direction, round(share, 5) AS share, round(median, 5) AS median, share >= median + 0.12 AS clear FROM e""",
+    "ras44_colours": f"""WITH p AS (SELECT {_RGB} FROM embeddings), q AS (SELECT *, greatest(r, g, b) AS v, greatest(r, g, b) - least(r, g, b) AS d FROM p),
+      h AS (SELECT v, CASE WHEN v = 0 THEN 0 ELSE d / v END AS s, CASE WHEN d = 0 THEN 0 WHEN v = r THEN 60 * (((g - b) / d) - 6 * floor((g - b) / d / 6)) WHEN v = g THEN 60 * ((b - r) / d + 2) ELSE 60 * ((r - g) / d + 4) END AS h FROM q)
+      SELECT CASE WHEN v < 0.25 THEN 'black' WHEN s < 0.12 AND v > 0.85 THEN 'white' WHEN s < 0.15 THEN 'grey' WHEN h >= 40 AND h < 70 THEN 'yellow' WHEN h >= 70 AND h < 170 THEN 'green' WHEN h >= 170 AND h < 260 THEN 'blue' WHEN h >= 15 AND h < 40 THEN 'brown' ELSE 'other' END AS colour, count(*) AS n FROM h GROUP BY 1""",
     "ras27_knolls": f"WITH q AS (SELECT rr, cc, dem AS v FROM fx_cells), {_ring('q', 2)} SELECT rr, cc, round(rise, 4) AS rise, round(clear, 4) AS clear FROM p WHERE rise >= 1.5",
     "ras27_depressions": f"WITH {_COARSE}, {_ring('k', 1)} SELECT rr, cc, round(sunk, 4) AS sunk FROM p WHERE sunk > 0",
     "ras32_contours": f"WITH {_COARSE}, {_TRI} SELECT level, index, count(*) AS segments, round(sum(sqrt(power(e[1][1]-e[2][1], 2) + power(e[1][2]-e[2][2], 2))), 3) AS length FROM g WHERE len(e) = 2 GROUP BY 1, 2",
