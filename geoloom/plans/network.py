@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from geoloom.operators import graph as G
-from geoloom.operators import grid, sequence
+from geoloom.operators import grid, picks, sequence
 from geoloom.operators import spatial_join as J
 from geoloom.plans.spatial import _SEG
 from geoloom.sources import tables as T
@@ -120,6 +120,20 @@ def jon37_private_playgrounds(spark, d):
     return p.join(share, "fid", "left").join(pool, "fid", "left").select("fid", F.coalesce(F.col("common") >= 0.8 * area, F.lit(False)).alias("in_garden"), F.col("pool").isNotNull().alias("at_pool"))
 
 
+def playground_inputs(spark, d):
+    """Grounds, mapped points (of one source's vertices) and detected ones (of another's) with a score."""
+    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    grounds = T.rects(spark, d).where("kind = 'MACHINERY'").select(F.col("fid").alias("zone"), area.alias("area"), "x0", "y0", "x1", "y1")
+    v = T.vertices(spark, d).withColumn("id", F.col("line_id") * 100000 + F.col("pos"))
+    mapped = v.where("source = 'osm'").select("id", "x", "y", (F.col("cls") == "1-URGENT").alias("tall"), (F.col("cls") == "5-LOW").alias("flat"))
+    return grounds, mapped, v.where("source = 'dtm'").select("id", "x", "y", (F.col("pos") % 7).alias("score"))
+
+
+def top06_playground_objects(spark, d):
+    """Objects drawn on every ground at 1:1,000: mapped before detected, with a distance and a quota."""
+    return picks.playground_objects(*playground_inputs(spark, d), 1000)
+
+
 def jon38_points_of_both(spark, d):
     """Mapped points, and detected ones that are more than 4 m from each of them."""
     v = T.vertices(spark, d)
