@@ -8,9 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.operators import planar as P
+from geoloom.operators import sequence
 from geoloom.operators import spatial_join as J
 from geoloom.sources.store import written
 
+#: A line whose ends are this near (metres), or this near and a small share of its length apart, is a ring for its ticks, if it holds this much ground. Fixed values.
+RING_CLOSED, RING_GAP, RING_SHARE, RING_AREA = 0.3, 6.0, 0.1, 15.0
+
 
 @dataclass(frozen=True)
 class Rules:
@@ -92,6 +96,28 @@ def enclosed(segments: DataFrame, private: DataFrame, rules: Rules = Rules(), gr
     return found, out.where((F.col("bridge_share") <= rules.bridge_share) & (F.col("compact") | (F.col("private_share") >= rules.private_share)))
 
 
+def oriented(segments: DataFrame, private: DataFrame, public: DataFrame, step: float = 6.0, offset: float = 1.2, ticks_on_left: bool = False) -> DataFrame:
+    """(line_id, ring, net, reverse): which fences (line_id, pos, ax, ay, bx, by, len, m0) run the wrong way for the side that their ticks are on.
+
+    Rings have their ticks inside, whatever lies around. Along other lines, from half a step on, points ``offset`` to either side count one
+    in private ground only and minus one in public ground only (boxes x0, y0, x1, y1); a line turns if the ticks' side has less than the other.
+    """
+    ends = segments.groupBy("line_id").agg(F.min_by(F.struct("ax", "ay"), "pos").alias("a"), F.max_by(F.struct("bx", "by"), "pos").alias("b"), F.sum(F.col("ax") * F.col("by") - F.col("bx") * F.col("ay")).alias("open"), F.count("*").alias("n"), F.sum("len").alias("length"))
+    whole = F.col("open") + F.col("b.bx") * F.col("a.ay") - F.col("a.ax") * F.col("b.by")
+    gap = F.hypot(F.col("a.ax") - F.col("b.bx"), F.col("a.ay") - F.col("b.by"))
+    near = (gap <= RING_CLOSED) | ((gap <= RING_GAP) & (gap <= RING_SHARE * F.col("length")))
+    lines = ends.select("line_id", ((F.col("n") >= 3) & near & (F.abs(whole / 2) >= RING_AREA)).alias("ring"), (whole / 2).alias("area"))
+    st = sequence.stations(segments.withColumn("m0", F.col("m0") + step / 2), step)
+    side = lambda s: F.struct(F.lit(s).alias("side"), (F.col("x") - s * offset * F.col("ty")).alias("x"), (F.col("y") + s * offset * F.col("tx")).alias("y"))
+    probe = written(st.select("line_id", "k", F.explode(F.array(side(1), side(-1))).alias("p")).select("line_id", "k", "p.side", "p.x", "p.y"))
+    key = ["line_id", "k", "side"]
+    within = lambda boxes, name: J.points_in_boxes(probe, boxes.select("x0", "y0", "x1", "y1")).select(*key).distinct().withColumn(name, F.lit(1))
+    told = probe.join(within(private, "mine"), key, "left").join(within(public, "theirs"), key, "left")
+    votes = told.groupBy("line_id").agg(F.sum((1 if ticks_on_left else -1) * F.col("side") * (F.coalesce("mine", F.lit(0)) - F.coalesce("theirs", F.lit(0)))).alias("net"))
+    net = F.coalesce("net", F.lit(0)).cast("long")
+    return lines.join(votes, "line_id", "left").select("line_id", "ring", net.alias("net"), F.when(F.col("ring"), (F.col("area") > 0) != F.lit(ticks_on_left)).otherwise(net < 0).alias("reverse"))
+
+
 def outer_rings(found: P.Faces, faces: DataFrame) -> DataFrame:
     """(face, place, x, y): the nodes of each face's outer boundary in order, from its least side on, by list ranking along the boundary."""
     own = found.sides.where("ring = face").join(faces.select("face"), "face", "left_semi").select("face", "hid", "ox", "oy", "dx", "dy")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from geoloom.operators import carriageways
@@ -31,6 +32,21 @@ def grf12_enclosures(spark, d):
     return kept.join(corner, "face").select(F.round(F.col("p.ox") * found.grid, 2).alias("x"), F.round(F.col("p.oy") * found.grid, 2).alias("y"), to("area", 3), to("perimeter", 3), "holes", to("bridge_share", 5), to("private_share", 5), "compact")
 
 
+def turned_fences(spark, d):
+    """The same fences with lengths and measures, half of them the other way round; private and public ground."""
+    back = F.col("line_id") % 8 >= 4
+    f = _fences(spark, d).select("line_id", F.when(back, 3 - F.col("pos")).otherwise(F.col("pos")).alias("pos"), *(F.when(back, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("ax", "bx"), ("ay", "by"), ("bx", "ax"), ("by", "ay"))))
+    f = f.withColumn("len", F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")))
+    before = Window.partitionBy("line_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    r = T.rects(spark, d)
+    return f.withColumn("m0", F.coalesce(F.sum("len").over(before), F.lit(0.0))), r.where("kind = 'HOUSEHOLD'"), r.where("kind = 'MACHINERY'")
+
+
+def win15_fence_ticks(spark, d):
+    """Fences whose ticks would point away from private ground, or out of a ring."""
+    return E.oriented(*turned_fences(spark, d))
+
+
 def _coverage(spark, d):
     at = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
     ring = F.array(at("x0", "y0"), at("x1", "y0"), at("x1", "y1"), at("x0", "y1"))
@@ -105,4 +121,4 @@ SQL = {
       SELECT r.fid, r.kind, round(count(*) / 100, 2) AS area FROM w JOIN r ON r.o = w.o GROUP BY 1, 2""",
 }
 
-QUERIES = {f.__name__: f for f in (grf12_enclosures, set14_coverage, set14_pieces, jon35_street_space, set17_sea, jon19_carriageways)}
+QUERIES = {f.__name__: f for f in (grf12_enclosures, set14_coverage, set14_pieces, jon35_street_space, set17_sea, jon19_carriageways, win15_fence_ticks)}
