@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoloom.plans import areas, checks, cliffs, contouring, details, faces, landing, lines, metrics, network, operations, raster, rules, shapes, spatial, surfaces, terrain
+from geoloom.plans import areas, checks, cliffs, contouring, details, faces, landing, lines, metrics, network, operations, raster, rules, shapes, spatial, surfaces, terrain, tidying
 from geoloom.sources.tables import with_tables
 
 FLAGSHIP = "agg02_grid_stats"
-FAMILIES = (raster, rules, shapes, spatial, operations, areas, terrain, metrics, lines, surfaces, network, details, shapes, landing, checks, faces, contouring, cliffs)
+FAMILIES = (raster, rules, shapes, spatial, operations, areas, terrain, metrics, lines, surfaces, network, details, shapes, landing, checks, faces, contouring, cliffs, tidying)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -138,3 +138,16 @@ def test_clipping(spark):
 def test_nothing(spark):
     assert run(spark, [], [(1, 0, 0.0, 0.0, 1.0, 1.0, 1.0)], 5000, 1.0) == {}
     assert run(spark, [(1, 0.0, 0.0, 1.0, 1.0)], [], 5000, 1.0)[1]["status"] == "clear"
+
+
+def test_query(spark, sf):
+    from geoloom.plans import tidying as Q
+
+    objects, axes, widest = Q.moved_inputs(spark, sf)
+    want, _ = brute([tuple(r) for r in objects.collect()], [tuple(r) for r in axes.select(*(c.split()[0] for c in AXES.split(", "))).collect()], 5000, widest)
+    got = {r["id"]: r for r in Q.grf21_displaced(spark, sf).collect()}
+    assert set(got) == set(want)
+    for i, (status, tx, ty) in want.items():
+        assert got[i]["status"] in ({"clipped", "dropped"} if status == "area" else {status}), (i, status, got[i])
+        assert abs(got[i]["tx"] - tx) < 1e-5 and abs(got[i]["ty"] - ty) < 1e-5
+    assert len({r["status"] for r in got.values()}) > 3

@@ -211,3 +211,25 @@ def test_small_nets(spark):
     got, _ = run(spark, lines, kinds, {}, [(22.0, -3.0, 24.0, 3.0)], 10000, 2.0)
     assert got[1][-1] == (20.0, 0.0)  # a building in the way
     assert run(spark, {}, {}, {}, [], 10000, 2.0) == ({}, {})
+
+
+def test_query(spark, sf):
+    from geoloom.plans import tidying as Q
+
+    line, kinds, more, boxes, widest = Q.road_inputs(spark, sf)
+
+    def gathered(df):
+        out = collections.defaultdict(list)
+        for r in df.orderBy("line_id", "pos").collect():
+            out[r["line_id"]].append((r["x"], r["y"]))
+        return dict(out)
+
+    want = brute(gathered(line), {r[0]: tuple(r)[1:] for r in kinds.collect()}, gathered(more), [tuple(r) for r in boxes.collect()], 5000, widest)
+    new, led, gone = want
+    got = {r["line_id"]: r for r in Q.grf14_road_ends(spark, sf).collect()}
+    assert set(got) == set(new)
+    for i, r in got.items():
+        assert r["dropped"] == (i in gone) and r["vertices"] == (0 if i in gone else len(new[i])), (i, r, new[i])
+        assert abs(r["length"] - length(new[i])) < 1e-3
+        assert all((r[f] is None) == (e not in led.get(i, {})) for e, f in ((0, "led_start"), (1, "led_end")))
+    assert len(led) > 5
