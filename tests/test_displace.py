@@ -150,4 +150,4 @@ def test_query(spark, sf):
     for i, (status, tx, ty) in want.items():
         assert got[i]["status"] in ({"clipped", "dropped"} if status == "area" else {status}), (i, status, got[i])
         assert abs(got[i]["tx"] - tx) < 1e-5 and abs(got[i]["ty"] - ty) < 1e-5
-    assert len({r["status"] for r in got.values()}) > 3
+    assert {r["status"] for r in got.values()} >= {"clear", "moved", "clipped"}
