@@ -7,11 +7,13 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.operators import classify
+from geoloom.operators import classify, grid
+from geoloom.sources import providers as P
 from geoloom.sources import readers as R
 from geoloom.sources import tables as T
 from geoloom.sources import writers as W
 from geoloom.sources.store import shared_dir
+from geoloom.streaming import streams as S
 
 
 def _folder(spark, name: str) -> str:
@@ -142,6 +144,38 @@ def snk04_review(spark, d):
     return spark.read.parquet(path).groupBy("status", "reason").agg(F.count("*").alias("n"))
 
 
+def str10_record_stream(spark, d):
+    """Areas land as files of XML records; two types of them are streamed, file by file, into a table."""
+    path, c = _folder(spark, "records"), F.col
+    corner = lambda *names: F.concat_ws(" ", *names)
+    ring = corner("x0", "y0", "x1", "y0", "x1", "y1", "x0", "y1", "x0", "y0")
+    attribute = F.array(F.struct(F.lit("fid").alias("_name"), c("fid").cast("string").alias("_VALUE")), F.struct(F.lit("kind").alias("_name"), F.lower("kind").alias("_VALUE")))
+    rows = T.rects(spark, d).select(c("kind").alias("_type"), c("lvl").cast("string").alias("level"), attribute.alias("attribute"), ring.alias("posList"))
+    rows.repartition(6).write.format("xml").option("rootTag", "map").option("rowTag", "record").save(path)
+    stream = R.tech_object_stream(spark, path, "record", ["BUILDING", "HOUSEHOLD"], files_per_batch=2)
+    seen = S.run_to_table(stream, "records", _folder(spark, "state"))
+    return seen.select("type", "level", F.element_at("attrs", "kind").alias("kind"), F.element_at("attrs", "fid").cast("long").alias("fid"), F.size("pts").alias("points"), F.round(F.element_at("pts", 3)["x"], 3).alias("x1"), F.round(F.element_at("pts", 3)["y"], 3).alias("y1"))
+
+
+def _providers(d) -> P.Providers:
+    """Heights of points and of cells, by the name of their source; every source gives cells of 4 m."""
+    known = P.Providers()
+    known.register("highest", lambda spark: T.points(spark, d).groupBy(grid.cell("y", 4.0).alias("rr"), grid.cell("x", 4.0).alias("cc")).agg(F.max("z").alias("v")))
+    known.register("ground", lambda spark: T.points(spark, d).where("cls = 2").groupBy(grid.cell("y", 4.0).alias("rr"), grid.cell("x", 4.0).alias("cc")).agg(F.avg("z").alias("v")))
+    return known
+
+
+def udf04_providers(spark, d):
+    """Rasters from named sources, a file's among them, in one window; statistics of each."""
+    path = _folder(spark, "list")
+    T.points(spark, d).where("cls = 5").select("x", "y", "z").write.option("sep", " ").csv(path)
+    known, out = _providers(d), None
+    for source in ("ground", "highest", f"xyz:{path}"):
+        part = known.raster(spark, source, (20, 20, 70, 80), 4.0).select(F.lit(source.split(":")[0]).alias("source"), "v")
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("source").agg(F.count("*").alias("cells"), F.round(F.sum("v"), 4).alias("total"), F.max("v").alias("top"))
+
+
 def snk05_technical_objects(spark, d):
     """Objects of all kinds in one normalised table; a later delivery replaces only the kinds that it has."""
     path = _folder(spark, "technical")
@@ -188,10 +222,14 @@ SQL = {
     "snk01_feature_layer": "SELECT line_id, source, count(*) AS points, arg_min(x, pos) AS x FROM fx_vertices GROUP BY 1, 2",
     "snk02_layers": "SELECT kind, count(*) AS n, round(sum(x0), 3) AS x0 FROM fx_rects GROUP BY 1",
     "snk04_review": "WITH r AS (SELECT CASE WHEN surface IS NULL THEN 'no surface' WHEN highway = 'steps' THEN 'steps' END AS reason FROM fx_elements) SELECT CASE WHEN reason IS NULL THEN 'used' ELSE 'dropped' END AS status, reason, count(*) AS n FROM r GROUP BY 1, 2",
+    "str10_record_stream": "SELECT kind AS type, lvl AS level, lower(kind) AS kind, fid, 5 AS points, round(x1, 3) AS x1, round(y1, 3) AS y1 FROM fx_rects WHERE kind IN ('BUILDING', 'HOUSEHOLD')",
+    "udf04_providers": """WITH c AS (SELECT CAST(floor(y/4) AS BIGINT) AS rr, CAST(floor(x/4) AS BIGINT) AS cc, avg(z) FILTER (WHERE cls = 2) AS g, max(z) AS h, max(z) FILTER (WHERE cls = 5) AS f FROM fx_points GROUP BY 1, 2),
+        a AS (SELECT rr, cc, 'ground' AS source, g AS v FROM c UNION ALL SELECT rr, cc, 'highest', h FROM c UNION ALL SELECT rr, cc, 'xyz', f FROM c)
+        SELECT source, count(*) AS cells, round(sum(v), 4) AS total, max(v) AS top FROM a WHERE v IS NOT NULL AND rr >= 20 AND rr < 70 AND cc >= 20 AND cc < 80 GROUP BY 1""",
     "snk05_technical_objects": "SELECT kind, count(*) AS n, CAST(sum(fid) AS BIGINT) AS ids FROM fx_rects WHERE kind <> 'BUILDING' OR lvl >= 0 GROUP BY 1",
     "snk07_metric_history": "SELECT DISTINCT kind, length(kind) AS change FROM fx_rects",
     "snk08_registry": "WITH b AS (SELECT DISTINCT n_name AS country, 'S' || s_suppkey % 7 AS source FROM supplier JOIN nation ON s_nationkey = n_nationkey) SELECT country, string_agg(source, ', ' ORDER BY source) AS text FROM b GROUP BY 1",
     "snk09_keyed_cache": "SELECT lvl, count(*) AS n FROM fx_rects GROUP BY 1",
 }
 
-QUERIES = {n: f for n, f in list(globals().items()) if n.startswith(("src", "snk")) and callable(f)}
+QUERIES = {n: f for n, f in list(globals().items()) if n.startswith(("src", "snk", "str10", "udf")) and callable(f)}

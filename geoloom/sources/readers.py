@@ -40,9 +40,21 @@ def ways_xml(spark: SparkSession, path: str) -> DataFrame:
     return ways.select("_id", tags.alias("tags")).join(lines, "_id").withColumnRenamed("_id", "id")
 
 
+TECHNICAL = "_type string, level string, attribute array<struct<_name: string, _VALUE: string>>, posList string"
+
+
 def tech_objects(spark: SparkSession, path: str, record: str) -> DataFrame:
     """Records of a large-scale map in XML: all attributes as text, the place list as points, the level as a number."""
-    raw = spark.read.format("xml").option("rowTag", record).schema("_type string, level string, attribute array<struct<_name: string, _VALUE: string>>, posList string").load(path)
+    return _technical(spark.read.format("xml").option("rowTag", record).schema(TECHNICAL).load(path))
+
+
+def tech_object_stream(spark: SparkSession, path: str, record: str, types: list[str] | None = None, files_per_batch: int = 4) -> DataFrame:
+    """The same records from the files of a folder as they arrive, of the types asked for; records are read one by one, so a file may be of any size."""
+    raw = spark.readStream.format("xml").option("rowTag", record).option("maxFilesPerTrigger", files_per_batch).schema(TECHNICAL).load(path)
+    return _technical(raw if types is None else raw.where(F.col("_type").isin(*types)))
+
+
+def _technical(raw: DataFrame) -> DataFrame:
     numbers = F.transform(F.filter(F.split("posList", r"\s+"), lambda x: x != ""), lambda x: x.cast("double"))
     pts = F.transform(F.sequence(F.lit(0), F.floor(F.size(numbers) / 2) - 1), lambda i: F.struct(F.element_at(numbers, (2 * i + 1).cast("int")).alias("x"), F.element_at(numbers, (2 * i + 2).cast("int")).alias("y")))
     attrs = F.map_from_entries(F.transform(F.coalesce("attribute", F.array().cast("array<struct<_name: string, _VALUE: string>>")), lambda a: F.struct(a["_name"], a["_VALUE"])))
