@@ -95,9 +95,12 @@ def gridded(points: DataFrame, size: float) -> DataFrame:
     return keyed.groupBy("rr", "cc").agg(F.count("*").alias("n"), F.sum(F.when(F.col("cls") == grid.GROUND, 1).otherwise(0)).alias("ground_hits"), F.max("z").alias("top"))
 
 
-def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there and gives the result as a table in the shared folder; nothing passes the driver."""
-    path = f"{shared_dir(stream.sparkSession)}/geoloom-{name}-{uuid.uuid4().hex}"
+def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "append", path: str | None = None) -> DataFrame:
+    """Runs a stream over all that is there and gives the result as a table in the shared folder; nothing passes the driver.
+
+    A later run goes on with the same checkpoint and ``path``, and adds what has come since.
+    """
+    path = path or f"{shared_dir(stream.sparkSession)}/geoloom-{name}-{uuid.uuid4().hex}"
     out = stream.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if mode == "append":
         out = out.format("parquet").option("path", path)
