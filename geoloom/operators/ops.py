@@ -51,11 +51,14 @@ def outages(probes: DataFrame) -> DataFrame:
 
 
 def outage_spans(probes: DataFrame) -> DataFrame:
-    """Each outage: first and last failing probe, their number, and the recovery's time."""
+    """Each outage: first and last failing probe, their number, and the recovery's time (null while the source is down).
+
+    ``last_seen`` is the last probe known to follow one of its failures: the recovery, or, of an open outage, its last failure if it has several.
+    """
     w = Window.partitionBy("source_key").orderBy("ts", "event_id")
     begins = (~F.col("ok") & F.coalesce(F.lag("ok").over(w), F.lit(True))).cast("int")
     numbered = probes.withColumn("recovers", F.lead("ts").over(w)).withColumn("outage", F.sum(begins).over(w)).where(~F.col("ok"))
-    return numbered.groupBy("source_key", "outage").agg(F.min("ts").alias("down_since"), F.max("ts").alias("last_down"), F.count("*").alias("failures"), F.max_by("recovers", F.struct("ts", "event_id")).alias("up_at"))
+    return numbered.groupBy("source_key", "outage").agg(F.min("ts").alias("down_since"), F.max("ts").alias("last_down"), F.count("*").alias("failures"), F.max_by("recovers", F.struct("ts", "event_id")).alias("up_at"), F.max_by("recovers", F.when(F.col("recovers").isNotNull(), F.struct("ts", "event_id"))).alias("last_seen"))
 
 
 def outage_summary(probes: DataFrame, now: Column) -> DataFrame:
