@@ -12,7 +12,8 @@ def segments(vertices: DataFrame, line: str = "line_id", pos: str = "pos") -> Da
     """Consecutive vertices as segments with their length and the measure at their start."""
     w = Window.partitionBy(line).orderBy(pos)
     seg = vertices.select(line, pos, "x", "y", *[c for c in ("cls", "source") if c in vertices.columns], F.lead("x").over(w).alias("bx"), F.lead("y").over(w).alias("by")).where("bx is not null")
-    seg = seg.withColumn("len", F.hypot(F.col("bx") - F.col("x"), F.col("by") - F.col("y")))
+    dx, dy = F.col("bx") - F.col("x"), F.col("by") - F.col("y")
+    seg = seg.withColumn("len", F.sqrt(dx * dx + dy * dy))  # to the last bit what SQL's square root gives, which hypot isn't
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     return seg.withColumn("m0", F.coalesce(F.sum("len").over(before), F.lit(0.0))).withColumnRenamed("x", "ax").withColumnRenamed("y", "ay")
 

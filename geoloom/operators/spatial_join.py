@@ -60,9 +60,10 @@ def overlaps(a: DataFrame, b: DataFrame, size: float = CELL) -> DataFrame:
 
 
 def segment_distance2(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
-    """Squared distance from a point to a segment."""
+    """Squared distance from a point to a segment. It divides by the square of the length, as SQL over segments with a length does, so that equal distances stay equal."""
     dx, dy = bx - ax, by - ay
-    t = F.coalesce(((px - ax) * dx + (py - ay) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))
+    length = F.sqrt(dx * dx + dy * dy)
+    t = F.coalesce(((px - ax) * dx + (py - ay) * dy) / F.nullif(length * length, F.lit(0.0)), F.lit(0.0))
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
     return (px - ax - t * dx) ** 2 + (py - ay - t * dy) ** 2
 
