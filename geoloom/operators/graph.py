@@ -97,12 +97,40 @@ def taken_in_order(ids: DataFrame, blocked_by: DataFrame) -> DataFrame:
     return ids.select("id").limit(0) if kept is None else kept
 
 
-def spaced(points: DataFrame, distance: float) -> DataFrame:
-    """Ids kept when points (id, x, y, score) are taken best first with a least spacing."""
-    order = F.struct(-F.col("score"), F.col("id"))
-    left = written(points.select("id", "x", "y", order.alias("o")))
-    near = within(left.select("id", "x", "y", "o"), left.select(F.col("id").alias("j"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("o").alias("p")), distance)
-    return taken_in_order(left, near.where("p < o").select("id", "j"))
+def spaced(points: DataFrame, distance: float, by: str | None = None, open_end: bool = False) -> DataFrame:
+    """Ids kept when points (id, x, y, score) are taken best first with a least spacing, for each ``by`` if given; with ``open_end`` points just
+    ``distance`` apart don't block each other. Points without a place block none.
+
+    Pairs are never listed: a kept point covers its cell whole, so a round takes the cells' best points that none of the cells in reach betters,
+    and drops what they block. The best point of all is always one of them; rounds are few, and each reads what the one before left.
+    """
+    side = distance * 0.7071  # a cell's diagonal is a little shorter than the distance, so what is in reach lies two cells off at most
+    group = [by] if by else []
+    cell = [*group, "gx", "gy"]
+    lost = F.col("x").isNull() | F.col("y").isNull() | F.isnan(F.col("x").cast("double")) | F.isnan(F.col("y").cast("double"))
+    order = F.struct((-F.col("score")).alias("s"), F.col("id").alias("i"))
+    every = points.select("id", *group, "x", "y", order.alias("o"), lost.alias("lost"))
+    kept = every.where("lost").select("id")
+    left = written(every.where("not lost").select("id", *group, "x", "y", "o", F.floor(F.col("x") / side).alias("gx"), F.floor(F.col("y") / side).alias("gy")))
+    steps = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in range(-2, 3) for dy in range(-2, 3)))
+    around = lambda df, *also: df.withColumn("__s", F.explode(steps)).select(*group, (F.col("gx") + F.col("__s.dx")).alias("gx"), (F.col("gy") + F.col("__s.dy")).alias("gy"), *also)
+    rounds = 0
+    while not left.isEmpty():
+        best = written(left.groupBy(*cell).agg(F.min(F.struct("o", "id", "x", "y")).alias("b")).select(*cell, "b.*"))
+        least = around(best, "o").groupBy(*cell).agg(F.min("o").alias("least"))
+        fresh = best.join(least, cell).where(F.col("o") == F.col("least"))
+        reach = written(around(fresh, "id", F.col("x").alias("rx"), F.col("y").alias("ry"), (F.col("__s.dx") == 0).alias("mx"), (F.col("__s.dy") == 0).alias("my")))
+        kept = kept.unionByName(reach.where("mx and my").select("id"))
+        d2 = (F.col("x") - F.col("rx")) ** 2 + (F.col("y") - F.col("ry")) ** 2
+        l, r = left.alias("l"), reach.drop("id").alias("r")  # noqa: E741
+        same = (d2 < distance * distance) if open_end else (d2 <= distance * distance)
+        for c in cell:
+            same &= F.col(f"l.{c}") == F.col(f"r.{c}")
+        left = written(l.join(r, same, "left_anti"))
+        rounds += 1
+        if rounds % 8 == 0:  # the plan stays short
+            kept = written(kept)
+    return kept
 
 
 def propagated(ids: DataFrame, links: DataFrame, flagged: DataFrame, passes: DataFrame) -> DataFrame:

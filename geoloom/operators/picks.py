@@ -33,10 +33,8 @@ def zone_picks(points: DataFrame, zones: DataFrame, gap: float) -> DataFrame:
     Spacing runs in rounds over all zones at once; the quota then takes the first of what it left, since leaving off later ones changes no earlier pick.
     """
     order = F.struct((-F.col("score")).alias("s"), F.col("id").alias("i"))
-    p = written(points.join(zones.select("zone"), "zone", "left_semi").select("id", "zone", "x", "y", order.alias("o")))
-    other = p.select(F.col("id").alias("j"), F.col("zone").alias("z"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("o").alias("before"))
-    near = J.within(p, other, gap).where((F.col("zone") == F.col("z")) & (F.col("before") < F.col("o")) & (F.col("d2") < gap * gap))
-    kept = p.join(graph.taken_in_order(p, near.select("id", "j")), "id", "left_semi")
+    p = written(points.join(zones.select("zone"), "zone", "left_semi").select("id", "zone", "x", "y", "score", order.alias("o")))
+    kept = p.join(graph.spaced(p, gap, "zone", open_end=True), "id", "left_semi")
     ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("zone").orderBy("o")))
     return ranked.join(zones.select("zone", "quota"), "zone").where("rank <= quota").select("id", "zone", "rank")
 
