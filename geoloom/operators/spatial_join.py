@@ -59,6 +59,26 @@ def overlaps(a: DataFrame, b: DataFrame, size: float = CELL) -> DataFrame:
     return left.join(right, ["__gx", "__gy"]).where((w > 0) & (h > 0) & owner).select(*(f"a_{c}" for c in names), *(f"b_{c}" for c in names), (w * h).alias("common"))
 
 
+#: The corners of a box, which name its shape.
+BOX = ("x0", "y0", "x1", "y1")
+
+
+def shapes(boxes: DataFrame, *also: str) -> DataFrame:
+    """Boxes of equal corners (and equal ``also``) once, with the number ``n`` of their rows."""
+    return boxes.groupBy(*BOX, *also).agg(F.count("*").alias("n"))
+
+
+def shape_overlaps(a: DataFrame, b: DataFrame, *also: str, size: float = CELL) -> DataFrame:
+    """Pairs of shapes with positive common area: the corners of ``a``'s, those of ``b``'s as b_*, ``common``, ``also`` of ``b`` and its rows ``n``.
+
+    Copies lie over each other in any number without more pairs: join what a shape is given to its rows by ``BOX``.
+    """
+    left = a.select(*BOX).distinct().withColumn("fid", F.lit(0))
+    right = shapes(b, *also).withColumn("fid", F.struct("n", *also))
+    met = overlaps(left, right, size)
+    return met.select(*(F.col(f"a_{c}").alias(c) for c in BOX), *(f"b_{c}" for c in BOX), "common", "b_fid.*")
+
+
 def segment_distance2(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     """Squared distance from a point to a segment. It divides by the square of the length, as SQL over segments with a length does, so that equal distances stay equal."""
     dx, dy = bx - ax, by - ay
