@@ -52,14 +52,15 @@ def agg37_issue_summary(spark, d):
 
 def jon10_absorbed(spark, d):
     r = T.rects(spark, d)
-    hit = J.overlaps(r.where("lvl = -1"), r.where("lvl = 0")).groupBy(F.col("a_fid").alias("fid")).agg(F.max("common").alias("common"))
+    low = r.where("lvl = -1")
+    hit = J.shape_overlaps(low, r.where("lvl = 0")).groupBy(*J.BOX).agg(F.max("common").alias("common"))
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    return r.where("lvl = -1").join(hit, "fid", "left").select("fid", (F.coalesce("common", F.lit(0.0)) >= 0.5 * area).alias("absorbed"))
+    return low.join(hit, list(J.BOX), "left").select("fid", (F.coalesce("common", F.lit(0.0)) >= 0.5 * area).alias("absorbed"))
 
 
 def jon14_points_in_buildings(spark, d):
     v = T.vertices(spark, d).where("cls = '1-URGENT'").select("line_id", "pos", "x", "y")
-    inside = J.points_in_boxes(v, T.rects(spark, d).where("kind = 'BUILDING'").select("x0", "y0", "x1", "y1")).select("line_id", "pos").distinct()
+    inside = J.points_in_boxes(v, J.shapes(T.rects(spark, d).where("kind = 'BUILDING'")).drop("n")).select("line_id", "pos").distinct()
     return v.join(inside, ["line_id", "pos"], "left_anti").select("line_id", "pos")
 
 
