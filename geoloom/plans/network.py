@@ -101,9 +101,9 @@ def jon36_gardens(spark, d):
     r = T.rects(spark, d)
     g = r.where("kind = 'HOUSEHOLD'").select("fid", "x0", "y0", "x1", "y1")
     b = r.where("kind = 'BUILDING'").select("fid", *((F.col(c) + k).alias(c) for c, k in (("x0", -0.5), ("y0", -0.5), ("x1", 0.5), ("y1", 0.5))))
-    n = J.overlaps(g, b).groupBy(F.col("a_fid").alias("fid")).agg(F.count("*").alias("buildings"))
+    n = J.shape_overlaps(g, b).groupBy(*J.BOX).agg(F.sum("n").alias("buildings"))
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    return g.join(n, "fid", "left").select("fid", F.coalesce("buildings", F.lit(0)).alias("buildings"), F.coalesce(area / F.col("buildings") <= 150, F.lit(False)).alias("private"))
+    return g.join(n, list(J.BOX), "left").select("fid", F.coalesce("buildings", F.lit(0)).alias("buildings"), F.coalesce(area / F.col("buildings") <= 150, F.lit(False)).alias("private"))
 
 
 def jon37_private_playgrounds(spark, d):
@@ -112,12 +112,14 @@ def jon37_private_playgrounds(spark, d):
     box = lambda k: r.where(f"kind = '{k}'").select("fid", "x0", "y0", "x1", "y1")
     p, garden = box("MACHINERY"), box("HOUSEHOLD")
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    share = J.overlaps(p, garden).groupBy(F.col("a_fid").alias("fid")).agg(F.max("common").alias("common"))
-    grown = p.select("fid", *((F.col(c) + k).alias(c) for c, k in (("x0", -10.0), ("y0", -10.0), ("x1", 10.0), ("y1", 10.0))))
+    share = J.shape_overlaps(p, garden).groupBy(*J.BOX).agg(F.max("common").alias("common"))
+    grown = p.select(*((F.col(c) + k).alias(c) for c, k in (("x0", -10.0), ("y0", -10.0), ("x1", 10.0), ("y1", 10.0))))
     gap = lambda a0, a1, b0, b1: F.greatest(F.col(b0) - (F.col(a1) - 10), F.col(a0) + 10 - F.col(b1), F.lit(0.0))
-    dx, dy = gap("a_x0", "a_x1", "b_x0", "b_x1"), gap("a_y0", "a_y1", "b_y0", "b_y1")
-    pool = J.overlaps(grown, box("AUTOMOBILE").where("fid is not null")).where(dx * dx + dy * dy <= 100).select(F.col("a_fid").alias("fid")).distinct().withColumn("pool", F.lit(True))
-    return p.join(share, "fid", "left").join(pool, "fid", "left").select("fid", F.coalesce(F.col("common") >= 0.8 * area, F.lit(False)).alias("in_garden"), F.col("pool").isNotNull().alias("at_pool"))
+    dx, dy = gap("x0", "x1", "b_x0", "b_x1"), gap("y0", "y1", "b_y0", "b_y1")
+    near = J.shape_overlaps(grown, box("AUTOMOBILE").where("fid is not null")).where(dx * dx + dy * dy <= 100).select(*J.BOX).distinct()
+    pool = near.select(*(F.col(c).alias(f"g_{c}") for c in J.BOX), F.lit(True).alias("pool"))
+    at = (F.col("x0") - 10.0 == F.col("g_x0")) & (F.col("y0") - 10.0 == F.col("g_y0")) & (F.col("x1") + 10.0 == F.col("g_x1")) & (F.col("y1") + 10.0 == F.col("g_y1"))
+    return p.join(share, list(J.BOX), "left").join(pool, at, "left").select("fid", F.coalesce(F.col("common") >= 0.8 * area, F.lit(False)).alias("in_garden"), F.col("pool").isNotNull().alias("at_pool"))
 
 
 def playground_inputs(spark, d):
@@ -157,7 +159,7 @@ def jon25_closed_depressions(spark, d):
 def top02_thinned_points(spark, d):
     """Points of one class 6 m apart at least, by priority, after those inside buildings are gone."""
     v = T.vertices(spark, d).select((F.col("line_id") * 100000 + F.col("pos")).alias("id"), "x", "y", "cls", (-F.col("pos")).alias("score"))
-    inside = J.points_in_boxes(v, T.rects(spark, d).where("kind = 'BUILDING'").select("x0", "y0", "x1", "y1")).select("id").distinct()
+    inside = J.points_in_boxes(v, J.shapes(T.rects(spark, d).where("kind = 'BUILDING'")).drop("n")).select("id").distinct()
     free = v.join(inside, "id", "left_anti")
     # classes lie apart, so that one greedy pass thins each by itself
     kept = G.spaced(free.withColumn("x", F.col("x") + F.substring("cls", 1, 1).cast("double") * 1e6).select("id", "x", "y", "score"), 6.0)
