@@ -356,8 +356,8 @@ def pip18_feasibility(spark, d):
 
     r = T.rects(spark, d)
     ext = r.where("kind = 'BUILDING'")
-    pairs = J.overlaps(ext, r.where("kind <> 'BUILDING'")).join(r.select(F.col("fid").alias("b_fid"), "lvl"), "b_fid").groupBy(F.col("a_fid").alias("fid"), "lvl").agg(F.round(F.sum("common"), 4).alias("common"))
-    best = pairs.groupBy("fid").agg(F.max_by("lvl", F.struct("common", "lvl")).alias("country"))
+    by_level = J.shape_overlaps(ext, r.where("kind <> 'BUILDING'"), "lvl").groupBy(*J.BOX, "lvl").agg(F.round(F.sum(F.col("common") * F.col("n")), 4).alias("common"))
+    best = ext.select("fid", *J.BOX).join(by_level.groupBy(*J.BOX).agg(F.max_by("lvl", F.struct("common", "lvl")).alias("country")), list(J.BOX)).select("fid", "country")
     have = grid.surfaces(T.points(spark, d).where("cls = 2"), T.CELL_M).select("rr", "cc", F.lit(1).alias("has"))
     cover = cellsets.box_cells(ext, T.CELL_M, "fid").join(have, ["rr", "cc"], "left").groupBy("fid").agg(F.count("*").alias("cells"), F.count("has").alias("covered"))
     share = F.col("covered") / F.nullif("cells", F.lit(0))

@@ -59,8 +59,8 @@ def set18_assembled_areas(spark, d):
     pieces = r.select("fid", way).select((F.col("fid") * 4 + F.col("w.k")).alias("id"), "fid", node("w.k").alias("a"), node("w.n").alias("b"))
     ring = G.chained(pieces.select("id", "a", "b")).join(pieces.select("id", "fid"), "id").groupBy("chain").agg(F.count("*").alias("ways"), F.min("fid").alias("fid"))
     box = r.select("fid", "x0", "y0", "x1", "y1")
-    pairs = J.overlaps(box, box).where("a_fid <> b_fid and b_x0 > a_x0 and b_y0 > a_y0 and b_x1 < a_x1 and b_y1 < a_y1")
-    inner = pairs.groupBy(F.col("a_fid").alias("fid")).agg(F.count("*").alias("inner"))
+    pairs = J.shape_overlaps(box, box).where("b_x0 > x0 and b_y0 > y0 and b_x1 < x1 and b_y1 < y1")
+    inner = box.join(pairs.groupBy(*J.BOX).agg(F.sum("n").alias("inner")), list(J.BOX)).select("fid", "inner")
     return ring.join(inner, "fid", "left").select("fid", "chain", "ways", F.coalesce("inner", F.lit(0)).alias("inner"))
 
 
@@ -148,8 +148,8 @@ def top10_source_order(spark, d):
 def jon09_kept_parking(spark, d):
     """Parking areas that no area of the better source overlaps by 1 m2 or more."""
     r = T.rects(spark, d)
-    hit = J.overlaps(r.where("kind = 'BUILDING'"), r.where("kind = 'MACHINERY' and lvl = 1")).where("common >= 1").select(F.col("a_fid").alias("fid")).distinct()
-    return r.where("kind = 'BUILDING'").join(hit, "fid", "left_anti").select("fid")
+    hit = J.shape_overlaps(r.where("kind = 'BUILDING'"), r.where("kind = 'MACHINERY' and lvl = 1")).where("common >= 1").select(*J.BOX).distinct()
+    return r.where("kind = 'BUILDING'").join(hit, list(J.BOX), "left_anti").select("fid")
 
 
 def jon12_town_sidewalks(spark, d):
@@ -157,10 +157,12 @@ def jon12_town_sidewalks(spark, d):
     r = T.rects(spark, d)
     walk = r.where("kind = 'FURNITURE'").select("fid", "x0", "y0", "x1", "y1")
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    nature = J.overlaps(walk, r.where("kind = 'HOUSEHOLD'")).groupBy(F.col("a_fid").alias("fid")).agg(F.max("common").alias("common"))
+    nature = J.shape_overlaps(walk, r.where("kind = 'HOUSEHOLD'")).groupBy(*J.BOX).agg(F.max("common").alias("common"))
     track = sequence.segments(T.vertices(spark, d)).where("source = 'topo' and cls = '5-LOW' and len > 0")
-    inside = lines.in_boxes(track, walk).groupBy("fid").agg(F.sum((F.col("t1") - F.col("t0")) * F.col("len")).alias("length"))
-    return walk.join(nature, "fid", "left").join(inside, "fid", "left").where((F.coalesce("common", F.lit(0.0)) < 0.5 * area) & (F.coalesce("length", F.lit(0.0)) < 15)).select("fid")
+    # a track's part in a walk is the same for all copies of the walk
+    inside = lines.in_boxes(track, walk.select(*J.BOX).distinct()).groupBy(*J.BOX).agg(F.sum((F.col("t1") - F.col("t0")) * F.col("len")).alias("length"))
+    met = walk.join(nature, list(J.BOX), "left").join(inside, list(J.BOX), "left")
+    return met.where((F.coalesce("common", F.lit(0.0)) < 0.5 * area) & (F.coalesce("length", F.lit(0.0)) < 15)).select("fid")
 
 
 def jon28_bank_wins(spark, d):
