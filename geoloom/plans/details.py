@@ -74,7 +74,7 @@ def prj26_valid_fences(spark, d):
     seg = sequence.segments(T.vertices(spark, d)).where("source <> 'dtm'")
     own = T.rects(spark, d).where("kind = 'HOUSEHOLD'").select("x0", "y0", "x1", "y1")
     at = seg.select("line_id", "pos", F.explode(F.array(F.struct(F.lit(0).alias("e"), F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.lit(1).alias("e"), F.col("bx").alias("x"), F.col("by").alias("y")))).alias("p")).select("line_id", "pos", "p.*")
-    private = J.points_in_boxes(at, own).select("line_id", "pos", "e").distinct().groupBy("line_id", "pos").agg(F.count("*").alias("ends"))
+    private = J.inside(at, own).groupBy("line_id", "pos").agg(F.count("*").alias("ends"))
     level = F.col("line_id") % 3 - 1
     return seg.join(private, ["line_id", "pos"], "left").where(level >= 0).where((F.col("cls") != "4-NOT SPECIFIED") | (F.coalesce("ends", F.lit(0)) == 2)).select("line_id", "pos")
 
