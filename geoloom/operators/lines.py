@@ -54,7 +54,7 @@ def clipped_ring(ring: Column, x0: float, y0: float, x1: float, y1: float) -> Co
 
 
 def in_boxes(segments: DataFrame, boxes: DataFrame, size: float = J.CELL) -> DataFrame:
-    """Pairs of segments and boxes (fid, x0, y0, x1, y1) with the segment's part inside: t0 below t1. The cell of the part's beginning keeps a pair."""
+    """Pairs of segments and boxes (x0, y0, x1, y1) with the segment's part inside: t0 below t1. The cell of the part's beginning keeps a pair."""
     s = J.segment_cells(segments, "ax", "ay", "bx", "by", size)
     b = J.box_cells(boxes, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), size)
     t0, t1 = clip_range(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
@@ -97,7 +97,7 @@ def _squares(cells: DataFrame, size: float) -> DataFrame:
 def inside_spans(segments: DataFrame, boxes: DataFrame) -> DataFrame:
     """(line_id, pos, m0, len, s0, s1): the measures at which each segment runs inside any of the boxes, overlaps merged."""
     keys = ["line_id", "pos"]
-    met = in_boxes(segments.where("len > 0"), boxes).select(*keys, "m0", "len", (F.col("m0") + F.col("t0") * F.col("len")).alias("s0"), (F.col("m0") + F.col("t1") * F.col("len")).alias("s1"))
+    met = in_boxes(segments.where("len > 0"), J.shapes(boxes)).select(*keys, "m0", "len", (F.col("m0") + F.col("t0") * F.col("len")).alias("s0"), (F.col("m0") + F.col("t1") * F.col("len")).alias("s1"))
     return merged(met, keys, ["m0", "len"])
 
 

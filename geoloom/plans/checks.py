@@ -14,6 +14,7 @@ from geoloom.plans.shapes import ras28_boulder_peaks
 from geoloom.plans.terrain import SQL as TERRAIN_SQL
 from geoloom.plans.terrain import ras27_depressions, ras27_knolls
 from geoloom.sources import readers as R
+from geoloom.operators import spatial_join as J
 from geoloom.sources import tables as T
 
 
@@ -44,7 +45,7 @@ def jon21_narrow_runs(spark, d):
     step, reach = 25.0, 20.0
     st = sequence.stations(sequence.segments(T.vertices(spark, d)).where("source = 'dtm'"), step).withColumn("station", F.concat_ws(":", "line_id", "k"))
     ray = st.select(F.col("station").alias("line_id"), F.lit(1).alias("pos"), F.col("line_id").alias("line"), "k", (F.col("x") - reach * F.col("ty")).alias("ax"), (F.col("y") + reach * F.col("tx")).alias("ay"), (F.col("x") + reach * F.col("ty")).alias("bx"), (F.col("y") - reach * F.col("tx")).alias("by"))
-    inside = lines.in_boxes(ray, T.rects(spark, d).where("kind <> 'BUILDING'")).select("line_id", "line", "k", (F.col("t0") * 2 * reach).alias("s0"), (F.col("t1") * 2 * reach).alias("s1"))
+    inside = lines.in_boxes(ray, J.shapes(T.rects(spark, d).where("kind <> 'BUILDING'")), 16.0).select("line_id", "line", "k", (F.col("t0") * 2 * reach).alias("s0"), (F.col("t1") * 2 * reach).alias("s1"))
     width = lines.merged(inside, ["line_id"], ["line", "k"]).where(f"s0 <= {reach} and s1 >= {reach}").withColumn("narrow", F.col("s1") - F.col("s0") < 8.0)
     near = width.where("narrow").withColumn("g", F.col("k") - F.row_number().over(Window.partitionBy("line").orderBy("k")))
     return near.groupBy(F.col("line").alias("line_id"), "g").agg(F.min("k").alias("first"), F.max("k").alias("last"), F.count("*").alias("n")).where("n >= 2").select("line_id", "first", "last", "n")
