@@ -121,10 +121,11 @@ def jon52_edges_outside_buildings(spark, d):
 
 def jon11_roads_in_areas(spark, d):
     """Areas become roads where enough road runs inside: 150 m, or 30 m if they are 4 m wide."""
-    inside = lines.in_boxes(_seg(spark, d, "source = 'dtm' and len > 0"), _rects(spark, d, "lvl = 0"))
-    per = inside.groupBy("fid", "x0", "y0", "x1", "y1").agg(F.round(F.sum((F.col("t1") - F.col("t0")) * F.col("len")), 3).alias("length"))
+    r = _rects(spark, d, "lvl = 0")
+    inside = lines.in_boxes(_seg(spark, d, "source = 'dtm' and len > 0"), J.shapes(r))
+    per = inside.groupBy(*J.BOX).agg(F.round(F.sum((F.col("t1") - F.col("t0")) * F.col("len")), 3).alias("length"))
     width = F.least(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
-    return per.select("fid", "length", ((F.col("length") >= 150) | ((F.col("length") >= 30) & (width >= 4))).alias("road"))
+    return r.join(per, list(J.BOX)).select("fid", "length", ((F.col("length") >= 150) | ((F.col("length") >= 30) & (width >= 4))).alias("road"))
 
 
 def set20_band_cells(spark, d):
@@ -157,10 +158,9 @@ def jon04_clearances(spark, d):
     r = T.rects(spark, d).where("kind = 'BUILDING'").select(*((F.col(c) + k).alias(c) for c, k in (("x0", -4.0), ("y0", -4.0), ("x1", 4.0), ("y1", 4.0))))
     dx = F.greatest(F.col("x0") + 4 - F.col("x"), F.col("x") - (F.col("x1") - 4), F.lit(0.0))
     dy = F.greatest(F.col("y0") + 4 - F.col("y"), F.col("y") - (F.col("y1") - 4), F.lit(0.0))
-    areas = J.points_in_boxes(p, r).where(dx * dx + dy * dy < 16).select("id")
-    others = J.within(p, v.where("source = 'osm'").select(F.col("x").alias("rx"), F.col("y").alias("ry")), 5.0).select("id")
-    near = J.near_segments(p, _seg(spark, d, "source = 'dtm'").select("ax", "ay", "bx", "by"), 3.0, size=8.0).select("id")
-    return p.join(areas.unionByName(others).unionByName(near).distinct(), "id", "left_anti").select("id")
+    off = J.inside(p, r, also=dx * dx + dy * dy < 16, how="left_anti")
+    others = v.where("source = 'osm'").select(F.col("x").alias("rx"), F.col("y").alias("ry"))
+    return J.away_from_segments(J.away_from(off, others, 5.0), _seg(spark, d, "source = 'dtm'").select("ax", "ay", "bx", "by"), 3.0).select("id")
 
 
 def _shares(spark, d, own, other, distance, least_cos=0.5):
@@ -220,7 +220,7 @@ def jon32_confirmed(spark, d):
     """Stretches of lines that an area of a second source confirms, or low canopy where there is none: rolling share of 5 stations from 60 % on, 50 m at least."""
     st = sequence.stations(_seg(spark, d, "source = 'osm'"), STEP)
     low = grid.surfaces(T.points(spark, d), T.CELL_M).select("rr", "cc", (F.col("chm") < 12).alias("low"))
-    inside = J.points_in_boxes(st.select("line_id", "k", "x", "y"), _rects(spark, d, "lvl = 1")).select("line_id", "k").distinct().withColumn("zone", F.lit(True))
+    inside = J.inside(st.select("line_id", "k", "x", "y"), _rects(spark, d, "lvl = 1")).select("line_id", "k").withColumn("zone", F.lit(True))
     seen = grid.with_cell(st, 4.0).join(low, ["rr", "cc"], "left").join(inside, ["line_id", "k"], "left")
     w = Window.partitionBy("line_id").orderBy("k").rowsBetween(-2, 2)
     on = seen.select("line_id", "k", F.avg(F.coalesce("zone", "low", F.lit(False)).cast("int")).over(w).alias("share")).withColumn("on", F.col("share") >= 0.6)
@@ -294,10 +294,11 @@ def jon20_parking_reach(spark, d):
     steps = st.select("*", side).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(7))))
     off = F.col("side") * (4.0 + 2.0 * F.col("step"))
     at = steps.select("line_id", "k", "side", "step", (F.col("x") - off * F.col("ty")).alias("x"), (F.col("y") + off * F.col("tx")).alias("y"))
-    hit = J.points_in_boxes(at, _rects(spark, d, "kind = 'AUTOMOBILE'")).select("line_id", "k", "side", "step").distinct()
-    w = Window.partitionBy("line_id", "k", "side").orderBy("step")
-    run = hit.withColumn("nth", F.row_number().over(w) - 1).where("nth = step")
-    return run.groupBy("line_id", "k", "side").agg((F.max("step") * 2.0 + 4.0).alias("reach"))
+    hit = J.inside(at, _rects(spark, d, "kind = 'AUTOMOBILE'"))
+    # the steps hit as bits, summed where the station is; the ones from the first on are the run
+    bits = hit.groupBy("line_id", "k", "side").agg(F.bit_or(F.expr("shiftleft(1, step)")).alias("bits"))
+    run = bits.withColumn("run", F.length(F.regexp_extract(F.reverse(F.bin("bits")), "^1+", 0)))
+    return run.where("run > 0").select("line_id", "k", "side", (F.col("run") * 2.0 + 2.0).alias("reach"))
 
 
 def _inside(a, b, x0="r.x0", y0="r.y0", x1="r.x1", y1="r.y1"):
