@@ -146,6 +146,30 @@ def away_from_segments(points: DataFrame, segments: DataFrame, distance: float)
     return p.join(reached.hint("merge"), (F.col("__px") == F.col("__gx")) & (F.col("__py") == F.col("__gy")) & near, "left_anti").drop("__px", "__py")
 
 
+def beside_any(samples: DataFrame, segments: DataFrame, distance: float) -> DataFrame:
+    """Samples (x, y) with a segment (ax, ay, bx, by) within ``distance``, in two passes.
+
+    Squares that a segment covers whole hold hits only. A 64th of the segments, by a hash, tells most of them where lines are dense; what lies in
+    none of these squares is asked for against all segments. So however dense the lines are, the second pass is for the places that few reach.
+    """
+    some = segments.where(F.pmod(F.xxhash64("ax", "ay", "bx", "by"), F.lit(64)) == 0)
+    size = distance / 4
+    cells = _reached(some, distance, size)
+    cx, cy = (F.col("__gx") + 0.5) * size, (F.col("__gy") + 0.5) * size
+    near = distance - size * 0.7072
+    whole = written(cells.where(segment_distance2(cx, cy, F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) <= near * near).select("__gx", "__gy").distinct())
+    placed = point_cell(samples, size=size)
+    sure = placed.join(whole, ["__gx", "__gy"], "left_semi").drop("__gx", "__gy")
+    open_ = written(placed.join(whole, ["__gx", "__gy"], "left_anti").drop("__gx", "__gy"))
+    wide = 2.0 * distance
+    p = point_cell(open_, size=wide).withColumnsRenamed({"__gx": "__px", "__gy": "__py"})
+    asked = written(p.select(F.col("__px").alias("__gx"), F.col("__py").alias("__gy")).distinct())
+    reached = _reached(segments, distance, wide).join(asked, ["__gx", "__gy"], "left_semi")
+    met = segment_distance2(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) <= distance * distance
+    rest = p.join(reached.hint("merge"), (F.col("__px") == F.col("__gx")) & (F.col("__py") == F.col("__gy")) & met, "left_semi").drop("__px", "__py")
+    return sure.unionByName(rest)
+
+
 def by_cell(cells: DataFrame) -> DataFrame:
     """Rows dealt by their cell into a fixed number of partitions: where few bytes meet in many pairs, small partitions must not be put together."""
     spark = cells.sparkSession

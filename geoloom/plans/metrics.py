@@ -21,8 +21,9 @@ def agg14_match_share(spark, d):
     """Share of each class's length that runs within 5 m of another source's lines."""
     seg = sequence.segments(T.vertices(spark, d))
     own = sequence.stations(seg.where("source = 'topo'"), 25.0).join(seg.where("source = 'topo' and pos = 1").select("line_id", "cls"), "line_id")
-    hit = J.near_segments(own.select("line_id", "k", "x", "y"), seg.where("source = 'osm'").select("ax", "ay", "bx", "by"), 5.0).select("line_id", "k").distinct().withColumn("hit", F.lit(1))
-    return own.join(hit, ["line_id", "k"], "left").groupBy("cls").agg(F.count("*").alias("stations"), F.round(F.sum(F.coalesce("hit", F.lit(0))) / F.count("*"), 5).alias("share"))
+    hit = J.beside_any(own.select("cls", "x", "y"), seg.where("source = 'osm'").select("ax", "ay", "bx", "by"), 5.0).groupBy("cls").agg(F.count("*").alias("hits"))
+    every = own.groupBy("cls").agg(F.count("*").alias("stations"))
+    return every.join(hit.withColumnRenamed("cls", "k"), F.col("cls").eqNullSafe(F.col("k")), "left").select("cls", "stations", F.round(F.coalesce("hits", F.lit(0)) / F.col("stations"), 5).alias("share"))
 
 
 def agg33_z_scores(spark, d):

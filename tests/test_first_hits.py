@@ -38,3 +38,15 @@ def test_spans_read_a_shape_once(spark, monkeypatch):
     asked, whole = [], lines.in_boxes
     monkeypatch.setattr(lines, "in_boxes", lambda s, b, *more: asked.append(b.count()) or whole(s, b, *more))
     assert [(r.s0, r.s1) for r in lines.inside_spans(seg, boxes).collect()] == [(10.0, 20.0)] and asked == [1]
+
+
+def test_beside_any_asks_all_segments_for_what_the_first_pass_leaves(spark):
+    rng = random.Random(8)
+    p = _points(spark)
+    rows = [tuple(rng.uniform(0, 100) for _ in range(4)) for _ in range(60)] + [(50.0, 50.0, 50.0, 50.0)]
+    seg = spark.createDataFrame(rows, "ax double, ay double, bx double, by double")
+    for n in (5, 61):  # few lines, of which the first pass may have none, and dense ones
+        some = spark.createDataFrame(rows[:n], seg.schema)
+        d2 = J.segment_distance2(*(F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")))
+        want = sorted(r.id for r in p.crossJoin(some).where(d2 <= 4).select("id").distinct().collect())
+        assert sorted(r.id for r in J.beside_any(p, some, 2.0).collect()) == want
