@@ -75,7 +75,7 @@ def pip08_drawn_lines(spark, d):
     seg = sequence.segments(T.vertices(spark, d))
     own = sequence.stations(seg.where("source <> 'dtm'"), 50.0)
     better = seg.where("source = 'dtm' and len > 0").select("ax", "ay", "bx", "by")
-    hits = J.near_segments(own, better, 4.0).select("line_id", "k").distinct().groupBy("line_id").agg(F.count("*").alias("hits"))
+    hits = J.beside_segments(own, better, 4.0).groupBy("line_id").agg(F.count("*").alias("hits"))
     share = own.groupBy("line_id").agg(F.count("*").alias("stations")).join(hits, "line_id", "left").where(F.coalesce("hits", F.lit(0)) >= 0.95 * F.col("stations")).select("line_id")
     left = seg.join(share, "line_id", "left_anti")
     return left.groupBy("source", "cls").agg(F.countDistinct("line_id").alias("lines"), F.round(F.sum("len") / 1000, 2).alias("km"))
