@@ -55,7 +55,7 @@ def win14_downhill(spark, d):
 def win18_support_positions(spark, d):
     """Places of a line's vertices that have a support within 8 m, in order."""
     support = T.rects(spark, d).select(((F.col("x0") + F.col("x1")) / 2).alias("rx"), ((F.col("y0") + F.col("y1")) / 2).alias("ry"))
-    near = J.within(T.vertices(spark, d).select("line_id", "pos", "x", "y"), support, 8.0).select("line_id", "pos").distinct()
+    near = J.beside(T.vertices(spark, d).select("line_id", "pos", "x", "y"), support, 8.0)
     return near.groupBy("line_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("pos")), lambda p: p.cast("string")), ",").alias("places"))
 
 
@@ -272,7 +272,7 @@ def jon39_fences_at_borders(spark, d):
     st = seg.select("line_id", "pos", at.alias("p")).select("line_id", "pos", "p.*")
     side = lambda a, b, c, e: F.struct(F.col(a).alias("ax"), F.col(b).alias("ay"), F.col(c).alias("bx"), F.col(e).alias("by"))
     border = _rects(spark, d, "kind = 'FURNITURE'").select(F.explode(F.array(side("x0", "y0", "x1", "y0"), side("x1", "y0", "x1", "y1"), side("x1", "y1", "x0", "y1"), side("x0", "y1", "x0", "y0"))).alias("s")).select("s.*")
-    near = J.near_segments(st, border, 6.0, size=12.0).select("line_id", "pos", "k").distinct()
+    near = J.beside_segments(st, border, 6.0)
     return near.groupBy("line_id", "pos").agg(F.count("*").alias("n")).where("n = 3").select("line_id", "pos")
 
 
