@@ -216,8 +216,13 @@ def beside_any(samples: DataFrame, segments: DataFrame, distance: float) -> Data
 
 def by_cell(cells: DataFrame) -> DataFrame:
     """Rows dealt by their cell into a fixed number of partitions: where few bytes meet in many pairs, small partitions must not be put together."""
-    spark = cells.sparkSession
-    return cells.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "__gx", "__gy")
+    return dealt(cells, "__gx", "__gy")
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """The same by any keys."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
 
 
 def segment_cells(segments: DataFrame, ax: str, ay: str, bx: str, by: str, size: float = CELL) -> DataFrame:
