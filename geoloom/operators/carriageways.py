@@ -46,7 +46,7 @@ def kerb_distances(stations: DataFrame, kerbs: DataFrame, reach: float) -> DataF
     """(line_id, i, left, right): the distance from each station to the first kerb (ax, ay, bx, by) that its perpendicular crosses on either side, null for none within reach."""
     side = F.explode(F.array(F.lit(1.0), F.lit(-1.0))).alias("side")
     ray = stations.select("line_id", "i", "x", "y", "nx", "ny", side).select(F.col("line_id").alias("a_id"), F.col("i").alias("a_seg"), "side", F.col("x").alias("ax"), F.col("y").alias("ay"), (F.col("x") + F.col("side") * reach * F.col("nx")).alias("bx"), (F.col("y") + F.col("side") * reach * F.col("ny")).alias("by"))
-    edge = kerbs.select(F.lit(0).alias("b_id"), F.lit(0).alias("b_seg"), *(F.col(p).alias(q) for p, q in zip(("ax", "ay", "bx", "by"), ("cx", "cy", "dx", "dy"))))
+    edge = kerbs.select("ax", "ay", "bx", "by").distinct().select(F.lit(0).alias("b_id"), F.lit(0).alias("b_seg"), *(F.col(p).alias(q) for p, q in zip(("ax", "ay", "bx", "by"), ("cx", "cy", "dx", "dy"))))
     off = lambda p, q: (F.col("dx") - F.col("cx")) * (F.col(q) - F.col("cy")) - (F.col("dy") - F.col("cy")) * (F.col(p) - F.col("cx"))
     t = F.try_divide(off("ax", "ay"), off("ax", "ay") - off("bx", "by"))
     hit = J.crossings(ray, edge, 16.0).groupBy("a_id", "a_seg").agg(*((F.min(F.when(F.col("side") == s, t)) * reach).alias(n) for n, s in (("left", 1.0), ("right", -1.0))))
@@ -66,6 +66,8 @@ def carriageways(segments: DataFrame, kerbs: DataFrame, rules: Rules = Rules())
     medians over the stations around. On axes that are mostly measured, gaps between runs are bridged linearly, and from the outer runs to
     an end that lies on another axis with the same width, if no longer than ``gap``. Axes shorter than ``least_run`` steps have none.
     """
+    shape = sequence.line_shapes(segments)
+    segments = written(segments.join(shape.where("line_id = shape").select("line_id", "copies"), "line_id"))
     st = written(axis_stations(segments, rules.step))
     total = F.col("left") + F.col("right")
     ok = (F.least("left", "right") >= rules.least_side) & total.between(*rules.width)
@@ -85,8 +87,8 @@ def carriageways(segments: DataFrame, kerbs: DataFrame, rules: Rules = Rules())
     placed = anchored.withColumn("p", before).withColumn("q", after)
     p = lambda x, y, k: F.struct(F.lit(k).alias("end"), x.alias("x"), y.alias("y"))
     tips = segments.groupBy("line_id").agg(F.min_by(F.struct("ax", "ay"), "pos").alias("a"), F.max_by(F.struct("bx", "by"), "pos").alias("b")).select("line_id", F.explode(F.array(p(F.col("a.ax"), F.col("a.ay"), "start"), p(F.col("b.bx"), F.col("b.by"), "finish"))).alias("t")).select("line_id", "t.*")
-    other = segments.select(F.col("line_id").alias("other"), "ax", "ay", "bx", "by")
-    joined = J.near_segments(tips, other, rules.junction, 16.0).where("line_id <> other").groupBy("line_id").agg(F.max((F.col("end") == "start").cast("int")).alias("start"), F.max((F.col("end") == "finish").cast("int")).alias("finish"))
+    other = segments.select(F.col("line_id").alias("other"), "copies", "ax", "ay", "bx", "by")
+    joined = J.beside_segments(tips, other, rules.junction, (F.col("line_id") != F.col("other")) | (F.col("copies") > 1)).groupBy("line_id").agg(F.max((F.col("end") == "start").cast("int")).alias("start"), F.max((F.col("end") == "finish").cast("int")).alias("finish"))
     d = placed.join(joined, "line_id", "left")
     gap = F.col("q.m") - F.col("p.m")
     t = F.try_divide(F.col("m") - F.col("p.m"), gap)
@@ -103,7 +105,8 @@ def carriageways(segments: DataFrame, kerbs: DataFrame, rules: Rules = Rules())
     out = written(out.withColumn("run", F.when(F.col("left").isNotNull(), _run("left"))).where("left is not null"))
     kept = out.groupBy("line_id", "run").agg(F.count("*").alias("k")).where(F.col("k") >= rules.least_run).select("line_id", "run")
     edge = lambda c, n, s, w: (F.col(c) + s * F.col(n) * F.col(w))
-    return out.join(kept, ["line_id", "run"], "left_semi").select("line_id", "run", "i", "m", "left", "right", edge("x", "nx", 1, "left").alias("lx"), edge("y", "ny", 1, "left").alias("ly"), edge("x", "nx", -1, "right").alias("rx"), edge("y", "ny", -1, "right").alias("ry"))
+    out = out.join(kept, ["line_id", "run"], "left_semi").withColumnRenamed("line_id", "shape").join(shape, "shape")
+    return out.select("line_id", "run", "i", "m", "left", "right", edge("x", "nx", 1, "left").alias("lx"), edge("y", "ny", 1, "left").alias("ly"), edge("x", "nx", -1, "right").alias("rx"), edge("y", "ny", -1, "right").alias("ry"))
 
 
 def carriageway_sizes(edges: DataFrame) -> DataFrame:

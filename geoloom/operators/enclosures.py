@@ -62,7 +62,8 @@ def covered_area(found: P.Faces, boxes: DataFrame, faces: DataFrame, cell: float
     g = found.grid
     own = found.sides.join(faces.select("face"), "face", "left_semi").select("face", *((F.col(c) * g).alias(c) for c in ("ox", "oy", "dx", "dy")))
     reach = own.groupBy("face").agg(F.min("ox").alias("x0"), F.min("oy").alias("y0"), F.max("ox").alias("x1"), F.max("oy").alias("y1")).withColumnRenamed("face", "fid")
-    pairs = J.overlaps(reach, boxes, cell).select(F.col("a_fid").alias("face"), *(F.col(f"b_{c}").alias(c) for c in ("x0", "y0", "x1", "y1")))
+    shapes = J.shapes(boxes).withColumnRenamed("n", "fid")
+    pairs = J.overlaps(reach, shapes, cell).select(F.col("a_fid").alias("face"), F.col("b_fid").alias("n"), *(F.col(f"b_{c}").alias(c) for c in ("x0", "y0", "x1", "y1")))
     w = F.col("dx") - F.col("ox")
     near = own.where("dx <> ox").join(pairs, "face")
     a, b = F.greatest(F.least("ox", "dx"), F.col("x0")), F.least(F.greatest("ox", "dx"), F.col("x1"))
@@ -71,7 +72,7 @@ def covered_area(found: P.Faces, boxes: DataFrame, faces: DataFrame, cell: float
     flat = F.abs(F.col("yb") - F.col("ya")) < 1e-9
     mean = F.when(flat, F.greatest(F.col("y0"), F.least(F.col("y1"), F.col("ya")))).otherwise(F.try_divide(_under(F.col("yb"), F.col("y0"), F.col("y1")) - _under(F.col("ya"), F.col("y0"), F.col("y1")), F.col("yb") - F.col("ya")))
     # sides that run to the left have their face below
-    return cut.groupBy("face").agg(F.sum(-F.signum(w) * (F.col("b") - F.col("a")) * mean).alias("covered"))
+    return cut.groupBy("face").agg(F.sum(-F.signum(w) * (F.col("b") - F.col("a")) * mean * F.col("n")).alias("covered"))
 
 
 def enclosed(segments: DataFrame, private: DataFrame, rules: Rules = Rules(), grid: float = P.GRID, cell: float = P.CELL) -> tuple[P.Faces, DataFrame]:
@@ -80,6 +81,8 @@ def enclosed(segments: DataFrame, private: DataFrame, rules: Rules = Rules(), gr
     Fences (line_id, pos, ax, ay, bx, by) and bridges over their gaps bound the faces. A face counts with an area in the limits, at most
     ``bridge_share`` of its outer boundary on bridges, and if it is wide enough for its perimeter or mostly private ground (boxes fid, x0, y0, x1, y1).
     """
+    shape = sequence.line_shapes(segments).where("line_id = shape").select("line_id")
+    segments = written(segments.join(shape, "line_id", "left_semi"))  # copies of a line touch it, so they are no aim of its ends, and bound the same faces
     bridges = gap_bridges(segments, rules.gap, rules.closed)
     all_ = segments.select("ax", "ay", "bx", "by", F.lit(False).alias("bridge")).unionByName(bridges.select("ax", "ay", "bx", "by", F.lit(True).alias("bridge")))
     all_ = written(all_.withColumn("sid", F.monotonically_increasing_id()))
@@ -102,6 +105,8 @@ def oriented(segments: DataFrame, private: DataFrame, public: DataFrame, step: f
     Rings have their ticks inside, whatever lies around. Along other lines, from half a step on, points ``offset`` to either side count one
     in private ground only and minus one in public ground only (boxes x0, y0, x1, y1); a line turns if the ticks' side has less than the other.
     """
+    shape = sequence.line_shapes(segments)
+    segments = written(segments.join(shape.where("line_id = shape"), "line_id", "left_semi"))
     ends = segments.groupBy("line_id").agg(F.min_by(F.struct("ax", "ay"), "pos").alias("a"), F.max_by(F.struct("bx", "by"), "pos").alias("b"), F.sum(F.col("ax") * F.col("by") - F.col("bx") * F.col("ay")).alias("open"), F.count("*").alias("n"), F.sum("len").alias("length"))
     whole = F.col("open") + F.col("b.bx") * F.col("a.ay") - F.col("a.ax") * F.col("b.by")
     gap = F.hypot(F.col("a.ax") - F.col("b.bx"), F.col("a.ay") - F.col("b.by"))
@@ -111,11 +116,12 @@ def oriented(segments: DataFrame, private: DataFrame, public: DataFrame, step: f
     side = lambda s: F.struct(F.lit(s).alias("side"), (F.col("x") - s * offset * F.col("ty")).alias("x"), (F.col("y") + s * offset * F.col("tx")).alias("y"))
     probe = written(st.select("line_id", "k", F.explode(F.array(side(1), side(-1))).alias("p")).select("line_id", "k", "p.side", "p.x", "p.y"))
     key = ["line_id", "k", "side"]
-    within = lambda boxes, name: J.points_in_boxes(probe, boxes.select("x0", "y0", "x1", "y1")).select(*key).distinct().withColumn(name, F.lit(1))
+    within = lambda boxes, name: J.inside(probe, boxes).select(*key).withColumn(name, F.lit(1))
     told = probe.join(within(private, "mine"), key, "left").join(within(public, "theirs"), key, "left")
     votes = told.groupBy("line_id").agg(F.sum((1 if ticks_on_left else -1) * F.col("side") * (F.coalesce("mine", F.lit(0)) - F.coalesce("theirs", F.lit(0)))).alias("net"))
     net = F.coalesce("net", F.lit(0)).cast("long")
-    return lines.join(votes, "line_id", "left").select("line_id", "ring", net.alias("net"), F.when(F.col("ring"), (F.col("area") > 0) != F.lit(ticks_on_left)).otherwise(net < 0).alias("reverse"))
+    told = lines.join(votes, "line_id", "left").withColumnRenamed("line_id", "shape").join(shape, "shape")
+    return told.select("line_id", "ring", net.alias("net"), F.when(F.col("ring"), (F.col("area") > 0) != F.lit(ticks_on_left)).otherwise(net < 0).alias("reverse"))
 
 
 def outer_rings(found: P.Faces, faces: DataFrame) -> DataFrame:

@@ -36,13 +36,13 @@ def split_streets(streets: DataFrame, kerbs: DataFrame, axes: DataFrame, rules:
     sidewalk. Outlines and axes are lines of the arrangement too, but faces that only they divide are one part. (x, y) is its least node.
     """
     kinds = P.ring_segments(streets).select("ax", "ay", "bx", "by", F.lit("street").alias("kind")).unionByName(kerbs.select("ax", "ay", "bx", "by", F.when(F.col("unpaved"), "unpaved").otherwise("kerb").alias("kind"))).unionByName(axes.select("ax", "ay", "bx", "by", F.lit("axis").alias("kind")))
-    lines = written(kinds.withColumn("sid", F.monotonically_increasing_id()))
+    lines = written(kinds.distinct().withColumn("sid", F.monotonically_increasing_id()))
     net = P.noded(lines, grid, cell)
     found = P.faces(net, cell)
     is_ = lambda *k: F.max(F.col("kind").isin(*k))
     edge = written(net.sources.join(lines.select("sid", "kind"), "sid").groupBy("eid").agg(is_("kerb", "unpaved").alias("kerb"), is_("unpaved").alias("unpaved"), is_("axis").alias("axis")))
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    boxed = streets.select("ring", F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
+    boxed = streets.select("ring").distinct().select("ring", F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
     inside = written(J.points_in_boxes(P.inner_points(found), boxed, cell).where(J.ring_contains(F.col("x"), F.col("y"), F.col("ring"))).select("face").distinct())
     sides = written(P.neighbours(found).join(edge, "eid"))
     own = inside.withColumn("in", F.lit(True))
@@ -76,14 +76,15 @@ def sea_faces(coast: DataFrame, bounds: tuple[float, float, float, float], grid:
     from geoloom.operators.lines import clipped
 
     cut = clipped(coast.select("ax", "ay", "bx", "by"), *bounds).select(F.col("cx").alias("ax"), F.col("cy").alias("ay"), F.col("dx").alias("bx"), F.col("dy").alias("by"), F.lit(True).alias("coast"))
-    lines = written(cut.unionByName(border).withColumn("sid", F.monotonically_increasing_id()))
+    cut = cut.groupBy(*cut.columns).agg(F.count("*").alias("n"))  # copies vote each
+    lines = written(cut.unionByName(border.withColumn("n", F.lit(1))).withColumn("sid", F.monotonically_increasing_id()))
     net = P.noded(lines, grid, cell)
     found = P.faces(net, cell)
-    told = net.sources.join(lines.where("coast"), "sid").select("eid", (F.col("bx") - F.col("ax")).alias("lx"), (F.col("by") - F.col("ay")).alias("ly"))
+    told = net.sources.join(lines.where("coast"), "sid").select("eid", "n", (F.col("bx") - F.col("ax")).alias("lx"), (F.col("by") - F.col("ay")).alias("ly"))
     along = F.signum((F.col("dx") - F.col("ox")) * F.col("lx") + (F.col("dy") - F.col("oy")) * F.col("ly"))
     length = F.hypot((F.col("dx") - F.col("ox")).cast("double"), (F.col("dy") - F.col("oy")).cast("double")) * grid
     # a side has its face on the left: one that runs with the coast has land there
-    votes = found.sides.where("face is not null").join(told, "eid").groupBy("face").agg(F.sum(-along * length).alias("vote"))
+    votes = found.sides.where("face is not null").join(told, "eid").groupBy("face").agg(F.sum(-along * length * F.col("n")).alias("vote"))
     corner = found.sides.where("ring = face").groupBy("face").agg(F.min(F.struct("ox", "oy")).alias("p"))
     out = found.faces.join(corner, "face").join(votes, "face", "left").withColumn("vote", F.coalesce("vote", F.lit(0.0)))
     return out.select("face", (F.col("p.ox") * grid).alias("x"), (F.col("p.oy") * grid).alias("y"), "area", "vote", (F.col("vote") > 0).alias("sea"))

@@ -177,6 +177,8 @@ def ring_segments(rings: DataFrame, ring: str = "ring") -> DataFrame:
 def coverage(areas: DataFrame, grid: float = GRID, cell: float = CELL) -> tuple[Faces, DataFrame]:
     """Areas (fid, rank, ring) cut into the faces of all their outlines; and (face, fid): each face's owner, the area of least rank
     (then of least fid) around a point inside. Faces that no area covers have no owner."""
+    # of areas with one ring only the first can own a face
+    areas = written(areas.groupBy("ring").agg(F.min(F.struct("rank", "fid")).alias("w")).select("w.fid", "w.rank", "ring"))
     segments = ring_segments(areas).withColumn("sid", F.monotonically_increasing_id())
     found = faces(noded(segments, grid, cell), cell)
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
