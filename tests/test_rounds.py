@@ -45,3 +45,18 @@ def test_points_beside_points_come_once(spark):
         near = (F.col("x") - F.col("rx")) ** 2 + (F.col("y") - F.col("ry")) ** 2 <= 64
         want = sorted(r.id for r in p.crossJoin(others).where(near).select("id").distinct().collect())
         assert sorted(r.id for r in J.beside(p, others, 8.0).collect()) == want
+
+
+def test_nearest_looks_no_farther_than_it_needs(spark, monkeypatch):
+    rng = random.Random(9)
+    p = _points(spark)
+    asked, whole = [], J.within
+    monkeypatch.setattr(J, "within", lambda l, r, reach, *more: asked.append((reach, l.count(), r.count())) or whole(l, r, reach, *more))
+    for n in (4, 30000):
+        asked.clear()
+        others = spark.createDataFrame([(round(rng.uniform(0, 100), 1), round(rng.uniform(0, 100), 1)) for _ in range(n)] * 3, "rx double, ry double")
+        d2 = (F.col("x") - F.col("rx")) ** 2 + (F.col("y") - F.col("ry")) ** 2
+        want = {r.id: r.d for r in p.crossJoin(others).where(d2 <= 64).groupBy("id").agg(F.sqrt(F.min(d2)).alias("d")).collect()}
+        got = {r.id: r.distance for r in J.nearest(p.unionByName(p), others, "id", 8.0).collect()}
+        assert got == want and all(r == others.distinct().count() for _, _, r in asked)
+    assert sum(k for reach, k, _ in asked if reach > 2) == 0
