@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoloom.operators import focal
+from geoloom.operators import focal, junctions
 from geoloom.operators.spatial_join import within
 from geoloom.sources.store import written
 
@@ -154,27 +154,9 @@ def straightest(arms: DataFrame) -> DataFrame:
 def paired(arms: DataFrame) -> DataFrame:
     """Pairs (node, a, b, turn) of arms (node, arm, line, bearing; null for none) picked straightest first, each arm once, at most 45 degrees.
 
-    Where a node has two arms only, they pair at any angle; arms of one line don't pair. Each round takes the pairs that
-    are best for both arms among those left, the same as one by one. Arms meet through the buckets around their opposite bearing.
+    Where a node has two arms only, they pair at any angle; arms of one line don't pair.
     """
-    arms = written(arms.select("node", "arm", "line", "bearing"))
-    count = arms.groupBy("node").agg(F.count("*").alias("n"))
-    a = arms.join(count, "node").select("node", F.col("arm").alias("a"), F.col("line").alias("la"), F.col("bearing").alias("ba"), "n").where("ba is not null")
-    b = arms.select("node", F.col("arm").alias("b"), F.col("line").alias("lb"), F.col("bearing").alias("bb")).where("bb is not null")
-    bucket = lambda c, by: F.pmod(F.floor(F.col(c) / 45) + by, F.lit(8))
-    every = F.sequence(F.lit(0), F.lit(7)).cast("array<bigint>")
-    around = F.when(F.col("n") == 2, every).otherwise(F.array(*(bucket("ba", k) for k in (3, 4, 5))))
-    d = F.pmod(F.abs(F.col("ba") - F.col("bb")), F.lit(360.0))
-    met = a.withColumn("k", F.explode(around)).join(b.withColumn("k", bucket("bb", 0)), ["node", "k"]).where("a < b and la <> lb")
-    left = written(met.withColumn("turn", F.abs(180 - F.least(d, 360 - d))).where("turn <= 45 or n = 2").select("node", "a", "b", "turn"))
-    kept = left.limit(0)
-    while not left.isEmpty():
-        best = left.select(F.explode(F.array("a", "b")).alias("arm"), F.struct("turn", "a", "b", "node").alias("p")).groupBy("arm").agg(F.min("p").alias("p"))
-        fresh = written(best.groupBy("p").agg(F.count("*").alias("n")).where("n = 2").select("p.node", "p.a", "p.b", "p.turn"))
-        used = fresh.select(F.explode(F.array("a", "b")).alias("used"))
-        kept = kept.unionByName(fresh)
-        left = written(left.join(used.withColumnRenamed("used", "a"), "a", "left_anti").join(used.withColumnRenamed("used", "b"), "b", "left_anti").select("node", "a", "b", "turn"))
-    return kept
+    return written(junctions.by_node(arms, junctions.picked_pairs))
 
 
 def matched(pairs: DataFrame) -> DataFrame:
