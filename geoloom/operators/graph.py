@@ -6,7 +6,7 @@ logarithm of a component's size, or, for greedy picks, stay few.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.operators import focal, junctions
@@ -142,13 +142,7 @@ def propagated(ids: DataFrame, links: DataFrame, flagged: DataFrame, passes: Dat
 
 def straightest(arms: DataFrame) -> DataFrame:
     """Pairs of arms (node, arm, bearing) of a node that continue each other best: mutual least turn, at most 45 degrees."""
-    a = arms.select("node", F.col("arm").alias("a"), F.col("bearing").alias("ba"))
-    b = arms.select("node", F.col("arm").alias("b"), F.col("bearing").alias("bb"))
-    d = F.pmod(F.abs(F.col("ba") - F.col("bb")), F.lit(360.0))
-    pairs = a.join(b, "node").where("a < b").withColumn("turn", F.abs(180 - F.least(d, 360 - d))).where("turn <= 45")
-    every = pairs.select("node", "a", "b", "turn", F.explode(F.array("a", "b")).alias("arm"))
-    best = every.withColumn("r", F.row_number().over(Window.partitionBy("node", "arm").orderBy("turn", "a", "b"))).where("r = 1")
-    return best.groupBy("node", "a", "b", "turn").agg(F.count("*").alias("n")).where("n = 2").drop("n")
+    return junctions.by_node(arms.withColumn("line", F.col("arm")), junctions.best_pairs)
 
 
 def paired(arms: DataFrame) -> DataFrame:
