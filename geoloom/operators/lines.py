@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoloom.operators import sequence
+from geoloom.operators import graph, sequence
 from geoloom.operators import spatial_join as J
 from geoloom.sources.store import written
 
@@ -223,6 +224,62 @@ def covering_lines(samples: DataFrame, segments: DataFrame, distance: float, by:
     return J.near_segments(samples, _directed(segments, by), distance).where(_like(least_cos)).select("line_id", "k", by).distinct()
 
 
+def _cover_counts(seg: DataFrame, others: DataFrame, step: float, distance: float, least_cos: float) -> DataFrame:
+    """(line_id, by_line, hits): how many of a line's stations each of the other lines covers."""
+    st = sequence.stations(seg, step).select("line_id", "k", "x", "y", "tx", "ty")
+    hit = covering_lines(st, others.withColumnRenamed("line_id", "by_line"), distance, "by_line", least_cos).where("line_id <> by_line")
+    return hit.groupBy("line_id", "by_line").agg(F.count("*").alias("hits"))
+
+
+def _of(seg: DataFrame, lines: DataFrame) -> DataFrame:
+    return seg.join(lines.select("line_id"), "line_id", "left_semi")
+
+
+def not_outdone(seg: DataFrame, step: float, distance: float, share: float, least_cos: float = 0.0) -> DataFrame:
+    """(line_id, stations): lines of which no longer line covers ``share`` of the stations or more.
+
+    The longest lines are asked first, then more of them each time; a line that one covers asks no further, nor does one as long as those to come.
+    """
+    seg = written(seg.select("line_id", "ax", "ay", "bx", "by", "len", "m0"))
+    total = written(seg.groupBy("line_id").agg(F.round(F.sum("len"), 6).alias("total")))
+    left = written(sequence.stations(seg, step).groupBy("line_id").agg(F.count("*").alias("stations")).join(total, "line_id"))
+    done, to_come, size = [], total, 4
+    while not left.isEmpty() and (cut := to_come.orderBy(F.desc("total")).limit(size).agg(F.min("total")).first()[0]) is not None:
+        by = to_come.where(F.col("total") >= cut).select(F.col("line_id").alias("by_line"), F.col("total").alias("by_total"))
+        others = written(_of(seg, by.withColumnRenamed("by_line", "line_id")))
+        hits = _cover_counts(_of(seg, left), others, step, distance, least_cos).join(left, "line_id").where(f"hits >= {share} * stations")
+        left = written(left.join(hits.join(by, "by_line").where("total < by_total").select("line_id"), "line_id", "left_anti"))
+        done.append(left.where(F.col("total") >= cut))
+        left, to_come, size = left.where(F.col("total") < cut), total.where(F.col("total") < cut), size * 8
+    return reduce(DataFrame.unionByName, [left, *done]).select("line_id", "stations")
+
+
+def taken_lines(seg: DataFrame, order: DataFrame, step: float, distance: float, most: float, least_cos: float) -> DataFrame:
+    """(line_id): lines that stay when taken one by one by ``order`` (line_id, o), if no line that stayed covers more than ``most`` of their stations.
+
+    The first lines decide among themselves; those that stay drop what they cover, then come the first of the rest, more each time. So only lines that
+    stay meet all others, which are few where lines lie dense.
+    """
+    seg = written(seg.select("line_id", "ax", "ay", "bx", "by", "len", "m0"))
+    stations = sequence.stations(seg, step).groupBy("line_id").agg(F.count("*").alias("stations"))
+    left = written(order.select("line_id", "o").join(stations, "line_id", "left"))
+    kept, size = [], 16
+
+    def covered(lines: DataFrame, own: DataFrame, others: DataFrame) -> DataFrame:
+        return _cover_counts(own, others, step, distance, least_cos).join(lines, "line_id").where(f"hits > {most} * stations")
+
+    while not left.isEmpty():
+        block = written(left.orderBy("o").limit(size))
+        own = written(_of(seg, block))
+        before = covered(block, own, own).join(block.select(F.col("line_id").alias("by_line"), F.col("o").alias("p")), "by_line").where("p < o")
+        kept.append(graph.taken_in_order(block.select(F.col("line_id").alias("id")), before.select(F.col("line_id").alias("id"), F.col("by_line").alias("j"))).select(F.col("id").alias("line_id")))
+        rest = written(left.join(block.select("line_id"), "line_id", "left_anti"))
+        gone = covered(rest, _of(seg, rest), written(_of(own, kept[-1])))
+        left = written(rest.join(gone.select("line_id"), "line_id", "left_anti"))
+        size *= 4
+    return reduce(DataFrame.unionByName, kept, order.select("line_id").limit(0))
+
+
 def cover_shares(segments: DataFrame, others: DataFrame, step: float, distance: float, least_cos: float = 0.5) -> DataFrame:
     """(line_id, stations, hits): of the stations along each line, those that run beside another centre line."""
     st = sequence.stations(segments, step)

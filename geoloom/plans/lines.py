@@ -187,14 +187,7 @@ def jon07_parallel_clipped(spark, d):
 
 def jon29_banks(spark, d):
     """Lines that no longer line of their source covers by 30 % within 6 m."""
-    seg = _seg(spark, d, "source = 'topo'")
-    total = seg.groupBy("line_id").agg(F.round(F.sum("len"), 6).alias("total"))
-    st = sequence.stations(seg, STEP)
-    hit = lines.covering_lines(st.select("line_id", "k", "x", "y", "tx", "ty"), seg.withColumnRenamed("line_id", "by_line"), 6.0, "by_line")
-    n = st.groupBy("line_id").agg(F.count("*").alias("stations"))
-    share = hit.groupBy("line_id", "by_line").agg(F.count("*").alias("hits")).join(n, "line_id").where("line_id <> by_line and hits >= 0.3 * stations")
-    longer = share.join(total, "line_id").join(total.select(F.col("line_id").alias("by_line"), F.col("total").alias("by_total")), "by_line").where("total < by_total")
-    return n.join(longer.select("line_id"), "line_id", "left_anti").select("line_id", "stations")
+    return lines.not_outdone(_seg(spark, d, "source = 'topo'"), STEP, 6.0, 0.3)
 
 
 def jon18_widths(spark, d):
