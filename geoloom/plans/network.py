@@ -182,12 +182,7 @@ def jon06_priority_lines(spark, d):
     seg = sequence.segments(T.vertices(spark, d)).where("len > 0")
     total = seg.groupBy("line_id", "source").agg(F.round(F.sum("len"), 3).alias("length"))
     rank = F.struct(F.when(F.col("source") == "dtm", 0).when(F.col("source") == "osm", 1).otherwise(2).alias("s"), (-F.col("length")).alias("l"), F.col("line_id").alias("id"))
-    st = sequence.stations(seg, 25.0)
-    hit = lines.covering_lines(st.select("line_id", "k", "x", "y", "tx", "ty"), seg.withColumnRenamed("line_id", "by_line"), 2.0, "by_line", 0.5).where("line_id <> by_line")
-    share = hit.groupBy("line_id", "by_line").agg(F.count("*").alias("hits")).join(st.groupBy("line_id").agg(F.count("*").alias("n")), "line_id").where("hits > 0.08 * n")
-    order = total.select("line_id", rank.alias("o"))
-    pairs = share.select(F.col("line_id").alias("id"), F.col("by_line").alias("j")).join(order.select(F.col("line_id").alias("id"), "o"), "id").join(order.select(F.col("line_id").alias("j"), F.col("o").alias("p")), "j")
-    return G.taken_in_order(total.select(F.col("line_id").alias("id")), pairs.where("p < o").select("id", "j"))
+    return lines.taken_lines(seg, total.select("line_id", rank.alias("o")), 25.0, 2.0, 0.08, 0.5).select(F.col("line_id").alias("id"))
 
 
 _LINE_ENDS = "(pos = min(pos) OVER (PARTITION BY line_id) OR pos = max(pos) OVER (PARTITION BY line_id))"
