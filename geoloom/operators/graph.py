@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.operators import focal, junctions
-from geoloom.operators.spatial_join import within
 from geoloom.sources.store import written
 
 
@@ -49,11 +48,53 @@ def regions(cells: DataFrame, width: int, cls: str | None = None) -> DataFrame:
     return own.join(labelled(own, links), "id").select(*keys, "component")
 
 
+def _places_linked(places: DataFrame, cells: DataFrame, tolerance: float) -> DataFrame:
+    """(id, component): cells (id, gx, gy) whose places (gx, gy, x, y) lie within the tolerance of each other, directly or in a row.
+
+    A cell's outermost places answer for most of its neighbours. Only cells that no row of these joins compare all their places, and of one's places
+    those that the other's box is in reach of.
+    """
+    c = F.col
+    p = F.struct("x", "y")
+    keys = (c("x"), c("y"), c("x") + c("y"), c("x") - c("y"))
+    tips = places.groupBy("gx", "gy").agg(F.array_distinct(F.array(*(pick(p, k) for k in keys for pick in (F.min_by, F.max_by)))).alias("tips"))
+    cells = written(cells.join(tips, ["gx", "gy"]).select("id", "gx", "gy", "tips"))
+    steps = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in range(3) for dy in range(-2, 3) if (dx, dy) > (0, 0)))
+    d2 = lambda a, b: (a["x"] - b["x"]) ** 2 + (a["y"] - b["y"]) ** 2
+    near = F.exists("tips", lambda a: F.exists("other", lambda b: d2(a, b) <= tolerance * tolerance))
+    ahead = cells.select(c("id").alias("a"), "tips", "gx", "gy", F.explode(steps).alias("s")).select("a", "tips", (c("gx") + c("s.dx")).alias("gx"), (c("gy") + c("s.dy")).alias("gy"))
+    end = lambda pick, t, k: pick(F.transform(t, lambda q: q[k]))
+    box = lambda t, n: [end(pick, t, k).alias(f"{n}{k}{m}") for k in "xy" for m, pick in enumerate((F.array_min, F.array_max))]
+    pairs = written(ahead.join(cells.select("gx", "gy", c("id").alias("b"), c("tips").alias("other")), ["gx", "gy"]).select("a", "b", near.alias("near"), *box("other", "b")))
+    links = pairs.where("near").select("a", "b")
+    label = written(labelled(cells, links))
+    named = pairs.where("not near").join(label.toDF("a", "la"), "a").join(label.toDF("b", "lb"), "b").where("la <> lb").drop("near", "la", "lb")
+    named = written(named)
+    if named.isEmpty():
+        return label
+    at = written(places.join(cells.select("gx", "gy", "id"), ["gx", "gy"]).select("id", "x", "y"))
+    off = lambda k: F.greatest(F.lit(0.0), c(f"b{k}0") - c(k), c(k) - c(f"b{k}1"))
+    reach = (off("x") ** 2 + off("y") ** 2) <= tolerance * tolerance * 1.000001
+    tried = named.join(at.withColumnRenamed("id", "a"), "a").where(reach).select("a", "b", "x", "y").join(at.toDF("b", "rx", "ry"), "b")
+    more = written(tried.where((c("x") - c("rx")) ** 2 + (c("y") - c("ry")) ** 2 <= tolerance * tolerance).select("a", "b").distinct())
+    return label if more.isEmpty() else labelled(cells, links.unionByName(more))
+
+
 def snapped(ends: DataFrame, tolerance: float) -> DataFrame:
-    """(id, node, x, y): ends within the tolerance of each other, directly or in a row, share a node at their mean."""
-    pairs = within(ends.select("id", "x", "y"), ends.select(F.col("id").alias("other"), F.col("x").alias("rx"), F.col("y").alias("ry")), tolerance).where("id < other")
-    nodes = labelled(ends, pairs.select(F.col("id").alias("a"), F.col("other").alias("b")))
-    placed = ends.join(nodes, "id")
+    """(id, node, x, y): ends within the tolerance of each other, directly or in a row, share a node at their mean.
+
+    No pairs are listed: the ends of a cell, whose diagonal is a little shorter than the tolerance, share a node at any rate, so it is cells that are
+    linked. Ends without a place are nodes of their own.
+    """
+    side = tolerance * 0.7071
+    lost = F.col("x").isNull() | F.col("y").isNull() | F.isnan(F.col("x").cast("double")) | F.isnan(F.col("y").cast("double"))
+    cell = [F.when(~lost, F.floor(F.col(k) / side)).alias(f"g{k}") for k in "xy"]
+    ends = written(ends.select("id", "x", "y", *cell))
+    own = ends.where("gx is not null")
+    cells = own.groupBy("gx", "gy").agg(F.min("id").alias("id"))
+    nodes = _places_linked(own.select("gx", "gy", "x", "y").distinct(), cells, tolerance)
+    of = written(cells.join(nodes, "id").select("gx", "gy", "component"))
+    placed = ends.join(of, ["gx", "gy"], "left").select("id", "x", "y", F.coalesce("component", "id").alias("component"))
     mean = placed.groupBy("component").agg(F.avg("x").alias("nx"), F.avg("y").alias("ny"), F.count("*").alias("degree"))
     return placed.join(mean, "component").select("id", F.col("component").alias("node"), F.col("nx").alias("x"), F.col("ny").alias("y"), "degree")
 
