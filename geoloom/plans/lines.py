@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from geoloom.operators import grid, lines, sequence
 from geoloom.operators import spatial_join as J
 from geoloom.operators.crossing_counts import crossing_counts
+from geoloom.operators.nearest_segments import nearest_segments
 from geoloom.plans.spatial import _SEG, _STA
 from geoloom.sources import tables as T
 from geoloom.sources.store import written
@@ -206,8 +207,8 @@ def jon34_ends_to_bands(spark, d):
     """Ends of lines within 15 m of a road: the distance at which they join it."""
     v = T.vertices(spark, d).where("source = 'topo'")
     last = v.groupBy("line_id").agg(F.max_by(F.struct("x", "y"), "pos").alias("p")).select("line_id", "p.x", "p.y")
-    near = J.near_segments(last, _seg(spark, d, "source = 'dtm'").select("ax", "ay", "bx", "by"), 15.0, size=16.0)
-    return near.groupBy("line_id").agg(F.round(F.sqrt(F.min("d2")), 4).alias("distance"))
+    near = nearest_segments(last.withColumnRenamed("line_id", "id"), _seg(spark, d, "source = 'dtm'"), 15.0, size=16.0)
+    return near.select(F.col("id").alias("line_id"), F.round(F.sqrt("d2"), 4).alias("distance"))
 
 
 def jon32_confirmed(spark, d):
