@@ -8,6 +8,7 @@ split by Spark's skew join.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
@@ -44,13 +45,29 @@ def ring_contains(x: Column, y: Column, ring: Column) -> Column:
     return F.size(crosses) % 2 == 1
 
 
-def within(left: DataFrame, right: DataFrame, distance: float, lx: str = "x", ly: str = "y", rx: str = "rx", ry: str = "ry") -> DataFrame:
-    """Pairs of points at most ``distance`` apart; the left side goes to the 3 x 3 cells around it."""
+def within(left: DataFrame, right: DataFrame, distance: float, lx: str = "x", ly: str = "y", rx: str = "rx", ry: str = "ry", on: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of points at most ``distance`` apart, and equal in ``on``, if given; the left side goes to the 3 x 3 cells around it."""
     near = F.sequence(F.lit(-1), F.lit(1))
     l = left.withColumn("__gx", F.explode(F.transform(near, lambda d: F.floor(F.col(lx) / distance) + d))).withColumn("__gy", F.explode(F.transform(near, lambda d: F.floor(F.col(ly) / distance) + d)))  # noqa: E741
     r = right.withColumn("__gx", F.floor(F.col(rx) / distance)).withColumn("__gy", F.floor(F.col(ry) / distance))
     d2 = (F.col(lx) - F.col(rx)) ** 2 + (F.col(ly) - F.col(ry)) ** 2
-    return l.join(r, ["__gx", "__gy"]).where(d2 <= distance * distance).withColumn("d2", d2).drop("__gx", "__gy")
+    if on:
+        l, r = dealt(l, "__gx", "__gy", *on), dealt(r, "__gx", "__gy", *on)  # noqa: E741
+    return l.join(r, ["__gx", "__gy", *on]).where(d2 <= distance * distance).withColumn("d2", d2).drop("__gx", "__gy")
+
+
+#: Sectors of a circle: directions less than 31 degrees apart are at most two sectors apart.
+SECTORS = 23
+
+
+def sector(dx: Column, dy: Column) -> Column:
+    """The sector of a direction."""
+    return F.pmod(F.floor((F.atan2(dy, dx) / (2 * math.pi) + 0.5) * SECTORS), F.lit(SECTORS))
+
+
+def sectors_opposite(dx: Column, dy: Column) -> Column:
+    """The sectors of all directions that turn by 149 degrees and more from this one."""
+    return F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda k: F.pmod(sector(-dx, -dy) + k, F.lit(SECTORS)))
 
 
 def overlaps(a: DataFrame, b: DataFrame, size: float = CELL) -> DataFrame:
