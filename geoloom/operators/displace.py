@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.operators import cellsets, focal, graph
+from geoloom.operators import cellsets, focal, graph, sequence
 from geoloom.operators import spatial_join as J
 from geoloom.sources.store import written
 
@@ -143,12 +143,22 @@ def displaced(objects: DataFrame, axes: DataFrame, scale: int, widest: float, ru
     An object keeps a gap on paper from the bands (``half`` metres on both sides, ``widest`` at most) of the axes' segments (axis, seg, ax, ay, bx, by).
     It is ``clear``, or ``moved``; a point that no push clears goes to the axis' other side if need be (``stepped``) or stays (``kept``); an area that
     cannot move is ``clipped`` by the bands or, if too little is left, ``dropped``. Rows without a corner are left out; ids have to be unique.
+
+    Objects of equal corners share their fate, and of axes with equal segments the least decides, so each goes through the rounds once.
     """
+    rows = written(objects.where("x0 + y0 + x1 + y1 is not null").select("id", *J.BOX))
+    axes = axes.withColumn("half", F.when(F.col("half") > widest, F.raise_error(F.lit("a path is wider than the widest"))).otherwise(F.col("half")))
+    least = sequence.line_shapes(axes, "axis", "seg", "half").where("axis = shape").select("axis")
+    fates = _displaced(rows.groupBy(*J.BOX).agg(F.min("id").alias("id")), written(axes.join(least, "axis", "left_semi")), scale, widest, rules, size)
+    return rows.join(fates, list(J.BOX)).select("id", "status", "tx", "ty", "pieces", "left_area")
+
+
+def _displaced(objects: DataFrame, axes: DataFrame, scale: int, widest: float, rules: Rules, size: float) -> DataFrame:
+    """The same by corners, for objects and axes without copies."""
     m = scale / 1000.0
     point = (F.col("x0") == F.col("x1")) & (F.col("y0") == F.col("y1"))
-    o = objects.where("x0 + y0 + x1 + y1 is not null").select("id", "x0", "y0", "x1", "y1", point.alias("point"), F.when(point, (rules.point_radius + rules.gap) * m).otherwise(rules.gap * m).alias("extra"))
+    o = objects.select("id", "x0", "y0", "x1", "y1", point.alias("point"), F.when(point, (rules.point_radius + rules.gap) * m).otherwise(rules.gap * m).alias("extra"))
     o = written(o.withColumn("edges", F.when(F.col("point"), F.slice(ring_edges(*(F.col(c) for c in ("x0", "y0", "x1", "y1"))), 1, 1)).otherwise(ring_edges(*(F.col(c) for c in ("x0", "y0", "x1", "y1"))))))
-    axes = axes.withColumn("half", F.when(F.col("half") > widest, F.raise_error(F.lit("a path is wider than the widest"))).otherwise(F.col("half")))
     reach = F.col("extra") + F.when(F.col("point"), max(rules.most, rules.point_most) * m).otherwise(rules.most * m) + widest
     near = written(met(o, axes, reach, widest))
     still = o.select("id", F.lit(0).alias("choice"), F.lit(0.0).alias("tx"), F.lit(0.0).alias("ty"))
@@ -160,7 +170,7 @@ def displaced(objects: DataFrame, axes: DataFrame, scale: int, widest: float, ru
     points = stuck.where("point").select("id")
     steps = stepped_off(near.join(points, "id", "left_semi"), before.join(points, "id", "left_semi"), max(rules.most, rules.point_most) * m, slack, beyond).withColumn("status", F.lit("stepped"))
     cut = clipped(stuck.where("not point").drop("point"), axes, widest, rules.least_area * m * m, size)
-    out = o.select("id").join(moves.unionByName(steps), "id", "left").join(stuck.select("id", "point"), "id", "left").join(cut, "id", "left")
+    out = o.select("id", *J.BOX).join(moves.unionByName(steps), "id", "left").join(stuck.select("id", "point"), "id", "left").join(cut, "id", "left")
     fate = F.when(F.col("status").isNotNull(), F.col("status")).when(F.col("point").isNull(), "clear").when(F.col("point"), "kept").when(F.col("pieces").isNull(), "dropped").otherwise("clipped")
     zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
-    return out.select("id", fate.alias("status"), zero("tx"), zero("ty"), F.coalesce("pieces", F.lit(0)).alias("pieces"), zero("left_area"))
+    return out.select(*J.BOX, fate.alias("status"), zero("tx"), zero("ty"), F.coalesce("pieces", F.lit(0)).alias("pieces"), zero("left_area"))

@@ -19,9 +19,9 @@ def segments(vertices: DataFrame, line: str = "line_id", pos: str = "pos") -> Da
     return seg.withColumn("m0", F.coalesce(F.sum("len").over(before), F.lit(0.0))).withColumnRenamed("x", "ax").withColumnRenamed("y", "ay")
 
 
-def line_shapes(seg: DataFrame, line: str = "line_id") -> DataFrame:
-    """(line_id, shape, copies): lines of equal segments (by 128 bits of hash) share a shape, named by its least line, and the number of its lines."""
-    of = [c for c in ("pos", "ax", "ay", "bx", "by", "len", "m0") if c in seg.columns]
+def line_shapes(seg: DataFrame, line: str = "line_id", *also: str) -> DataFrame:
+    """(line_id, shape, copies): lines of equal segments (and equal ``also``; by 128 bits of hash) share a shape, named by its least line, and the number of its lines."""
+    of = [c for c in ("pos", "ax", "ay", "bx", "by", "len", "m0") if c in seg.columns] + list(also)
     bits = [F.sum(F.xxhash64(F.lit(k), *of).cast("decimal(38,0)")).alias(f"__{k}") for k in (1, 2)]
     names = written(seg.groupBy(line).agg(F.count("*").alias("__0"), *bits))
     key = ["__0", "__1", "__2"]
