@@ -45,15 +45,19 @@ def ring_contains(x: Column, y: Column, ring: Column) -> Column:
     return F.size(crosses) % 2 == 1
 
 
-def within(left: DataFrame, right: DataFrame, distance: float, lx: str = "x", ly: str = "y", rx: str = "rx", ry: str = "ry", on: tuple[str, ...] = ()) -> DataFrame:
-    """Pairs of points at most ``distance`` apart, and equal in ``on``, if given; the left side goes to the 3 x 3 cells around it."""
+def within(left: DataFrame, right: DataFrame, distance: float, lx: str = "x", ly: str = "y", rx: str = "rx", ry: str = "ry", on: tuple[str, ...] = (), size: float | None = None) -> DataFrame:
+    """Pairs of points at most ``distance`` apart, and equal in ``on``, if given; the left side goes to the 3 x 3 cells around it, or with a cell ``size``
+    to those that its reach touches (2 x 2 for twice the distance). Both sides are shuffled: a written table of places packs so well that the planner
+    would send millions of them through the driver."""
     near = F.sequence(F.lit(-1), F.lit(1))
-    l = left.withColumn("__gx", F.explode(F.transform(near, lambda d: F.floor(F.col(lx) / distance) + d))).withColumn("__gy", F.explode(F.transform(near, lambda d: F.floor(F.col(ly) / distance) + d)))  # noqa: E741
-    r = right.withColumn("__gx", F.floor(F.col(rx) / distance)).withColumn("__gy", F.floor(F.col(ry) / distance))
+    reach = distance + 1e-9  # rounding takes no cell away
+    around = lambda c: F.transform(near, lambda d: F.floor(F.col(c) / distance) + d) if size is None else F.sequence(F.floor((F.col(c) - reach) / size), F.floor((F.col(c) + reach) / size))
+    l = left.withColumn("__gx", F.explode(around(lx))).withColumn("__gy", F.explode(around(ly)))  # noqa: E741
+    r = point_cell(right, rx, ry, size or distance)
     d2 = (F.col(lx) - F.col(rx)) ** 2 + (F.col(ly) - F.col(ry)) ** 2
     if on:
         l, r = dealt(l, "__gx", "__gy", *on), dealt(r, "__gx", "__gy", *on)  # noqa: E741
-    return l.join(r, ["__gx", "__gy", *on]).where(d2 <= distance * distance).withColumn("d2", d2).drop("__gx", "__gy")
+    return l.join(r.hint("merge"), ["__gx", "__gy", *on]).where(d2 <= distance * distance).withColumn("d2", d2).drop("__gx", "__gy")
 
 
 #: Sectors of a circle: directions less than 31 degrees apart are at most two sectors apart.
@@ -287,7 +291,7 @@ def nearest(left: DataFrame, right: DataFrame, key: str, distance: float, lx: st
     for part in (64, 16, 4, 1):
         found.append(written(within(open_, others, distance / part, lx, ly, rx, ry).groupBy(lx, ly).agg(F.min("d2").alias("d2"))))
         if part > 1:
-            open_ = written(open_.join(found[-1], [lx, ly], "left_anti"))
+            open_ = written(open_.join(found[-1].hint("merge"), [lx, ly], "left_anti"))
             if open_.isEmpty():
                 break
-    return left.join(reduce(DataFrame.unionByName, found), [lx, ly]).groupBy(key).agg(F.sqrt(F.min("d2")).alias("distance"))
+    return left.join(reduce(DataFrame.unionByName, found).hint("merge"), [lx, ly]).groupBy(key).agg(F.sqrt(F.min("d2")).alias("distance"))
