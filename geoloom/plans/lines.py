@@ -224,10 +224,13 @@ def jon32_confirmed(spark, d):
 
 def jon41_row_support(spark, d):
     """Share of a line's stations in green areas, and in no area at all."""
-    st = sequence.stations(_seg(spark, d, "source = 'topo'"), STEP).select("line_id", "k", "x", "y")
-    met = J.points_in_boxes(st, T.rects(spark, d)).groupBy("line_id", "k").agg(F.max((F.col("kind") == "HOUSEHOLD").cast("int")).alias("green"))
-    both = st.join(met, ["line_id", "k"], "left")
-    return both.groupBy("line_id").agg(F.round(F.avg(F.coalesce("green", F.lit(0))), 5).alias("green"), F.round(F.avg(F.col("green").isNull().cast("int")), 5).alias("nothing"))
+    st = sequence.stations(written(_seg(spark, d, "source = 'topo'")), STEP).select("line_id", "x", "y")
+    count = lambda s, n: s.groupBy("line_id").agg(F.count("*").alias(n))
+    # a station's first hit answers, however many areas lie over it
+    green, any_ = J.inside(st, _rects(spark, d, "kind = 'HOUSEHOLD'")), J.inside(st, T.rects(spark, d))
+    n = count(st, "n").join(count(green, "g"), "line_id", "left").join(count(any_, "a"), "line_id", "left")
+    share = lambda c: F.round(c / F.col("n"), 5)
+    return n.select("line_id", share(F.coalesce("g", F.lit(0))).alias("green"), share(F.col("n") - F.coalesce("a", F.lit(0))).alias("nothing"))
 
 
 def jon42_row_crowns(spark, d):
