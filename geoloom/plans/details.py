@@ -12,6 +12,7 @@ from geoloom.operators import grid, ops, sequence
 from geoloom.operators import spatial_join as J
 from geoloom.plans.spatial import _SEG, _STA
 from geoloom.sources import tables as T
+from geoloom.sources.store import written
 
 # Which class of which map becomes which of the library's kinds, and the least size that counts.
 MAPPING = (
@@ -323,11 +324,12 @@ def fun19_geojson(spark, d):
 
 def udf01_sampled_predicates(spark, d):
     """Elevation and cover at the stations of lines, as joins in place of callbacks."""
-    st = sequence.stations(sequence.segments(T.vertices(spark, d)).where("source = 'topo'"), 25.0)
-    dem = grid.surfaces(T.points(spark, d), T.CELL_M).select("rr", "cc", "dem")
-    zone = J.points_in_boxes(st.select("line_id", "k", "x", "y"), T.rects(spark, d).where("lvl = 1")).select("line_id", "k").distinct().withColumn("zone", F.lit(1))
-    seen = grid.with_cell(st, 4.0).join(dem, ["rr", "cc"], "left").join(zone, ["line_id", "k"], "left")
-    return seen.groupBy("line_id").agg(F.count("*").alias("stations"), F.count("dem").alias("with_ground"), F.round(F.avg("dem"), 5).alias("mean_dem"), F.count("zone").alias("in_zone"))
+    st = sequence.stations(written(sequence.segments(T.vertices(spark, d)).where("source = 'topo'")), 25.0).select("line_id", "x", "y")
+    dem = written(grid.surfaces(T.points(spark, d), T.CELL_M).select("rr", "cc", "dem"))
+    # a station's first hit answers, however many areas lie over it
+    zone = J.inside(st, T.rects(spark, d).where("lvl = 1")).groupBy("line_id").agg(F.count("*").alias("zone"))
+    seen = grid.with_cell(st, 4.0).join(dem, ["rr", "cc"], "left").groupBy("line_id").agg(F.count("*").alias("stations"), F.count("dem").alias("with_ground"), F.round(F.avg("dem"), 5).alias("mean_dem"))
+    return seen.join(zone, "line_id", "left").select("line_id", "stations", "with_ground", "mean_dem", F.coalesce("zone", F.lit(0)).alias("in_zone"))
 
 
 def udf02_merged_parts(spark, d):
