@@ -30,13 +30,17 @@ def zone_picks(points: DataFrame, zones: DataFrame, gap: float) -> DataFrame:
     """(id, zone, rank): points (id, zone, x, y, score) that stay when each zone's are taken best first (then by id), no nearer than ``gap`` to one
     taken before, and no more than the zone's quota (zones: zone, quota).
 
-    Spacing runs in rounds over all zones at once; the quota then takes the first of what it left, since leaving off later ones changes no earlier pick.
+    A zone with a quota of one has its best point. For the others spacing runs in rounds over all zones at once; the quota then takes the first of what
+    it left, since leaving off later ones changes no earlier pick.
     """
     order = F.struct((-F.col("score")).alias("s"), F.col("id").alias("i"))
-    p = written(points.join(zones.select("zone"), "zone", "left_semi").select("id", "zone", "x", "y", "score", order.alias("o")))
+    several = zones.where("quota > 1").select("zone", "quota")
+    best = points.join(zones.where("quota = 1").select("zone"), "zone", "left_semi").groupBy("zone").agg(F.min(order).alias("o"))
+    best = best.select(F.col("o.i").alias("id"), "zone", F.lit(1).alias("rank"))
+    p = written(points.join(several.select("zone"), "zone", "left_semi").select("id", "zone", "x", "y", "score", order.alias("o")))
     kept = p.join(graph.spaced(p, gap, "zone", open_end=True), "id", "left_semi")
     ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("zone").orderBy("o")))
-    return ranked.join(zones.select("zone", "quota"), "zone").where("rank <= quota").select("id", "zone", "rank")
+    return best.unionByName(ranked.join(several, "zone").where("rank <= quota").select("id", "zone", "rank"))
 
 
 def playground_objects(grounds: DataFrame, mapped: DataFrame, detected: DataFrame, scale: int, rules: Rules = Rules()) -> DataFrame:
@@ -45,13 +49,13 @@ def playground_objects(grounds: DataFrame, mapped: DataFrame, detected: DataFram
     Mapped points (id, x, y, tall, flat) come before detected ones (id, x, y, score), of which those beside a mapped one of the ground go. A small ground
     has one object, others keep a distance on paper and have one for every 300 square metres begun. A point lies in the ground of least zone.
     """
-    box = grounds.select("zone", "x0", "y0", "x1", "y1")
-    inside = lambda d: J.points_in_boxes(d, box).groupBy("id", "x", "y", "score", "source").agg(F.min("zone").alias("zone"))
+    box = written(grounds.groupBy(*J.BOX).agg(F.min("zone").alias("zone")))  # grounds of equal corners once: the least zone has their points
+    inside = lambda d: J.points_in_boxes(d, box, 8.0).groupBy("id", "x", "y", "score", "source").agg(F.min("zone").alias("zone"))
     known = inside(mapped.where("not flat").select("id", "x", "y", F.when(F.col("tall"), TALL).otherwise(MAPPED).alias("score"), F.lit("mapped").alias("source")))
     known = written(known)
     found = written(inside(detected.select("id", "x", "y", F.col("score").cast("double").alias("score"), F.lit("detected").alias("source"))))
-    beside = J.within(found, known.select(F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("zone").alias("z")), rules.same).where("zone = z").select("id").distinct()
-    every = known.unionByName(found.join(beside, "id", "left_anti").select(*known.columns))
+    beside = J.beside(found, known.select(F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("zone").alias("z")), rules.same, z="zone").select("id")
+    every = known.unionByName(found.join(beside.hint("merge"), "id", "left_anti").select(*known.columns))
     key = F.struct((F.col("source") != "mapped").alias("found"), "id")  # of equal scores mapped ones are first
     named = written(every.withColumn("key", key))
     quota = F.when(F.col("area") <= rules.small, 1).otherwise(F.greatest(F.lit(1), F.ceil(F.col("area") / rules.each)))

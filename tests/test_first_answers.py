@@ -21,3 +21,27 @@ def test_station_covers_are_first_hits(spark, sf, duck, monkeypatch):
     monkeypatch.setattr(J, "points_in_boxes", _forbidden)
     assert_same(line_plans.jon41_row_support(spark, sf), duck.sql(SQL["jon41_row_support"]))
     assert_same(details.udf01_sampled_predicates(spark, sf), duck.sql(SQL["udf01_sampled_predicates"]))
+
+
+def test_a_quota_of_one_needs_no_spacing(spark, monkeypatch):
+    spaced, seen = graph.spaced, []
+    monkeypatch.setattr(graph, "spaced", lambda p, *a, **k: seen.append(p.count()) or spaced(p, *a, **k))
+    points = spark.createDataFrame([(1, 1, 0.0, 0.0, 2.0), (2, 1, 9.0, 4.0, 3.0), (3, 1, 8.0, 4.0, 3.0), (4, 2, 0.0, 0.0, 1.0), (5, 2, 1.0, 0.0, 1.0), (6, 2, 9.0, 0.0, 0.0), (7, 3, 0.0, 0.0, 0.0)], "id long, zone long, x double, y double, score double")
+    zones = spark.createDataFrame([(1, 1), (2, 2), (3, 0)], "zone long, quota long")
+    assert sorted(map(tuple, picks.zone_picks(points, zones, 5.0).collect())) == [(2, 1, 1), (4, 2, 1), (6, 2, 2)] and seen == [3]
+
+
+def test_playgrounds_list_no_pairs_of_points(spark, monkeypatch):
+    from tests.test_picks import brute, tables
+
+    rng = random.Random(8)
+    grounds = [(k, w * h, x, y, x + w, y + h) for k, (x, y, w, h) in enumerate([(0.0, 0.0, 20.0, 20.0), (15.0, 10.0, 40.0, 30.0)] * 3)]
+    at = lambda: (rng.uniform(0, 60), rng.uniform(0, 45))
+    mapped = [(i, *at(), rng.random() < 0.3, rng.random() < 0.3) for i in range(30)]
+    detected = [(i, *at(), float(rng.randrange(9))) for i in range(150)]
+    monkeypatch.setattr(J, "within", _forbidden)
+    pairs = J.points_in_boxes
+    monkeypatch.setattr(J, "points_in_boxes", lambda p, b, *more: pairs(p, b, *more) if b.count() == 2 else _forbidden())
+    got = {tuple(r) for r in picks.playground_objects(*tables(spark, grounds, mapped, detected), 1000).select("id", "zone", "rank", "source").collect()}
+    want = {r for r in brute(grounds, mapped, detected, 1000)}
+    assert got == want and len(want) > 2
