@@ -16,6 +16,7 @@ from geoloom.plans.terrain import ras27_depressions, ras27_knolls
 from geoloom.sources import readers as R
 from geoloom.operators import spatial_join as J
 from geoloom.sources import tables as T
+from geoloom.sources.store import written
 
 
 def prj01_extents(spark, d):
@@ -40,13 +41,28 @@ def grf11_spread_flag(spark, d):
     return G.propagated(ids, links, ids.where("id % 100 = 7"), r.where("kind = 'MACHINERY'").select(F.col("fid").alias("id")))
 
 
+def _maybe_narrow(st, areas, reach, width):
+    """Stations in an area, less those where one area alone is ``width`` across already. Both in whole hits with a margin, so that rounding leaves off no
+    narrow one; what is left is few, and only its rays are cut by areas."""
+    near = J.inside(st, areas.select(*((F.col(c) + k).alias(c) for c, k in zip(J.BOX, (-1e-6, -1e-6, 1e-6, 1e-6)))))
+    # along the ray (ty, -tx): the ways to an area's edges ahead and behind, by each axis
+    ways = [("x", "ty", F.col("ty")), ("y", "tx", -F.col("tx"))]
+    per = near.select("*", *(F.coalesce(1 / F.nullif(F.abs(c), F.lit(0.0)), F.lit(1e18)).alias(f"__{t}") for _, t, c in ways))
+    ahead, behind = ([F.when((c > 0) == F.lit(on), F.col(f"{a}1") - F.col(a)).otherwise(F.col(a) - F.col(f"{a}0")) * F.col(f"__{t}") for a, t, c in ways] for on in (True, False))
+    ahead, behind = F.least(*ahead, F.lit(reach)), F.least(*behind, F.lit(reach))
+    wide = (ahead > 1e-6) & (behind > 1e-6) & (ahead + behind >= width + 1e-6)
+    return J.inside(per, areas, also=wide, how="left_anti").drop("__ty", "__tx")
+
+
 def jon21_narrow_runs(spark, d):
     """Runs of stations where the area around a line is narrower than 8 m, two stations at least."""
-    step, reach = 25.0, 20.0
-    st = sequence.stations(sequence.segments(T.vertices(spark, d)).where("source = 'dtm'"), step).withColumn("station", F.concat_ws(":", "line_id", "k"))
+    step, reach, least = 25.0, 20.0, 8.0
+    areas = written(J.shapes(T.rects(spark, d).where("kind <> 'BUILDING'")).drop("n"))
+    st = _maybe_narrow(sequence.stations(sequence.segments(T.vertices(spark, d)).where("source = 'dtm'"), step), areas, reach, least)
+    st = written(st).withColumn("station", F.concat_ws(":", "line_id", "k"))
     ray = st.select(F.col("station").alias("line_id"), F.lit(1).alias("pos"), F.col("line_id").alias("line"), "k", (F.col("x") - reach * F.col("ty")).alias("ax"), (F.col("y") + reach * F.col("tx")).alias("ay"), (F.col("x") + reach * F.col("ty")).alias("bx"), (F.col("y") - reach * F.col("tx")).alias("by"))
-    inside = lines.in_boxes(ray, J.shapes(T.rects(spark, d).where("kind <> 'BUILDING'")), 16.0).select("line_id", "line", "k", (F.col("t0") * 2 * reach).alias("s0"), (F.col("t1") * 2 * reach).alias("s1"))
-    width = lines.merged(inside, ["line_id"], ["line", "k"]).where(f"s0 <= {reach} and s1 >= {reach}").withColumn("narrow", F.col("s1") - F.col("s0") < 8.0)
+    inside = lines.in_boxes(ray, areas, 16.0).select("line_id", "line", "k", (F.col("t0") * 2 * reach).alias("s0"), (F.col("t1") * 2 * reach).alias("s1"))
+    width = lines.merged(inside, ["line_id"], ["line", "k"]).where(f"s0 <= {reach} and s1 >= {reach}").withColumn("narrow", F.col("s1") - F.col("s0") < least)
     near = width.where("narrow").withColumn("g", F.col("k") - F.row_number().over(Window.partitionBy("line").orderBy("k")))
     return near.groupBy(F.col("line").alias("line_id"), "g").agg(F.min("k").alias("first"), F.max("k").alias("last"), F.count("*").alias("n")).where("n >= 2").select("line_id", "first", "last", "n")
 

@@ -23,6 +23,26 @@ def test_station_covers_are_first_hits(spark, sf, duck, monkeypatch):
     assert_same(details.udf01_sampled_predicates(spark, sf), duck.sql(SQL["udf01_sampled_predicates"]))
 
 
+def test_few_rays_are_cut(spark, monkeypatch):
+    from geoloom.sources import tables as T
+
+    rng = random.Random(11)
+    v = [(k, p, rng.uniform(0, 200), rng.uniform(0, 200), "dtm") for k in range(40) for p in range(1, 5)] + [(99, p, 20.0 * p, 50.0, "dtm") for p in range(9)]
+    r = [(i, "HOUSEHOLD", x, y, x + rng.choice([2.0, 5.0, 8.0, 40.0]), y + rng.choice([3.0, 7.0, 30.0])) for i in range(160) for x, y in [(rng.randrange(200) * 1.0, rng.randrange(200) * 1.0)]]
+    # a strip of two areas that meet at the line, and one of just 8 m: touching edges and the limit itself
+    r += [(900, "HOUSEHOLD", 30.0, 45.0, 70.0, 50.0), (901, "HOUSEHOLD", 30.0, 50.0, 70.0, 52.0), (902, "HOUSEHOLD", 90.0, 46.0, 120.0, 54.0)]
+    vertices, rects = spark.createDataFrame(v, "line_id long, pos long, x double, y double, source string"), spark.createDataFrame(r, "fid long, kind string, x0 double, y0 double, x1 double, y1 double")
+    monkeypatch.setattr(T, "vertices", lambda *_: vertices)
+    monkeypatch.setattr(T, "rects", lambda *_: rects)
+    cut, whole = [], lines.in_boxes
+    monkeypatch.setattr(lines, "in_boxes", lambda s, *more: cut.append(s.count()) or whole(s, *more))
+    got = sorted(map(tuple, checks.jon21_narrow_runs(spark, "").collect()))
+    few = cut.pop()
+    monkeypatch.setattr(checks, "_maybe_narrow", lambda st, *_: st)
+    assert got == sorted(map(tuple, checks.jon21_narrow_runs(spark, "").collect())) and len(got) > 2
+    assert few < 0.6 * cut.pop()
+
+
 def test_a_quota_of_one_needs_no_spacing(spark, monkeypatch):
     spaced, seen = graph.spaced, []
     monkeypatch.setattr(graph, "spaced", lambda p, *a, **k: seen.append(p.count()) or spaced(p, *a, **k))
