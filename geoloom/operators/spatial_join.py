@@ -60,18 +60,23 @@ def within(left: DataFrame, right: DataFrame, distance: float, lx: str = "x", ly
     return l.join(r.hint("merge"), ["__gx", "__gy", *on]).where(d2 <= distance * distance).withColumn("d2", d2).drop("__gx", "__gy")
 
 
-#: Sectors of a circle: directions less than 31 degrees apart are at most two sectors apart.
-SECTORS = 23
+#: Sectors of a circle: what lies within 31 degrees of a direction is in two sectors at most.
+SECTORS = 5
 
 
 def sector(dx: Column, dy: Column) -> Column:
     """The sector of a direction."""
-    return F.pmod(F.floor((F.atan2(dy, dx) / (2 * math.pi) + 0.5) * SECTORS), F.lit(SECTORS))
+    return _sector_at(F.atan2(dy, dx) / (2 * math.pi))
+
+
+def _sector_at(turn: Column) -> Column:
+    return F.pmod(F.floor((turn + 0.5) * SECTORS), F.lit(SECTORS))
 
 
 def sectors_opposite(dx: Column, dy: Column) -> Column:
-    """The sectors of all directions that turn by 149 degrees and more from this one."""
-    return F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda k: F.pmod(sector(-dx, -dy) + k, F.lit(SECTORS)))
+    """The sectors of all directions that turn by 149 degrees and more from this one: one or two, since each is a copy in a join."""
+    turn = F.atan2(-dy, -dx) / (2 * math.pi)
+    return F.array_distinct(F.array(_sector_at(turn - 31 / 360), _sector_at(turn + 31 / 360)))
 
 
 def overlaps(a: DataFrame, b: DataFrame, size: float = CELL) -> DataFrame:

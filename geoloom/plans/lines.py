@@ -259,9 +259,9 @@ def jon30_opposite_lanes(spark, d):
     """Lanes of one class that run against each other: middles within 10 m, directions at 150 degrees or more."""
     seg = _seg(spark, d, "len > 0").select("line_id", "pos", "cls", ((F.col("ax") + F.col("bx")) / 2).alias("x"), ((F.col("ay") + F.col("by")) / 2).alias("y"), ((F.col("bx") - F.col("ax")) / F.col("len")).alias("ux"), ((F.col("by") - F.col("ay")) / F.col("len")).alias("uy"))
     other = seg.toDF("b_line", "b_pos", "cls", "rx", "ry", "vx", "vy").withColumn("sector", J.sector(F.col("vx"), F.col("vy")))
-    # only lanes of one class and of opposite sectors meet
+    # only lanes of one class and of opposite sectors meet; cells of 20 m and few sectors keep the copies that are shuffled to 8 a lane at most
     facing = seg.withColumn("sector", F.explode(J.sectors_opposite(F.col("ux"), F.col("uy"))))
-    pairs = J.within(facing, other, 10.0, on=("cls", "sector")).where("line_id < b_line").where(F.col("ux") * F.col("vx") + F.col("uy") * F.col("vy") <= -0.8660254)
+    pairs = J.within(facing, other, 10.0, on=("cls", "sector"), size=20.0).where("line_id < b_line").where(F.col("ux") * F.col("vx") + F.col("uy") * F.col("vy") <= -0.8660254)
     return pairs.select(F.col("line_id").alias("a_line"), F.col("pos").alias("a_pos"), "b_line", "b_pos", F.round(F.sqrt("d2"), 4).alias("distance"))
 
 

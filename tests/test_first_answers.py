@@ -43,6 +43,17 @@ def test_few_rays_are_cut(spark, monkeypatch):
     assert few < 0.6 * cut.pop()
 
 
+def test_lanes_are_copied_few_times(spark):
+    rng = random.Random(3)
+    p = [(i, rng.uniform(0, 90), rng.uniform(0, 90), rng.uniform(-1, 1), rng.uniform(-1, 1)) for i in range(200)]
+    d = spark.createDataFrame(p, "id long, x double, y double, ux double, uy double")
+    assert d.select(J.sectors_opposite(d.ux, d.uy).alias("s")).selectExpr("max(size(s)) n").first().n <= 2
+    q = d.select(d.id.alias("o"), d.x.alias("rx"), d.y.alias("ry"))
+    same = lambda **k: sorted((r.id, r.o) for r in J.within(d, q, 10.0, **k).collect())
+    want = sorted((a[0], b[0]) for a in p for b in p if (a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2 <= 100)
+    assert same() == same(size=20.0) == same(size=37.0) == want
+
+
 def test_a_quota_of_one_needs_no_spacing(spark, monkeypatch):
     spaced, seen = graph.spaced, []
     monkeypatch.setattr(graph, "spaced", lambda p, *a, **k: seen.append(p.count()) or spaced(p, *a, **k))
