@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.operators import focal, junctions
+from geoloom.operators.spatial_join import within  # noqa: F401  a test takes it away, to see that no pairs are listed
 from geoloom.sources.store import written
 
 
